@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from .common import table
+from .gif import store_texts
 from .html import extract_main_text
+from .langid import op2_query
 from .mixing import mix
 from .pii import op1_query
+from .toxicity import op4_query
 
 QUERIES = {
     "op1_pii": lambda spark, d: op1_query(table(spark, d, "documents")),
+    "op2_langid": lambda spark, d: op2_query(table(spark, d, "documents")),
+    "op3_gif": lambda spark, d: store_texts(table(spark, d, "documents")),
+    "op4_toxicity": lambda spark, d: op4_query(table(spark, d, "documents"), table(spark, d, "labels")),
     "op7_mixing": lambda spark, d: mix(table(spark, d, "documents")).drop("source"),
     "op10_html": lambda spark, d: extract_main_text(table(spark, d, "pages")),
 }
