@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import table
+from .ctw import op8_query
 from .gif import store_texts
 from .html import extract_main_text
 from .langid import op2_query
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_gif": lambda spark, d: store_texts(table(spark, d, "documents")),
     "op4_toxicity": lambda spark, d: op4_query(table(spark, d, "documents"), table(spark, d, "labels")),
     "op7_mixing": lambda spark, d: mix(table(spark, d, "documents")).drop("source"),
+    "op8_ctw": lambda spark, d: op8_query(table(spark, d, "documents")),
     "op10_html": lambda spark, d: extract_main_text(table(spark, d, "pages")),
 }
 ORACLE: dict[str, str] = {}
