@@ -8,6 +8,7 @@ from .gif import store_texts
 from .html import extract_main_text
 from .langid import op2_query
 from .mixing import mix
+from .neardup import near_duplicates
 from .pii import op1_query
 from .toxicity import op4_query
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_langid": lambda spark, d: op2_query(table(spark, d, "documents")),
     "op3_gif": lambda spark, d: store_texts(table(spark, d, "documents")),
     "op4_toxicity": lambda spark, d: op4_query(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op5_superminhash": lambda spark, d: near_duplicates(table(spark, d, "documents")),
     "op7_mixing": lambda spark, d: mix(table(spark, d, "documents")).drop("source"),
     "op8_ctw": lambda spark, d: op8_query(table(spark, d, "documents")),
     "op10_html": lambda spark, d: extract_main_text(table(spark, d, "pages")),
