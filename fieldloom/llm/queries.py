@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .common import table
 from .ctw import op8_query
+from .decontam import ORACLE_SQL as DECONTAMINATION_SQL
+from .decontam import contaminated
 from .gif import store_texts
 from .html import extract_main_text
 from .langid import op2_query
@@ -20,6 +22,7 @@ QUERIES = {
     "op5_superminhash": lambda spark, d: near_duplicates(table(spark, d, "documents")),
     "op7_mixing": lambda spark, d: mix(table(spark, d, "documents")).drop("source"),
     "op8_ctw": lambda spark, d: op8_query(table(spark, d, "documents")),
+    "op9_decontamination": lambda spark, d: contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op10_html": lambda spark, d: extract_main_text(table(spark, d, "pages")),
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op9_decontamination": DECONTAMINATION_SQL}
