@@ -12,6 +12,7 @@ from .langid import op2_query
 from .mixing import mix
 from .neardup import near_duplicates
 from .pii import op1_query
+from .toolcalls import op6_query
 from .toxicity import op4_query
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
     "op3_gif": lambda spark, d: store_texts(table(spark, d, "documents")),
     "op4_toxicity": lambda spark, d: op4_query(table(spark, d, "documents"), table(spark, d, "labels")),
     "op5_superminhash": lambda spark, d: near_duplicates(table(spark, d, "documents")),
+    "op6_toolcalls": lambda spark, d: op6_query(spark, table(spark, d, "conversations")),
     "op7_mixing": lambda spark, d: mix(table(spark, d, "documents")).drop("source"),
     "op8_ctw": lambda spark, d: op8_query(table(spark, d, "documents")),
     "op9_decontamination": lambda spark, d: contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
