@@ -57,16 +57,9 @@ def best_threshold(rows: DataFrame, feature: str, candidates: int = 200) -> Data
     train = rows.filter("role = 'train'").select("fold", F.col(feature).alias("x"), F.col("label").alias("y")).filter("x is not null")
     share = F.array(*[F.lit(i / (candidates - 1)) for i in range(candidates)])
     cuts = train.groupBy("fold").agg(F.array_sort(F.array_distinct(F.percentile("x", share))).alias("cuts"), F.sum("y").alias("_pos"))
-    # First candidate above x: a binary search over the sorted candidates, eight halvings.
-    low, high = F.lit(0), F.size("cuts")
-    at = train.join(F.broadcast(cuts), "fold").withColumn("_lo", low).withColumn("_hi", high)  # one row a fold
-    for _ in range(candidates.bit_length() + 1):
-        mid = F.floor((F.col("_lo") + F.col("_hi")) / 2).cast("int")
-        right = (F.col("_lo") < F.col("_hi")) & (F.get("cuts", mid) <= F.col("x"))
-        lo = F.when(right, mid + 1).otherwise(F.col("_lo"))
-        hi = F.when(right | (F.col("_lo") >= F.col("_hi")), F.col("_hi")).otherwise(mid)
-        at = at.select("fold", "x", "y", "cuts", "_pos", lo.alias("_lo"), hi.alias("_hi"))
-    binned = at.groupBy("fold", F.col("_lo").alias("k")).agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
+    # A row belongs to the first candidate above it: as many candidates lie at or below it.
+    at = train.join(F.broadcast(cuts.select("fold", "cuts")), "fold").withColumn("k", F.size(F.filter("cuts", lambda c: c <= F.col("x"))))  # one row a fold
+    binned = at.groupBy("fold", "k").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
     grid = cuts.select("fold", "_pos", F.posexplode("cuts").alias("k", "threshold"))
     w = Window.partitionBy("fold").orderBy("k")
     run = grid.join(binned, ["fold", "k"], "left").withColumn("tp", F.sum(F.coalesce("p", F.lit(0))).over(w)).withColumn("all", F.sum(F.coalesce("n", F.lit(0))).over(w))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import by_time, clip, logistic, uniform
@@ -37,7 +37,7 @@ def reset_intervals(df: DataFrame, keys: list[str], shortest: int = 35, longest:
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     each = n.withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor(F.col("_n") / shortest).cast("int") + 1)))
     length = F.lit(shortest) + F.floor(uniform(seed, *keys, "_k") * (longest - shortest + 1))
-    w = by_time(keys, "_k").rowsBetween(-(1 << 40), -1)
+    w = by_time(keys, "_k").rowsBetween(Window.unboundedPreceding, -1)
     return each.withColumn("start", F.coalesce(F.sum(length).over(w), F.lit(0)).cast("long")).filter(F.col("start") < F.col("_n")).select(*keys, "start")
 
 
@@ -45,7 +45,7 @@ def add_ramp(df: DataFrame, column: str, keys: list[str], a: float = 5.545, b: f
     """Adds ``a (1 - exp(-b t))``, t rows since the last restart; NULL stays NULL."""
     pos = df.withColumn("_pos", (F.row_number().over(by_time(keys)) - 1).cast("long"))
     marks = reset_intervals(df, keys, seed=seed).withColumn("_reset", F.col("start")).withColumnRenamed("start", "_pos")
-    w = by_time(keys, "_pos").rowsBetween(-(1 << 40), 0)
+    w = by_time(keys, "_pos").rowsBetween(Window.unboundedPreceding, 0)
     t = F.col("_pos") - F.last("_reset", ignorenulls=True).over(w)
     ramp = F.lit(a) * (1 - F.exp(F.lit(-b) * t))
     if conductivity is not None:

@@ -116,12 +116,12 @@ def _violation_sql() -> str:
     parts = []
     for c, (low, high, nullable) in quality.RANGES.items():
         if not nullable:
-            parts.append(f"SELECT '{c}' AS \"column\", 'null' AS rule, count_if({c} IS NULL) AS n, CAST(NULL AS DOUBLE) AS extreme FROM merged")
-        parts.append(f"SELECT '{c}', 'below', count_if({c} < {low}), min({c}) FROM merged")
+            parts.append(f"SELECT '{c}' AS col, 'null' AS rule, count_if({c} IS NULL) AS bad, CAST(NULL AS DOUBLE) AS x FROM merged")
+        parts.append(f"SELECT '{c}' AS col, 'below' AS rule, count_if({c} < {low}) AS bad, min({c}) AS x FROM merged")
         if high is not None:
-            parts.append(f"SELECT '{c}', 'above', count_if({c} > {high}), max({c}) FROM merged")
-    parts.append("SELECT 'irrigation_event', 'not_binary', count_if(irrigation_event NOT IN (0, 1)), NULL FROM merged")
-    return f"WITH {MERGED_SQL} SELECT \"column\", rule, n, round(extreme, 6) AS extreme FROM ({' UNION ALL '.join(parts)}) WHERE n > 0"
+            parts.append(f"SELECT '{c}' AS col, 'above' AS rule, count_if({c} > {high}) AS bad, max({c}) AS x FROM merged")
+    parts.append("SELECT 'irrigation_event' AS col, 'not_binary' AS rule, count_if(irrigation_event NOT IN (0, 1)) AS bad, CAST(NULL AS DOUBLE) AS x FROM merged")
+    return f"WITH {MERGED_SQL} SELECT col AS \"column\", rule, bad AS n, round(x, 6) AS extreme FROM ({' UNION ALL '.join(parts)}) WHERE bad > 0"
 
 
 @query("schema_violations", _violation_sql())
