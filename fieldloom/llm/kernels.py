@@ -131,7 +131,7 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, word_offs: np.ndarray, k: int
     for j in range(k):
         inside = at + j < end
         step = np.zeros(n, np.uint64)
-        step[: n - j] = hashes[j:]
+        step[: max(n - j, 0)] = hashes[j:]
         total += np.where(inside, step, np.uint64(0)) * np.uint64(factor)
         factor = factor * int(_M1) % (1 << 64)
     total = mix64(total + np.minimum(end - at, k).astype(np.uint64))
