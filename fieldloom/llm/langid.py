@@ -30,7 +30,9 @@ from .common import fold
 BITS = 15
 DIM = 1 << BITS
 SAMPLE, MAX_LANGS = 800, 1000
-ALPHA, BETA, L1, L2, EPOCHS, BATCH = 0.5, 1.0, 0.002, 0.0005, 4, 64
+ALPHA, BETA, L1, L2, EPOCHS, BATCH = 1.0, 1.0, 0.002, 0.0005, 10, 32
+#: Shares of n-grams are small numbers; this brings features near 1, so few steps suffice.
+SCALE = 20.0
 
 #: Letters (and every byte of a longer character) stay; any other ASCII byte is a blank.
 FOLD = K.LOWER.copy()
@@ -139,7 +141,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, folds: int = 5) -> LanguageMode
         if r["bucket"] >= 0:
             df[r["bucket"]] = r["n"]
     total = next(r["n"] for r in partial if r["bucket"] < 0)
-    idf = np.log((1 + total) / (1 + df)) + 1
+    idf = SCALE * (np.log((1 + total) / (1 + df)) + 1)
     rates = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample / n))])
     uniform = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
     chosen = rows.filter(uniform < rates[F.col("lang")])
