@@ -230,3 +230,17 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     gone = checkpointed(near_duplicates(docs).filter("not kept").select("doc_id").distinct())
     few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return docs.join(few, "doc_id", "left_anti").select(*docs.columns)
+
+
+#: The same components from all shared shingles, without signatures.
+ORACLE_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[p:p+4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pr AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+ln AS (SELECT x, y FROM pr JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+bo AS (SELECT x, y FROM ln UNION ALL SELECT y, x FROM ln),
+re AS (SELECT doc_id AS id, doc_id AS r FROM d UNION SELECT re.id, bo.y FROM re JOIN bo ON re.r = bo.x),
+co AS (SELECT id, min(r) AS component_id FROM re GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN co ON co.id = d.doc_id
+"""

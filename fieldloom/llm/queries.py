@@ -10,6 +10,7 @@ from .gif import store_texts
 from .html import extract_main_text
 from .langid import op2_query
 from .mixing import mix
+from .neardup import ORACLE_SQL as NEAR_DUPLICATE_SQL
 from .neardup import near_duplicates
 from .pii import op1_query
 from .toolcalls import op6_query
@@ -27,4 +28,4 @@ QUERIES = {
     "op9_decontamination": lambda spark, d: contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op10_html": lambda spark, d: extract_main_text(table(spark, d, "pages")),
 }
-ORACLE: dict[str, str] = {"op9_decontamination": DECONTAMINATION_SQL}
+ORACLE: dict[str, str] = {"op5_superminhash": NEAR_DUPLICATE_SQL, "op9_decontamination": DECONTAMINATION_SQL}
