@@ -171,34 +171,46 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held))
     ids = usable.select(F.col("doc_id").alias("_id"), "toxic").orderBy(F.xxhash64("_id"), "_id", "toxic").limit(sample)
     rows = docs.join(F.broadcast(ids), docs["doc_id"] == ids["_id"]).select("doc_id", ids["toxic"].cast("int").alias("toxic"), "text")
-    got = rows.mapInArrow(_sample_words, "doc_id long, toxic int, words array<binary>").collect()
-    got = sorted(got, key=lambda r: (r["doc_id"], r["toxic"], r["words"]))
-    if len({r["toxic"] for r in got}) < 2:
+    # Arrow on the driver: a sampled word is a few bytes and a code, never a Python object.
+    got = rows.mapInArrow(_sample_words, "doc_id long, toxic int, words array<binary>").toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("toxic", "ascending")]).combine_chunks()
+    toxic = got["toxic"].to_numpy() > 0
+    n = len(toxic)
+    if n == 0 or toxic.all() or not toxic.any():
         return None
-    order = np.random.default_rng(3).permutation(len(got))
-    learning, calibration = [got[i] for i in order[len(got) // 5 :]], [got[i] for i in order[: len(got) // 5]]
-    documents: dict[bytes, int] = {}
-    for r in learning:
-        for w in r["words"]:
-            documents[bytes(w)] = documents.get(bytes(w), 0) + 1
-    place = {w: i for i, w in enumerate(w for w, n in documents.items() if n >= min(LEAST, len(learning)))}
-    if not place:
+    lists = got["words"].combine_chunks()
+    row = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+    encoded = lists.flatten().dictionary_encode()
+    code, dictionary = encoded.indices.to_numpy(), encoded.dictionary
+    del got, lists, encoded
+    held = np.zeros(n, bool)
+    held[np.random.default_rng(3).permutation(n)[: n // 5]] = True
+    learning = ~held[row]
+    documents = np.bincount(code[learning], minlength=len(dictionary))
+    kept = np.flatnonzero(documents >= min(LEAST, n))
+    if not len(kept):
         return None
-    kept = [[place[w] for w in map(bytes, r["words"]) if w in place] for r in learning]
-    bucket, word = bags(*_flat(list(place)))
-    toxic = np.array([r["toxic"] > 0 for r in learning])
-    table, shift = _fit(bucket, word, len(place), np.concatenate(kept).astype(np.int64), np.repeat(np.arange(len(kept)), [len(k) for k in kept]), toxic)
+    place = np.full(len(dictionary), -1)
+    place[kept] = np.arange(len(kept))
+    use = learning & (place[code] >= 0)
+    doc = np.cumsum(~held) - 1
+    table, shift = _fit(*bags(*_flat(dictionary.take(pa.array(kept)))), len(kept), place[code[use]], doc[row[use]], toxic[~held])
     model = ToxicityModel(table, shift, 1.0, 0.0)
-    seen = sorted({bytes(w) for r in calibration for w in r["words"]})
-    rate = dict(zip(seen, word_scores(model, *_flat(seen)))) if seen else {}
-    x = np.array([evidence(np.array([rate[bytes(w)] for w in r["words"]]), np.zeros(len(r["words"]), int), 1)[0] for r in calibration])
-    model.a, model.b = _logistic(np.log(x + FAINT), np.array([r["toxic"] > 0 for r in calibration], float))
+    seen, inner = np.unique(code[~learning], return_inverse=True)
+    x = np.zeros(int(held.sum()))
+    if len(seen):
+        score = word_scores(model, *_flat(dictionary.take(pa.array(seen))))
+        x = evidence(score[inner], (np.cumsum(held) - 1)[row[~learning]], len(x))
+    model.a, model.b = _logistic(np.log(x + FAINT), toxic[held].astype(float))
     return model
 
 
-def _flat(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ends = np.cumsum([len(w) for w in words]).astype(np.int64)
-    return np.frombuffer(b"".join(words), np.uint8), np.concatenate(([0], ends[:-1])).astype(np.int64), ends
+def _flat(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes of a binary array, and where each word starts and ends in them."""
+    words = words.cast(pa.large_binary())
+    _, offsets, data = words.buffers()
+    offs = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+    return np.frombuffer(data, np.uint8), offs[:-1], offs[1:]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
