@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import sources
 from ..functions import student_t_critical, uniform
-from ..operators import attribution, episodes, features, healing, metrics, models, perturb, quality, splits, stats, timegrid
+from ..operators import attribution, episodes, features, healing, metrics, models, perturb, quality, reports, splits, stats, timegrid
 from . import protocols
 from .adapter import KEYS, events, flow, merged, moisture, scored, table, valve, weather
 
@@ -722,3 +722,26 @@ def _(spark, d):
 def _(spark, d):
     rows, folds = _ml_rows(spark, d)
     return protocols.compare_best(rows, folds, NARROW, [models.ModelSpec("gbt_a", SMALL_TREES)], [models.ModelSpec("logistic", {"max_iter": 50})], iterations=50)
+
+
+# ---- report documents -------------------------------------------------------------------
+
+
+@query(
+    "dominance_document",
+    f"""WITH {ASSIGNED_SQL}, {_LAB_SQL}, {_DOM_SQL} SELECT string_agg(fold || ':' || CAST(CAST(round(dominance * 10000) AS BIGINT) AS VARCHAR), ',' ORDER BY fold) AS by_fold, coalesce(string_agg(fold, ',' ORDER BY fold) FILTER (WHERE dominance > 0.5), '') AS flagged,
+max(largest_episode) AS largest_episode, round(max(largest_episode) / (SELECT count_if(label = 1) FROM sup), 4) AS share FROM dm""",
+)
+def _(spark, d):
+    by_fold = episodes.dominance(_labelled_assigned(spark, d).filter("role = 'test'"), ["fold"])
+    positives = narrow_rows(spark, d).filter("label = 1").count()
+    doc = reports.dominance_document(by_fold, {"supervised": positives})
+    parts = F.transform(F.array_sort(F.map_entries("dominance_by_fold")), lambda e: F.concat(e["key"], F.lit(":"), F.round(e["value"] * 10000).cast("long").cast("string")))
+    return doc.select(F.array_join(parts, ",").alias("by_fold"), F.array_join(F.transform("flagged_folds", lambda x: x.cast("string")), ",").alias("flagged"), "largest_episode", F.col("largest_episode_share.supervised").alias("share"))
+
+
+@query("explanation_manifest")
+def _(spark, d):
+    rows = narrow_rows(spark, d).select("row_id", "label", (1 - F.col("soil_moisture_lag1h") / 100).alias("score"))
+    doc = reports.explanation_manifest(contributions(spark, d), rows, features.blocks(), "linear", 0)
+    return doc.select("model", "fold", F.to_json(F.struct("top_features", "importance", "instances")).alias("document"))

@@ -177,3 +177,13 @@ def test_library_does_not_need_the_llm_part():
     for p in root.rglob("*.py"):
         if "llm" not in p.parts:
             assert "llm" not in p.read_text(), p
+
+
+def test_report_documents(spark):
+    from fieldloom.operators import reports
+
+    d = spark.createDataFrame([(1, 0.2857, 10), (2, None, None), (4, 0.6724, 117)], "fold int, dominance double, largest_episode long")
+    r = reports.dominance_document(d, {"a": 310, "b": 333}).first()
+    assert (r["flagged_folds"], r["largest_episode_share"]["a"], r["largest_episode_share"]["b"]) == ([4], 0.3774, 0.3514)
+    c = spark.createDataFrame([("x", "y", -0.1, 0.00001), ("x", "y", 0.1, 0.5)], "model_a string, model_b string, difference double, p_value double")
+    assert [r["interpretation"] for r in reports.comparison_document(c).collect()] == ["y is better (p < 1e-04)", "no difference shown (p 0.5000)"]
