@@ -4,7 +4,8 @@
   a blank), hashed into ``DIM`` buckets. Inverse document frequencies come from all training
   documents; a feature's value is its share of the text's n-grams times its IDF.
 * Training: follow-the-regularised-leader with L1 and L2 penalties, on the driver, over a
-  bounded sample: about ``SAMPLE`` documents of each language, chosen by a hash of the id.
+  bounded sample: about ``SAMPLE`` documents of each language (``TOTAL`` over all), chosen by a
+  hash of the id.
 * Calibration: one temperature, chosen on a fifth of that sample that training does not see.
 
 Prediction reads whole texts in Spark tasks; the model is a table of ``DIM`` floats a language.
@@ -29,7 +30,7 @@ from .common import fold
 
 BITS = 15
 DIM = 1 << BITS
-SAMPLE, MAX_LANGS = 800, 1000
+SAMPLE, TOTAL, MAX_LANGS = 800, 4000, 1000
 ALPHA, BETA, L1, L2, EPOCHS, BATCH = 1.0, 1.0, 0.002, 0.0005, 10, 32
 #: Shares of n-grams are small numbers; this brings features near 1, so few steps suffice.
 SCALE = 20.0
@@ -142,7 +143,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, folds: int = 5) -> LanguageMode
             df[r["bucket"]] = r["n"]
     total = next(r["n"] for r in partial if r["bucket"] < 0)
     idf = SCALE * (np.log((1 + total) / (1 + df)) + 1)
-    rates = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample / n))])
+    rates = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, min(sample, TOTAL / len(counts)) / n))])
     uniform = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
     chosen = rows.filter(uniform < rates[F.col("lang")])
     # Ordered by content, so the sample, its split and the model are the same in every run.
