@@ -431,3 +431,12 @@ def test_pages_query(spark):
     rows = [(1, "u", None), (2, None, "<p>x</p>"), (None, "v", ""), (2, None, "<p>x</p>")]
     got = html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "5 as text")).collect()
     assert [(r["text"], r["n_chars"]) for r in got] == [("", 0), ("x", 1), ("", 0), ("x", 1)]
+
+
+def test_byte_probabilities_stay_above_zero_in_long_runs():
+    import pandas as pd
+
+    rows = pd.DataFrame([([97, 97, 97, 97, 97], 97, 10**10)], columns=["path", "byte", "n"])
+    z = [np.frombuffer(v, np.float32) for v in ctw._weigh((97,), rows).query("kind == 'row'")["v"]]
+    table = ctw._bytes_of_bits(1 / (1 + np.exp(-np.stack(z).astype(float))))
+    assert np.isfinite(table).all() and table[:, 97].max() > -0.01
