@@ -201,7 +201,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, folds: int = 5) -> Da
                 score[letters] = p[np.arange(n), best][letters]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", (fold("doc_id", folds) == 0).alias("held_out"), "text").mapInArrow(run, PREDICTED)
+    return docs.select("doc_id", F.coalesce(fold("doc_id", folds) == 0, F.lit(False)).alias("held_out"), "text").mapInArrow(run, PREDICTED)
 
 
 def op2_query(docs: DataFrame) -> DataFrame:

@@ -255,7 +255,7 @@ def scores(docs: DataFrame, model: ToxicityModel | None, keep: bool = False) ->
 
     if keep:
         return docs.mapInArrow(clean, docs.schema)
-    return docs.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "text").mapInArrow(run, SCORED)
+    return docs.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "text").mapInArrow(run, SCORED)
 
 
 def op4_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
