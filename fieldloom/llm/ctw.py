@@ -1,6 +1,6 @@
 """Language-model scoring by context-tree weighting over bytes.
 
-The model is a context tree of the last ``DEPTH`` bytes; each byte is decomposed into eight
+The model is a context tree of the last ``ORDER`` bytes; each byte is decomposed into eight
 binary choices, and every (context, bit prefix) has a Krichevsky-Trofimov estimate from its
 zeros and ones in the training text. With P_e a node's KT probability of all it has seen, the
 weighted probability is ``P_w = (P_e + product of P_w over longer contexts) / 2`` and
@@ -9,13 +9,18 @@ weighted probability is ``P_w = (P_e + product of P_w over longer contexts) / 2`
 gives one table: the log-probability of each byte after each context. A text's score is the
 sum over its bytes and an end mark; the code length per byte follows from it.
 
-Counting is a distributed aggregation of (context, byte) grams over all training texts. Trees of
-different last bytes are independent, so they are weighted in groups by that byte; only the
-root (255 binary nodes and 256 children) is mixed on the driver. Contexts of one and two bytes
-all have nodes; a longer one has a node of its own if it holds at least one in
-``2**RARE_BITS`` of all training bytes, and rarer ones of the same parent share a branch. So
-there are at most 2**16 + (DEPTH - 2) * 2**RARE_BITS rows of 256 half-floats,
-134 MB, whatever the corpus.
+Texts are dealt by hash into parts of about ``PART`` bytes. Each part counts its distinct
+(context, byte) grams of ``ORDER`` bytes once, and packs them by the last ``TOP + 1`` bytes of
+the context into shards. A shard merges the parts' counts and weights the contexts longer than
+``TOP``; every observed context has a node, however rare, so the model grows with the corpus.
+Grams of held-out texts travel with count 0: they add nothing and get their probability in the
+same pass. Weights of contexts of up to ``TOP`` bytes (at most 2**16 of them) meet on the
+driver. Each part then gets back the log-probabilities of its own grams and scores its texts;
+no task holds the whole model.
+
+``train``, ``ByteModel`` and ``log10_probability`` are a second form with a table of fixed size
+for callers who need one in memory: there, contexts longer than two bytes with less than one in
+``2**RARE_BITS`` of all training bytes share a branch. The query does not use it.
 
 ``base``: the unigram model of the contract. Word counts are exact over the training text.
 Words with at least one in ``FREQUENT`` of all tokens (so at most that many) are looked up from
@@ -39,7 +44,12 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import checkpointed, fold
 
+#: Depth and pooling of the table of fixed size.
 DEPTH, RARE_BITS, FREQUENT = 5, 16, 1 << 17
+#: Bytes of context of the query's tree; contexts of up to ``TOP`` are weighted on the driver.
+ORDER, TOP = 6, 2
+#: Bytes of text that are counted and scored together.
+PART = 8 << 20
 #: Grams that a task holds before it hands partial counts to the shuffle.
 HELD = 1_500_000
 #: Text that a task scores or counts at a time.
@@ -50,15 +60,15 @@ END = 0xFF
 END_HASH = 1
 
 
-def _framed(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lowered texts with ``DEPTH`` marks before and one after each; positions of the predicted bytes."""
+def _framed(raw: np.ndarray, offs: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """Lowered texts with ``depth`` marks before and one after each; positions of the predicted bytes."""
     n, size = len(offs) - 1, np.diff(offs)
-    new = offs + (DEPTH + 1) * np.arange(n + 1)
+    new = offs + (depth + 1) * np.arange(n + 1)
     flat = np.full(new[-1], END, np.uint8)
-    at = np.arange(len(raw)) + np.repeat((DEPTH + 1) * np.arange(n) + DEPTH, size)
+    at = np.arange(len(raw)) + np.repeat((depth + 1) * np.arange(n) + depth, size)
     flat[at] = K.LOWER[raw]
     predicted = np.ones(len(flat), bool)
-    for j in range(DEPTH):
+    for j in range(depth):
         predicted[new[:-1] + j] = False
     return flat, np.flatnonzero(predicted)
 
@@ -292,6 +302,214 @@ def log10_probability(model: ByteModel, raw: np.ndarray, offs: np.ndarray) -> np
     return np.add.reduceat(p.astype(np.float64), offs[:-1] + np.arange(len(offs) - 1))
 
 
+# ---- every observed context has its node ------------------------------------------------
+
+
+def _unique(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[new], np.add.reduceat(n, new, dtype=np.int64)
+
+
+def _keys(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The context, last byte on top, and the byte after it in the lowest bits."""
+    f = flat.astype(np.int64)
+    key = f[at - 1]
+    for j in range(2, ORDER + 1):
+        key = key << 8 | f[at - j]
+    return key << 8 | f[at]
+
+
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Contexts with the same last ``TOP + 1`` bytes stand together."""
+    return (K.mix64((keys >> (8 * (ORDER - TOP))).astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(raw: bytes, n: int, kind) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+
+
+def _counted(shards: int):
+    """Distinct grams of a part of the texts, with their counts in training texts, packed by shard."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        parts = []
+        for batch in K.chunks(table.combine_chunks().to_batches(), limit=PIECE):
+            raw, offs = K.text_bytes(batch.column(batch.schema.get_field_index("text")))
+            flat, at = _framed(raw, offs, ORDER)
+            learns = batch.column(batch.schema.get_field_index("train")).to_numpy(zero_copy_only=False)
+            gram = _keys(flat, at) << 1 | np.repeat(learns, np.diff(offs) + 1)
+            gram.sort()
+            new = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+            parts.append((gram[new], np.diff(np.append(new, len(gram)))))
+        keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+        keys, n = _unique(keys >> 1, n * (keys & 1))
+        shard = _shard(keys, shards)
+        order = np.argsort(shard, kind="stable")
+        ids, begin = np.unique(shard[order], return_index=True)
+        out = [(int(s), part, len(x), _pack(np.diff(keys[x], prepend=0)), _pack(n[x].astype(np.int32))) for s, x in zip(ids, np.split(order, begin[1:]))]
+        return pa.Table.from_pylist([dict(zip(("shard", "part", "size", "grams", "n"), r)) for r in out], schema=_COUNTED)
+
+    return run
+
+
+_COUNTED = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("size", pa.int64()), ("grams", pa.binary()), ("n", pa.binary())])
+_SHARDS = pa.schema(
+    [("shard", pa.int64()), ("size", pa.int64()), ("grams", pa.binary()), ("n", pa.binary())]
+    + [("tops", pa.int64()), ("node", pa.binary()), ("below", pa.binary()), ("zeros", pa.binary()), ("ones", pa.binary())]
+    + [("parts", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("places", pa.list_(pa.binary()))]
+)
+
+
+class _Levels:
+    """Weighted binary nodes of the contexts of ``TOP + 1`` to ``ORDER`` bytes in one shard; only observed ones exist."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        self.keys, down = keys, np.arange(len(keys))
+        self.levels = []  # longest contexts first: place of each gram, and by bit (group, share, zeros, ones)
+        weight, inverse, self.up = None, None, None
+        for depth in range(ORDER, TOP, -1):
+            if depth < ORDER:
+                keys, inverse = np.unique(keys >> 16 << 8 | keys & 255, return_inverse=True)
+                n = np.bincount(inverse, n, minlength=len(keys)).astype(np.int64)
+                down = inverse[down]
+            bits, weights = [], []
+            for j in range(8):
+                new = np.concatenate(([True], np.diff(keys >> (8 - j)) != 0))
+                group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+                ones = np.add.reduceat(n * (keys >> (7 - j) & 1), first)
+                zeros = np.add.reduceat(n, first) - ones
+                seen, _ = _kt(zeros, ones)
+                share, w = np.ones(len(first)), seen
+                if weight is not None:
+                    child_first, child_weight = weight[j]
+                    below = np.bincount(group[inverse[child_first]], child_weight, minlength=len(first))
+                    w = np.logaddexp(seen, below) - math.log(2)
+                    share = np.exp(seen - math.log(2) - w)
+                bits.append((group, share, zeros, ones))
+                weights.append((first, w))
+            weight = weights
+            self.levels.append((down, bits))
+        self.top_keys, self.weight = keys, weight
+
+    def summary(self) -> tuple[np.ndarray, ...]:
+        """Of the contexts of ``TOP`` bytes: binary node, weight below it, zeros and ones."""
+        found = []
+        for j, ((first, w), (_, _, zeros, ones)) in enumerate(zip(self.weight, self.levels[-1][1])):
+            found.append((_node(self.top_keys[first] >> 16, self.top_keys[first] & 255, j), w, zeros, ones))
+        node, below, zeros, ones = (np.concatenate(x) for x in zip(*found))
+        at, inverse = np.unique(node, return_inverse=True)
+        return at, *(np.bincount(inverse, x, minlength=len(at)) for x in (below, zeros, ones))
+
+    def log10(self, top: tuple[np.ndarray, ...]) -> np.ndarray:
+        """log10 probability of each gram; ``top`` has what contexts of up to ``TOP`` bytes say of a zero, of a one, and the rest."""
+        out, byte, node, zero, one, left = np.zeros(len(self.keys)), self.keys & 255, *top
+        for j in range(8):
+            bit, p = byte >> (7 - j) & 1, None
+            for down, bits in self.levels:
+                group, share, zeros, ones = bits[j]
+                own = (np.stack((zeros, ones)) + 0.5) / (zeros + ones + 1)
+                g = group[down]
+                p = own[bit, g] if p is None else share[g] * own[bit, g] + (1 - share[g]) * p
+            at = np.searchsorted(node, _node(self.keys >> (8 * (ORDER - TOP + 1)), byte, j))
+            out += np.log10(np.where(bit, one[at], zero[at]) + left[at] * p)
+        return out
+
+
+def _node(context: np.ndarray, byte: np.ndarray, j: int) -> np.ndarray:
+    return context << 8 | ((1 << j) - 1 + (byte >> (8 - j)))
+
+
+def _sharded(table: pa.Table) -> pa.Table:
+    """All of a shard in one row: its grams and counts, what its trees weigh, and which grams each part has."""
+    rows = table.to_pylist()
+    grams = [np.cumsum(_unpack(r["grams"], r["size"], np.int64)) for r in rows]
+    keys, n = _unique(np.concatenate(grams), np.concatenate([_unpack(r["n"], r["size"], np.int32) for r in rows]))
+    node, *sums = _Levels(keys, n).summary()
+    places = [_pack(np.diff(np.searchsorted(keys, g), prepend=0).astype(np.int32)) for g in grams]
+    row = [rows[0]["shard"], len(keys), _pack(np.diff(keys, prepend=0)), _pack(n), len(node), _pack(node), *map(_pack, sums)]
+    row += [[r["part"] for r in rows], [r["size"] for r in rows], places]
+    return pa.Table.from_pylist([dict(zip(_SHARDS.names, row))], schema=_SHARDS)
+
+
+def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            columns = [_unpack(r[c], r["tops"], np.int64 if c == "node" else float) for c in ("node", "below", "zeros", "ones")]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["node", "below", "zeros", "ones"])
+
+
+def _short_contexts(node: np.ndarray, below: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Weighs contexts of ``TOP`` bytes down to none; then what all of them together say, at each node of ``TOP`` bytes."""
+    place, levels = np.arange(len(node)), []
+    for depth in range(TOP, -1, -1):
+        seen, _ = _kt(zeros, ones)
+        weight = np.logaddexp(seen, below) - math.log(2)
+        levels.append((place, np.exp(seen - math.log(2) - weight), (zeros + 0.5) / (zeros + ones + 1), (ones + 0.5) / (zeros + ones + 1)))
+        if depth:
+            shorter, inverse = np.unique(node >> 16 << 8 | node & 255, return_inverse=True)
+            place = inverse[place]
+            below, zeros, ones = (np.bincount(inverse, x, minlength=len(shorter)) for x in (weight, zeros, ones))
+            node = shorter
+    zero, one, left = 0.0, 0.0, 1.0
+    for place, share, no, yes in reversed(levels):
+        zero, one, left = zero + left * share[place] * no[place], one + left * share[place] * yes[place], left * (1 - share[place])
+    return zero, one, left
+
+
+def _scored(top):
+    """log10 probabilities of the grams that each part has in a shard, in the order of the grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                keys = np.cumsum(_unpack(r["grams"], r["size"], np.int64))
+                p = _Levels(keys, _unpack(r["n"], r["size"], np.int64)).log10(top.value).astype(np.float32)
+                for part, size, places in zip(r["parts"], r["sizes"], r["places"]):
+                    at = np.cumsum(_unpack(places, size, np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([r["shard"]]), pa.array([p[at].tobytes()], pa.binary())], names=["part", "shard", "p"])
+
+    return run
+
+
+def _parted(docs: DataFrame, train) -> tuple[DataFrame, int]:
+    """The texts dealt evenly into parts of about ``PART`` bytes, and the number of parts."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = size // PART + 1
+    return docs.select("doc_id", train.alias("train"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).alias("part")), parts
+
+
+def gram_scores(parted: DataFrame, parts: int) -> DataFrame:
+    """part, shard, p: log10 probabilities of all grams of a part, under the tree of all training texts."""
+    counted = parted.select("part", "train", "text").groupBy("part").applyInArrow(_counted(parts), "shard long, part long, size long, grams binary, n binary")
+    shards = checkpointed(counted.groupBy("shard").applyInArrow(
+        _sharded, "shard long, size long, grams binary, n binary, tops long, node binary, below binary, zeros binary, ones binary, parts array<long>, sizes array<long>, places array<binary>"
+    ))
+    # At most 2**16 contexts of two bytes with 255 binary nodes each; only those that occur.
+    tops = shards.select("tops", "node", "below", "zeros", "ones").mapInArrow(_tops, "node long, below double, zeros double, ones double")
+    tops = tops.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("below", "zeros", "ones")]).toArrow().sort_by("node")
+    columns = [tops.column(c).to_numpy() for c in ("node", "below", "zeros", "ones")]
+    top = parted.sparkSession.sparkContext.broadcast((columns[0], *_short_contexts(*columns)))
+    return shards.select("shard", "size", "grams", "n", "parts", "sizes", "places").mapInArrow(_scored(top), "part long, shard long, p binary")
+
+
+def _part_scorer(table: pa.Table, scores: pa.Table, shards: int):
+    """A function from framed texts of the part to the log10 probability of each of its bytes."""
+    pieces = [_keys(*_framed(*K.text_bytes(b.column(b.schema.get_field_index("text"))), ORDER)) for b in K.chunks(table.to_batches(), limit=PIECE)]
+    keys = np.unique(np.concatenate([np.unique(x) for x in pieces]))
+    order = np.argsort(_shard(keys, shards), kind="stable")
+    p = np.empty(len(keys))
+    p[order] = np.concatenate([np.frombuffer(r["p"], np.float32) for r in sorted(scores.to_pylist(), key=lambda r: r["shard"])])
+    done = iter(pieces)
+    return lambda: p[np.searchsorted(keys, next(done))]
+
+
 # ---- the unigram base -------------------------------------------------------------------
 
 
@@ -320,13 +538,16 @@ def op8_query(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     norm = math.log10(n + 1 * (v + 1))
     frequent = counts.filter(F.col("c") * F.lit(FREQUENT) >= F.lit(n)).toArrow()  # at most FREQUENT rows
     order = np.argsort(frequent["word"].to_numpy())
-    shared = sc.broadcast((train(texts), frequent["word"].to_numpy()[order], frequent["c"].to_numpy()[order]))
+    shared = sc.broadcast((frequent["word"].to_numpy()[order], frequent["c"].to_numpy()[order]))
+    parted, parts = _parted(docs, F.coalesce(fold("doc_id", folds) != held, F.lit(False)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(table: pa.Table, scores: pa.Table) -> pa.Table:
         """A row a document, with its sum over frequent words, and its other words with their counts."""
-        model, word, c = shared.value
+        word, c = shared.value
         logs = np.log10(c + 1) - norm
-        for batch in K.chunks(batches, limit=PIECE):
+        table, done = table.combine_chunks(), []
+        probabilities = _part_scorer(table, scores, parts)
+        for batch in K.chunks(table.to_batches(), limit=PIECE):
             raw, offs = K.text_bytes(batch.column(2))
             rows = batch.num_rows
             hashes, row, _ = K.words(raw, offs)
@@ -339,15 +560,17 @@ def op8_query(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
             known = np.bincount(row[hit], minlength=rows)
             value, where, times = K.distinct_by_row(hashes[~hit], row[~hit])
             size = np.diff(offs)
-            score = log10_probability(model, raw, offs)
+            score = np.add.reduceat(probabilities(), offs[:-1] + np.arange(rows))
             offsets = pa.array(np.searchsorted(where, np.arange(rows + 1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
+            done.append(pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score), pa.array(size),
                  pa.ListArray.from_arrays(offsets, pa.array(value)), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))],
                 names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "n_bytes", "words", "times"],
-            )
+            ))
+        return pa.Table.from_batches(done)
 
-    scored = docs.select("doc_id", out.alias("held_out"), "text").mapInArrow(
+    texts_of = parted.select("doc_id", out.alias("held_out"), "text", "part").groupBy("part")
+    scored = texts_of.cogroup(gram_scores(parted, parts).groupBy("part")).applyInArrow(
         run, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, n_bytes long, words array<long>, times array<int>"
     )
     scored = checkpointed(scored.withColumn("_row", F.monotonically_increasing_id()))

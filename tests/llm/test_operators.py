@@ -370,6 +370,49 @@ def test_base_scores_equal_plain_counts(docs, odd, spark):
     assert ctw.op8_query(empty(spark)).count() == 0
 
 
+def plain_tree_scores(train, texts, depth):
+    """log10 of each text under context-tree weighting with a node for every observed context."""
+    seen, frame = Counter(), lambda t: b"\xff" * depth + t.encode().lower() + b"\xff"
+    grams = lambda t: [(frame(t)[i - depth : i][::-1], frame(t)[i]) for i in range(depth, len(frame(t)))]
+    for t in train:
+        seen.update(grams(t))
+    counts = {}
+    for (c, b), n in seen.items():
+        for d in range(depth + 1):
+            for j in range(8):
+                counts.setdefault((c[:d], j, b >> (8 - j)), [0, 0])[b >> (7 - j) & 1] += n
+    pe = {k: math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi) for k, (z, o) in counts.items()}
+    weight, below = {}, Counter()
+    for k in sorted(counts, key=lambda k: -len(k[0])):
+        weight[k] = pe[k] if len(k[0]) == depth else np.logaddexp(pe[k], below[k]) - math.log(2)
+        if k[0]:
+            below[(k[0][:-1], *k[1:])] += weight[k]
+
+    def bit(c, j, prefix, x, d=0):
+        k = (c[:d], j, prefix)
+        if k not in counts:
+            return 0.5
+        own = (counts[k][x] + 0.5) / (sum(counts[k]) + 1)
+        if d == depth:
+            return own
+        share = math.exp(pe[k] - math.log(2) - weight[k])
+        return share * own + (1 - share) * bit(c, j, prefix, x, d + 1)
+
+    return [sum(math.log10(bit(c, j, b >> (8 - j), b >> (7 - j) & 1)) for c, b in grams(t) for j in range(8)) for t in texts]
+
+
+def test_rare_contexts_keep_their_nodes(spark):
+    """A context below one in 2**16 of all bytes still predicts as its own node says."""
+    rng = np.random.default_rng(4)
+    texts = ["the cat sat on the mat " * 400 for _ in range(10)] + ["xq zebra7 Quagga9 é"] + ["".join(rng.choice(list("abcd "), 60)) for _ in range(6)] + ["xq zebra7 new"]
+    d = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], DOC)
+    learned = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert sum(map(len, learned)) > 1 << 16 and texts[10] in learned
+    got = {r["doc_id"]: r["score"] for r in ctw.op8_query(d).collect()}
+    want = plain_tree_scores(learned, texts, ctw.ORDER)
+    assert all(abs(got[i] - w) < 1e-4 * abs(w) for i, w in enumerate(want))
+
+
 # ---- op9 ----
 
 
