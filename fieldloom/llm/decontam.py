@@ -1,16 +1,18 @@
-"""Benchmark decontamination with SimHash windows (DataFrame operations only).
+"""Benchmark decontamination with item-sized windows (DataFrame operations only).
 
 1. Anchors: every 5-word shingle of every document is looked up among the items' shingles.
-   A window whose shingle similarity to an item is 0.75 or more shares shingles with it, so
-   windows are formed only where a shingle meets its place in an item: at the position that
-   aligns both, as long as the item. A document whose shingles cover less than 0.75 of an
-   item's weight is left out before its words are looked at again.
-2. SimHash: each window and item gets 64 sign bits of the sum of its words' hashes.
-3. Multi-index: a fingerprint is cut into ``RADIUS + 1`` blocks. Two fingerprints within
-   ``RADIUS`` bits agree in at least one block, so an equi-join on (size, block number, block)
-   finds them all; the Hamming distance then decides.
-4. Verification: weighted-shingle (multiset) similarity of window and item, exactly,
-   ``100 * common >= 75 * (all - common)``.
+   A window whose shingle similarity to an item is 0.75 or more shares shingles with it. A
+   document whose shingles cover less than 0.75 of an item's weight is left out before its
+   words are looked at again.
+2. Windows, as long as the item, stand at every place that aligns a met shingle with its place
+   in the item, and begin at every met shingle. That is enough for all windows: moving a window
+   right to its first met shingle loses none of them, so some window that begins at one is at
+   least as similar, wherever the item's parts stand. Windows with too few met shingles for
+   the similarity are left out.
+3. Verification: weighted-shingle (multiset) similarity of window and item, exactly,
+   ``100 * common >= 75 * all``, where ``all`` is the size of the multiset union.
+
+No fingerprint decides: a SimHash radius can only lose windows that the anchors have found.
 
 A word is a run of anything but x20 and x09-x0D, in lower case. An item of fewer than five
 words is one shingle of all its words.
@@ -29,8 +31,6 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 SHINGLE, SIMILARITY = 5, 75
-RADIUS = 15
-BLOCKS, BLOCK_BITS = RADIUS + 1, 64 // (RADIUS + 1)
 #: Rows of an item or id table that may be broadcast (at most 64 bytes each).
 BROADCAST_ROWS = 250_000
 
@@ -51,21 +51,6 @@ def _shingles(hashes: str, k: int) -> Column:
     return F.when(n >= k, F.slice(F.transform(F.col(hashes), at), F.lit(1), n - (k - 1)))
 
 
-def _fingerprint(hashes: Column) -> Column:
-    """64 sign bits of the summed word hashes, packed into a long."""
-    sign = lambda b: F.aggregate(hashes, F.lit(0), lambda s, h: s + F.call_function("shiftrightunsigned", h, b).bitwiseAND(F.lit(1)).cast("int") * 2 - 1)
-    return F.aggregate(
-        F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"),
-        lambda f, b: f.bitwiseOR(F.call_function("shiftleft", F.when(sign(b) > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")), b)),
-    )
-
-
-def _blocks(fingerprint: str) -> Column:
-    """(block number, block) of a fingerprint, one struct each."""
-    mask = (1 << BLOCK_BITS) - 1
-    return F.array(*[F.struct(F.lit(i).alias("no"), F.shiftrightunsigned(fingerprint, BLOCK_BITS * i).bitwiseAND(mask).alias("block")) for i in range(BLOCKS)])
-
-
 def _small(df: DataFrame) -> DataFrame:
     """Broadcast if it has been counted to be small, else joined by shuffle."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -75,36 +60,41 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, start_word, n_words, similarity: the best window of each document for each item it holds."""
     items = items.select("item_id", _hashes(_words(F.col("text"))).alias("h")).filter("h is not null").withColumn("n", F.size("h")).withColumn("k", F.least("n", F.lit(SHINGLE)))
     items = items.withColumn("s", F.coalesce(*[F.when(F.col("k") == k, _shingles("h", k)) for k in range(1, SHINGLE + 1)]))
-    items = checkpointed(items.withColumn("weight", F.size("s")).withColumn("fp", _fingerprint(F.col("h"))).drop("h"))
+    items = checkpointed(items.withColumn("weight", F.size("s")).drop("h"))
     lengths = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most five
     parts = checkpointed(items.select("item_id", "n", "k", "weight", F.posexplode("s").alias("offset", "shingle")))
     hits = None
     hashed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), _hashes(_words(F.col("text"))).alias("h")).filter("h is not null")
     for k in lengths:
-        places = hashed.select("doc_id", "row", F.posexplode(_shingles("h", k)).alias("at", "shingle"))
-        met = places.join(_small(parts.filter(F.col("k") == k).drop("k")), "shingle").select("doc_id", "row", "item_id", "n", "weight", "shingle", "at", "offset")
+        places = hashed.select("doc_id", "row", F.size("h").alias("words"), F.posexplode(_shingles("h", k)).alias("at", "shingle"))
+        met = places.join(_small(parts.filter(F.col("k") == k).drop("k")), "shingle").select("doc_id", "row", "words", "item_id", "n", "weight", "at", "offset")
         hits = met if hits is None else hits.union(met)
     if hits is None:
         return docs.limit(0).select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("start_word"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity"))
     hits = checkpointed(hits)
     covered = hits.groupBy("doc_id", "row", "item_id", "weight", "offset").agg(F.count(F.lit(1)).alias("_")).groupBy("doc_id", "row", "item_id", "weight").agg(F.count(F.lit(1)).alias("c"))
     covered = covered.filter(100 * F.col("c") >= SIMILARITY * F.col("weight")).select("row", "item_id")
-    windows = checkpointed(
-        hits.join(covered, ["row", "item_id"], "left_semi").select("doc_id", "row", "n", F.greatest(F.col("at") - F.col("offset"), F.lit(0)).alias("start")).distinct()
-    )
+    kept = hits.join(covered, ["row", "item_id"], "left_semi")
+    aligned = kept.select("doc_id", "row", "item_id", "n", F.greatest(F.col("at") - F.col("offset"), F.lit(0)).alias("start"), F.lit(True).alias("aligned"))
+    # A window of v shingles and an item of weight w need 0.75 / 1.75 * (v + w) in common.
+    met = kept.groupBy("doc_id", "row", "words", "item_id", "n", "weight").agg(F.array_sort(F.collect_set("at")).alias("met"))
+    met = met.select("*", F.posexplode("met").alias("i", "start"))
+    v = F.least("weight", F.col("words") - (F.col("n") - F.col("weight")) - F.col("start"))
+    last = F.get("met", F.col("i") + F.ceil((v + F.col("weight")) * SIMILARITY / (100 + SIMILARITY)).cast("int") - 1)
+    begun = met.filter(last < F.col("start") + F.col("weight")).select("doc_id", "row", "item_id", "n", "start", F.lit(False).alias("aligned"))
+    windows = checkpointed(aligned.union(begun).groupBy("doc_id", "row", "item_id", "n", "start").agg(F.max("aligned").alias("aligned")))
     rows = _small(checkpointed(windows.select("row").distinct()))
     texts = hashed.select("row", "h").join(rows, "row", "left_semi").dropDuplicates(["row"])
-    windows = windows.join(texts, "row").select("doc_id", "row", "n", "start", F.slice("h", F.col("start") + 1, F.col("n")).alias("h")).filter(F.size("h") > 0)
-    windows = checkpointed(windows.withColumn("fp", _fingerprint(F.col("h"))).withColumn("k", F.least("n", F.lit(SHINGLE))).withColumn("id", F.xxhash64("row", "n", "start")))
-    at = lambda d, *keep: d.select(*keep, F.explode(_blocks("fp")).alias("b")).select(*keep, "b.no", "b.block")
-    index = at(items.withColumnRenamed("fp", "item_fp").withColumn("fp", F.col("item_fp")), "item_id", "n", "item_fp")
-    near = at(windows.withColumn("own_fp", F.col("fp")), "id", "n", "own_fp").join(index, ["n", "no", "block"]).filter(F.bit_count(F.col("own_fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("id", "item_id").distinct()
-    pairs = near.join(windows.select("id", "doc_id", "start", "n", "h", "k"), "id").join(items.select("item_id", "s", "weight"), "item_id")
+    windows = windows.join(texts, "row").select("doc_id", "item_id", "n", "start", "aligned", F.slice("h", F.col("start") + 1, F.col("n")).alias("h")).filter(F.size("h") > 0)
+    pairs = windows.join(_small(items.select("item_id", "k", "s", "weight")), "item_id")
     pairs = pairs.withColumn("w", F.coalesce(*[F.when(F.col("k") == k, _shingles("h", k)) for k in lengths])).filter("w is not null")
     times = lambda a, x: F.size(F.filter(F.col(a), lambda y: y == x))
     common = F.aggregate(F.array_distinct("w"), F.lit(0), lambda c, x: c + F.least(times("w", x), times("s", x)))
+    # Sets meet by hash; only a shingle that stands twice needs counts.
+    single = (F.size(F.array_distinct("w")) == F.size("w")) | (F.size(F.array_distinct("s")) == F.col("weight"))
+    common = F.when(single, F.size(F.array_intersect("w", "s"))).otherwise(common)
     pairs = pairs.withColumn("common", common).withColumn("all", F.size("w") + F.col("weight") - F.col("common")).filter(100 * F.col("common") >= SIMILARITY * F.col("all"))
-    best = F.max(F.struct((F.col("common") / F.col("all")).alias("s"), (-F.col("start")).alias("b"), F.col("n"))).alias("best")
+    best = F.max(F.struct((F.col("common") / F.col("all")).alias("s"), F.col("aligned"), (-F.col("start")).alias("b"), F.col("n"))).alias("best")
     return pairs.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", (-F.col("best.b")).cast("int").alias("start_word"), F.col("best.n").alias("n_words"), F.round("best.s", 6).alias("similarity")
     )

@@ -457,6 +457,43 @@ def test_decontamination(spark, odd):
     assert decontam.contaminated(d, it.limit(0)).count() == 0
 
 
+def test_decontamination_at_the_threshold_equals_brute_force(spark):
+    """Head lost, cut at the document's end, edited in the middle, and parts in another order, just at and below 0.75."""
+    rng = np.random.default_rng(21)
+    word = lambda: f"u{rng.integers(0, 100_000)}"
+    rows, items = [], []
+    for j in range(240):
+        n = int(rng.integers(40, 90))
+        x, w = [word() for _ in range(n)], n - 4
+        m = w // 7 + (j % 5 == 4)  # a seventh of the shingles may break; one more is too many
+        lead = [word() for _ in range(25)]
+        if j % 4 == 0:
+            t = lead + [word() for _ in range(m)] + x[m:] + [word() for _ in range(30)]
+        elif j % 4 == 1:
+            t = lead + x[: n - w // 4 - (j % 5 == 4)]
+        elif j % 4 == 2:
+            t = lead + x[:20] + [word() for _ in range(max(1, m - 4))] + x[20 + max(1, m - 4) :] + [word() for _ in range(30)]
+        else:
+            t = lead + x[n // 2 :] + x[: n // 2] + [word() for _ in range(30)]
+        items.append(x)
+        rows.append((j, " ".join(t), "en", "a", 0))
+    k = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    want = {}
+    for (j, t, *_), x in zip(rows, items):
+        w, s, best = t.split(), k(x), 0
+        for at in range(len(w) - 4):
+            v = k(w[at : at + len(x)])
+            both = sum((s & v).values())
+            every = sum(s.values()) + sum(v.values()) - both
+            best = max(best, both / every if 100 * both >= 75 * every else 0)
+        if best:
+            want[j, j] = round(best, 6)
+    d = spark.createDataFrame(rows, DOC)
+    it = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.contaminated(d, it).collect()}
+    assert got == want and 150 < len(want) < 240 and all((j, j) in want for j in range(3, 240, 20))
+
+
 # ---- op10 ----
 
 
