@@ -7,7 +7,9 @@
 2. Words are dealt in blocks of equal size, ``BLOCKS`` of them over the whole corpus (at
    most ``MAX_BLOCK`` words each). Highest quotients ``v / (2 s + 1)`` give each source an
    integer number of blocks, and then each of its shards. Only quotients next to the
-   rounded share can win or lose a seat, so a party lists a few of them, not all.
+   rounded share can win or lose a seat, so a party lists a few of them, not all. A source
+   whose target is under ``LEAST`` such blocks is dealt in smaller blocks of its own, so
+   that rounding costs it no more than 1 / (2 * LEAST) of its target, or half a word.
 3. A shard holds about ``SHARD_BLOCKS`` blocks of documents in seeded order. Its quota of q
    over its b blocks is q div b whole passes and q mod b more blocks, chosen by seeded hash.
    A document's ``taken`` is its overlap with the chosen blocks, so at most ``cap`` times
@@ -31,7 +33,7 @@ from .common import checkpointed
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP, SEED = 1.5, 2, 17
-BLOCKS, MAX_BLOCK, SHARD_BLOCKS = 1 << 16, 4096, 256
+BLOCKS, MAX_BLOCK, SHARD_BLOCKS, LEAST = 1 << 16, 4096, 256, 256
 
 
 def word_count(text: Column) -> Column:
@@ -98,6 +100,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     block = min(MAX_BLOCK, max(1, total // BLOCKS))
     sources = sources.withColumn("_seats", F.lit(round(total * share / block)))
     sources = apportion(sources, [], ["_sid"], "target", "_seats").drop("_seats").withColumnRenamed("quota", "_seats")
+    sources = sources.withColumn("_block", F.least(F.lit(block), F.greatest(F.lit(1), F.floor(F.col("target") / LEAST))).cast("long"))
+    sources = sources.withColumn("_seats", F.when(F.col("_block") < block, F.round(F.col("target") / F.col("_block")).cast("long")).otherwise(F.col("_seats")))
     sources = checkpointed(sources.withColumn("_shards", F.ceil(F.greatest("source_size", F.lit(1)) / (block * SHARD_BLOCKS)).cast("int")))
     # One row a source: a few bytes for each of some dozens of sources; a corpus with very many is joined by shuffle.
     named = sources.withColumnRenamed("source", "_source")
@@ -107,11 +111,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     placed = dealt.withColumn("_end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_start", F.col("_end") - F.col("size"))
     placed = checkpointed(placed.withColumn("_row", F.monotonically_increasing_id()))
     shard = ["_sid", "_shard"]
-    shards = placed.groupBy(*shard).agg(F.sum("size").alias("_words"), F.first("_seats").alias("_seats"))
+    shards = placed.groupBy(*shard).agg(F.sum("size").alias("_words"), F.first("_seats").alias("_seats"), F.first("_block").alias("_block"))
     shards = apportion(shards, ["_sid"], shard, "_words", "_seats")
     # A shard's b blocks share its words evenly: block k begins at floor(k * words / b).
     shards = checkpointed(
-        shards.withColumn("_b", F.greatest(F.lit(1), F.round(F.col("_words") / block)).cast("long")).withColumn("_q", F.least("quota", cap * F.col("_b")))
+        shards.withColumn("_b", F.greatest(F.lit(1), F.round(F.col("_words") / F.col("_block"))).cast("long")).withColumn("_q", F.least("quota", cap * F.col("_b")))
     )
     blocks = shards.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b") - 1)))
     lot = F.xxhash64(F.lit(seed), *shard, "_k")

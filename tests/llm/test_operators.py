@@ -297,6 +297,20 @@ def test_mixing(docs, spark, odd):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_a_tiny_source_in_a_large_corpus_gets_its_target(spark, monkeypatch):
+    """Targets below half a block of the whole corpus."""
+    monkeypatch.setattr(mixing, "BLOCKS", 64)
+    sizes = {"large": 400, "other": 200, "small": 3, "tiny": 1}  # documents of 200 words
+    rows = [(i, f"{s}{i} " * 200, "en", s, 0) for i, s in enumerate(x for x, n in sizes.items() for _ in range(n))]
+    taken, target = Counter(), {}
+    for r in mixing.mix(spark.createDataFrame(rows, DOC)).collect():
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= max(2, 0.01 * target[s]) for s in ("small", "tiny")), (taken, target)
+    assert all(abs(taken[s] - target[s]) <= 200 * 604 // 64 for s in ("large", "other")), (taken, target)
+
+
 def test_apportionment_equals_highest_quotients(spark):
     rng = np.random.default_rng(6)
     for n, seats in ((1, 7), (9, 40), (30, 11), (12, 0)):
