@@ -80,22 +80,25 @@ def compensate_drift(df: DataFrame, column: str, keys: list[str], window_hours:
 def knn_impute(df: DataFrame, target: str, features: list[str], ident: list[str], k: int = 5, max_queries: int = 20_000) -> DataFrame:
     """Mean of the k nearest donors on the co-present features (distance rescaled by their share).
 
-    Rows to fill are broadcast to the donors, so their number is checked; each donor partition
-    keeps the k best a query (partial top-k), and only those are shuffled.
+    Rows to fill are broadcast to the donors in blocks of about ``max_queries``, so any number is
+    filled; each donor partition keeps the k best a query (partial top-k), and only those are shuffled.
     """
     queries = df.filter(F.col(target).isNull())
-    if (n := queries.count()) > max_queries:
-        raise ValueError(f"{n} rows to fill; at most {max_queries} are compared exactly")
+    blocks = max(1, -(-queries.count() // max_queries))
     q = queries.select(*[F.col(c).alias(f"q_{c}") for c in ident], *[F.col(f).alias(f"q_{f}") for f in features])
     donors = df.filter(F.col(target).isNotNull()).select(*[F.col(c).alias(f"d_{c}") for c in ident], target, *features)
     both = [F.col(f"q_{f}").isNotNull() & F.col(f).isNotNull() for f in features]
     square = sum((F.when(b, F.pow(F.col(f"q_{f}") - F.col(f), F.lit(2.0))).otherwise(0.0) for b, f in zip(both, features)), F.lit(0.0))
     present = sum((b.cast("int") for b in both), F.lit(0))
-    near = donors.join(F.broadcast(q), F.lit(True)).withColumn("_d", F.when(present > 0, F.sqrt(square * len(features) / present))).filter("_d is not null")
     names = [f"q_{c}" for c in ident]
     own = Window.partitionBy(*names).orderBy("_d", *[f"d_{c}" for c in ident])
-    best = near.withColumn("_r", F.row_number().over(own)).filter(F.col("_r") <= k)
-    filled = best.groupBy(*names).agg(F.avg(target).alias("_v")).select(*[F.col(n).alias(c) for n, c in zip(names, ident)], "_v")
+    filled = None
+    for i in range(blocks):
+        block = q.filter(F.pmod(F.xxhash64(*names), F.lit(blocks)) == i)
+        near = donors.join(F.broadcast(block), F.lit(True)).withColumn("_d", F.when(present > 0, F.sqrt(square * len(features) / present))).filter("_d is not null")
+        best = near.withColumn("_r", F.row_number().over(own)).filter(F.col("_r") <= k)
+        means = best.groupBy(*names).agg(F.avg(target).alias("_v")).select(*[F.col(n).alias(c) for n, c in zip(names, ident)], "_v")
+        filled = means if filled is None else filled.union(means)
     return df.join(filled, ident, "left").withColumn(target, F.coalesce(target, "_v")).drop("_v")
 
 

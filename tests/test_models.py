@@ -103,6 +103,15 @@ def test_chained_equations_beat_interpolation_and_keep_known_cells(spark):
     assert kept.filter("soil_moisture != h").count() == 0
 
 
+def test_nearest_donors_fill_any_number_of_rows(spark):
+    rows = correlated(spark)
+    gaps = rows.withColumn("soil_moisture", F.when(F.pmod(F.xxhash64("ts"), F.lit(3)) > 0, F.col("soil_moisture"))).cache()
+    fill = lambda **limit: {r["ts"]: r["soil_moisture"] for r in healing.knn_impute(gaps, "soil_moisture", ["air_temp", "humidity"], ["ts"], **limit).collect()}
+    whole, blocks = fill(), fill(max_queries=30)
+    assert gaps.filter("soil_moisture is null").count() > 60 and None not in blocks.values()
+    assert blocks.keys() == whole.keys() and all(abs(blocks[t] - v) < 1e-9 for t, v in whole.items())
+
+
 def design(spark, n=300):
     rng = np.random.default_rng(2)
     rows = []
