@@ -68,6 +68,25 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def strings(column: pa.Array) -> list[str | None]:
+    """Python strings of a column; bytes that are not UTF-8 become U+FFFD instead of an error."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
+
+
+def fresh_names(taken: list[str], *wanted: str) -> list[str]:
+    """Column names like ``wanted`` that no column of ``taken`` has, in any case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name in used:
+            name = f"_{name}"
+        used.add(name)
+        out.append(name)
+    return out
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches between rows so that no piece holds much more than ``limit`` bytes of text."""
     for batch in batches:
