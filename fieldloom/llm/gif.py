@@ -5,11 +5,15 @@ the canvas after the new image is drawn over what the previous frame's disposal
 
 ``store_texts`` keeps a text losslessly as an animated grey GIF: UTF-8 padded with bytes 0 to
 a positive multiple of 64, 64 samples a row, at most ``ROWS`` rows a frame, so memory is
-bounded by a frame and not by the text. Its code stream restarts the table before codes
-outgrow nine bits, which any decoder reads; ``lzw_decode`` reads full-size tables as well.
-
-Edge cases: a null or empty text is stored as 64 bytes 0; a null or broken GIF gives one row
-with ``error`` set and no picture; an empty table gives an empty result; equal texts give
+bounded by a frame and not by the text. Each frame is an LZW stream with codes that grow from
+nine to twelve bits. Every frame is disposed of by clearing, and where a text has no byte 255
+(no UTF-8 has), bytes 0 are stored as the transparent index 255: they show the cleared canvas.
+``describe`` reads the stored bytes back through the same decoder.
+
+Edge cases: a null or empty text is stored as 64 bytes 0; a null or broken GIF (no signature,
+a truncated or impossible code stream, a code size outside 1 to 8, a canvas or image of more
+than ``MAX_PIXELS``, which is a parameter) gives its frames before the fault and then one row with
+``error`` set and no picture; an empty table gives an empty result; equal texts give
 equal values; other columns are ignored by ``store_texts`` and kept out of ``gif_frames``.
 """
 
@@ -28,112 +32,128 @@ from pyspark.sql import DataFrame
 from . import kernels as K
 
 WIDTH, ROWS, DELAY = 64, 1024, 10
-#: Literals between two clear codes: one fewer than would widen the codes.
-RUN = 254
+#: A canvas of this many pixels takes 64 MB.
+MAX_PIXELS = 1 << 24
 GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
 BINS = 256
-
-
-def lzw_store(samples: np.ndarray) -> bytes:
-    """A code stream of nine-bit literals with a clear code before each ``RUN`` of them."""
-    n = len(samples)
-    runs = -(-n // RUN)
-    codes = np.full((runs, RUN + 1), 256, np.uint16)
-    body = np.zeros(runs * RUN, np.uint16)
-    body[:n] = samples
-    codes[:, 1:] = body.reshape(runs, RUN)
-    used = n + runs + 1
-    flat = np.zeros(-(-used // 8) * 8, np.uint16)
-    flat[: used - 1] = codes.ravel()[: used - 1]
-    flat[used - 1] = 257
-    c = flat.reshape(-1, 8)
-    out = np.empty((len(c), 9), np.uint8)
-    out[:, 0] = c[:, 0] & 255
-    for j in range(1, 8):  # byte j holds the rest of code j - 1 and the start of code j
-        out[:, j] = (c[:, j - 1] >> (9 - j) | c[:, j] << j) & 255
-    out[:, 8] = c[:, 7] >> 1
-    return out.tobytes()[: -(-used * 9 // 8)]
-
-
-def _fixed_width(data: np.ndarray, width: int) -> np.ndarray:
-    """All codes of one width, least significant bit first."""
-    n = len(data) * 8 // width
-    bit = np.arange(n, dtype=np.int64) * width
-    padded = np.zeros(len(data) + 4, np.uint32)
-    padded[: len(data)] = data
-    at = bit >> 3
-    word = padded[at] | (padded[at + 1] << np.uint32(8)) | (padded[at + 2] << np.uint32(16))
-    return (word >> (bit & 7).astype(np.uint32)) & np.uint32((1 << width) - 1)
+#: Fixed values of the format: codes have at most twelve bits; how a frame is disposed of.
+LONGEST, CLEAR_FRAME, RESTORE_FRAME = 12, 2, 3
+
+
+def _widths(first: int, last: int, min_size: int) -> np.ndarray:
+    """Bits of the codes number ``first`` to ``last - 1`` after a clear code: one entry joins the table a code."""
+    entries = np.arange(first, last) + (1 << min_size) + 1
+    bits = np.frexp(entries.astype(float))[1]
+    return np.clip(bits, min_size + 1, LONGEST).astype(np.int64)
+
+
+def lzw_codes(samples: bytes) -> list[int]:
+    """Codes of eight-bit samples; a clear code follows once the table is full."""
+    table: dict[int, int] = {}
+    find, free, prefix = table.get, 258, samples[0]
+    codes = [256]
+    put = codes.append
+    for sample in samples[1:]:
+        key = prefix << 8 | sample
+        code = find(key)
+        if code is not None:
+            prefix = code
+            continue
+        put(prefix)
+        if free < 1 << LONGEST:
+            table[key] = free
+            free += 1
+        else:
+            put(256)
+            table.clear()
+            free = 258
+        prefix = sample
+    put(prefix)
+    put(257)
+    return codes
+
+
+def lzw_encode(samples: bytes) -> bytes:
+    """A code stream that any decoder reads: growing codes, lowest bit first."""
+    codes = np.array(lzw_codes(samples), np.int64)
+    clears = np.flatnonzero(codes == 256)
+    width = np.full(len(codes), 9)
+    for start, stop in zip(clears + 1, np.append(clears[1:] + 1, len(codes))):
+        width[start:stop] = _widths(0, stop - start, 8)
+    ends = np.cumsum(width)
+    at = ends - width
+    shifted = codes << (at & 7)
+    size = int(-(-ends[-1] // 8)) + 2
+    out = np.zeros(size)
+    for byte in range(3):  # the bits of different codes never overlap, so sums are unions
+        out += np.bincount((at >> 3) + byte, shifted >> (8 * byte) & 255, minlength=size)
+    return out[:-2].astype(np.uint8).tobytes()
 
 
 def lzw_decode(data: bytes, min_size: int, limit: int) -> np.ndarray:
-    """The samples of an LZW code stream, at most ``limit``.
-
-    Runs of literals that a clear code ends before codes widen are read as arrays; any other
-    stream goes through the string table code by code.
-    """
-    clear, stop, width = 1 << min_size, (1 << min_size) + 1, min_size + 1
-    codes = _fixed_width(np.frombuffer(data, np.uint8), width)
-    ends = np.flatnonzero(codes == stop)
-    if len(ends):
-        codes = codes[: ends[0]]
-        marks = np.flatnonzero(codes == clear)
-        longest = np.diff(np.concatenate((marks, [len(codes)]))) if len(marks) and marks[0] == 0 else [1 << 30]
-        literal = codes < clear
-        if max(longest) <= (1 << width) - clear - 1 and (literal | (codes == clear)).all():
-            return codes[literal][:limit].astype(np.uint8)
-    return _table_decode(data, min_size, limit)
-
-
-def _table_decode(data: bytes, min_size: int, limit: int) -> np.ndarray:
+    """The samples of an LZW code stream, at most ``limit``; a stream that just ends gives what it has."""
+    if not 1 <= min_size <= 8:
+        raise ValueError("a code size outside 1 to 8")
     clear, stop = 1 << min_size, (1 << min_size) + 1
+    padded = np.zeros(len(data) + 4, np.int64)
+    padded[: len(data)] = np.frombuffer(data, np.uint8)
     roots = [bytes([i]) for i in range(clear)] + [b"", b""]
-    strings, width, last = list(roots), min_size + 1, None
-    out, size, have, bits, at = [], 0, 0, 0, 0
+    strings, last, seen = list(roots), None, 0
+    out, size, bit = [], 0, 0
     while size < limit:
-        while have < width:
-            if at >= len(data):
-                return np.frombuffer(b"".join(out)[:limit], np.uint8)
-            bits |= data[at] << have
-            have += 8
-            at += 1
-        code = bits & ((1 << width) - 1)
-        bits >>= width
-        have -= width
-        if code == clear:
-            strings, width, last = list(roots), min_size + 1, None
-            continue
-        if code == stop:
+        # The places of codes are known up to the next clear code.
+        width = _widths(seen, seen + 1024, min_size)
+        ends = bit + np.cumsum(width)
+        width, ends = width[ends <= 8 * len(data)], ends[ends <= 8 * len(data)]
+        if not len(ends):
             break
-        if code < len(strings):
-            s = strings[code]
-        elif last is not None and code == len(strings):
-            s = last + last[:1]
+        start = ends - width
+        at = start >> 3
+        word = padded[at] | padded[at + 1] << 8 | padded[at + 2] << 16
+        codes = word >> (start & 7) & (1 << width) - 1
+        marks = np.flatnonzero((codes == clear) | (codes == stop))
+        n = int(marks[0]) if len(marks) else len(codes)
+        for code in codes[:n].tolist():
+            if last is None:
+                if code >= clear:
+                    raise ValueError("a code before its string")
+                s = strings[code]
+            else:
+                if code < len(strings):
+                    s = strings[code]
+                elif code == len(strings):
+                    s = last + last[:1]
+                else:
+                    raise ValueError("a code before its string")
+                if len(strings) < 1 << LONGEST:
+                    strings.append(last + s[:1])
+            out.append(s)
+            size += len(s)
+            last = s
+        if n < len(codes):
+            if codes[n] == stop:
+                break
+            strings, last, seen, bit = list(roots), None, 0, int(ends[n])
         else:
-            raise ValueError("a code before its string")
-        out.append(s)
-        size += len(s)
-        if last is not None and len(strings) < 4096:
-            strings.append(last + s[:1])
-            if len(strings) == 1 << width and width < 12:
-                width += 1
-        last = s
+            seen, bit = seen + n, int(ends[-1])
     return np.frombuffer(b"".join(out)[:limit], np.uint8)
 
 
 def encode(payload: bytes) -> bytes:
-    """A grey GIF of 64 columns whose frames' samples are the payload."""
+    """A grey GIF of 64 columns whose frames show the payload."""
     rows = len(payload) // WIDTH
+    clear = b"\xff" not in payload
+    shown = payload.replace(b"\0", b"\xff") if clear else payload
     parts = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, ROWS), 0xF7, 0, 0), GREY]
-    samples = np.frombuffer(payload, np.uint8)
     for top in range(0, rows, ROWS):
-        part = samples[top * WIDTH : (top + ROWS) * WIDTH]
-        stream = lzw_store(part)
+        part = shown[top * WIDTH : (top + ROWS) * WIDTH]
+        stream = lzw_encode(part)
         whole = len(stream) // 255
         blocks = np.full((whole, 256), 255, np.uint8)
         blocks[:, 1:] = np.frombuffer(stream, np.uint8, whole * 255).reshape(whole, 255)
         rest = stream[whole * 255 :]
-        parts += [b"\x21\xf9\x04\x04", struct.pack("<HBB", DELAY, 0, 0), b"\x2c", struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0), b"\x08"]
+        parts += [b"\x21\xf9\x04", struct.pack("<BHBB", CLEAR_FRAME << 2 | clear, DELAY, 255 if clear else 0, 0)]
+        parts += [b"\x2c", struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0), b"\x08"]
         parts += [blocks.tobytes(), bytes([len(rest)]) + rest if rest else b"", b"\0"]
     return b"".join(parts) + b"\x3b"
 
@@ -170,11 +190,13 @@ def _deinterlaced(image: np.ndarray) -> np.ndarray:
     return out
 
 
-def decode(data: bytes) -> Iterator[Frame]:
+def decode(data: bytes, max_pixels: int = MAX_PIXELS) -> Iterator[Frame]:
     """Frames in order, one held at a time."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack("<HHB", data[6:11])
+    if width * height > max_pixels:
+        raise ValueError("a canvas of too many pixels")
     at, shared = 13, None
     if flags & 0x80:
         size = 3 << ((flags & 7) + 1)
@@ -193,6 +215,8 @@ def decode(data: bytes) -> Iterator[Frame]:
             raise ValueError("an unknown block")
         left, top, w, h, how = struct.unpack("<HHHHB", data[at + 1 : at + 10])
         at += 10
+        if w * h > max_pixels:
+            raise ValueError("an image of too many pixels")
         colours = shared
         if how & 0x80:
             size = 3 << ((how & 7) + 1)
@@ -209,7 +233,7 @@ def decode(data: bytes) -> Iterator[Frame]:
         samples = samples.reshape(h, w)
         if how & 0x40:
             samples = _deinterlaced(samples)
-        before = canvas.copy() if disposal == 3 else None
+        before = canvas.copy() if disposal == RESTORE_FRAME else None
         region = canvas[top : top + h, left : left + w]
         drawn = samples[: region.shape[0], : region.shape[1]]
         if through >= 0:
@@ -218,7 +242,7 @@ def decode(data: bytes) -> Iterator[Frame]:
         else:
             region[:] = colours[drawn]
         yield Frame(delay, (left, top, w, h), samples, canvas)
-        if disposal == 2:
+        if disposal == CLEAR_FRAME:
             region[:] = 0
         elif before is not None:
             canvas = before
@@ -237,7 +261,7 @@ FRAMES = "id long, frame int, delay_cs int, width int, height int, rgba binary,
 _FRAMES = pa.schema([("id", pa.int64()), ("frame", pa.int32()), ("delay_cs", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("rgba", pa.binary()), ("histogram", pa.list_(pa.int32())), ("error", pa.string())])
 
 
-def gif_frames(files: DataFrame, key: str = "id", content: str = "content") -> DataFrame:
+def gif_frames(files: DataFrame, key: str = "id", content: str = "content", max_pixels: int = MAX_PIXELS) -> DataFrame:
     """One row a frame: its time, canvas pixels and colour histogram; a bad file is one row with ``error``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +269,7 @@ def gif_frames(files: DataFrame, key: str = "id", content: str = "content") -> D
             for ident, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 k = -1
                 try:
-                    for k, f in enumerate(decode(data or b"")):
+                    for k, f in enumerate(decode(data or b"", max_pixels)):
                         h, w = f.pixels.shape
                         row = {"id": ident, "frame": k, "delay_cs": f.delay, "width": w, "height": h, "rgba": f.pixels.tobytes(), "histogram": histogram(f.pixels).tolist(), "error": None}
                         yield pa.RecordBatch.from_pylist([row], schema=_FRAMES)
@@ -268,30 +292,47 @@ def read_back(media: bytes) -> tuple[bytes, list[int], np.ndarray]:
     return b"".join(parts), delays, total
 
 
-STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, duration_cs int, histogram array<long>"
-_STORED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_frames", pa.int32()), ("duration_cs", pa.int32()), ("histogram", pa.list_(pa.int64()))])
-
-
-def store_text(text: str | None) -> tuple[bytes, int]:
-    """The stored form of a text, and its bytes without padding."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    return encode(raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))), len(raw)
+def store_text(raw: bytes) -> bytes:
+    """The stored form of a text's bytes."""
+    return encode(raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw)))
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in K.chunks(batches):
+        raw, offs = K.text_bytes(batch.column(1))
+        media = [store_text(raw[a:b].tobytes()) for a, b in zip(offs[:-1], offs[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offs)), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+
+def store_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and media: every whole text as a GIF."""
+    return docs.select("doc_id", "text").mapInArrow(_store, "doc_id long, n_bytes long, media binary")
+
+
+# Fixed columns of the query's result.
+DESCRIBED = (
+    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
+    "media_sha256 string, feature string, n_frames int, duration_cs int, histogram array<long>"
+)
+
+
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in DESCRIBED.split(", ")]
+    kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+    for batch in K.chunks(batches, "media"):
         rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            media, n = store_text(text)
+        for doc_id, n, media in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media"))):
             payload, delays, hist = read_back(media)
-            used = np.flatnonzero(hist)
-            feature = f"frames={len(delays)};cs={sum(delays)};" + ",".join(f"{i}:{hist[i]}" for i in used)
-            rows.append(
-                (doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(delays), sum(delays), hist)
-            )
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), _STORED.types)], schema=_STORED)
+            feature = f"frames={len(delays)};cs={sum(delays)};" + ",".join(f"{i}:{hist[i]}" for i in np.flatnonzero(hist))
+            sums = [hashlib.sha256(x).hexdigest() for x in (payload, media)]
+            rows.append((doc_id, n, len(payload), sums[0], zlib.crc32(payload[-64:]), len(media), sums[1], feature, len(delays), sum(delays), hist))
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=names)
 
 
-def store_texts(docs: DataFrame) -> DataFrame:
-    """Stores every whole text as a GIF, reads it back and describes it."""
-    return docs.select("doc_id", "text").mapInArrow(_store, STORED)
+def describe(stored: DataFrame) -> DataFrame:
+    """What the stored bytes hold when read back: sizes, digests, frame times and the colour histogram."""
+    return stored.mapInArrow(_describe, DESCRIBED)
+
+
+def op3_query(docs: DataFrame) -> DataFrame:
+    return describe(store_texts(docs))

@@ -6,7 +6,7 @@ from .common import table
 from .ctw import op8_query
 from .decontam import ORACLE_SQL as DECONTAMINATION_SQL
 from .decontam import contaminated
-from .gif import store_texts
+from .gif import op3_query
 from .html import extract_main_text
 from .langid import op2_query
 from .mixing import mix
@@ -19,7 +19,7 @@ from .toxicity import op4_query
 QUERIES = {
     "op1_pii": lambda spark, d: op1_query(table(spark, d, "documents")),
     "op2_langid": lambda spark, d: op2_query(table(spark, d, "documents")),
-    "op3_gif": lambda spark, d: store_texts(table(spark, d, "documents")),
+    "op3_gif": lambda spark, d: op3_query(table(spark, d, "documents")),
     "op4_toxicity": lambda spark, d: op4_query(table(spark, d, "documents"), table(spark, d, "labels")),
     "op5_superminhash": lambda spark, d: near_duplicates(table(spark, d, "documents")),
     "op6_toolcalls": lambda spark, d: op6_query(spark, table(spark, d, "conversations")),

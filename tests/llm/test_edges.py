@@ -1,11 +1,12 @@
 """Hostile but legal input: repeated ids with different texts, clashing names, extreme values."""
 
+import struct
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from fieldloom.llm import pii
+from fieldloom.llm import decontam, gif, pii
 from fieldloom.llm import kernels as K
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -66,3 +67,83 @@ def test_terms_far_from_an_entity_are_found_and_masked_everywhere(spark, monkeyp
 def test_bytes_that_are_not_utf8_do_not_stop_a_task(spark):
     d = spark.sql("SELECT 1L AS doc_id, CAST(X'61FF40622E63' AS STRING) AS text")
     assert pii.op1_query(d).collect()[0]["n_email"] in (0, 1) and K.fresh_names(["Row"], "row", "row") == ["_row", "__row"]
+
+
+# ---- op3 ----
+
+
+def plain_lzw(data, min_size):
+    """A decoder by the book, bit by bit."""
+    bits = "".join(f"{b:08b}"[::-1] for b in data)
+    clear, at, width, table, last, out = 1 << min_size, 0, min_size + 1, {}, None, b""
+    while at + width <= len(bits):
+        code, at = int(bits[at : at + width][::-1], 2), at + width
+        if code == clear + 1:
+            break
+        if code == clear:
+            table, width, last = {i: bytes([i]) for i in range(clear)}, min_size + 1, None
+            continue
+        s = table[code] if code in table else last + last[:1]
+        if last is not None and len(table) + 2 < 4096:
+            table[len(table) + 2] = last + s[:1]
+            if len(table) + 2 == 1 << width and width < 12:
+                width += 1
+        out, last = out + s, s
+    return out
+
+
+def test_stored_streams_decode_by_the_book():
+    rng = np.random.default_rng(5)
+    for n, k in ((1, 3), (3000, 4), (40_000, 26), (9000, 256)):
+        s = rng.integers(0, k, n).astype(np.uint8).tobytes()
+        assert plain_lzw(gif.lzw_encode(s), 8) == s and gif.lzw_decode(gif.lzw_encode(s), 8, n).tobytes() == s
+    text = (" ".join(rng.choice(["the", "and", "of", "moist"], 20_000))).encode()
+    assert len(gif.store_text(text)) < len(text) / 2 and gif.read_back(gif.store_text(text))[0].rstrip(b"\0") == text
+    for raw in (b"\0\xff\0", b"a\0b", b""):  # a byte 255 leaves no index for transparency
+        assert gif.read_back(gif.store_text(raw))[0][: max(len(raw), 1)] == (raw or b"\0")
+
+
+def test_hostile_gifs_give_an_error_row(spark):
+    head = lambda w, h: b"GIF89a" + struct.pack("<HHBBB", w, h, 0x80, 0, 0) + bytes(6)
+    image = lambda w, h, size, data: b"\x2c" + struct.pack("<HHHHB", 0, 0, w, h, 0) + bytes([size, len(data)]) + data + b"\0"
+    bad = [head(65535, 65535) + image(1, 1, 2, b"\x44\x01"), head(2, 2) + image(65535, 65535, 2, b"\x44"), head(2, 2) + image(2, 2, 40, b"\x44"), head(2, 2) + image(2, 2, 0, b"\x44"),
+           head(2, 2) + image(2, 2, 2, b"\xfc\xff"), head(2, 2) + b"\x2c\0", head(2, 2), b"GIF89a", head(2, 2) + b"\x21\xf9\xff", head(2, 2)[:-3]]
+    good = head(2, 2) + image(2, 2, 2, b"\x04\x00\x50") + b"\x3b"
+    files = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate([*bad, good])], "id long, content binary")
+    rows = gif.gif_frames(files).collect()
+    assert {r["id"] for r in rows if r["error"]} == set(range(len(bad))) and [r["error"] for r in rows if r["id"] == len(bad)] == [None]
+
+
+# ---- op9 ----
+
+
+def test_fingerprints_within_the_radius_are_all_found(spark):
+    masks = decontam.block_masks()
+    assert len(masks) == decontam.RADIUS + 1 and sum(masks) == (1 << 63) - 1
+    rng = np.random.default_rng(9)
+    base = [int(x) for x in rng.integers(0, 1 << 62, 40)]
+    near = [(i, b ^ int(sum(1 << int(j) for j in rng.choice(63, k, replace=False))), k) for i, b in enumerate(base) for k in (0, 1, 20, 27, 28, 29, 40)]
+    windows = spark.createDataFrame(near, "item_id long, fp long, k int")
+    items = spark.createDataFrame(list(enumerate(base)), "item_id long, fp long")
+    got = Counter((r["item_id"], r["k"]) for r in decontam.within_radius(windows, items).collect())
+    assert got == Counter({(i, k): 1 for i in range(40) for k in (0, 1, 20, 27, 28)})
+
+
+def test_fingerprint_is_the_majority_of_bits(spark):
+    rng = np.random.default_rng(10)
+    sets = [[int(x) for x in rng.integers(-(1 << 62), 1 << 62, n)] for n in (1, 2, 5, 46, 200)]
+    got = [r["fp"] for r in spark.createDataFrame([(x,) for x in sets], "s array<long>").select(decontam.fingerprint("s").alias("fp")).collect()]
+    # Bit j + 21 * lane of the hashes is bit number 62 - (21 * lane + j) of the fingerprint.
+    want = [sum((2 * sum(x >> j & 1 for x in s) > len(s)) << (62 - j) for j in range(63)) for s in sets]
+    assert got == want
+
+
+def test_leaks_in_rows_with_one_id_and_halves_swapped(spark):
+    item = [f"i{j}" for j in range(40)]
+    swapped = " ".join(item[20:] + item[:20])
+    rows = [(1, "nothing here at all to see"), (1, f"before {swapped} after"), (2, " ".join(item)), (None, " ".join(item)), (3, None), (4, ""), (5, " ".join(f"z{j}" for j in range(90_000)) + " " + " ".join(item)), (2, " ".join(item))]
+    items = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(item)), (9, ""), (10, None)], "item_id long, text string").selectExpr("*", "'x' as h", "1 as n")
+    got = {(r["doc_id"], r["item_id"]): (r["start_word"], r["similarity"]) for r in decontam.contaminated(frame(spark, rows), items).collect()}
+    assert {i for i, _ in got} == {1, 2, 5, None} and got[1, 7] == (1, 0.8) and got[5, 8] == (90_000, 1.0) and len(got) == 8
+    kept = decontam.decontaminate(frame(spark, rows), items)
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "4", "None"]
