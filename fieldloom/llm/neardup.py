@@ -16,10 +16,15 @@
 
 No bucket, group or partner count is capped, and no link or component meets the driver.
 
-Edge cases: a null, empty or blank text has an empty set and is its own component; rows that
-share a doc_id are one document; a null doc_id links others but is itself never a
-representative (its component is the smallest id of its group, null if there is none); an
-empty table gives an empty result; other columns are ignored.
+A class of equal sets is a node with a number of its own; ids only name the result. So rows that
+share a doc_id but not the text are documents of their own.
+
+Edge cases: a null, empty or blank text has an empty set and is its own component; a component is
+named by the smallest doc_id of its rows (null if none has one); a null doc_id links others like
+any row; equal rows are copies of each other, and ``drop_near_duplicates`` keeps exactly one row of a
+component (the smallest doc_id, nulls last; then by a hash of the text) and every row with an empty
+set; an empty table gives an empty result; other columns, whatever their names, are ignored by
+``near_duplicates`` and kept by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -36,9 +41,12 @@ from .common import checkpointed
 
 SIZE, ROWS, BANDS = 128, 4, 32
 SHINGLE, SIMILARITY = 5, 75
-BLOCK = 1000
-#: Ids that may be broadcast, 16 MB; beyond that the join shuffles.
-BROADCAST_IDS = 2_000_000
+#: A block compares at most about so many sets, of so many shingles in all, with as many others.
+BLOCK, BLOCK_SHINGLES = 1000, 400_000
+#: Keys (24 bytes) that may be broadcast; beyond that the join shuffles.
+BROADCAST_KEYS = 1_000_000
+#: Two hashes of a text stand for it.
+TEXT = ["t1", "t2"]
 
 
 def _draw(values: np.ndarray, j: int, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +105,7 @@ def _shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in K.chunks(batches):
         n = batch.num_rows
-        value, row = _shingle_sets(batch.column(1))
+        value, row = _shingle_sets(batch.column("text"))
         size = np.bincount(row, minlength=n)
         keys = []
         for salt in (1, 2):  # sums of hashed elements: the same for equal sets, in any order
@@ -108,15 +116,15 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = bands(superminhash(value, row, n)).view(np.int64)[full]
         offs = pa.array(np.concatenate(([0], np.cumsum(full * BANDS))).astype(np.int32))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(size), pa.array(keys[0]), pa.array(keys[1]), pa.ListArray.from_arrays(offs, pa.array(key.ravel()))],
-            names=["doc_id", "n_shingles", "k1", "k2", "bands"],
+            [*map(batch.column, ("doc_id", *TEXT)), pa.array(size), pa.array(keys[0]), pa.array(keys[1]), pa.ListArray.from_arrays(offs, pa.array(key.ravel()))],
+            names=["doc_id", *TEXT, "n_shingles", "k1", "k2", "bands"],
         )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in K.chunks(batches):
-        value, row = _shingle_sets(batch.column(1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), K.list_array(value.view(np.int64), row, batch.num_rows, pa.int64())], names=["id", "items"])
+        value, row = _shingle_sets(batch.column("text"))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), K.list_array(value.view(np.int64), row, batch.num_rows, pa.int64())], names=["id", "items"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -171,65 +179,106 @@ def _compare(key, rows):
     return links.drop_duplicates()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row a row of ``docs``."""
-    sig = checkpointed(docs.select("doc_id", "text").mapInArrow(_signatures, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"))
-    full = sig.filter("n_shingles > 0")
-    classes = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"))
-    classes = checkpointed(classes)
-    nodes = full.select(F.col("doc_id").alias("id"), "k1", "k2", "bands").join(classes, ["id", "k1", "k2"])
-    buckets = nodes.select("id", "n", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter(F.col("first") < F.col("last"))
-    crowded = checkpointed(buckets.join(shared.select("bucket", "first"), "bucket").select("bucket", "id", "n", "first"))
-    members = checkpointed(crowded.select("id").distinct())
-    few = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
-    sets = checkpointed(docs.select(F.col("doc_id").alias("id"), "text").join(few, "id", "left_semi").mapInArrow(_sets, "id long, items array<long>").dropDuplicates(["id"]))
+def _text_hashes() -> list:
+    return [F.xxhash64(F.lit(i), "text").alias(c) for i, c in enumerate(TEXT)]
+
 
-    # Each member against the smallest id of its buckets.
+def _small(df: DataFrame) -> DataFrame:
+    """A counted table: broadcast if small, else joined by shuffle."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+
+def _star_links(crowded: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between each member and the first one of its buckets."""
     sizes = crowded.select(F.col("id").alias("first"), F.col("n").alias("n_first")).distinct()
-    pairs = crowded.filter("id > first").select("first", "id", "n").distinct().join(sizes, "first").filter(
-        (100 * F.col("n") >= SIMILARITY * F.col("n_first")) & (100 * F.col("n_first") >= SIMILARITY * F.col("n"))
-    )
-    with_sets = pairs.join(sets, "id").withColumnRenamed("items", "x").join(sets.select(F.col("id").alias("first"), F.col("items").alias("y")), "first")
+    pairs = crowded.filter("id > first").select("first", "id", "n").distinct().join(sizes, "first")
+    alike = (100 * F.col("n") >= SIMILARITY * F.col("n_first")) & (100 * F.col("n_first") >= SIMILARITY * F.col("n"))
+    x, y = sets.withColumnRenamed("items", "x"), sets.select(F.col("id").alias("first"), F.col("items").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
-    links = checkpointed(with_sets.filter(_linked("n", "n_first", common)).select(F.col("first").alias("a"), F.col("id").alias("b")))
-    found = components(links)
+    return pairs.filter(alike).join(x, "id").join(y, "first").filter(_linked("n", "n_first", common)).select(F.col("first").alias("a"), F.col("id").alias("b"))
+
 
-    # Buckets that still span several components. One of two members is settled already, and
-    # buckets with the same members need one look.
-    placed = crowded.select("bucket", "id").join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+def _block_links(crowded: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the components that buckets still span. One of two members is settled, and
+    buckets with the same members need one look."""
+    placed = checkpointed(crowded.join(found, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component")))
+    who = F.sum(F.xxhash64("id").cast("decimal(20,0)"))
     spread = (
         placed.groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who"))
+        .agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"), who.alias("who"))
         .filter((F.col("lo") < F.col("hi")) & (F.col("m") > 2))
         .groupBy("m", "who").agg(F.min("bucket").alias("bucket"))
     )
-    inside = checkpointed(placed.join(spread.select("bucket", "m"), "bucket"))
-    main = inside.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("_all"), F.max("c").alias("_most"))
-    inside = inside.join(main, "bucket").join(sets, "id")
-    blocks = lambda count: F.greatest(F.lit(1), F.ceil(count / F.lit(float(BLOCK)))).cast("int")
-    across, down = blocks(F.col("_all")), blocks(F.col("_all") - F.col("_most"))
+    inside = checkpointed(placed.join(checkpointed(spread.select("bucket")), "bucket"))
+    parts = inside.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+    main = parts.groupBy("bucket").agg(
+        F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("_all"), F.max("c").alias("_most"), F.sum("w").alias("_work"), F.max_by("w", F.struct("c", "component")).alias("_main_work")
+    )
+    inside = inside.join(checkpointed(main), "bucket").join(sets, "id")
+    blocks = lambda count, work: F.greatest(F.lit(1), F.ceil(count / F.lit(float(BLOCK))), F.ceil(work / F.lit(float(BLOCK_SHINGLES)))).cast("int")
+    across, down = blocks(F.col("_all"), F.col("_work")), blocks(F.col("_all") - F.col("_most"), F.col("_work") - F.col("_main_work"))
     one = lambda n: F.array(F.pmod(F.xxhash64("id"), n).cast("int"))
     every = lambda n: F.sequence(F.lit(0), n - 1)
     asks = inside.filter("component != main").select("bucket", "id", "component", "items", F.lit(0).alias("role"), one(down).alias("r"), every(across).alias("c"))
     answers = inside.select("bucket", "id", "component", "items", F.lit(1).alias("role"), every(down).alias("r"), one(across).alias("c"))
     dealt = asks.union(answers).withColumn("r", F.explode("r")).withColumn("c", F.explode("c"))
-    more = dealt.groupBy("bucket", "r", "c").applyInPandas(_compare, "a long, b long").distinct()
-    joined = components(more).select(F.col("id").alias("component"), F.col("component").alias("final"))
+    return dealt.groupBy("bucket", "r", "c").applyInPandas(_compare, "a long, b long").distinct()
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """One row a row of ``docs``: doc_id, t1, t2, n_shingles, component_id and the key ``first`` of the row that stands for its component."""
+    texts = docs.select("doc_id", *_text_hashes(), "text")
+    sig = checkpointed(texts.mapInArrow(_signatures, "doc_id long, t1 long, t2 long, n_shingles long, k1 long, k2 long, bands array<long>"))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *TEXT)
+    classes = sig.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min(key).alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = checkpointed(classes.withColumn("id", F.monotonically_increasing_id()))
+    buckets = classes.select("id", "n", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter(F.col("first") < F.col("last"))
+    # Cut here, the join below meets two plain shuffles, and adaptive execution splits a crowded bucket.
+    crowded = checkpointed(buckets.join(checkpointed(shared.select("bucket", "first")), "bucket").select("bucket", "id", "n", "first"))
+    members = crowded.select("id").distinct().join(classes.select("id", "first.t1", "first.t2"), "id").select(F.col("id").alias("node"), *TEXT)
+    sets = texts.join(_small(members), TEXT).select("node", "text").mapInArrow(_sets, "id long, items array<long>")
+    sets = checkpointed(sets.dropDuplicates(["id"]))
+    found = components(checkpointed(_star_links(crowded, sets)))
+    joined = components(_block_links(crowded, found, sets)).select(F.col("id").alias("component"), F.col("component").alias("final"))
     found = found.join(joined, "component", "left").select("id", F.coalesce("final", "component").alias("component")).union(
         joined.join(found, joined["component"] == found["id"], "left_anti").select(F.col("component").alias("id"), F.col("final").alias("component"))
     )
-    by_class = classes.join(found, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component_id"))
-    out = sig.join(by_class, ["k1", "k2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    named = checkpointed(classes.join(found, "id", "left").select("k1", "k2", "first", F.coalesce("component", "id").alias("component")))
+    names = named.groupBy("component").agg(F.min("first").alias("first"))
+    by_class = named.select("k1", "k2", "component").join(names, "component").drop("component")
+    out = sig.drop("bands").join(by_class, ["k1", "k2"], "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", *TEXT, "n_shingles", component.alias("component_id"), "first")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row a row of ``docs``."""
+    return _placed(docs).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their group, with all columns; rows without a doc_id stay."""
-    gone = checkpointed(near_duplicates(docs).filter("not kept").select("doc_id").distinct())
-    few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(few, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that stand for their component, and those without words; all columns stay."""
+    placed = _placed(docs).filter("n_shingles > 0")
+    key = ["doc_id", *TEXT]
+    stands = F.lit(True)
+    for c in key:
+        stands = stands & F.col(c).eqNullSafe(F.col(f"first.{c}"))
+    rows = checkpointed(placed.groupBy(*key).agg(F.first(stands).alias("stands"), F.count(F.lit(1)).alias("times")))
+    own = K.fresh_names(docs.columns, *TEXT)
+    hashed = docs.select("*", *[c.alias(n) for c, n in zip(_text_hashes(), own)])
+
+    def meets(other: DataFrame, how: str) -> DataFrame:
+        other = _small(other.select(*[F.col(c).alias(f"_other_{i}") for i, c in enumerate(key)]))
+        same = F.lit(True)
+        for i, c in enumerate(["doc_id", *own]):
+            same = same & hashed[c].eqNullSafe(other[f"_other_{i}"])
+        return hashed.join(other, same, how)
+
+    once = meets(rows.filter("not stands or times > 1"), "left_anti")
+    repeated = meets(rows.filter("stands and times > 1"), "left_semi").dropDuplicates(["doc_id", *own])
+    return once.union(repeated).select(*docs.columns)
 
 
 #: The same components from all shared shingles, without signatures.

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from fieldloom.llm import decontam, gif, pii
+from fieldloom.llm import decontam, gif, neardup, pii
 from fieldloom.llm import kernels as K
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -147,3 +147,25 @@ def test_leaks_in_rows_with_one_id_and_halves_swapped(spark):
     assert {i for i, _ in got} == {1, 2, 5, None} and got[1, 7] == (1, 0.8) and got[5, 8] == (90_000, 1.0) and len(got) == 8
     kept = decontam.decontaminate(frame(spark, rows), items)
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "4", "None"]
+
+
+# ---- op5 ----
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_one_row_of_a_component_stays_whatever_its_ids(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(neardup, "BROADCAST_KEYS", -1)
+    x = " ".join(f"x{j}" for j in range(40))
+    near = x.replace("x39", "other")
+    own, alone = " ".join(f"y{j}" for j in range(30)), " ".join(f"n{j}" for j in range(30))
+    rows = [(1, x), (1, x), (5, x), (5, own), (5, x.upper()), (None, near), (None, alone), (None, alone), (1, near), (8, None), (8, ""), (None, " ")]
+    got = neardup.near_duplicates(frame(spark, rows)).collect()
+    by_text = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got)
+    assert by_text == Counter({(1, 36, 1, True): 3, (5, 36, 1, False): 2, (5, 26, 5, True): 1, (None, 36, 1, False): 1, (None, 26, None, True): 2, (8, 0, 8, True): 2, (None, 0, None, True): 1})
+    d = frame(spark, rows)
+    kept = neardup.drop_near_duplicates(d)
+    texts = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert kept.columns == d.columns and sum(n for (i, t), n in texts.items() if t in (x, near)) == 1
+    assert texts[5, own] == 1 and texts[None, alone] == 1 and texts[5, x] == texts[None, near] == 0 and texts[8, None] == texts[8, ""] == texts[None, " "] == 1
+    assert neardup.drop_near_duplicates(frame(spark, [])).count() == 0

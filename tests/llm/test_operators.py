@@ -222,12 +222,12 @@ def test_near_duplicates_equal_brute_force(spark, odd):
     rows += [(100 + i, " ".join(passage + [f"q{rng.integers(0, 10**6)}" for _ in range(25)])) for i in range(60)]
     rows += [(200, rows[5][1].upper()), (201, "a b"), (202, "A  b"), (203, ""), (204, None), (205, "a b c d e"), (206, "a b c d e")]
     d = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOC)
-    old = neardup.BLOCK
-    neardup.BLOCK = 20  # several blocks
+    old = neardup.BLOCK, neardup.BLOCK_SHINGLES
+    neardup.BLOCK, neardup.BLOCK_SHINGLES = 20, 1200  # several blocks
     try:
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(d).collect()}
     finally:
-        neardup.BLOCK = old
+        neardup.BLOCK, neardup.BLOCK_SHINGLES = old
     assert got == plain_components(rows)
     kept = neardup.drop_near_duplicates(d)
     assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {i for i, (_, c) in got.items() if i == c}
