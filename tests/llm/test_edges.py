@@ -1,12 +1,13 @@
 """Hostile but legal input: repeated ids with different texts, clashing names, extreme values."""
 
+import json
 import struct
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from fieldloom.llm import decontam, gif, neardup, pii
+from fieldloom.llm import decontam, gif, neardup, pii, toolcalls
 from fieldloom.llm import kernels as K
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -169,3 +170,48 @@ def test_one_row_of_a_component_stays_whatever_its_ids(spark, monkeypatch, broad
     assert kept.columns == d.columns and sum(n for (i, t), n in texts.items() if t in (x, near)) == 1
     assert texts[5, own] == 1 and texts[None, alone] == 1 and texts[5, x] == texts[None, near] == 0 and texts[8, None] == texts[8, ""] == texts[None, " "] == 1
     assert neardup.drop_near_duplicates(frame(spark, [])).count() == 0
+
+
+# ---- op6 ----
+
+MESSAGES = "conv_id long, turn long, role string, call_id string, name string, arguments string, depends_on array<string>, content string"
+
+
+def test_hostile_arguments_are_invalid_not_fatal(spark):
+    schema = json.dumps({"type": "object", "properties": {"n": {"type": "integer", "minimum": 0}}})
+    bad = {
+        "a": '{"n": 1e999}', "b": '{"n": NaN}', "c": '{"n": -Infinity}', "d": "[" * 3000 + "]" * 3000, "e": "[" * 100_000, "f": "9" * 5000, "g": "", "h": None, "i": '{"n": -1.0}', "j": "[" * 300 + "]" * 300,
+    }
+    good = {"k": '{"n": 2.0, "s": "\\ud800"}', "l": '{"n": 12345678901234567890, "t": "' + "x" * 3_000_000 + '"}', "m": '{"n": 1e3}'}
+    rows = [(1, i, "call", c, "t", a, None, None) for i, (c, a) in enumerate([*bad.items(), *good.items()])]
+    rows += [(1, None, "call", "n", "odd", "{}", ["k", None, "k"], None), (1, 99, "call", "o", "text", "{}", None, None), (1, 5, "result", "k", None, None, None, None)]
+    schemas = spark.createDataFrame([("t", schema), ("t", "~"), ("odd", '{"properties": 3}'), ("text", "not json"), (None, None)], "name string, schema string")
+    got = {r["call_id"]: r for r in toolcalls.link_tool_calls(spark.createDataFrame(rows, MESSAGES).selectExpr("*", "1 as level", "2 as answered"), schemas).collect()}
+    assert [c for c in got if got[c]["valid"]] == sorted(good, key=list(got).index) and len(got) == 15
+    assert {c: got[c]["problems"][0] for c in "abdef"} == {"a": "$: number out of range", "b": "$: not JSON", "d": "$: nested too deep", "e": "$: nested too deep", "f": "$: not JSON"}
+    assert got["n"]["problems"] == ["$: bad schema"] and got["n"]["level"] == 1 and got["o"]["problems"] == ["$: unknown tool"]
+    assert json.loads(got["k"]["message"])["result"] == {"content": None, "turn": 5} and '"n":2' in got["k"]["message"] and '"n":1000' in got["m"]["message"]
+
+
+@pytest.mark.parametrize("calls", [4096, 6])
+def test_long_chains_need_few_rounds(spark, monkeypatch, calls):
+    monkeypatch.setattr(toolcalls, "BLOCK_CALLS", calls)
+    rng = np.random.default_rng(2)
+    n = 2500 if calls == 4096 else 10
+    needs = [[f"c{i - 1}"] * (i > 0) + [f"c{int(j)}" for j in rng.integers(0, max(i, 1), 2) if j < i] for i in range(n)]
+    rows = [(1, i, "call", f"c{i}", "t", "{}", needs[i], None) for i in range(n)] + [(1, n, "call", "x", "t", "{}", ["y"], None), (1, n + 1, "call", "y", "t", "{}", ["x", "c5"], None), (1, n + 2, "call", "z", "t", "{}", ["z"], None)]
+    rounds, plain = [], toolcalls.checkpointed
+    monkeypatch.setattr(toolcalls, "checkpointed", lambda df: rounds.append(1) or plain(df))
+    calls_ = spark.createDataFrame(rows, MESSAGES)
+    got = {r["call_id"]: r["level"] for r in toolcalls._levels(calls_).collect()}
+    assert got == {f"c{i}": i for i in range(n)} and (len(rounds) <= 5 or calls == 6)
+
+
+def test_calls_are_read_by_the_identifiers_in_turns(spark):
+    rows = [
+        (1, 0, "user", "find it"), (1, 1, "assistant", '{"tool_calls": [{"id": "q1", "name": "search", "arguments": {"query": "x", "limit": 3}}, {"id": "q2", "name": "search", "arguments": "{\\"limit\\": 0}", "depends_on": ["q1"]}]}'),
+        (1, 2, "tool", '{"tool_call_id": "q2", "content": "second"}'), (1, 3, "tool", ' {"tool_call_id": "q1", "content": "first"}'), (1, 4, "assistant", "{broken"), (2, 0, "assistant", None), (None, 1, "assistant", "prose"),
+    ]
+    got = {(r["conv_id"], r["call_id"]): r for r in toolcalls.op6_query(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, "q1"]["result_turn"] == 3 and got[1, "q1"]["valid"] and (got[1, "q2"]["result_turn"], got[1, "q2"]["level"]) == (2, 1)
+    assert got[1, "q2"]["problems"] == "$.query: missing; $.limit: below minimum" and set(got) == {(1, "q1"), (1, "q2"), (2, "call_0"), (None, "call_1")}
