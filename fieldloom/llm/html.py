@@ -1,23 +1,30 @@
 """Main text of web pages by tree scoring.
 
 Paragraph-like blocks earn points for their length and commas. Points pass to the parent in
-full, to the grandparent by half and onwards by a third and so on, so the container of the article collects
-those of all its paragraphs; they are discounted by link density (the share of text inside
-links). The best container is kept together with siblings that score well or read like prose.
-Furniture never takes part: navigation, headers and footers of the page, asides, forms,
-scripts, styles, and elements whose class, id or role names a menu, notice, advert or comment list.
+full, to the grandparent by half and onwards by a third and so on over ``LEVELS`` ancestors, so the
+container of the article collects those of all its paragraphs; they are discounted by link density
+(the share of text inside links). The best container is kept together with siblings that score well
+or read like prose, and with prose of any length between or next to them.
+
+Furniture never takes part: navigation, headers and footers of the page, asides, forms, scripts,
+styles, hidden elements, and elements that a word of their class, id or role names a menu, advert,
+comment list and so on. A word counts as a whole or as a part of a compound (``site-footer``), but not
+after a modifier (``no-sidebar``). Names that articles bear too (``legal``, ``related``) only count where
+no other word names content and the element holds at most half of the page's text.
 
 Edge cases: a null or empty page gives an empty text; a page without paragraphs falls back to
 its body's blocks; unclosed and stray tags are tolerated; repeated pages are rows of their own;
-a null page_id or url is kept; other columns are ignored. Nesting is walked without recursion,
-so depth is bounded by memory only.
+a null page_id or url is kept; other columns are ignored. Nesting is walked without recursion
+and each block touches at most ``LEVELS`` ancestors, so deep and long pages take linear time.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,46 +38,57 @@ FURNITURE = frozenset("nav header footer aside form script style noscript templa
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
 PROSE = frozenset("p pre blockquote td li dd dt h1 h2 h3 h4 h5 h6 figcaption".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure details".split())
-# Words in class, id or role that name furniture.
-UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|sidebar|side-bar|nav|navbar|navigation|menu|breadcrumbs?|"
-    r"footer|masthead|site-header|page-header|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|"
-    r"signup|login|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|skip-link|complementary|contentinfo|search|disclaimer|legal)(?:$|[\s_-])",
-    re.I,
+# Words in class, id or role that name furniture, reader comments, furniture or an article, and content.
+STRONG = frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs "
+    "footer masthead cookie cookies consent gdpr popup modal newsletter subscribe signup login toolbar pagination pager complementary contentinfo "
+    "site-header page-header side-bar skip-link".split()
 )
-WANTED = re.compile(r"(?:^|[\s_-])(?:article|content|main|entry|post|story|body|text)(?:$|[\s_-])", re.I)
+COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+WEAK = frozenset("notice alert share sharing social related recommended widget search disclaimer legal".split())
+CONTENT = frozenset("article content main entry post story body text".split())
+MODIFIERS = frozenset("no has with without not is hide".split())
+LEVELS = 6
 TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S
 )
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "skip", "score", "text", "links", "wanted", "blocks")
+    __slots__ = ("tag", "parent", "skip", "name", "score", "text", "links", "off", "kept")
+
+    def __init__(self, tag: str, parent: Node | None, skip: bool, name: str):
+        self.tag, self.parent, self.skip, self.name = tag, parent, skip, name
+        self.score, self.text, self.links, self.off, self.kept = 0.0, 0, 0, skip, False
+
 
-    def __init__(self, tag: str, parent: Node | None, skip: bool, wanted: bool):
-        self.tag, self.parent, self.skip, self.wanted = tag, parent, skip, wanted
-        self.score, self.text, self.links, self.blocks = 0.0, 0, 0, False
+@lru_cache(maxsize=4096)
+def named(names: str) -> str:
+    """What an element's class, id and role say: ``drop``, ``weak`` (furniture or an article), ``content`` or nothing."""
+    said = set()
+    for word in names.lower().split():
+        parts = [p for p in re.split(r"[-_:]+", word) if p]
+        whole = [p for i, p in enumerate(parts) if i == 0 or parts[i - 1] not in MODIFIERS]
+        for p in whole if len(whole) < len(parts) else [word, *whole]:
+            said |= {kind for kind, known in (("drop", STRONG), ("drop", COMMENTS), ("weak", WEAK), ("content", CONTENT)) if p in known}
+    return next((kind for kind in ("drop", "content", "weak") if kind in said), "")
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
     """All elements in page order, and the text blocks with the block element that holds each."""
-    root = Node("#root", None, False, False)
-    nodes, stack, blocks, pieces = [root], [root], [], []
+    root = Node("#root", None, False, "")
+    nodes, stack, holders, blocks, pieces = [root], [root], [root], [], []
+    open_tags: Counter[str] = Counter()
     links = 0
     in_link = 0
 
-    def holder() -> Node:
-        for node in reversed(stack):
-            if node.tag not in INLINE:
-                return node
-        return root
-
     def flush() -> None:
         nonlocal links
         text = " ".join("".join(pieces).split())
         if text:
-            blocks.append((holder(), text, min(links, len(text))))
+            blocks.append((holders[-1], text, min(links, len(text))))
         pieces.clear()
         links = 0
 
@@ -78,7 +96,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
         nonlocal in_link
         if any(n.tag not in INLINE for n in stack[to:]):
             flush()
-        in_link -= sum(n.tag == "a" for n in stack[to:])
+        for n in stack[to:]:
+            open_tags[n.tag] -= 1
+            in_link -= n.tag == "a"
+            if n.tag not in INLINE:
+                holders.pop()
         del stack[to:]
 
     at, end = 0, len(page)
@@ -97,7 +119,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
         if not tag:
             continue
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if open_tags[tag] > 0 else ():
                 if stack[i].tag == tag:
                     close(i)
                     break
@@ -121,9 +143,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
             continue
         parent = stack[-1]
         names = " ".join(v for a in ATTRIBUTE.finditer(attributes or "") if a.group(1).lower() in ("class", "id", "role") for v in a.groups()[1:] if v)
-        unwanted = bool(names) and tag not in ("html", "body", "article", "main") and bool(UNWANTED.search(names))
-        hidden = bool(attributes) and bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", attributes))
-        node = Node(tag, parent, parent.skip or tag in FURNITURE or unwanted or hidden, tag in ("article", "main") or bool(names and WANTED.search(names)))
+        hidden = bool(attributes) and bool(HIDDEN.search(attributes))
+        node = Node(tag, parent, parent.skip or tag in FURNITURE or hidden, "content" if tag in ("article", "main") else named(names) if tag not in ("html", "body") else "")
         nodes.append(node)
         if (attributes or "").rstrip().endswith("/") and tag in ("svg", "path"):
             continue
@@ -132,34 +153,65 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
             at = stop.end() if stop else end
             continue
         stack.append(node)
+        open_tags[tag] += 1
+        if tag not in INLINE:
+            holders.append(node)
         in_link += tag == "a"
     flush()
     return nodes, blocks
 
 
+def _totals(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> None:
+    """Text and link lengths of every element with all that it holds; children stand after their parents."""
+    for node in nodes:
+        node.text = node.links = 0
+    for node, text, links in blocks:
+        node.text += len(text)
+        node.links += links
+    for node in reversed(nodes[1:]):
+        node.parent.text += node.text
+        node.parent.links += node.links
+
+
+def _neighbours(siblings: list[Node], kept: set[int]) -> None:
+    """Adds prose of any length that stands between kept siblings, or next to them in one run."""
+    prose = [n.tag in PROSE or n.tag in ("ul", "ol", "dl", "table", "figure", "hr") for n in siblings]
+    good = [p and n.links <= 0.33 * n.text for p, n in zip(prose, siblings)]
+    at = [i for i, n in enumerate(siblings) if id(n) in kept]
+    lo, hi = at[0], at[-1]
+    while lo > 0 and good[lo - 1]:
+        lo -= 1
+    while hi + 1 < len(siblings) and good[hi + 1]:
+        hi += 1
+    kept.update(id(n) for n, g in zip(siblings[lo : hi + 1], good[lo : hi + 1]) if g)
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, one a line."""
     if not page:
         return ""
     nodes, blocks = parse(page)
+    _totals(nodes, blocks)
+    half = nodes[0].text / 2
+    for node in nodes[1:]:
+        most = node.text > half and node.links < 0.33 * node.text
+        node.off = node.skip or node.parent.off or node.name == "drop" or node.name == "weak" and not most
+    blocks = [b for b in blocks if not b[0].off]
+    _totals(nodes, blocks)
     for node, text, links in blocks:
-        length = len(text)
-        up = node
-        while up is not None:
-            up.text += length
-            up.links += links
-            up = up.parent
         if node.tag in PROSE or node.tag == "div":
-            points = (1 + text.count(",") + min(length / 100, 3)) * (1 - links / length)
-            up, divisor = node.parent, 1
-            while up is not None:
+            points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - links / len(text))
+            up = node.parent
+            for divisor in range(1, LEVELS + 1):
+                if up is None:
+                    break
                 up.score += points / divisor
-                up, divisor = up.parent, divisor + 1
+                up = up.parent
     best, most = None, 0.0
     for node in nodes:
-        if node.skip or not node.text or node.tag in INLINE or node.tag in PROSE:
+        if node.off or not node.text or node.tag in INLINE or node.tag in PROSE:
             continue
-        score = node.score * (1 - node.links / node.text) * (1.5 if node.wanted else 1.0)
+        score = node.score * (1 - node.links / node.text) * (1.5 if node.name == "content" else 1.0)
         if score > most:
             best, most = node, score
     if best is None:
@@ -168,31 +220,27 @@ def main_text(page: str | None) -> str:
     # A container inside the article (a section of it) must not win over the whole article.
     up = best
     while up is not None:
-        if up.tag in ("article", "main") and not up.skip:
+        if up.tag in ("article", "main") and not up.off:
             best = up
         up = up.parent
     kept_siblings = {id(best)}
     if best.parent is not None:
-        for node in nodes:
-            if node.parent is best.parent and node is not best and not node.skip and node.text and node.tag not in ("head",):
-                density = node.links / node.text
-                bonus = node.score * (1 - density) >= max(10.0, 0.2 * most)
-                prose = node.tag == "p" and density < 0.25 and node.text > 80
-                if bonus or prose or node.tag in ("article", "h1"):
-                    kept_siblings.add(id(node))
-    out = []
-    for node, text, _ in blocks:
-        up = node
-        while up is not None and id(up) not in kept_siblings:
-            up = up.parent
-        if up is not None:
-            out.append(text)
-    return "\n".join(out)
+        siblings = [n for n in nodes if n.parent is best.parent and not n.off and n.text]
+        for node in siblings:
+            density = node.links / node.text
+            bonus = node.score * (1 - density) >= max(10.0, 0.2 * most)
+            prose = node.tag == "p" and density < 0.25 and node.text > 80
+            if bonus or prose or node.tag in ("article", "h1"):
+                kept_siblings.add(id(node))
+        _neighbours(siblings, kept_siblings)
+    for node in nodes:
+        node.kept = id(node) in kept_siblings or node.parent is not None and node.parent.kept
+    return "\n".join(text for node, text, _ in blocks if node.kept)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in K.chunks(batches, "html"):
-        texts = [main_text(x) for x in batch.column("html").to_pylist()]
+        texts = [main_text(x) for x in K.strings(batch.column("html"))]
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
             names=["page_id", "url", "text", "n_chars"],

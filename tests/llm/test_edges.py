@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from fieldloom.llm import decontam, gif, neardup, pii, toolcalls
+from fieldloom.llm import decontam, gif, html, neardup, pii, toolcalls
 from fieldloom.llm import kernels as K
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -215,3 +215,74 @@ def test_calls_are_read_by_the_identifiers_in_turns(spark):
     got = {(r["conv_id"], r["call_id"]): r for r in toolcalls.op6_query(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert got[1, "q1"]["result_turn"] == 3 and got[1, "q1"]["valid"] and (got[1, "q2"]["result_turn"], got[1, "q2"]["level"]) == (2, 1)
     assert got[1, "q2"]["problems"] == "$.query: missing; $.limit: below minimum" and set(got) == {(1, "q1"), (1, "q2"), (2, "call_0"), (None, "call_1")}
+
+
+# ---- op10 ----
+
+TALK = "One, two, and three things that are said at length here, so that it reads like prose."
+
+
+@pytest.mark.parametrize("names", ["content no-sidebar", "post legal", "has-nav", "related", "search", "share", "legal", "notice", "page with-menu", "Entry-Content"])
+def test_names_of_layouts_do_not_drop_an_article(names):
+    page = f"<body><nav><a href=/>Home</a></nav><div class='{names}'><h1>Head</h1><p>{TALK}</p><h2>Sub</h2><p>End.</p></div><div class=sidebar><p>{TALK}</p></div></body>"
+    assert html.main_text(page) == f"Head\n{TALK}\nSub\nEnd."
+
+
+@pytest.mark.parametrize("names", ["comments", "site-footer", "ad", "cookie-notice", "share", "related posts-list", "nav-menu", "side-bar", "sponsored"])
+def test_furniture_by_name_goes(names):
+    page = f"<body><div id=x><p>{TALK}</p><p>{TALK}</p><p>Short.</p><div class='{names}'><p>Not this, at all, ever.</p></div></div></body>"
+    assert html.main_text(page) == f"{TALK}\n{TALK}\nShort."
+
+
+def test_short_blocks_beside_a_strong_container_stay():
+    page = f"<body><div class=lead><p>{TALK}</p><p>{TALK}</p><p>{TALK}</p></div><h2>Next</h2><p>Short end.</p><ul><li>one</li></ul><div><a href=1>more</a> <a href=2>links</a></div></body>"
+    assert html.main_text(page) == f"{TALK}\n{TALK}\n{TALK}\nNext\nShort end.\none"
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    def seconds(n):
+        page = "".join(f"<div>text {i}, and more of it" for i in range(n)) + "</b></i></span>" * n
+        began = time.process_time()
+        html.main_text(page)
+        return time.process_time() - began
+
+    assert seconds(16_000) < 12 * max(seconds(4000), 0.02)
+
+
+def test_pages_of_the_table_equal_the_article_element(spark):
+    """All pages of the table have one article; a parser of the standard library reads it."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.blocks, self.line = 0, [], []
+
+        def flush(self):
+            text = " ".join("".join(self.line).split())
+            self.blocks += [text] if text else []
+            self.line = []
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            self.line += [" "] * (tag == "br")
+            if tag not in ("b", "br", "a", "i"):
+                self.flush()
+
+        def handle_endtag(self, tag):
+            if tag not in ("b", "a", "i"):
+                self.flush()
+            self.inside -= tag == "article"
+
+        def handle_data(self, data):
+            self.line += [data] * (self.inside > 0)
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html.extract_main_text(pages).collect()}
+    for r in pages.collect():
+        a = Article()
+        a.feed(r["html"] or "")
+        a.flush()
+        assert got[r["page_id"]] == "\n".join(a.blocks), r["page_id"]
