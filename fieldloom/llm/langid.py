@@ -1,11 +1,11 @@
-"""Language identification: sparse multinomial logistic regression on TF-IDF byte n-grams.
+"""Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-* Features: 2- and 3-grams of the UTF-8 bytes (A-Z lowered, every other non-letter ASCII byte
-  a blank), hashed into ``DIM`` buckets. Inverse document frequencies come from all training
-  documents; a feature's value is its share of the text's n-grams times its IDF.
+* Features: 2- and 3-grams of characters (code points in lower case; whatever is neither a letter nor
+  a mark is a blank), hashed into ``DIM`` buckets. Inverse document frequencies come from all
+  training documents; a feature's value is its share of the text's n-grams times its IDF.
 * Training: follow-the-regularised-leader with L1 and L2 penalties, on the driver, over a
-  bounded sample: about ``SAMPLE`` documents of each language (``TOTAL`` over all), chosen by a
-  hash of the id.
+  bounded sample: at most ``SAMPLE`` documents of each language and ``TOTAL`` over all, but ``LEAST``
+  of every language (or all it has), so none is left out. A hash of the id chooses them.
 * Calibration: one temperature, chosen on a fifth of that sample that training does not see.
 
 Prediction reads whole texts in Spark tasks; the model is a table of ``DIM`` floats a language.
@@ -17,12 +17,14 @@ rows are predicted alike; an empty table gives an empty result; other columns ar
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -30,31 +32,54 @@ from .common import fold
 
 BITS = 15
 DIM = 1 << BITS
-SAMPLE, TOTAL, MAX_LANGS = 800, 4000, 1000
+SAMPLE, TOTAL, LEAST = 800, 4000, 8
 ALPHA, BETA, L1, L2, EPOCHS, BATCH = 1.0, 1.0, 0.002, 0.0005, 10, 32
 #: Shares of n-grams are small numbers; this brings features near 1, so few steps suffice.
 SCALE = 20.0
 
-#: Letters (and every byte of a longer character) stay; any other ASCII byte is a blank.
-FOLD = K.LOWER.copy()
-FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
-LETTER = np.zeros(256, bool)
-LETTER[[b for b in range(128) if chr(b).isalpha()]] = True
+#: Letters of all scripts lie below this code point.
+PLANES = 0x33480
+BLANK = 0x20
+
+
+@lru_cache(maxsize=1)
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point: its lower case (a blank if it is no letter or mark), and whether it is a letter."""
+    chars = [chr(c) for c in range(PLANES)] + [" "]
+    low = [x if len(x) == 1 else c for c, x in zip(chars, map(str.lower, chars))]
+    kept = [unicodedata.category(c)[0] in "LM" for c in chars]
+    folded = np.where(kept, np.fromiter(map(ord, low), np.uint64, len(low)), np.uint64(BLANK))
+    return folded, np.fromiter(map(str.isalpha, chars), bool, len(chars))
+
+
+def code_points(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes (at most ``PLANES``) and the row offsets into them."""
+    lead = (raw & 0xC0) != 0x80
+    at = np.flatnonzero(lead)
+    first = raw[at].astype(np.int64)
+    width = 1 + (first >= 0xC0) + (first >= 0xE0) + (first >= 0xF0)
+    point = np.where(width == 1, first, first & (0x7F >> width))
+    padded = np.concatenate((raw, np.zeros(3, np.uint8)))
+    for k in range(1, 4):
+        longer = np.flatnonzero(width > k)
+        point[longer] = point[longer] << 6 | padded[at[longer] + k] & 63
+    return np.minimum(point, PLANES), np.concatenate(([0], np.cumsum(lead)))[offs]
 
 
 def ngrams(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and row of every 2- and 3-gram that lies inside a row; 2-grams first."""
-    low = FOLD[raw].astype(np.uint32)
+    """Bucket and row of every 2- and 3-gram of characters that lies inside a row; 2-grams first."""
+    points, offs = code_points(raw, offs)
+    low = _characters()[0][points]
     ends = np.repeat(offs[1:], np.diff(offs))
     rows = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
     out, where = [], []
-    for n, salt in ((2, 0x9E3779B1), (3, 0x85EBCA77)):
+    for n in (2, 3):
         m = max(0, len(low) - n + 1)
         gram = low[:m].copy()
         for j in range(1, n):
-            gram |= low[j : j + m] << np.uint32(8 * j)
+            gram = gram << np.uint64(21) | low[j : j + m]
         inside = np.arange(m) + n <= ends[:m]
-        out.append((gram[inside] * np.uint32(salt) >> np.uint32(32 - BITS)).astype(np.int32))
+        out.append((K.mix64(gram[inside] + np.uint64(n) * K.GOLDEN) >> np.uint64(64 - BITS)).astype(np.int32))
         where.append(rows[:m][inside])
     return np.concatenate(out), np.concatenate(where)
 
@@ -73,13 +98,11 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in K.chunks(batches):
-        grams, rows = ngrams(*K.text_bytes(batch.column(1)))
+        grams, rows = ngrams(*K.text_bytes(batch.column(2)))
         key, count = np.unique(rows.astype(np.int64) << BITS | grams, return_counts=True)
         rows = key >> BITS
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), K.list_array((key & (DIM - 1)).astype(np.int32), rows, batch.num_rows, pa.int32()), K.list_array(count.astype(np.int32), rows, batch.num_rows, pa.int32())],
-            names=["lang", "bucket", "n"],
-        )
+        lists = [K.list_array(x.astype(np.int32), rows, batch.num_rows, pa.int32()) for x in (key & (DIM - 1), count)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["lang", "key", "bucket", "n"])
 
 
 @dataclass
@@ -119,44 +142,52 @@ class Ftrl:
         self.n[used] += g * g
 
 
-def _rows(sample: list, langs: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    index, value, row = [], [], []
-    for r, x in enumerate(sample):
-        i, n = np.asarray(x["bucket"], np.int64), np.asarray(x["n"], float)
-        index.append(np.append(i, DIM))  # the last coordinate is the bias
-        value.append(np.append(n / max(n.sum(), 1) * idf[i], 1.0))
-        row.append(np.full(len(i) + 1, r))
-    label = np.array([langs.index(x["lang"]) for x in sample])
-    return np.concatenate(index), np.concatenate(value), np.concatenate(row), label
+def _rows(sample: pa.Table, langs: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Coordinates (the last one is the bias), values and rows of the sample's features, and the labels."""
+    lists = sample["bucket"].combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    i, n = lists.flatten().to_numpy(), sample["n"].combine_chunks().flatten().to_numpy().astype(float)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    total = np.maximum(np.bincount(row, n, minlength=len(sizes)), 1)
+    index, value = np.append(i, np.full(len(sizes), DIM)), np.append(n / total[row] * idf[i], np.ones(len(sizes)))
+    row = np.append(row, np.arange(len(sizes)))
+    order = np.argsort(row, kind="stable")
+    label = np.searchsorted(langs, np.array(sample["lang"].to_pylist(), object)) if len(sizes) else np.zeros(0, int)
+    return index[order], value[order], row[order], label
+
+
+def _sample(rows: DataFrame, sample: int) -> pa.Table:
+    """Features of the chosen documents, ordered by content and then by a fixed draw."""
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_count"))
+    n_langs = max(counts.count(), 1)
+    quota = max(LEAST, min(sample, TOTAL // n_langs))
+    # Twice the quota by a cheap filter first; it leaves a language without rows with probability exp(-2 * LEAST).
+    uniform = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    some = rows.join(F.broadcast(counts), "lang").filter(uniform * F.col("_count") < 2 * quota)  # one row a language
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")))
+    chosen = some.withColumn("_rank", rank).filter(F.col("_rank") <= quota)
+    got = chosen.select("lang", F.xxhash64("text").alias("key"), "text").mapInArrow(_features, "lang string, key long, bucket array<int>, n array<int>").toArrow()
+    got = got.sort_by([("key", "ascending"), ("lang", "ascending")])
+    return got.take(pa.array(np.random.default_rng(5).permutation(len(got))))
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, folds: int = 5) -> LanguageModel | None:
     """Learns from rows with a lang whose fold is not 0; None if there are none."""
-    rows = docs.filter(F.col("lang").isNotNull() & (fold("doc_id", folds) != 0))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
-    if not counts:
-        return None
-    partial = rows.select("text").mapInArrow(_document_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(DIM)
-    for r in partial:
-        if r["bucket"] >= 0:
-            df[r["bucket"]] = r["n"]
-    total = next(r["n"] for r in partial if r["bucket"] < 0)
-    idf = SCALE * (np.log((1 + total) / (1 + df)) + 1)
-    rates = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, min(sample, TOTAL / len(counts)) / n))])
-    uniform = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
-    chosen = rows.filter(uniform < rates[F.col("lang")])
-    # Ordered by content, so the sample, its split and the model are the same in every run.
-    got = chosen.select("lang", "text").mapInArrow(_features, "lang string, bucket array<int>, n array<int>").collect()
-    got = sorted(got, key=lambda r: (r["bucket"], r["n"], r["lang"]))
-    got = [got[i] for i in np.random.default_rng(5).permutation(len(got))]
-    langs = sorted({r["lang"] for r in got})
+    rows = docs.filter(F.col("lang").isNotNull() & (fold("doc_id", folds) != 0)).select("doc_id", "lang", "text")
+    got = _sample(rows, sample)
+    langs = sorted(set(got["lang"].to_pylist()))
     if not langs:
         return None
-    calibration, learning = got[::5], [r for i, r in enumerate(got) if i % 5]
+    partial = rows.select("text").mapInArrow(_document_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    bucket, n = partial["bucket"].to_numpy(), partial["n"].to_numpy()
+    df = np.zeros(DIM)
+    df[bucket[bucket >= 0]] = n[bucket >= 0]
+    idf = SCALE * (np.log((1 + n[bucket < 0].sum()) / (1 + df)) + 1)
+    fifth = np.arange(len(got)) % 5 == 0
+    calibration, learning = got.filter(pa.array(fifth)), got.filter(pa.array(~fifth))
     model = Ftrl(DIM + 1, len(langs))
     rng = np.random.default_rng(7)
-    if learning:
+    if len(learning):
         index, value, row, label = _rows(learning, langs, idf)
         starts = np.searchsorted(row, np.arange(len(learning) + 1))
         for _ in range(EPOCHS):
@@ -188,9 +219,8 @@ def identify(docs: DataFrame, model: LanguageModel | None, folds: int = 5) -> Da
             raw, offs = K.text_bytes(column)
             n = batch.num_rows
             lang, score = np.full(n, "und", object), np.zeros(n)
-            letters = np.bincount(np.searchsorted(offs, np.flatnonzero(LETTER[raw]), side="right") - 1, minlength=n) > 0
-            for r in np.flatnonzero(~letters):
-                letters[r] = any(map(str.isalpha, column[int(r)].as_py() or ""))
+            points, at = code_points(raw, offs)
+            letters = np.bincount(np.searchsorted(at, np.flatnonzero(_characters()[1][points]), side="right") - 1, minlength=n) > 0
             if m is not None:
                 grams, rows = ngrams(raw, offs)
                 count = np.maximum(np.bincount(rows, minlength=n), 1)

@@ -16,12 +16,14 @@
    its size.
 
 Shards are balanced by a hash of the document, so a source with a third of all rows is many
-window groups. Sources and shards are the only tables that meet in one task: one row each
-for some 10**6 words.
+window groups. Seats go to groups of ``GROUP`` shards first and then to the shards of each group, so
+no task ranks more than that many shards, or a source's groups (one row for some 10**9 words).
+Only the sources meet in one task, one row each.
 
 Edge cases: a null text has size 0 and is taken 0 times; a null source is a source of its
 own, sorted last; a repeated row (equal doc_id) is a document of its own; a null doc_id is
-kept; an empty table gives an empty result; other columns are kept by ``mix``.
+kept; an empty table gives an empty result; other columns are ignored: a row of
+the result has the document's id and source and the figures named in ``mix``.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from .common import checkpointed
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP, SEED = 1.5, 2, 17
-BLOCKS, MAX_BLOCK, SHARD_BLOCKS, LEAST = 1 << 16, 4096, 256, 256
+BLOCKS, MAX_BLOCK, SHARD_BLOCKS, LEAST, GROUP = 1 << 16, 4096, 256, 256, 1024
 
 
 def word_count(text: Column) -> Column:
@@ -112,7 +114,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     placed = checkpointed(placed.withColumn("_row", F.monotonically_increasing_id()))
     shard = ["_sid", "_shard"]
     shards = placed.groupBy(*shard).agg(F.sum("size").alias("_words"), F.first("_seats").alias("_seats"), F.first("_block").alias("_block"))
-    shards = apportion(shards, ["_sid"], shard, "_words", "_seats")
+    group = ["_sid", "_group"]
+    shards = shards.withColumn("_group", F.floor(F.col("_shard") / GROUP))
+    groups = shards.groupBy(*group).agg(F.sum("_words").alias("_words"), F.first("_seats").alias("_seats"))
+    groups = apportion(groups, ["_sid"], group, "_words", "_seats").select(*group, F.col("quota").alias("_seats"))
+    shards = apportion(shards.drop("_seats").join(groups, group), group, [*group, "_shard"], "_words", "_seats")
     # A shard's b blocks share its words evenly: block k begins at floor(k * words / b).
     shards = checkpointed(
         shards.withColumn("_b", F.greatest(F.lit(1), F.round(F.col("_words") / F.col("_block"))).cast("long")).withColumn("_q", F.least("quota", cap * F.col("_b")))

@@ -9,8 +9,11 @@ that product, which blames the telling words of a toxic document and leaves the
 Evidence adds up over the distinct words and is never diluted, so a long document with a few
 toxic words still stands out. A logistic calibration is fitted on a fifth of the sample.
 
-Learning uses a bounded sample: at most ``SAMPLE`` labelled rows, those with the smallest
-hash of the id. Scoring reads every whole text in Spark tasks; the model is ``DIM`` floats.
+Learning uses a bounded sample: the ``SAMPLE`` labelled rows with the smallest hash of the id, and the
+first ``EACH`` of either class in that order, so a rare class is never absent; the calibration is
+shifted back to the share of toxic rows among all labels. Of documents that share an id the
+smallest text counts. Words of fewer than ``LEAST`` sampled documents teach nothing of their own (a
+parameter; their n-grams are learnt from other words). Scoring reads every whole text in Spark tasks; the model is ``DIM`` floats.
 
 Edge cases: a null or empty text has no evidence and gets the calibrated base score; a label
 that is null, or whose document is missing, teaches nothing; repeated labels count once
@@ -20,6 +23,7 @@ are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,17 +37,15 @@ from .common import fold
 
 BITS, NGRAMS = 18, (4, 6)
 DIM, WIDTH = 1 << BITS, 4
-SAMPLE, THRESHOLD = 6000, 0.7
-#: Words of fewer sampled documents teach nothing of their own.
-LEAST = 2
+SAMPLE, EACH, LEAST, THRESHOLD = 6000, 500, 2, 0.7
 EPOCHS, RATE, DECAY, START = 40, 0.05, 1e-4, -6.0
 
 #: Keeps the logarithm of no evidence finite.
 FAINT = 1e-3
-#: A word is a run of letters: ASCII ones, and all bytes of longer characters.
+#: A word is a run of letters and digits: ASCII ones, and all bytes of longer characters.
 LETTER = np.zeros(256, bool)
 LETTER[128:] = True
-LETTER[65:91] = LETTER[97:123] = True
+LETTER[48:58] = LETTER[65:91] = LETTER[97:123] = True
 
 
 def lowered(raw: np.ndarray) -> np.ndarray:
@@ -169,8 +171,12 @@ def _fit(bucket: np.ndarray, word: np.ndarray, n_words: int, doc_word: np.ndarra
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 3, held: int = 1) -> ToxicityModel | None:
     """Learns from labelled rows whose fold is not ``held``; None without both classes."""
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held))
-    ids = usable.select(F.col("doc_id").alias("_id"), "toxic").orderBy(F.xxhash64("_id"), "_id", "toxic").limit(sample)
-    rows = docs.join(F.broadcast(ids), docs["doc_id"] == ids["_id"]).select("doc_id", ids["toxic"].cast("int").alias("toxic"), "text")
+    ids = usable.select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).cast("int").alias("_toxic"))
+    n_labels, n_toxic = ids.agg(F.count(F.lit(1)), F.coalesce(F.sum("_toxic"), F.lit(0))).first()
+    first = lambda x, n: x.orderBy(F.xxhash64("_id"), "_id", "_toxic").limit(n)
+    ids = first(ids, sample).union(first(ids.filter("_toxic = 1"), EACH)).union(first(ids.filter("_toxic = 0"), EACH)).distinct()  # at most sample + 2 * EACH rows
+    rows = docs.join(F.broadcast(ids), docs["doc_id"] == ids["_id"]).groupBy("_id", "_toxic").agg(F.min("text").alias("text"))
+    rows = rows.select(F.col("_id").alias("doc_id"), F.col("_toxic").alias("toxic"), "text")
     # Arrow on the driver: a sampled word is a few bytes and a code, never a Python object.
     got = rows.mapInArrow(_sample_words, "doc_id long, toxic int, words array<binary>").toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("toxic", "ascending")]).combine_chunks()
@@ -202,6 +208,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
         score = word_scores(model, *_flat(dictionary.take(pa.array(seen))))
         x = evidence(score[inner], (np.cumsum(held) - 1)[row[~learning]], len(x))
     model.a, model.b = _logistic(np.log(x + FAINT), toxic[held].astype(float))
+    odds = lambda k, m: math.log((k + 0.5) / (m - k + 0.5))
+    model.b += odds(n_toxic, n_labels) - odds(int(toxic.sum()), n)
     return model
 
 
