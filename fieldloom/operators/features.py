@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import by_time
 
+# The names of channels, and with them the patterns of feature names (``<channel>_lag<h>h`` and so on).
 MOISTURE, TARGET, FLOW = "soil_moisture", "irrigation_event", ("flow_l", "flow_l_cumulative")
 WEATHER = ("air_temp", "humidity", "wind_speed", "solar_radiation")
 
@@ -41,10 +42,10 @@ def lag(c: str, h: int, keys: list[str]) -> Column:
     return F.lag(c, h).over(by_time(keys)).alias(f"{c}_lag{h}h")
 
 
-def diff(c: str, h: int, keys: list[str]) -> Column:
-    """Change over h hours that ended an hour ago."""
+def diff(c: str, h: int, keys: list[str], shift: int = 1) -> Column:
+    """Change over h hours that ended ``shift`` hours ago."""
     w = by_time(keys)
-    return (F.lag(c, 1).over(w) - F.lag(c, 1 + h).over(w)).alias(f"{c}_diff{h}h")
+    return (F.lag(c, shift).over(w) - F.lag(c, shift + h).over(w)).alias(f"{c}_diff{h}h")
 
 
 def rolling(c: str, hours: int, stat: str, keys: list[str], shift: int = 1, full: bool = True) -> Column:
@@ -55,11 +56,11 @@ def rolling(c: str, hours: int, stat: str, keys: list[str], shift: int = 1, full
     return F.when(F.count(c).over(frame) >= least, agg).alias(f"{c}_roll{hours}h_{stat}")
 
 
-def with_hours_since_on(df: DataFrame, keys: list[str], target: str = TARGET) -> DataFrame:
-    """Adds hours since the last ON hour before now: 1 if the hour before was ON, NULL before the first."""
+def with_hours_since_on(df: DataFrame, keys: list[str], target: str = TARGET, shift: int = 1) -> DataFrame:
+    """Adds hours since the last ON hour at least ``shift`` hours ago; NULL before the first."""
     w = by_time(keys)
     at = df.withColumn("_pos", F.row_number().over(w))
-    last = F.last(F.when(F.col(target) == 1, F.col("_pos")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    last = F.last(F.when(F.col(target) == 1, F.col("_pos")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -shift))
     return at.withColumn("hours_since_last_irrigation", (F.col("_pos") - last).cast("double")).drop("_pos")
 
 
@@ -98,8 +99,8 @@ def build_features(df: DataFrame, keys: list[str], config: FeatureConfig = Featu
     if lost:
         raise ValueError(f"missing columns {lost}")
     c, shift = config, config.causal_shift
-    base = with_hours_since_on(df, keys)
-    exprs: list[Column] = [lag(MOISTURE, h, keys) for h in c.moisture_lags] + [diff(MOISTURE, h, keys) for h in c.diff_hours]
+    base = with_hours_since_on(df, keys, shift=shift)
+    exprs: list[Column] = [lag(MOISTURE, h, keys) for h in c.moisture_lags] + [diff(MOISTURE, h, keys, shift) for h in c.diff_hours]
     exprs += [rolling(MOISTURE, w, s, keys, shift, c.require_full_window) for w in c.roll_hours for s in ("mean", "min", "max", "std")]
     for x in c.weather:
         exprs += [lag(x, h, keys) for h in c.weather_lags] + [rolling(x, w, "mean", keys, shift, c.require_full_window) for w in c.weather_roll_hours]
@@ -110,10 +111,23 @@ def build_features(df: DataFrame, keys: list[str], config: FeatureConfig = Featu
     return out, named
 
 
+def numbered(rows: DataFrame, keys: list[str], out: str = "row_id") -> DataFrame:
+    """Numbers rows from 0 by (ts, keys) over all keys together, so that a cut by number is a cut in time.
+
+    Days are numbered apart and then moved by the rows of the days before; only one row a day meets in one task.
+    """
+    rows = rows.withColumn("_day", F.to_date("ts"))
+    counts = rows.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy("_day").orderBy("ts", *keys))
+    return rows.withColumn("_own", own).join(F.broadcast(starts), "_day").withColumn(out, (F.col("_start") + F.col("_own") - 1).cast("long")).drop("_day", "_own", "_start")
+
+
 def supervised(features: DataFrame, names: list[str], keys: list[str], target: str = TARGET) -> DataFrame:
-    """Rows without NULL among the chosen features and target, with a row number by time in each key."""
+    """Rows without NULL among the chosen features and target, numbered by time over all keys."""
     rows = features.select(*keys, "ts", F.col(target).cast("int").alias("label"), *names).dropna(subset=["label", *names])
-    return rows.withColumn("row_id", (F.row_number().over(by_time(keys)) - 1).cast("long"))
+    return numbered(rows, keys)
 
 
 def closed_before(df: DataFrame, named: dict[str, list[str]], target: str = TARGET) -> tuple[DataFrame, dict[str, list[str]]]:

@@ -103,34 +103,38 @@ def knn_impute(df: DataFrame, target: str, features: list[str], ident: list[str]
 
 
 def mice_impute(df: DataFrame, columns: list[str], rounds: int = 10, tolerance: float = 1e-3, ridge: float = 1e-6) -> DataFrame:
-    """Chained equations: each column is regressed on the others from one distributed Gram aggregate a round.
+    """Chained equations: each column is regressed on the others, from one distributed Gram aggregate a column and round.
 
     The driver solves a system as wide as the column list and nothing else; known cells never change.
+    A round ends with a checkpoint if the session has a folder for them, else with a persisted frame
+    that replaces the one before.
     """
-    start = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    d = df.select("*", *[F.col(c).isNull().alias(f"_gap_{c}") for c in columns], *[F.coalesce(F.col(c), F.lit(start[c])).cast("double").alias(f"_f_{c}") for c in columns])
-    gappy = [c for c in columns if d.agg(F.max(F.col(f"_gap_{c}").cast("int"))).first()[0]]
-    for _ in range(rounds):
-        change = 0.0
+    filled = {c: f"_f_{c}" for c in columns}
+    first = df.agg(*[F.avg(c).alias(c) for c in columns], *[F.count_if(F.col(c).isNull()).alias(f"_n_{c}") for c in columns]).first()
+    gappy = [c for c in columns if first[f"_n_{c}"]]
+    d = df.select("*", *[F.coalesce(F.col(c), F.lit(first[c])).cast("double").alias(n) for c, n in filled.items()])
+    durable, held = bool(df.sparkSession.sparkContext.getCheckpointDir()), None
+    for _ in range(rounds if gappy else 0):
+        d = d.withColumns({f"_was_{c}": F.col(filled[c]) for c in gappy})
         for c in gappy:
-            x = [F.lit(1.0), *[F.col(f"_f_{o}") for o in columns if o != c]]
-            y, known = F.col(f"_f_{c}"), ~F.col(f"_gap_{c}")
+            x = [F.lit(1.0), *[F.col(filled[o]) for o in columns if o != c]]
             pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
-            sums = d.filter(known).agg(*[F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i, j in pairs], *[F.sum(x[i] * y).alias(f"b{i}") for i in range(len(x))]).first()
+            sums = d.filter(F.col(c).isNotNull()).agg(*[F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i, j in pairs], *[F.sum(x[i] * F.col(c)).alias(f"b{i}") for i in range(len(x))]).first()
             gram = np.zeros((len(x), len(x)))
             for i, j in pairs:
                 gram[i, j] = gram[j, i] = sums[f"g{i}_{j}"] or 0.0
             gram += ridge * max(1.0, np.trace(gram) / len(x)) * np.eye(len(x))
             beta = np.linalg.solve(gram, [sums[f"b{i}"] or 0.0 for i in range(len(x))])
             guess = sum((F.lit(float(b)) * v for b, v in zip(beta, x)), F.lit(0.0))
-            d = d.withColumn("_new", F.when(known, y).otherwise(guess))
-            change = max(change, d.agg(F.max(F.abs(F.col("_new") - y))).first()[0] or 0.0)
-            d = d.withColumn(f"_f_{c}", F.col("_new")).drop("_new")
-        if df.sparkSession.sparkContext.getCheckpointDir():
-            d = d.checkpoint()
+            d = d.withColumn(filled[c], F.when(F.col(c).isNotNull(), F.col(c)).otherwise(guess))
+        d = d.checkpoint() if durable else d.persist()
+        change = d.agg(F.greatest(F.lit(0.0), *[F.max(F.abs(F.col(filled[c]) - F.col(f"_was_{c}"))) for c in gappy])).first()[0]
+        if held is not None:
+            held.unpersist()
+        held = None if durable else d
         if change < tolerance:
             break
-    return d.select(*[(F.coalesce(F.col(c), F.col(f"_f_{c}")).alias(c) if c in columns else F.col(c)) for c in df.columns])
+    return d.select(*[(F.coalesce(F.col(c), F.col(filled[c])).alias(c) if c in columns else F.col(c)) for c in df.columns])
 
 
 def signal_quality(variants: DataFrame, reference: str, column: str, on: list[str]) -> DataFrame:

@@ -124,9 +124,28 @@ def available_rules(names: list[str]) -> list[str]:
     return [m for m, (_, needs) in RULES.items() if set(needs) <= set(names)]
 
 
+def skipped_rules(names: list[str]) -> dict[str, list[str]]:
+    """Rule models that are left out, with the columns that they lack."""
+    return {m: sorted(set(needs) - set(names)) for m, (_, needs) in RULES.items() if not set(needs) <= set(names)}
+
+
 # ---- pyspark.ml models ------------------------------------------------------------------
 
 
+#: Two profiles of boosted trees: greedy and exact, or binned finely with larger leaves and a draw of rows and features.
+DEFAULTS = {"n_estimators": 200, "max_depth": 6, "learning_rate": 0.1}
+PROFILES = {
+    "gbt_a": {"min_child_weight": 1, "subsample": 1.0, "features": "all", "bins": 32},
+    "gbt_b": {"min_child_samples": 20, "subsample": 0.9, "features": "0.8", "bins": 128},
+}
+
+
+def translated(name: str, params: dict) -> dict:
+    """Shared parameter names as the model's own: the least weight of a child has another name in the second profile."""
+    own = {"min_child_weight": "min_child_samples"} if name == "gbt_b" else {}
+    return {own.get(k, k): v for k, v in params.items()}
+
+
 @dataclass(frozen=True)
 class ModelSpec:
     """A model by name with parameters; ``fit`` returns a fitted pipeline."""
@@ -143,9 +162,14 @@ class ModelSpec:
         """An unfitted estimator: L2 with C = 1 as 1/n, or boosted trees in one of two profiles."""
         if self.name == "logistic":
             return LogisticRegression(maxIter=int(self.params.get("max_iter", 1000)), regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False)
-        defaults = {"n_estimators": 200, "max_depth": 6, "learning_rate": 0.1, "min_rows": 1 if self.name == "gbt_a" else 20}
-        p = {**defaults, **self.params}
-        return GBTClassifier(maxIter=p["n_estimators"], maxDepth=min(p["max_depth"], 30), stepSize=p["learning_rate"], minInstancesPerNode=p["min_rows"], seed=self.seed)
+        p = {**DEFAULTS, **PROFILES[self.name], **translated(self.name, self.params)}
+        if lost := sorted(set(p) - {*DEFAULTS, *PROFILES[self.name]}):
+            raise ValueError(f"{self.name} has no parameters {lost}")
+        least = p["min_child_weight" if self.name == "gbt_a" else "min_child_samples"]
+        return GBTClassifier(
+            maxIter=p["n_estimators"], maxDepth=min(p["max_depth"], 30), stepSize=p["learning_rate"], minInstancesPerNode=least,
+            subsamplingRate=p["subsample"], featureSubsetStrategy=p["features"], maxBins=p["bins"], seed=self.seed,
+        )
 
 
 @dataclass
@@ -196,5 +220,5 @@ def grid_points(grid: dict[str, list]) -> list[dict]:
     return [dict(zip(grid, v)) for v in product(*grid.values())]
 
 
-#: The grid of the nested selection, 12 points.
-GRID = {"n_estimators": [100, 200, 400], "max_depth": [3, 6], "learning_rate": [0.05, 0.1]}
+#: The grid of the nested selection, 12 points, in the shared names of parameters.
+GRID = {"max_depth": [2, 4, 6], "n_estimators": [100, 200], "min_child_weight": [1, 5]}

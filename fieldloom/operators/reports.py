@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from . import attribution
 
 
-def p_value_text(p: Column) -> Column:
-    """Four places, with a floor instead of a zero."""
-    return F.when(p < 1e-4, F.lit("< 1e-04")).otherwise(F.format_string("%.4f", p))
+def p_value_text(p: Column, iterations: int = 10_000) -> Column:
+    """Four places, with the resolution of the draws as floor instead of a zero."""
+    floor = 1.0 / iterations
+    return F.when(p < floor, F.lit(f"< {floor:.0e}")).otherwise(F.format_string("%.4f", p))
 
 
 def parameter_text(params: dict) -> str:
@@ -27,11 +28,11 @@ def dominance_document(by_fold: DataFrame, totals: dict[str, int], rule: float =
     return out.withColumn("largest_episode_share", F.struct(*shares)).withColumn("rule", F.lit(rule)) if shares else out.withColumn("rule", F.lit(rule))
 
 
-def comparison_document(compared: DataFrame, alpha: float = 0.05) -> DataFrame:
+def comparison_document(compared: DataFrame, alpha: float = 0.05, iterations: int = 10_000) -> DataFrame:
     """The bootstrap comparison with its verdict in words."""
     better = F.when(F.col("difference") > 0, F.col("model_a")).otherwise(F.col("model_b"))
-    verdict = F.when(F.col("p_value") < alpha, F.concat(better, F.lit(" is better (p "), p_value_text(F.col("p_value")), F.lit(")"))).otherwise(
-        F.concat(F.lit("no difference shown (p "), p_value_text(F.col("p_value")), F.lit(")"))
+    verdict = F.when(F.col("p_value") < alpha, F.concat(better, F.lit(" is better (p "), p_value_text(F.col("p_value"), iterations), F.lit(")"))).otherwise(
+        F.concat(F.lit("no difference shown (p "), p_value_text(F.col("p_value"), iterations), F.lit(")"))
     )
     return compared.withColumn("interpretation", verdict)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import chain
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,14 +14,22 @@ from .metrics import ranking
 METRICS = ("roc_auc", "pr_auc", "f1", "precision", "recall", "brier")
 #: Deviations at or below this are rounding, not spread.
 NO_SPREAD = 1e-12
-#: Groups rarely hold more replicates than this; beyond it the normal value is used.
+#: Up to so many degrees of freedom the critical value is looked up; beyond, a series in 1/df has it to ten digits.
 MAX_DF = 200
 
 
 def t_value(n: Column, confidence: float = 0.95) -> Column:
-    """Critical value of Student's t for ``n`` replicates, from a table built on the driver."""
+    """Critical value of Student's t for ``n`` replicates: a table built on the driver, and the expansion around the normal value."""
     table = F.create_map(*[F.lit(x) for x in chain.from_iterable((df, student_t_critical(confidence, df)) for df in range(1, MAX_DF + 1))])
-    return table[F.least(n - 1, F.lit(MAX_DF)).cast("int")]
+    z, df = NormalDist().inv_cdf((1 + confidence) / 2), n - 1
+    terms = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384]
+    series = F.lit(z) + sum((F.lit(c) / F.pow(df, F.lit(float(k))) for k, c in enumerate(terms, 1)), F.lit(0.0))
+    return F.when(df > MAX_DF, series).otherwise(table[F.least(df, F.lit(MAX_DF)).cast("int")])
+
+
+def wide_summary(results: DataFrame, by: list[str], metrics: tuple[str, ...]) -> DataFrame:
+    """One row a model: ``<metric>_mean`` and ``<metric>_std`` of each metric."""
+    return results.groupBy(*by).agg(*[f(m).alias(f"{m}_{n}") for m in metrics for n, f in (("mean", F.avg), ("std", F.stddev_samp))])
 
 
 def unpivot(df: DataFrame, keys: list[str], metrics: tuple[str, ...] = METRICS) -> DataFrame:
@@ -134,8 +143,10 @@ def bootstrap_difference(paired: DataFrame, iterations: int = 10_000, block: int
     if metric not in ("roc_auc", "pr_auc"):
         raise ValueError(f"no metric {metric!r}")
     spark = paired.sparkSession
+    paired = paired.persist()
     n = paired.count()
     if paired.select("label").distinct().count() < 2:
+        paired.unpersist()
         raise ValueError("one class only")
     counts = block_indices(spark, iterations, n, block, seed).groupBy("iteration", "row_id").agg(F.count(F.lit(1)).alias("w"))
     rows = counts.join(paired, "row_id").withColumn("m", F.explode(F.array(F.struct(F.lit("a").alias("model"), F.col("a").alias("score")), F.struct(F.lit("b").alias("model"), F.col("b").alias("score")))))

@@ -44,10 +44,37 @@ def weather(spark, d) -> DataFrame:
     return timegrid.on_grid(timegrid.rename_weather(wide), KEYS)
 
 
-def merged(spark, d) -> DataFrame:
+def merged_by_channel(spark, d) -> DataFrame:
+    """The merged table from channels that landed apart, as a site's own files would."""
     return timegrid.merge_channels(moisture(spark, d), weather(spark, d), valve(spark, d), flow(spark, d), KEYS)
 
 
+def merged(spark, d, by_user: bool = False) -> DataFrame:
+    """The same table from one pass over ``events``: all channels are conditional aggregates of one shuffle by site and hour.
+
+    Hours between a site's first and last moisture reading are all there; an empty hour follows the one before it.
+    """
+    site = F.pmod("user_id", F.lit(10)).cast("int") if by_user else F.lit(0)
+    kind = lambda k: F.when(F.col("event_type") == k, F.col("value"))
+    base = table(spark, d, "events").groupBy(site.alias("site"), hours(F.col("ts")).alias("ts")).agg(
+        F.avg(kind("view")).alias("soil_moisture"), F.avg(kind("signup")).alias("air_temp"), F.avg(kind("purchase")).alias("humidity"),
+        (F.avg(kind("error")) > 55).cast("int").alias("irrigation_event"), F.sum(kind("click")).alias("_click"),
+    )
+    w = Window.partitionBy("site").orderBy("ts")
+    known = F.when(F.col("soil_moisture").isNotNull(), F.col("ts"))
+    rows = base.select(
+        "*", F.when(F.col("_click").isNotNull(), F.sum("_click").over(w)).alias("flow_l_cumulative"), F.lead("ts").over(w).alias("_next"),
+        F.min(known).over(Window.partitionBy("site")).alias("_lo"), F.max(known).over(Window.partitionBy("site")).alias("_hi"),
+    )
+    hour = F.expr("interval 1 hour")
+    every = F.explode(F.coalesce(F.sequence("ts", F.col("_next") - hour, hour), F.array("ts"))).alias("_at")
+    values = ["soil_moisture", "air_temp", "humidity", "irrigation_event", "flow_l_cumulative"]
+    dense = rows.select("site", "ts", "_lo", "_hi", every, *values).filter(F.col("_at").between(F.col("_lo"), F.col("_hi")))
+    dense = dense.select("site", F.col("_at").alias("ts"), *[F.when(F.col("_at") == F.col("ts"), F.col(c)).alias(c) for c in values])
+    dense = dense.withColumn("wind_speed", F.col("air_temp") / 2).withColumn("solar_radiation", F.col("humidity") / 30 * F.lit(timegrid.MJ_PER_HOUR_IN_WATTS))
+    return timegrid.to_schema(dense.withColumn("flow_l", timegrid.positive_difference("flow_l_cumulative", KEYS)), KEYS)
+
+
 def scored(spark, d) -> DataFrame:
     """(model, seed, fold, row_id, label, score, predicted): three columns of lineitem as scores of a return."""
     li = table(spark, d, "lineitem")

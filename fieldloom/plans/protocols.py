@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import metrics, models, splits, stats
-from ..operators.features import FeatureConfig, ablation_sets, build_features, closed_before, supervised
+from ..operators.features import FeatureConfig, ablation_sets, build_features, closed_before, numbered, supervised
 
 Fold = tuple[int, int, int, int, int]
 
@@ -48,13 +48,23 @@ def evaluate(rows: DataFrame, folds: list[Fold], names: list[str], specs: list[m
     return metrics.evaluate(union(parts), ["model", "seed", "fold"])
 
 
-def ablation(rows: DataFrame, folds: list[Fold], config: FeatureConfig, specs: list[models.ModelSpec]) -> DataFrame:
+def across_seeds(rows: DataFrame, folds: list[Fold], names: list[str], specs: list[models.ModelSpec], seeds: list[int], rules: list[str] | None = None) -> DataFrame:
+    """The whole evaluation under each seed. Rule models draw nothing: they run once and count for every seed."""
+    usable = [r for r in models.available_rules(names) if rules is None or r in rules]
+    parts = []
+    if usable:
+        every = F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed")
+        parts.append(rule_scores(rows, folds, usable).select("model", every, *models.KEPT))
+    parts += [out_of_fold(rows, folds, models.ModelSpec(s.name, s.params, seed), names) for s in specs for seed in seeds]
+    return metrics.evaluate(union(parts), ["model", "seed", "fold"])
+
+
+def ablation(rows: DataFrame, folds: list[Fold], config: FeatureConfig, specs: list[models.ModelSpec], rules: list[str] = []) -> DataFrame:
     """Every set of features on the same rows: metrics by (feature_set, model, fold)."""
     out = []
     for name, columns in ablation_sets(config).items():
-        for s in specs:
-            r = metrics.evaluate(out_of_fold(rows, folds, s, columns), ["model", "seed", "fold"])
-            out.append(r.withColumn("feature_set", F.lit(name)).withColumn("n_features", F.lit(len(columns))))
+        r = evaluate(rows, folds, columns, specs, rules)
+        out.append(r.withColumn("feature_set", F.lit(name)).withColumn("n_features", F.lit(len(columns))))
     return union(out)
 
 
@@ -69,12 +79,20 @@ def onset_protocol(merged: DataFrame, keys: list[str], config: FeatureConfig, sp
     features, named = build_features(merged, keys, config)
     rows, named = closed_before(features, named)
     names = [n for part in named.values() for n in part]
-    rows = supervised(rows, names, keys).cache()
+    rows = supervised(rows, names, keys)
     folds = splits.rolling_origin(rows.count(), k)
-    results = evaluate(rows, folds, names, specs, rules=["majority", "moisture_threshold"])
-    long = stats.summarise(results, ["model"], value="pr_auc")
-    extra = results.groupBy("model").agg(F.count_distinct("fold").alias("n_folds_scored"), F.sum("n_positive").alias("n_onsets"))
-    return long.join(extra, "model")
+    return onset_summary(evaluate(rows, folds, names, specs, rules=["majority", "moisture_threshold"]))
+
+
+#: The metrics that a run reports first.
+PRIMARY = ("pr_auc", "roc_auc", "f1", "brier")
+
+
+def onset_summary(results: DataFrame, primary: tuple[str, ...] = PRIMARY) -> DataFrame:
+    """By (model, metric): the interval over folds where the metric is known, how many those are, and the size of the test."""
+    long = stats.summarise(stats.unpivot(results, ["model", "fold"], primary), ["model", "metric"]).withColumnRenamed("n", "n_folds_scored")
+    size = results.groupBy("model").agg(F.sum("n_test").alias("n_rows"), F.count_distinct("fold").alias("n_folds"), F.sum("n_positive").alias("n_onsets"))
+    return long.join(size, "model")
 
 
 def select_parameters(rows: DataFrame, folds: list[Fold], name: str, names: list[str], grid: list[dict], metric: str = "pr_auc", seed: int = 42) -> dict:
@@ -106,7 +124,7 @@ def nested_summary(results: DataFrame, metric: str = "pr_auc") -> DataFrame:
     return stats.summarise(results, ["model"], value=metric).join(chosen, "model")
 
 
-def compare_best(rows: DataFrame, folds: list[Fold], names: list[str], main: list[models.ModelSpec], baseline: list[models.ModelSpec], metric: str = "roc_auc", iterations: int = 1000, block: int = 24) -> DataFrame:
+def compare_best(rows: DataFrame, folds: list[Fold], names: list[str], main: list[models.ModelSpec], baseline: list[models.ModelSpec], metric: str = "roc_auc", iterations: int = 10_000, block: int = 24) -> DataFrame:
     """The best main model against the best baseline on the same out-of-fold rows, with a block bootstrap."""
     best = {}
     for side, specs in (("a", main), ("b", baseline)):
@@ -131,7 +149,7 @@ def fold_to_explain(results: DataFrame, how: str = "best", metric: str = "pr_auc
     return results.groupBy("model").agg(F.max_by("fold", key).alias("fold"), F.max_by("positive_rate", key).alias("test_rate")).withColumn("extreme", (F.col("test_rate") > 0.6) | (F.col("test_rate") < 0.1))
 
 
-def evaluate_variants(variants: DataFrame, keys: list[str], config: FeatureConfig, specs: list[models.ModelSpec], k: int = 5, common: bool = False) -> DataFrame:
+def evaluate_variants(variants: DataFrame, keys: list[str], config: FeatureConfig, specs: list[models.ModelSpec], k: int = 5, common: bool = False, rules: list[str] = []) -> DataFrame:
     """Metrics of each variant's own design matrix, on all its rows or on those that all variants share."""
     names_of = [r["variant"] for r in variants.select("variant").distinct().orderBy("variant").collect()]
     frames, names = [], None
@@ -140,17 +158,16 @@ def evaluate_variants(variants: DataFrame, keys: list[str], config: FeatureConfi
         names = [n for part in named.values() for n in part]
         frames.append(supervised(features, names, keys).withColumn("variant", F.lit(v)))
     if common:
-        from ..functions import by_time
         from ..operators.healing import common_rows
 
         shared = common_rows(union(frames), [*keys, "ts"])
-        frames = [shared.filter(F.col("variant") == v).withColumn("row_id", (F.row_number().over(by_time(keys)) - 1).cast("long")) for v in names_of]
+        frames = [numbered(shared.filter(F.col("variant") == v).drop("row_id"), keys) for v in names_of]
     out = []
     for v, rows in zip(names_of, frames):
         n = rows.count()
         if n < k + 1:
             continue
-        r = evaluate(rows, splits.rolling_origin(n, k), names, specs, rules=[])
+        r = evaluate(rows, splits.rolling_origin(n, k), names, specs, rules=rules)
         out.append(r.withColumn("variant", F.lit(v)).withColumn("n_rows", F.lit(n)).withColumn("comparison", F.lit("common_rows" if common else "as_available")))
     return union(out)
 

@@ -11,7 +11,7 @@ from .. import sources
 from ..functions import student_t_critical, uniform
 from ..operators import attribution, episodes, features, healing, metrics, models, perturb, quality, reports, splits, stats, timegrid
 from . import protocols
-from .adapter import KEYS, events, flow, merged, moisture, scored, table, valve, weather
+from .adapter import KEYS, events, merged, merged_by_channel, moisture, scored, table, valve
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -103,6 +103,11 @@ _COLS = "soil_moisture, air_temp, humidity, wind_speed, solar_radiation, flow_l,
 
 
 @query("merged_hourly", f"WITH {MERGED_SQL} SELECT site, ts, {_r(_COLS)}, CAST(irrigation_event AS BIGINT) AS irrigation_event FROM merged")
+def _(spark, d):
+    return merged_by_channel(spark, d)
+
+
+@query("merged_one_pass", f"WITH {MERGED_SQL} SELECT site, ts, {_r(_COLS)}, CAST(irrigation_event AS BIGINT) AS irrigation_event FROM merged")
 def _(spark, d):
     return merged(spark, d)
 
