@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+import tempfile
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -87,3 +88,23 @@ def _incomplete_beta(x: float, a: float, b: float) -> float:
         if abs(total - before) < 1e-15 * abs(total):
             break
     return front * total
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Only a session that names neither (a local one, as in tests) gets a temporary folder, which it keeps.
+    """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A frame that is worked out once: written to the shared folder, without its lineage."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import by_time, clip
+from ..functions import by_time, checkpointed, clip
 
 
 def interpolate(df: DataFrame, column: str, keys: list[str], out: str | None = None) -> DataFrame:
@@ -106,14 +106,12 @@ def mice_impute(df: DataFrame, columns: list[str], rounds: int = 10, tolerance:
     """Chained equations: each column is regressed on the others, from one distributed Gram aggregate a column and round.
 
     The driver solves a system as wide as the column list and nothing else; known cells never change.
-    A round ends with a checkpoint if the session has a folder for them, else with a persisted frame
-    that replaces the one before.
+    Each round ends with a checkpoint, so the plan does not grow.
     """
     filled = {c: f"_f_{c}" for c in columns}
     first = df.agg(*[F.avg(c).alias(c) for c in columns], *[F.count_if(F.col(c).isNull()).alias(f"_n_{c}") for c in columns]).first()
     gappy = [c for c in columns if first[f"_n_{c}"]]
     d = df.select("*", *[F.coalesce(F.col(c), F.lit(first[c])).cast("double").alias(n) for c, n in filled.items()])
-    durable, held = bool(df.sparkSession.sparkContext.getCheckpointDir()), None
     for _ in range(rounds if gappy else 0):
         d = d.withColumns({f"_was_{c}": F.col(filled[c]) for c in gappy})
         for c in gappy:
@@ -127,11 +125,8 @@ def mice_impute(df: DataFrame, columns: list[str], rounds: int = 10, tolerance:
             beta = np.linalg.solve(gram, [sums[f"b{i}"] or 0.0 for i in range(len(x))])
             guess = sum((F.lit(float(b)) * v for b, v in zip(beta, x)), F.lit(0.0))
             d = d.withColumn(filled[c], F.when(F.col(c).isNotNull(), F.col(c)).otherwise(guess))
-        d = d.checkpoint() if durable else d.persist()
+        d = checkpointed(d)
         change = d.agg(F.greatest(F.lit(0.0), *[F.max(F.abs(F.col(filled[c]) - F.col(f"_was_{c}"))) for c in gappy])).first()[0]
-        if held is not None:
-            held.unpersist()
-        held = None if durable else d
         if change < tolerance:
             break
     return d.select(*[(F.coalesce(F.col(c), F.col(filled[c])).alias(c) if c in columns else F.col(c)) for c in df.columns])

@@ -8,7 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import student_t_critical, uniform
+from ..functions import checkpointed, student_t_critical, uniform
 from .metrics import ranking
 
 METRICS = ("roc_auc", "pr_auc", "f1", "precision", "recall", "brier")
@@ -143,10 +143,9 @@ def bootstrap_difference(paired: DataFrame, iterations: int = 10_000, block: int
     if metric not in ("roc_auc", "pr_auc"):
         raise ValueError(f"no metric {metric!r}")
     spark = paired.sparkSession
-    paired = paired.persist()
+    paired = checkpointed(paired)
     n = paired.count()
     if paired.select("label").distinct().count() < 2:
-        paired.unpersist()
         raise ValueError("one class only")
     counts = block_indices(spark, iterations, n, block, seed).groupBy("iteration", "row_id").agg(F.count(F.lit(1)).alias("w"))
     rows = counts.join(paired, "row_id").withColumn("m", F.explode(F.array(F.struct(F.lit("a").alias("model"), F.col("a").alias("score")), F.struct(F.lit("b").alias("model"), F.col("b").alias("score")))))

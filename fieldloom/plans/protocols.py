@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import checkpointed
 from ..operators import metrics, models, splits, stats
 from ..operators.features import FeatureConfig, ablation_sets, build_features, closed_before, numbered, supervised
 
@@ -45,7 +46,7 @@ def evaluate(rows: DataFrame, folds: list[Fold], names: list[str], specs: list[m
     usable = [r for r in models.available_rules(names) if rules is None or r in rules]
     parts = [rule_scores(rows, folds, usable)] if usable else []
     parts += [out_of_fold(rows, folds, s, names) for s in specs]
-    return metrics.evaluate(union(parts), ["model", "seed", "fold"])
+    return metrics.evaluate(checkpointed(union(parts)), ["model", "seed", "fold"])
 
 
 def across_seeds(rows: DataFrame, folds: list[Fold], names: list[str], specs: list[models.ModelSpec], seeds: list[int], rules: list[str] | None = None) -> DataFrame:
@@ -56,7 +57,7 @@ def across_seeds(rows: DataFrame, folds: list[Fold], names: list[str], specs: li
         every = F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed")
         parts.append(rule_scores(rows, folds, usable).select("model", every, *models.KEPT))
     parts += [out_of_fold(rows, folds, models.ModelSpec(s.name, s.params, seed), names) for s in specs for seed in seeds]
-    return metrics.evaluate(union(parts), ["model", "seed", "fold"])
+    return metrics.evaluate(checkpointed(union(parts)), ["model", "seed", "fold"])
 
 
 def ablation(rows: DataFrame, folds: list[Fold], config: FeatureConfig, specs: list[models.ModelSpec], rules: list[str] = []) -> DataFrame:
@@ -79,7 +80,7 @@ def onset_protocol(merged: DataFrame, keys: list[str], config: FeatureConfig, sp
     features, named = build_features(merged, keys, config)
     rows, named = closed_before(features, named)
     names = [n for part in named.values() for n in part]
-    rows = supervised(rows, names, keys)
+    rows = checkpointed(supervised(rows, names, keys))
     folds = splits.rolling_origin(rows.count(), k)
     return onset_summary(evaluate(rows, folds, names, specs, rules=["majority", "moisture_threshold"]))
 
@@ -124,6 +125,15 @@ def nested_summary(results: DataFrame, metric: str = "pr_auc") -> DataFrame:
     return stats.summarise(results, ["model"], value=metric).join(chosen, "model")
 
 
+def paired(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Scores of two models side by side (row_id, label, a, b); both must cover the same rows."""
+    left = a.select("row_id", "label", F.col("score").alias("a"))
+    joined = left.join(b.select("row_id", F.col("score").alias("b")), "row_id", "full")
+    if joined.filter("a is null or b is null").limit(1).count():
+        raise ValueError("the two models were scored on different rows")
+    return joined
+
+
 def compare_best(rows: DataFrame, folds: list[Fold], names: list[str], main: list[models.ModelSpec], baseline: list[models.ModelSpec], metric: str = "roc_auc", iterations: int = 10_000, block: int = 24) -> DataFrame:
     """The best main model against the best baseline on the same out-of-fold rows, with a block bootstrap."""
     best = {}
@@ -132,14 +142,9 @@ def compare_best(rows: DataFrame, folds: list[Fold], names: list[str], main: lis
         means = {n: metrics.ranking(d, ["fold"]).agg(F.avg(metric)).first()[0] or 0.0 for n, d in scored.items()}
         top = max(means, key=lambda n: (means[n], n))
         best[side] = (top, scored[top])
-    a = best["a"][1].select("row_id", "label", F.col("score").alias("a"))
-    b = best["b"][1].select("row_id", F.col("score").alias("b"))
-    paired = a.join(b, "row_id")
-    if paired.count() != a.count():
-        raise ValueError("the two models were scored on different rows")
+    both = paired(best["a"][1], best["b"][1])
     lo = min(f[3] for f in folds)
-    paired = paired.withColumn("row_id", F.col("row_id") - lo)
-    out = stats.bootstrap_difference(paired, iterations, block, metric=metric)
+    out = stats.bootstrap_difference(both.withColumn("row_id", F.col("row_id") - lo), iterations, block, metric=metric)
     return out.withColumn("model_a", F.lit(best["a"][0])).withColumn("model_b", F.lit(best["b"][0]))
 
 
@@ -151,17 +156,18 @@ def fold_to_explain(results: DataFrame, how: str = "best", metric: str = "pr_auc
 
 def evaluate_variants(variants: DataFrame, keys: list[str], config: FeatureConfig, specs: list[models.ModelSpec], k: int = 5, common: bool = False, rules: list[str] = []) -> DataFrame:
     """Metrics of each variant's own design matrix, on all its rows or on those that all variants share."""
+    variants = checkpointed(variants)
     names_of = [r["variant"] for r in variants.select("variant").distinct().orderBy("variant").collect()]
     frames, names = [], None
     for v in names_of:
         features, named = build_features(variants.filter(F.col("variant") == v).drop("variant"), keys, config)
         names = [n for part in named.values() for n in part]
-        frames.append(supervised(features, names, keys).withColumn("variant", F.lit(v)))
+        frames.append(checkpointed(supervised(features, names, keys).withColumn("variant", F.lit(v))))
     if common:
         from ..operators.healing import common_rows
 
         shared = common_rows(union(frames), [*keys, "ts"])
-        frames = [numbered(shared.filter(F.col("variant") == v).drop("row_id"), keys) for v in names_of]
+        frames = [checkpointed(numbered(shared.filter(F.col("variant") == v).drop("row_id"), keys)) for v in names_of]
     out = []
     for v, rows in zip(names_of, frames):
         n = rows.count()

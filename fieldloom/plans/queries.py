@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import sources
-from ..functions import student_t_critical, uniform
+from ..functions import checkpointed, student_t_critical, uniform
 from ..operators import attribution, episodes, features, healing, metrics, models, perturb, quality, reports, splits, stats, timegrid
 from . import protocols
 from .adapter import KEYS, events, merged, merged_by_channel, moisture, scored, table, valve
@@ -227,24 +227,26 @@ def _(spark, d):
 # ---- features ---------------------------------------------------------------------------
 
 
-def _feature_sql() -> dict[str, str]:
-    """Every feature's SQL by name."""
-    c, out = features.FeatureConfig(), {}
-    w = "OVER (ORDER BY ts)"
+def _feature_sql(c: features.FeatureConfig = features.FeatureConfig(), keys: str = "") -> dict[str, str]:
+    """Every feature's SQL by name, over a frame that numbers its rows as ``rn``; ``keys`` part the windows."""
+    out, part = {}, f"PARTITION BY {keys} " if keys else ""
+    w = f"OVER ({part}ORDER BY ts)"
 
     def roll(x, n, s):
-        over = f"OVER (ORDER BY ts ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+        over = f"OVER ({part}ORDER BY ts ROWS BETWEEN {n - 1 + c.causal_shift} PRECEDING AND {c.causal_shift} PRECEDING)"
         f = {"mean": "avg", "min": "min", "max": "max", "std": "stddev_samp"}[s]
-        return f"CASE WHEN count({x}) {over} >= {n} THEN {f}({x}) {over} END"
+        return f"CASE WHEN count({x}) {over} >= {n if c.require_full_window else 1} THEN {f}({x}) {over} END"
 
     for x, lags in ((features.MOISTURE, c.moisture_lags), *((x, c.weather_lags) for x in c.weather), (features.TARGET, c.target_lags)):
         out |= {f"{x}_lag{h}h": f"lag({x}, {h}) {w}" for h in lags}
-    out |= {f"soil_moisture_diff{h}h": f"lag(soil_moisture, 1) {w} - lag(soil_moisture, {1 + h}) {w}" for h in c.diff_hours}
+    shift = c.causal_shift
+    out |= {f"soil_moisture_diff{h}h": f"lag(soil_moisture, {shift}) {w} - lag(soil_moisture, {shift + h}) {w}" for h in c.diff_hours}
     out |= {f"soil_moisture_roll{n}h_{s}": roll("soil_moisture", n, s) for n in c.roll_hours for s in ("mean", "min", "max", "std")}
     out |= {f"{x}_roll{n}h_mean": roll(x, n, "mean") for x in c.weather for n in c.weather_roll_hours}
+    last = f"max(CASE WHEN irrigation_event = 1 THEN rn END) OVER ({part}ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND {shift} PRECEDING)"
     out |= {
-        "hour_sin": "sin(2 * pi() * hour(ts) / 24)", "hour_cos": "cos(2 * pi() * hour(ts) / 24)", "days_elapsed": "date_diff('second', min(ts) OVER (), ts) / 86400.0",
-        "hours_since_last_irrigation": f"row_number() {w} - max(CASE WHEN irrigation_event = 1 THEN rn END) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
+        "hour_sin": "sin(2 * pi() * hour(ts) / 24)", "hour_cos": "cos(2 * pi() * hour(ts) / 24)", "days_elapsed": f"date_diff('second', min(ts) OVER ({part}), ts) / 86400.0",
+        "hours_since_last_irrigation": f"rn - {last}",
     }
     return out
 
@@ -322,7 +324,7 @@ def _(spark, d):
 
 
 def assigned_rows(spark, d, k: int = 5) -> DataFrame:
-    rows = narrow_rows(spark, d).cache()
+    rows = checkpointed(narrow_rows(spark, d))
     return splits.assign(rows, splits.folds_frame(spark, splits.rolling_origin(rows.count(), k)))
 
 
@@ -409,7 +411,33 @@ def _(spark, d):
     return models.best_threshold(assigned_rows(spark, d), "soil_moisture_lag1h")
 
 
-@query("threshold_scores")
+def _newton_sql(feature: str, source: str = "ass") -> str:
+    """Ridge logistic fits of one feature, all folds together, by Newton steps in a recursive query."""
+    return f"""lx AS (SELECT fold, {feature} AS x, label AS y FROM {source} WHERE role = 'train'), ls AS (SELECT fold, avg(x) AS m, stddev_pop(x) AS s, avg(y) AS p FROM lx GROUP BY fold),
+lz AS (SELECT fold, (x - m) / s AS z, y FROM lx JOIN ls USING (fold)),
+nw AS (SELECT fold, 0 AS i, CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1 FROM ls UNION ALL
+  SELECT fold, i + 1, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+    SELECT fold, i, b0, b1, sum(q - y) AS g0, sum((q - y) * z) + b1 AS g1, sum(q * (1 - q)) + 1e-9 AS h00, sum(q * (1 - q) * z) AS h01, sum(q * (1 - q) * z * z) + 1.0 AS h11
+    FROM (SELECT nw.fold, i, b0, b1, z, y, 1 / (1 + exp(-(b0 + b1 * z))) AS q FROM nw JOIN lz USING (fold) WHERE i < 12) GROUP BY fold, i, b0, b1)),
+fit AS (SELECT fold, b0 - b1 * m / s AS b0, b1 / s AS b1, p FROM nw JOIN ls USING (fold) WHERE i = 12)"""
+
+
+def _cut_sql(feature: str, source: str = "ass") -> str:
+    """The best threshold of each fold."""
+    return f"""tr AS (SELECT fold, {feature} AS x, label AS y FROM {source} WHERE role = 'train'), tq AS (SELECT DISTINCT fold, unnest(quantile_cont(x, [{", ".join(repr(i / 199) for i in range(200))}])) AS c FROM tr GROUP BY fold),
+tg AS (SELECT fold, c, sum(CASE WHEN x < c THEN y ELSE 0 END) AS tp, count_if(x < c) AS pp, sum(y) AS pos FROM tq JOIN tr USING (fold) GROUP BY ALL),
+cut AS (SELECT fold, c FROM tg QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(CASE WHEN pp + pos > 0 THEN 2 * tp / (pp + pos) ELSE 0 END, 12) DESC, c) = 1)"""
+
+
+_EDGES = "greatest(least({}, 1 - 1e-6), 1e-6)"
+_MT_SQL = "SELECT fold, row_id, label, " + _EDGES.format("CASE WHEN p IN (0, 1) THEN p ELSE 1 / (1 + exp(-(b0 + b1 * {f}))) END") + " AS score, CAST({f} < c AS INT) AS predicted FROM {src} JOIN cut USING (fold) JOIN fit USING (fold) WHERE role = 'test'"
+
+
+@query(
+    "threshold_scores",
+    f"WITH RECURSIVE {ASSIGNED_SQL}, {_cut_sql('soil_moisture_lag1h')}, {_newton_sql('soil_moisture_lag1h')}, mt AS ({_MT_SQL.format(f='soil_moisture_lag1h', src='ass')}) "
+    "SELECT fold, row_id, CAST(label AS BIGINT) AS label, round(score, 6) AS score, CAST(predicted AS BIGINT) AS predicted FROM mt",
+)
 def _(spark, d):
     return models.moisture_threshold(assigned_rows(spark, d))
 
@@ -418,7 +446,8 @@ def _(spark, d):
 
 
 def results(spark, d) -> DataFrame:
-    return metrics.evaluate(scored(spark, d), ["model", "seed", "fold"])
+    """Metrics of every model, seed and fold: a small table, worked out once."""
+    return checkpointed(metrics.evaluate(scored(spark, d), ["model", "seed", "fold"]))
 
 
 _S = "mean, std, half_width, ci_low, ci_high"
@@ -611,20 +640,20 @@ b AS (SELECT ts, y FROM p WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY ts
 SELECT ts, round(coalesce(soil_moisture, v), 6) AS soil_moisture FROM merged LEFT JOIN f5 USING (ts)""",
 )
 def _(spark, d):
-    rows = merged(spark, d).select("ts", "soil_moisture", "air_temp", "humidity").cache()
+    rows = checkpointed(merged(spark, d).select("ts", "soil_moisture", "air_temp", "humidity"))
     return healing.knn_impute(rows, "soil_moisture", ["air_temp", "humidity"], ["ts"]).select("ts", "soil_moisture")
 
 
 @query("mice_impute")
 def _(spark, d):
-    rows = merged(spark, d).select("site", "ts", "soil_moisture", "air_temp", "humidity", "wind_speed").cache()
-    return healing.mice_impute(rows, ["soil_moisture", "air_temp", "humidity", "wind_speed"], rounds=3)
+    rows = checkpointed(merged(spark, d).select("site", "ts", "soil_moisture", "air_temp", "humidity", "wind_speed"))
+    return healing.mice_impute(rows, ["soil_moisture", "air_temp", "humidity", "wind_speed"])
 
 
 @query("robustness_variants")
 def _(spark, d):
-    rows = merged(spark, d).select("site", "ts", "soil_moisture", "air_temp", "humidity").cache()
-    return perturb.build_variants(rows, "soil_moisture", KEYS, ["soil_moisture", "air_temp", "humidity"], rounds=2)
+    rows = checkpointed(merged(spark, d).select("site", "ts", "soil_moisture", "air_temp", "humidity"))
+    return perturb.build_variants(rows, "soil_moisture", KEYS, ["soil_moisture", "air_temp", "humidity"])
 
 
 # ---- resampling, attribution ------------------------------------------------------------
@@ -639,10 +668,39 @@ def _(spark, d):
     return stats.block_indices(spark, 20, narrow_rows(spark, d).count(), 24)
 
 
-@query("bootstrap_ci")
+_BOOT_SQL = f"""{SUPERVISED_SQL}, n AS (SELECT count(*) AS n FROM sup), pr AS (SELECT row_id, label, -soil_moisture_lag1h AS a, irrigation_event_lag1h AS b FROM sup),
+bd AS (SELECT i AS iteration, k, CAST(floor({_U.format("CAST(i AS VARCHAR) || ':' || CAST(k AS VARCHAR)")} * (n - 24 + 1)) AS BIGINT) AS s, n FROM range(0, 10000) AS a(i), n, range(0, 100000) AS b(k) WHERE k < (n + 23) // 24),
+bw AS (SELECT iteration, s + o AS row_id, count(*) AS w FROM bd, range(0, 24) AS c(o) WHERE k * 24 + o < n GROUP BY ALL),
+bs AS (SELECT iteration, m, score, sum(CASE WHEN label = 1 THEN w ELSE 0 END) AS p, sum(CASE WHEN label = 1 THEN 0 ELSE w END) AS q FROM (
+  SELECT iteration, 'a' AS m, a AS score, label, w FROM bw JOIN pr USING (row_id) UNION ALL SELECT iteration, 'b', b, label, w FROM bw JOIN pr USING (row_id)) GROUP BY ALL),
+bc AS (SELECT *, sum(p) OVER (PARTITION BY iteration, m ORDER BY score DESC) AS tp FROM bs),
+ba AS (SELECT iteration, m, sum(q * (tp - p / 2.0)) / (sum(p) * sum(q)) AS auc FROM bc GROUP BY ALL HAVING sum(p) > 0 AND sum(q) > 0),
+bf AS (SELECT iteration, max(auc) FILTER (WHERE m = 'a') - max(auc) FILTER (WHERE m = 'b') AS d FROM ba GROUP BY iteration),
+os AS (SELECT m, score, sum(label) AS p, sum(1 - label) AS q FROM (SELECT 'a' AS m, a AS score, label FROM pr UNION ALL SELECT 'b', b, label FROM pr) GROUP BY ALL),
+oc AS (SELECT *, sum(p) OVER (PARTITION BY m ORDER BY score DESC) AS tp FROM os),
+oa AS (SELECT m, sum(q * (tp - p / 2.0)) / (sum(p) * sum(q)) AS auc FROM oc GROUP BY m),
+boot AS (SELECT (SELECT max(auc) FILTER (WHERE m = 'a') - max(auc) FILTER (WHERE m = 'b') FROM oa) AS difference, quantile_cont(d, 0.025) AS ci_low, quantile_cont(d, 0.975) AS ci_high,
+  least(1.0, 2 * least(avg(CAST(d <= 0 AS INT)), avg(CAST(d >= 0 AS INT)))) AS p_value, count(*) AS n_valid FROM bf)"""
+
+
+def _bootstrap(spark, d) -> DataFrame:
+    rows = narrow_rows(spark, d).select("row_id", "label", (-F.col("soil_moisture_lag1h")).alias("a"), F.col("irrigation_event_lag1h").alias("b"))
+    return stats.bootstrap_difference(rows)
+
+
+@query("bootstrap_ci", f"WITH {_BOOT_SQL} SELECT {_r('difference, ci_low, ci_high, p_value')}, n_valid FROM boot")
 def _(spark, d):
-    rows = narrow_rows(spark, d).select("row_id", "label", (-F.col("soil_moisture_lag1h")).alias("a"), F.col("irrigation_event_lag1h").alias("b")).cache()
-    return stats.bootstrap_difference(rows, iterations=200)
+    return _bootstrap(spark, d)
+
+
+@query(
+    "comparison_document",
+    f"""WITH {_BOOT_SQL} SELECT round(p_value, 6) AS p_value, CASE WHEN p_value < 0.05 THEN CASE WHEN difference > 0 THEN 'moisture' ELSE 'last state' END || ' is better (p ' || t || ')' ELSE 'no difference shown (p ' || t || ')' END AS interpretation
+FROM (SELECT *, CASE WHEN p_value < 0.0001 THEN '< 1e-04' ELSE printf('%.4f', p_value) END AS t FROM boot)""",
+)
+def _(spark, d):
+    named = _bootstrap(spark, d).withColumn("model_a", F.lit("moisture")).withColumn("model_b", F.lit("last state"))
+    return reports.comparison_document(named).select("p_value", "interpretation")
 
 
 def contributions(spark, d) -> DataFrame:
@@ -699,15 +757,15 @@ def _(spark, d):
 SMALL_TREES = {"n_estimators": 5, "max_depth": 3}
 
 
-def _ml_rows(spark, d) -> tuple[DataFrame, list]:
-    rows = narrow_rows(spark, d).repartition(4, "row_id").cache()
-    return rows, splits.rolling_origin(rows.count(), 2)
+def _ml_rows(spark, d, k: int = 5) -> tuple[DataFrame, list]:
+    rows = checkpointed(narrow_rows(spark, d).repartition(4, "row_id"))
+    return rows, splits.rolling_origin(rows.count(), k)
 
 
 @query("logistic_folds")
 def _(spark, d):
     rows, folds = _ml_rows(spark, d)
-    return protocols.evaluate(rows, folds, NARROW, [models.ModelSpec("logistic", {"max_iter": 50})])
+    return protocols.evaluate(rows, folds, NARROW, [models.ModelSpec("logistic")])
 
 
 @query("boosted_folds")
@@ -726,7 +784,7 @@ def _(spark, d):
 @query("best_against_baseline")
 def _(spark, d):
     rows, folds = _ml_rows(spark, d)
-    return protocols.compare_best(rows, folds, NARROW, [models.ModelSpec("gbt_a", SMALL_TREES)], [models.ModelSpec("logistic", {"max_iter": 50})], iterations=50)
+    return protocols.compare_best(rows, folds, NARROW, [models.ModelSpec("gbt_a", SMALL_TREES)], [models.ModelSpec("logistic")])
 
 
 # ---- report documents -------------------------------------------------------------------
@@ -750,3 +808,6 @@ def _(spark, d):
     rows = narrow_rows(spark, d).select("row_id", "label", (1 - F.col("soil_moisture_lag1h") / 100).alias("score"))
     doc = reports.explanation_manifest(contributions(spark, d), rows, features.blocks(), "linear", 0)
     return doc.select("model", "fold", F.to_json(F.struct("top_features", "importance", "instances")).alias("document"))
+
+
+from . import more_queries  # noqa: E402, F401 - registers the queries on sites, files and protocols
