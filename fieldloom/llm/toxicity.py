@@ -103,8 +103,8 @@ def bags(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndar
         where.append(word[:m][keep])
     out.append(K.span_hashes(flat, offs[:-1], offs[1:]) if n else np.zeros(0, np.uint64))
     where.append(np.arange(n))
-    bucket = (K.mix64(np.concatenate(out)) >> np.uint64(64 - BITS)).astype(np.int64)
-    word = np.concatenate(where)
+    bucket = (K.mix64(np.concatenate(out)) >> np.uint64(64 - BITS)).astype(np.int32)
+    word = np.concatenate(where).astype(np.int32)
     order = np.argsort(word, kind="stable")
     return bucket[order], word[order]
 
@@ -144,10 +144,12 @@ def _fit(bucket: np.ndarray, word: np.ndarray, n_words: int, doc_word: np.ndarra
     """Embeddings and softmax by Adam on the documents' likelihood; returns the log-odds of each bucket and a shift."""
     rng = np.random.default_rng(1)
     used, inner = np.unique(bucket, return_inverse=True)
+    inner = inner.astype(np.int32)
     offs = np.searchsorted(word, np.arange(n_words))
     size = np.bincount(word, minlength=n_words).astype(np.float32)[:, None]
     by_bucket = np.argsort(inner, kind="stable")
     starts, owner = np.searchsorted(inner[by_bucket], np.arange(len(used))), word[by_bucket]
+    del bucket, word, by_bucket
     params = [rng.normal(0, 0.3, (len(used), WIDTH)).astype(np.float32), rng.normal(0, 0.3, WIDTH).astype(np.float32), np.full(1, START, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for t in range(1, EPOCHS + 1):
