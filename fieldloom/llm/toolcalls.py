@@ -150,24 +150,25 @@ def problems(value: object, schema: dict, path: str = "$") -> list[str]:
 
 
 def _peel(rows):
-    """Resolves the calls of one block whose needs are met, and those that they meet, and so on."""
-    level = dict(zip(rows["call_id"], rows["level"]))
-    needs = {c: set(n) for c, n in zip(rows["call_id"], rows["needs"])}
-    waits: dict[str, list[str]] = {}
-    for c, n in needs.items():
+    """Resolves the calls of some blocks whose needs are met, and those that they meet, and so on."""
+    keys = list(zip(rows["conv_id"], rows["call_id"]))
+    level = dict(zip(keys, rows["level"]))
+    needs = {k: set(n) for k, n in zip(keys, rows["needs"])}
+    waits: dict[tuple, list[tuple]] = {}
+    for k, n in needs.items():
         for x in n:
-            waits.setdefault(x, []).append(c)
-    ready = [c for c, n in needs.items() if not n]
-    for c in ready:  # grows while it is read
-        for d in waits.get(c, ()):
-            level[d] = max(level[d], level[c] + 1)
-            needs[d].discard(c)
+            waits.setdefault((k[0], x), []).append(k)
+    ready = [k for k, n in needs.items() if not n]
+    for k in ready:  # grows while it is read
+        for d in waits.get(k, ()):
+            level[d] = max(level[d], level[k] + 1)
+            needs[d].discard(k[1])
             if not needs[d]:
                 ready.append(d)
     out = rows.copy()
-    out["level"] = [level[c] for c in rows["call_id"]]
-    out["needs"] = [sorted(needs[c]) for c in rows["call_id"]]
-    out["done"] = [not needs[c] for c in rows["call_id"]]
+    out["level"] = [level[k] for k in keys]
+    out["needs"] = [sorted(needs[k]) for k in keys]
+    out["done"] = [not needs[k] for k in keys]
     return out
 
 
@@ -177,11 +178,14 @@ def _levels(calls: DataFrame) -> DataFrame:
     needs = F.array_distinct(F.filter(F.coalesce("depends_on", F.array()), lambda x: x.isNotNull()))
     pending = calls.select(*key, block, needs.alias("needs"), F.lit(0).alias("level"))
     sizes = pending.groupBy("conv_id", "b").agg(F.ceil(F.count(F.lit(1)) / BLOCK_CALLS).alias("s"))
-    pending = pending.join(sizes, ["conv_id", "b"]).withColumn("s", F.pmod(F.xxhash64("call_id"), F.col("s")))
-    kind = "conv_id long, call_id string, b long, needs array<string>, level int, s long, done boolean"
+    # A task takes many small blocks at once, some BLOCK_CALLS calls; a block of more is dealt by id.
+    groups = max(1, calls.count() // BLOCK_CALLS)
+    salt = F.pmod(F.xxhash64("call_id"), F.col("s"))
+    pending = pending.join(sizes, ["conv_id", "b"]).select(*key, "needs", "level", F.pmod(F.xxhash64("conv_id", "b", salt), F.lit(groups)).alias("g"))
+    kind = "conv_id long, call_id string, needs array<string>, level int, g long, done boolean"
     found = None
     while True:
-        ran = checkpointed(pending.groupBy("conv_id", "b", "s").applyInPandas(_peel, kind))
+        ran = checkpointed(pending.groupBy("g").applyInPandas(_peel, kind))
         fresh, waiting = ran.filter("done").select(*key, "level"), ran.filter("not done").drop("done")
         found = fresh if found is None else found.union(fresh)
         if fresh.isEmpty() or waiting.isEmpty():
@@ -190,7 +194,7 @@ def _levels(calls: DataFrame) -> DataFrame:
         known = fresh.select("conv_id", F.col("call_id").alias("need"), F.col("level").alias("at"))
         met = asked.join(known, ["conv_id", "need"]).groupBy(*key).agg(F.collect_list("need").alias("met"), F.max("at").alias("at"))
         left = F.when(F.col("met").isNull(), F.col("needs")).otherwise(F.array_except("needs", "met"))
-        pending = waiting.join(met, key, "left").select(*key, "b", left.alias("needs"), F.greatest("level", F.coalesce(F.col("at") + 1, F.lit(0))).alias("level"), "s")
+        pending = waiting.join(met, key, "left").select(*key, left.alias("needs"), F.greatest("level", F.coalesce(F.col("at") + 1, F.lit(0))).alias("level"), "g")
 
 
 def _positions(calls: DataFrame) -> DataFrame:
