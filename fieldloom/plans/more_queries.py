@@ -314,10 +314,11 @@ def _(spark, d):
     "annotated_waterfall",
     f"""WITH {_CONTRIB_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(contribution) DESC, feature) AS k FROM ct), w AS (SELECT row_id, least(k, 3) AS place, min(feature) AS f, count(*) AS n, sum(contribution) AS c, min(value) AS v FROM r GROUP BY row_id, least(k, 3)),
 md AS ({" UNION ALL ".join(f"SELECT '{n}' AS f, quantile_cont({n}, 0.5) AS median FROM sup" for n in NARROW)})
-SELECT row_id, place, CASE WHEN place <= 2 THEN printf('%s = %.2f (median %.2f)', f, v + sign(v) * 1e-9, median + sign(median) * 1e-9) ELSE n || ' other features' END AS label, round(c, 6) AS contribution FROM w LEFT JOIN md USING (f)""",
+SELECT row_id, place, CASE WHEN place <= 2 THEN printf('%s = %.2f (median %.2f)', f, round(v, 6) + sign(v) * 1e-9, round(median, 6) + sign(median) * 1e-9) ELSE n || ' other features' END AS label, round(c, 6) AS contribution FROM w LEFT JOIN md USING (f)""",
 )
 def _(spark, d):
-    return attribution.annotated_waterfall(contributions(spark, d), attribution.column_medians(narrow_rows(spark, d), NARROW), 2)
+    values, medians = contributions(spark, d), attribution.column_medians(narrow_rows(spark, d), NARROW)
+    return attribution.annotated_waterfall(values.withColumn("value", F.round("value", 6)), medians.withColumn("median", F.round("median", 6)), 2)
 
 
 @query("tree_attribution")

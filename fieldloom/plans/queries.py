@@ -803,11 +803,22 @@ def _(spark, d):
     return doc.select(F.array_join(parts, ",").alias("by_fold"), F.array_join(F.transform("flagged_folds", lambda x: x.cast("string")), ",").alias("flagged"), "largest_episode", F.col("largest_episode_share.supervised").alias("share"))
 
 
-@query("explanation_manifest")
+@query(
+    "explanation_manifest",
+    f"""WITH {_CONTRIB_SQL}, imp AS (SELECT feature, avg(abs(contribution)) AS m FROM ct GROUP BY feature), sx AS (SELECT row_id, label, 1 - soil_moisture_lag1h / 100 AS score FROM sup),
+ins AS (SELECT 'true_positive' AS c, arg_min(row_id, (-score, row_id)) AS r FROM sx WHERE label = 1 AND score >= 0.5 UNION ALL SELECT 'false_positive', arg_min(row_id, (-score, row_id)) FROM sx WHERE label = 0 AND score >= 0.5
+UNION ALL SELECT 'borderline', arg_min(row_id, (abs(score - 0.5), row_id)) FROM sx)
+SELECT 'linear' AS model, CAST(0 AS BIGINT) AS fold, (SELECT string_agg(feature, ',' ORDER BY m DESC, feature) FROM (FROM imp ORDER BY m DESC, feature LIMIT 3)) AS top_features,
+(SELECT string_agg(feature, ',' ORDER BY m DESC, feature) FROM imp) AS importance, (SELECT string_agg(c || ':' || r, ',' ORDER BY c) FROM ins) AS instances""",
+)
 def _(spark, d):
     rows = narrow_rows(spark, d).select("row_id", "label", (1 - F.col("soil_moisture_lag1h") / 100).alias("score"))
     doc = reports.explanation_manifest(contributions(spark, d), rows, features.blocks(), "linear", 0)
-    return doc.select("model", "fold", F.to_json(F.struct("top_features", "importance", "instances")).alias("document"))
+    text = lambda c, f: F.array_join(F.transform(c, f), ",")
+    return doc.select(
+        "model", "fold", F.array_join("top_features", ",").alias("top_features"), text("importance", lambda x: x["feature"]).alias("importance"),
+        text("instances", lambda x: F.concat(x["case"], F.lit(":"), x["row_id"].cast("string"))).alias("instances"),
+    )
 
 
 from . import more_queries  # noqa: E402, F401 - registers the queries on sites, files and protocols

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +64,12 @@ def read_channels(spark: SparkSession, files: list[str]) -> dict[str, DataFrame]
     return {c: read_log(spark, f, c) for c, f in routed.items()}
 
 
+def read_folder(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The channels of all text and CSV logs in a folder; file names are listed by Spark, contents are not read for it."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,csv}").load(folder).select("path")
+    return read_channels(spark, [r["path"] for r in listed.collect()])  # one short row a file
+
+
 def weather_path(folder: str, lat: float, lon: float, start: str, end: str) -> str:
     """Where a landed weather file of a site and period lies; another site cannot match."""
     return f"{folder}/weather_{lat:.4f}_{lon:.4f}_{start}_{end}.json"
@@ -80,7 +87,11 @@ def weather_rows(documents: DataFrame, column: str = "value", fill: float = FILL
 
 def read_weather(spark: SparkSession, path: str, parameters: list[str]) -> DataFrame:
     """Weather wide by parameter; the first parameter's hours drive the rows, and a missing file is an error."""
-    rows = weather_rows(spark.read.text(path, wholetext=True))
+    try:
+        landed = spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no weather file at {path}: files are landed beforehand, nothing is downloaded") from e
+    rows = weather_rows(landed)
     hours = rows.filter(F.col("name") == parameters[0]).select("ts").distinct()
     wide = rows.groupBy("ts").pivot("name", parameters).agg(F.max("v"))
     return hours.join(wide, "ts", "left")
@@ -103,6 +114,11 @@ def read_merged(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(*[F.col(c).cast(t).alias(c) for c, t in MERGED])
 
 
+def unknown_hours(merged: DataFrame) -> int:
+    """Hours whose valve state is not known."""
+    return merged.filter(F.col("irrigation_event").isNull()).count()
+
+
 def write_table(df: DataFrame, path: str, kind: str = "parquet") -> str:
     w = df.write.mode("overwrite")
     w.csv(path, header=True) if kind == "csv" else w.parquet(path)

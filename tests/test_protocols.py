@@ -118,3 +118,31 @@ def test_chained_equations_equal_a_plain_loop(spark):
             beta = np.linalg.solve(g + 1e-6 * max(1.0, np.trace(g) / 3) * np.eye(3), z[known].T @ want[known, c])
             want[gap[:, c], c] = (z @ beta)[gap[:, c]]
     assert np.allclose([list(r)[1:] for r in got], want, atol=1e-9)
+
+
+def test_a_folder_of_logs_is_scanned_and_routed(spark, tmp_path):
+    from fieldloom import sources
+
+    (tmp_path / "Station MOISTURE a.csv").write_text("moisture,time_stamp\n74.29,12-Jul-2022 00:03:51\nbad,12-Jul-2022 00:23:51\n")
+    (tmp_path / "moisture_b.csv").write_text(" time_stamp , value \n2022-07-12 00:00:00,1.5\n")
+    (tmp_path / "valve.txt").write_text("relay,time_stamp\n1,12-Jul-2022 00:03:51\n")
+    (tmp_path / "flow.csv").write_text("1657584000,5\n".replace("1657584000,5", "t,litres\n1657584000,5"))
+    (tmp_path / "notes.md").write_text("not a log")
+    got = {c: [tuple(r) for r in f.collect()] for c, f in sources.read_folder(spark, str(tmp_path)).items()}
+    assert [v for _, v in got["soil_moisture"]] == [1.5] and [v for _, v in got["irrigation_event"]] == [1.0] and str(got["flow_l_cumulative"][0][0]) == "2022-07-12 00:00:00"
+    (tmp_path / "valve.txt").unlink()
+    with pytest.raises(ValueError):
+        sources.read_folder(spark, str(tmp_path))
+    with pytest.raises(FileNotFoundError):
+        sources.read_weather(spark, str(tmp_path / "none.json"), ["T2M"])
+
+
+def test_both_numeric_columns_need_one_that_reads_as_time(spark):
+    from fieldloom import sources
+
+    frame = lambda *rows: spark.createDataFrame(rows, "a string, b string")
+    assert sources.column_roles(frame(("5", "1657584000"))) == ("b", "a") and sources.column_roles(frame(("x", "y"))) == ("a", "b")
+    with pytest.raises(ValueError):
+        sources.column_roles(frame(("5", "6")))
+    with pytest.raises(ValueError):
+        sources.column_roles(frame(("5", "6")).withColumn("c", F.lit(1)))
