@@ -81,7 +81,8 @@ def _incomplete_beta(x: float, a: float, b: float) -> float:
     total = d
     for m in range(1, 500):
         before = total
-        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 / (1 + step * d or tiny)
             c = 1 + step / c or tiny
             total *= c * d

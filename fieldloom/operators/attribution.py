@@ -14,12 +14,15 @@ def mean_abs(contributions: DataFrame) -> DataFrame:
     return contributions.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"))
 
 
-def importance_table(contributions: DataFrame, feature_blocks: dict[str, list[str]], model: str, fold: int) -> DataFrame:
+def importance_table(contributions: DataFrame, feature_blocks: dict[str, list[str]], model: str,
+    fold: int) -> DataFrame:
     """Rank, mean absolute contribution and block of each feature."""
     pairs = [(n, b) for b, names in feature_blocks.items() for n in names]
     tags = contributions.sparkSession.createDataFrame(pairs, "feature string, block string")
-    ranked = mean_abs(contributions).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean_abs"), "feature")))  # one row a feature
-    return ranked.join(F.broadcast(tags), "feature", "left").select("rank", "feature", "mean_abs", "block", F.lit(model).alias("model"), F.lit(fold).alias("fold"))
+    ranked = mean_abs(contributions).withColumn("rank",
+        F.row_number().over(Window.orderBy(F.desc("mean_abs"), "feature")))  # one row a feature
+    return ranked.join(F.broadcast(tags), "feature", "left").select("rank", "feature", "mean_abs", "block",
+        F.lit(model).alias("model"), F.lit(fold).alias("fold"))
 
 
 def top_features(contributions: DataFrame, k: int = 3) -> DataFrame:
@@ -31,12 +34,15 @@ def waterfall(contributions: DataFrame, n: int) -> DataFrame:
     w = Window.partitionBy("row_id").orderBy(F.desc(F.abs("contribution")), "feature")
     ranked = contributions.withColumn("place", F.row_number().over(w))
     place = F.when(F.col("place") <= n, F.col("place")).otherwise(n + 1)
-    pooled = ranked.groupBy("row_id", place.alias("place")).agg(F.sum("contribution").alias("contribution"), F.count(F.lit(1)).alias("_n"), F.min("feature").alias("_f"))
-    name = F.when(F.col("place") <= n, F.col("_f")).otherwise(F.concat(F.col("_n").cast("string"), F.lit(" other features")))
+    pooled = ranked.groupBy("row_id", place.alias("place")).agg(F.sum("contribution").alias("contribution"),
+        F.count(F.lit(1)).alias("_n"), F.min("feature").alias("_f"))
+    name = F.when(F.col("place") <= n, F.col("_f")).otherwise(F.concat(F.col("_n").cast("string"),
+        F.lit(" other features")))
     return pooled.select("row_id", "place", name.alias("feature"), "contribution")
 
 
-def instances(scored: DataFrame, by: list[str], threshold: float = 0.5, label: str = "label", score: str = "score") -> DataFrame:
+def instances(scored: DataFrame, by: list[str], threshold: float = 0.5, label: str = "label",
+    score: str = "score") -> DataFrame:
     """The most confident true and false positive and the row nearest the threshold; the first row wins ties, a case without rows has none."""
     p = F.col(score)
     first = lambda cost: F.struct(cost.alias("cost"), F.col("row_id"), p.alias("score"))
@@ -46,14 +52,17 @@ def instances(scored: DataFrame, by: list[str], threshold: float = 0.5, label: s
         F.min(F.when(hit & (F.col(label) == 0), first(-p))).alias("false_positive"),
         F.min(first(F.abs(p - threshold))).alias("borderline"),
     )
-    cases = F.array(*[F.struct(F.lit(c).alias("case"), F.col(c).alias("x")) for c in ("true_positive", "false_positive", "borderline")])
-    return agg.select(*by, F.explode(cases).alias("c")).filter("c.x is not null").select(*by, "c.case", "c.x.row_id", "c.x.score")
+    cases = F.array(*[F.struct(F.lit(c).alias("case"), F.col(c).alias("x")) for c in ("true_positive", "false_positive",
+        "borderline")])
+    return agg.select(*by, F.explode(cases).alias("c")).filter("c.x is not null").select(*by, "c.case", "c.x.row_id",
+        "c.x.score")
 
 
 def linear_contributions(rows: DataFrame, names: list[str], coefficients: list[float]) -> DataFrame:
     """``coef * (x - mean)`` of each feature: exact for a linear score, and they sum to score minus base."""
     means = F.broadcast(rows.agg(*[F.avg(n).alias(f"_m_{n}") for n in names]))  # one row
-    parts = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value"), (F.lit(float(c)) * (F.col(n) - F.col(f"_m_{n}"))).alias("contribution")) for n, c in zip(names, coefficients)])
+    parts = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value"),
+        (F.lit(float(c)) * (F.col(n) - F.col(f"_m_{n}"))).alias("contribution")) for n, c in zip(names, coefficients)])
     return rows.join(means).select("row_id", F.explode(parts).alias("c")).select("row_id", "c.*")
 
 
@@ -123,11 +132,13 @@ def tree_contributions(model, rows: DataFrame, names: list[str], folder: str) ->
             x = frame[names].to_numpy(float)
             got = shapley(leaves.value, x)
             yield pd.DataFrame({
-                "row_id": np.repeat(frame["row_id"].to_numpy(), len(names)), "feature": np.tile(names, len(frame)), "value": x.ravel(),
+                "row_id": np.repeat(frame["row_id"].to_numpy(), len(names)), "feature": np.tile(names, len(frame)),
+                    "value": x.ravel(),
                 "contribution": got[:, :-1].ravel(), "base": np.repeat(got[:, -1], len(names)),
             })
 
-    return rows.select("row_id", *names).mapInPandas(run, "row_id long, feature string, value double, contribution double, base double")
+    return rows.select("row_id", *names).mapInPandas(run,
+        "row_id long, feature string, value double, contribution double, base double")
 
 
 def column_medians(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -139,6 +150,8 @@ def column_medians(rows: DataFrame, names: list[str]) -> DataFrame:
 def annotated_waterfall(contributions: DataFrame, medians: DataFrame, n: int) -> DataFrame:
     """Waterfall rows with the value and the training median in the label."""
     values = contributions.select("row_id", "feature", "value")
-    w = waterfall(contributions, n).join(values, ["row_id", "feature"], "left").join(F.broadcast(medians), "feature", "left")
-    text = F.when(F.col("value").isNotNull(), F.format_string("%s = %.2f (median %.2f)", "feature", "value", "median")).otherwise(F.col("feature"))
+    w = waterfall(contributions, n).join(values, ["row_id", "feature"], "left").join(F.broadcast(medians), "feature",
+        "left")
+    text = F.when(F.col("value").isNotNull(), F.format_string("%s = %.2f (median %.2f)", "feature", "value",
+        "median")).otherwise(F.col("feature"))
     return w.select("row_id", "place", text.alias("label"), "contribution")

@@ -21,7 +21,8 @@ def _on(c: str) -> Column:
 def with_labels(df: DataFrame, keys: list[str], target: str = "irrigation_event") -> DataFrame:
     """Adds ``episode``: the 0-based number of the ON run, NULL when not ON, and ``pos`` in the key."""
     w = by_time(keys)
-    starts = df.withColumn("pos", (F.row_number().over(w) - 1).cast("long")).withColumn("_start", _on(target) & ~F.coalesce(F.lag(_on(target)).over(w), F.lit(False)))
+    starts = df.withColumn("pos", (F.row_number().over(w) - 1).cast("long")).withColumn("_start",
+        _on(target) & ~F.coalesce(F.lag(_on(target)).over(w), F.lit(False)))
     number = F.sum(F.col("_start").cast("int")).over(w)
     return starts.withColumn("episode", F.when(_on(target), (number - 1).cast("long"))).drop("_start")
 
@@ -30,7 +31,8 @@ def episodes(df: DataFrame, keys: list[str], target: str = "irrigation_event") -
     """One row a maximal ON run: start, end (inclusive), length and times."""
     runs = with_labels(df, keys, target).filter("episode is not null")
     return runs.groupBy(*keys, "episode").agg(
-        F.min("pos").alias("start_index"), F.max("pos").alias("end_index"), F.count(F.lit(1)).alias("length_hours"), F.min("ts").alias("start_time"), F.max("ts").alias("end_time")
+        F.min("pos").alias("start_index"), F.max("pos").alias("end_index"), F.count(F.lit(1)).alias("length_hours"),
+            F.min("ts").alias("start_time"), F.max("ts").alias("end_time")
     )
 
 
@@ -40,10 +42,12 @@ def episode_summary(df: DataFrame, keys: list[str], target: str = "irrigation_ev
     n = F.col("length_hours")
     q = F.percentile(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     lengths = found.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_episodes"), F.min(n).alias("min_hours"), q[0].alias("q25_hours"), q[1].alias("median_hours"), q[2].alias("q75_hours"), F.max(n).alias("max_hours"),
+        F.count(F.lit(1)).alias("n_episodes"), F.min(n).alias("min_hours"), q[0].alias("q25_hours"),
+            q[1].alias("median_hours"), q[2].alias("q75_hours"), F.max(n).alias("max_hours"),
         F.avg(n).alias("mean_hours"), F.when(F.count(F.lit(1)) > 1, F.stddev_samp(n)).otherwise(0.0).alias("std_hours"),
     )
-    total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_hours"), F.count_if(_on(target)).alias("on_hours"), F.count_if(F.col(target).isNull()).alias("unknown_hours"))
+    total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_hours"), F.count_if(_on(target)).alias("on_hours"),
+        F.count_if(F.col(target).isNull()).alias("unknown_hours"))
     return total.join(lengths, keys, "left").withColumn("n_episodes", F.coalesce("n_episodes", F.lit(0)))
 
 
@@ -52,10 +56,13 @@ def bin_labels(edges: tuple[int, ...] = EDGES) -> list[str]:
     return [*names, f"{edges[-1]}+"]
 
 
-def episode_histogram(df: DataFrame, keys: list[str], target: str = "irrigation_event", edges: tuple[int, ...] = EDGES) -> DataFrame:
+def episode_histogram(df: DataFrame, keys: list[str], target: str = "irrigation_event",
+    edges: tuple[int, ...] = EDGES) -> DataFrame:
     """Episodes by duration bin, empty bins included: one pass of conditional counts, then unpivoted."""
     n = F.col("length_hours")
-    bins = [F.struct(F.lit(i).alias("bin"), F.lit(label).alias("label"), F.count_if((n >= a) & ((n < edges[i + 1]) if i + 1 < len(edges) else F.lit(True))).alias("n")) for i, (a, label) in enumerate(zip(edges, bin_labels(edges)))]
+    bins = [F.struct(F.lit(i).alias("bin"), F.lit(label).alias("label"),
+        F.count_if((n >= a) & ((n < edges[i + 1]) if i + 1 < len(edges) else F.lit(True))).alias("n")) for i,
+        (a, label) in enumerate(zip(edges, bin_labels(edges)))]
     counted = episodes(df, keys, target).groupBy(*keys).agg(F.array(*bins).alias("b"))
     return counted.select(*keys, F.explode("b").alias("b")).select(*keys, "b.*")
 
@@ -69,5 +76,7 @@ def onset(keys: list[str], target: str = "irrigation_event", shift: int = 1) ->
 def dominance(labels: DataFrame, group: list[str], episode: str = "episode") -> DataFrame:
     """Largest share of one episode among a group's ON hours; NULL without any."""
     sizes = labels.groupBy(*group, episode).agg(F.count(episode).alias("_n"))
-    out = sizes.groupBy(*group).agg(F.max("_n").alias("_m"), F.sum("_n").alias("_s"), F.count_if(F.col(episode).isNotNull()).alias("n_episodes"))
-    return out.select(*group, F.when(F.col("_s") > 0, F.col("_m") / F.col("_s")).alias("dominance"), F.col("_m").alias("largest_episode"), "n_episodes")
+    out = sizes.groupBy(*group).agg(F.max("_n").alias("_m"), F.sum("_n").alias("_s"),
+        F.count_if(F.col(episode).isNotNull()).alias("n_episodes"))
+    return out.select(*group, F.when(F.col("_s") > 0, F.col("_m") / F.col("_s")).alias("dominance"),
+        F.col("_m").alias("largest_episode"), "n_episodes")

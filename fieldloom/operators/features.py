@@ -60,7 +60,8 @@ def with_hours_since_on(df: DataFrame, keys: list[str], target: str = TARGET, sh
     """Adds hours since the last ON hour at least ``shift`` hours ago; NULL before the first."""
     w = by_time(keys)
     at = df.withColumn("_pos", F.row_number().over(w))
-    last = F.last(F.when(F.col(target) == 1, F.col("_pos")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -shift))
+    last = F.last(F.when(F.col(target) == 1, F.col("_pos")),
+        ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -shift))
     return at.withColumn("hours_since_last_irrigation", (F.col("_pos") - last).cast("double")).drop("_pos")
 
 
@@ -68,20 +69,26 @@ def calendar(keys: list[str]) -> list[Column]:
     """Hour of day on the circle, and days since the key's first row."""
     angle = F.hour("ts") * F.lit(2 * math.pi / 24)
     first = F.min("ts").over(Window.partitionBy(*keys))
-    return [F.sin(angle).alias("hour_sin"), F.cos(angle).alias("hour_cos"), (F.timestamp_diff("SECOND", first, F.col("ts")) / 86400.0).alias("days_elapsed")]
+    return [F.sin(angle).alias("hour_sin"), F.cos(angle).alias("hour_cos"),
+        (F.timestamp_diff("SECOND", first, F.col("ts")) / 86400.0).alias("days_elapsed")]
 
 
 def blocks(config: FeatureConfig = FeatureConfig()) -> dict[str, list[str]]:
     """Feature names by block, in order; no data is read."""
     c = config
-    moisture = [f"{MOISTURE}_lag{h}h" for h in c.moisture_lags] + [f"{MOISTURE}_diff{h}h" for h in c.diff_hours] + [f"{MOISTURE}_roll{w}h_{s}" for w in c.roll_hours for s in ("mean", "min", "max", "std")]
-    weather = [n for x in c.weather for n in (*[f"{x}_lag{h}h" for h in c.weather_lags], *[f"{x}_roll{w}h_mean" for w in c.weather_roll_hours])]
-    return {"moisture": moisture, "weather": weather, "calendar": ["hour_sin", "hour_cos", "days_elapsed"], "irrigation": [*[f"{TARGET}_lag{h}h" for h in c.target_lags], "hours_since_last_irrigation"]}
+    moisture = [f"{MOISTURE}_lag{h}h" for h in c.moisture_lags] + [f"{MOISTURE}_diff{h}h"
+        for h in c.diff_hours] + [f"{MOISTURE}_roll{w}h_{s}" for w in c.roll_hours for s in ("mean", "min", "max",
+        "std")]
+    weather = [n for x in c.weather for n in (*[f"{x}_lag{h}h" for h in c.weather_lags],
+        *[f"{x}_roll{w}h_mean" for w in c.weather_roll_hours])]
+    return {"moisture": moisture, "weather": weather, "calendar": ["hour_sin", "hour_cos", "days_elapsed"],
+        "irrigation": [*[f"{TARGET}_lag{h}h" for h in c.target_lags], "hours_since_last_irrigation"]}
 
 
 def assert_allowed(names: list[str], config: FeatureConfig = FeatureConfig()) -> None:
     """No forbidden column and nothing derived from one may be a feature."""
-    bad = [n for n in names for f in (*config.forbidden, TARGET, MOISTURE, *config.weather) if n == f or (f in config.forbidden and n.startswith(f"{f}_"))]
+    bad = [n for n in names for f in (*config.forbidden, TARGET, MOISTURE,
+        *config.weather) if n == f or (f in config.forbidden and n.startswith(f"{f}_"))]
     if bad:
         raise ValueError(f"forbidden features: {sorted(set(bad))}")
 
@@ -90,20 +97,25 @@ def ablation_sets(config: FeatureConfig = FeatureConfig()) -> dict[str, list[str
     """Nested sets of one matrix: A moisture, B + weather, C + calendar, D + irrigation; E weather alone."""
     b = blocks(config)
     a = b["moisture"]
-    return {"A": a, "B": a + b["weather"], "C": a + b["weather"] + b["calendar"], "D": [n for part in b.values() for n in part], "E": list(b["weather"])}
+    return {"A": a, "B": a + b["weather"], "C": a + b["weather"] + b["calendar"],
+        "D": [n for part in b.values() for n in part], "E": list(b["weather"])}
 
 
-def build_features(df: DataFrame, keys: list[str], config: FeatureConfig = FeatureConfig()) -> tuple[DataFrame, dict[str, list[str]]]:
+def build_features(df: DataFrame, keys: list[str], config: FeatureConfig = FeatureConfig()) -> tuple[DataFrame,
+    dict[str, list[str]]]:
     """All features beside the key, time and target. One window order, so one sort for a key."""
     lost = [x for x in ("ts", MOISTURE, TARGET, *config.weather) if x not in df.columns]
     if lost:
         raise ValueError(f"missing columns {lost}")
     c, shift = config, config.causal_shift
     base = with_hours_since_on(df, keys, shift=shift)
-    exprs: list[Column] = [lag(MOISTURE, h, keys) for h in c.moisture_lags] + [diff(MOISTURE, h, keys, shift) for h in c.diff_hours]
-    exprs += [rolling(MOISTURE, w, s, keys, shift, c.require_full_window) for w in c.roll_hours for s in ("mean", "min", "max", "std")]
+    exprs: list[Column] = [lag(MOISTURE, h, keys) for h in c.moisture_lags] + [diff(MOISTURE, h, keys,
+        shift) for h in c.diff_hours]
+    exprs += [rolling(MOISTURE, w, s, keys, shift, c.require_full_window) for w in c.roll_hours for s in ("mean", "min",
+        "max", "std")]
     for x in c.weather:
-        exprs += [lag(x, h, keys) for h in c.weather_lags] + [rolling(x, w, "mean", keys, shift, c.require_full_window) for w in c.weather_roll_hours]
+        exprs += [lag(x, h, keys) for h in c.weather_lags] + [rolling(x, w, "mean", keys, shift,
+            c.require_full_window) for w in c.weather_roll_hours]
     exprs += calendar(keys) + [lag(TARGET, h, keys) for h in c.target_lags]
     out = base.select(*keys, "ts", TARGET, *exprs, "hours_since_last_irrigation")
     named = blocks(config)
@@ -121,16 +133,20 @@ def numbered(rows: DataFrame, keys: list[str], out: str = "row_id") -> DataFrame
     before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     own = F.row_number().over(Window.partitionBy("_day").orderBy("ts", *keys))
-    return rows.withColumn("_own", own).join(F.broadcast(starts), "_day").withColumn(out, (F.col("_start") + F.col("_own") - 1).cast("long")).drop("_day", "_own", "_start")
+    return rows.withColumn("_own", own).join(F.broadcast(starts), "_day").withColumn(out,
+        (F.col("_start") + F.col("_own") - 1).cast("long")).drop("_day", "_own", "_start")
 
 
 def supervised(features: DataFrame, names: list[str], keys: list[str], target: str = TARGET) -> DataFrame:
     """Rows without NULL among the chosen features and target, numbered by time over all keys."""
-    rows = features.select(*keys, "ts", F.col(target).cast("int").alias("label"), *names).dropna(subset=["label", *names])
+    rows = features.select(*keys, "ts", F.col(target).cast("int").alias("label"),
+        *names).dropna(subset=["label", *names])
     return numbered(rows, keys)
 
 
-def closed_before(df: DataFrame, named: dict[str, list[str]], target: str = TARGET) -> tuple[DataFrame, dict[str, list[str]]]:
+def closed_before(df: DataFrame, named: dict[str, list[str]], target: str = TARGET) -> tuple[DataFrame,
+    dict[str, list[str]]]:
     """Rows that were OFF an hour ago, without the then constant column."""
     constant = f"{target}_lag1h"
-    return df.filter(F.col(constant) == 0).drop(constant), {k: [n for n in v if n != constant] for k, v in named.items()}
+    return df.filter(F.col(constant) == 0).drop(constant), {k: [n for n in v if n != constant] for k,
+        v in named.items()}

@@ -15,9 +15,11 @@ def interpolate(df: DataFrame, column: str, keys: list[str], out: str | None = N
     before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     d = df.withColumn("_pos", F.row_number().over(w))
     known = F.when(F.col(column).isNotNull(), F.struct(F.col("_pos").alias("p"), F.col(column).alias("v")))
-    d = d.withColumn("_a", F.last(known, ignorenulls=True).over(before)).withColumn("_b", F.first(known, ignorenulls=True).over(after))
+    d = d.withColumn("_a", F.last(known, ignorenulls=True).over(before)).withColumn("_b",
+        F.first(known, ignorenulls=True).over(after))
     share = (F.col("_pos") - F.col("_a.p")) / (F.col("_b.p") - F.col("_a.p"))
-    filled = F.coalesce(F.col(column), F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * share, F.col("_a.v"), F.col("_b.v"))
+    filled = F.coalesce(F.col(column), F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * share, F.col("_a.v"),
+        F.col("_b.v"))
     return d.withColumn(out or column, filled).drop("_pos", "_a", "_b")
 
 
@@ -41,43 +43,58 @@ def with_ewm(df: DataFrame, column: str, keys: list[str], span: int, out: str, c
     step = lambda state, x: F.when(
         x.isNull(), F.struct(state["y"].alias("y"), (state["s"] * (1 - alpha)).alias("s"))
     ).when(state["y"].isNull(), F.struct(x.alias("y"), F.lit(1.0).alias("s"))).otherwise(
-        F.struct(((state["s"] * (1 - alpha) * state["y"] + alpha * x) / (state["s"] * (1 - alpha) + alpha)).alias("y"), F.lit(1.0).alias("s"))
+        F.struct(((state["s"] * (1 - alpha) * state["y"] + alpha * x) / (state["s"] * (1 - alpha) + alpha)).alias("y"),
+            F.lit(1.0).alias("s"))
     )
     empty = F.struct(F.lit(None).cast("double").alias("y"), F.lit(1.0).alias("s"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_pos", F.col(column).cast("double").alias("x")))), lambda r: r["x"])
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_pos", F.col(column).cast("double").alias("x")))),
+        lambda r: r["x"])
     chunks = d.groupBy(*keys, "_c").agg(ordered.alias("xs"), F.min("_pos").alias("_lo"))
     # Carry: the state at each chunk's start, folded over what the chunks before it hold.
     # What a chunk does to (y, s) is affine in y once it knows how its first value weighs.
-    first = F.filter(F.transform("xs", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda r: r["x"].isNotNull())[0]
+    first = F.filter(F.transform("xs", lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
+        lambda r: r["x"].isNotNull())[0]
     chunks = chunks.withColumn("_n", F.size("xs")).withColumn("_f", first["i"])
-    tail = F.aggregate(F.expr("slice(xs, _f + 1, _n)"), F.struct(F.lit(0.0).alias("k"), F.lit(0.0).alias("y"), F.lit(1.0).alias("s"), F.lit(False).alias("on")), lambda a, x: F.when(
+    tail = F.aggregate(F.expr("slice(xs, _f + 1, _n)"),
+        F.struct(F.lit(0.0).alias("k"), F.lit(0.0).alias("y"), F.lit(1.0).alias("s"), F.lit(False).alias("on")),
+        lambda a, x: F.when(
         ~a["on"], F.struct(F.lit(1.0).alias("k"), F.lit(0.0).alias("y"), F.lit(1.0).alias("s"), F.lit(True).alias("on"))
-    ).when(x.isNull(), F.struct(a["k"].alias("k"), a["y"].alias("y"), (a["s"] * (1 - alpha)).alias("s"), F.lit(True).alias("on"))).otherwise(F.struct(
+    ).when(x.isNull(), F.struct(a["k"].alias("k"), a["y"].alias("y"), (a["s"] * (1 - alpha)).alias("s"),
+        F.lit(True).alias("on"))).otherwise(F.struct(
         (a["k"] * a["s"] * (1 - alpha) / (a["s"] * (1 - alpha) + alpha)).alias("k"),
-        ((a["s"] * (1 - alpha) * a["y"] + alpha * x) / (a["s"] * (1 - alpha) + alpha)).alias("y"), F.lit(1.0).alias("s"), F.lit(True).alias("on"),
+        ((a["s"] * (1 - alpha) * a["y"] + alpha * x) / (a["s"] * (1 - alpha) + alpha)).alias("y"),
+            F.lit(1.0).alias("s"), F.lit(True).alias("on"),
     )))
     # After the chunk: y = k * y_at_first + add, with y_at_first from the state before and the first value.
     chunks = chunks.withColumn("_t", F.when(F.col("_f").isNotNull(), tail)).withColumn("_x0", first["x"])
     order = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    info = F.collect_list(F.struct("_n", "_f", "_x0", F.col("_t.k").alias("k"), F.col("_t.y").alias("add"), F.col("_t.s").alias("s1"))).over(order)
-    carry = lambda a, c: F.when(c["_f"].isNull(), F.struct(a["y"].alias("y"), (a["s"] * F.pow(F.lit(1 - alpha), c["_n"])).alias("s"))).otherwise(F.struct(
+    info = F.collect_list(F.struct("_n", "_f", "_x0", F.col("_t.k").alias("k"), F.col("_t.y").alias("add"),
+        F.col("_t.s").alias("s1"))).over(order)
+    carry = lambda a, c: F.when(c["_f"].isNull(), F.struct(a["y"].alias("y"),
+        (a["s"] * F.pow(F.lit(1 - alpha), c["_n"])).alias("s"))).otherwise(F.struct(
         (c["k"] * F.when(a["y"].isNull(), c["_x0"]).otherwise(
-            (a["s"] * F.pow(F.lit(1 - alpha), c["_f"] + 1) * a["y"] + alpha * c["_x0"]) / (a["s"] * F.pow(F.lit(1 - alpha), c["_f"] + 1) + alpha)
+            (a["s"] * F.pow(F.lit(1 - alpha), c["_f"] + 1) * a["y"] + alpha * c["_x0"])
+                / (a["s"] * F.pow(F.lit(1 - alpha), c["_f"] + 1) + alpha)
         ) + c["add"]).alias("y"), c["s1"].alias("s")))
     chunks = chunks.withColumn("_state", F.aggregate(F.coalesce(info, F.array()), empty, carry))
-    scan = F.aggregate("xs", F.struct(F.col("_state").alias("st"), F.array().cast("array<double>").alias("ys")), lambda a, x: F.struct(step(a["st"], x).alias("st"), F.concat(a["ys"], F.array(step(a["st"], x)["y"])).alias("ys")))
-    values = chunks.select(*keys, "_lo", F.posexplode(scan["ys"]).alias("_i", out)).select(*keys, (F.col("_lo") + F.col("_i")).alias("_pos"), out)
+    scan = F.aggregate("xs", F.struct(F.col("_state").alias("st"), F.array().cast("array<double>").alias("ys")),
+        lambda a, x: F.struct(step(a["st"], x).alias("st"),
+        F.concat(a["ys"], F.array(step(a["st"], x)["y"])).alias("ys")))
+    values = chunks.select(*keys, "_lo", F.posexplode(scan["ys"]).alias("_i", out)).select(*keys,
+        (F.col("_lo") + F.col("_i")).alias("_pos"), out)
     return d.join(values, [*keys, "_pos"]).drop("_pos", "_c")
 
 
-def compensate_drift(df: DataFrame, column: str, keys: list[str], window_hours: int = 24, out: str | None = None) -> DataFrame:
+def compensate_drift(df: DataFrame, column: str, keys: list[str], window_hours: int = 24,
+    out: str | None = None) -> DataFrame:
     """Baseline = smoothed rolling minimum above its own lowest value; subtracted, then kept in [0, 100]."""
     d = with_ewm(df.withColumn("_min", centred_min(column, keys, window_hours)), "_min", keys, window_hours, "_base")
     floor = F.min("_base").over(Window.partitionBy(*keys))
     return d.withColumn(out or column, clip(F.col(column) - (F.col("_base") - floor), 0.0, 100.0)).drop("_min", "_base")
 
 
-def knn_impute(df: DataFrame, target: str, features: list[str], ident: list[str], k: int = 5, max_queries: int = 20_000) -> DataFrame:
+def knn_impute(df: DataFrame, target: str, features: list[str], ident: list[str], k: int = 5,
+    max_queries: int = 20_000) -> DataFrame:
     """Mean of the k nearest donors on the co-present features (distance rescaled by their share).
 
     Rows to fill are broadcast to the donors in blocks of about ``max_queries``, so any number is
@@ -88,28 +105,33 @@ def knn_impute(df: DataFrame, target: str, features: list[str], ident: list[str]
     q = queries.select(*[F.col(c).alias(f"q_{c}") for c in ident], *[F.col(f).alias(f"q_{f}") for f in features])
     donors = df.filter(F.col(target).isNotNull()).select(*[F.col(c).alias(f"d_{c}") for c in ident], target, *features)
     both = [F.col(f"q_{f}").isNotNull() & F.col(f).isNotNull() for f in features]
-    square = sum((F.when(b, F.pow(F.col(f"q_{f}") - F.col(f), F.lit(2.0))).otherwise(0.0) for b, f in zip(both, features)), F.lit(0.0))
+    square = sum((F.when(b, F.pow(F.col(f"q_{f}") - F.col(f), F.lit(2.0))).otherwise(0.0) for b,
+        f in zip(both, features)), F.lit(0.0))
     present = sum((b.cast("int") for b in both), F.lit(0))
     names = [f"q_{c}" for c in ident]
     own = Window.partitionBy(*names).orderBy("_d", *[f"d_{c}" for c in ident])
     filled = None
     for i in range(blocks):
         block = q.filter(F.pmod(F.xxhash64(*names), F.lit(blocks)) == i)
-        near = donors.join(F.broadcast(block), F.lit(True)).withColumn("_d", F.when(present > 0, F.sqrt(square * len(features) / present))).filter("_d is not null")
+        near = donors.join(F.broadcast(block), F.lit(True)).withColumn("_d",
+            F.when(present > 0, F.sqrt(square * len(features) / present))).filter("_d is not null")
         best = near.withColumn("_r", F.row_number().over(own)).filter(F.col("_r") <= k)
-        means = best.groupBy(*names).agg(F.avg(target).alias("_v")).select(*[F.col(n).alias(c) for n, c in zip(names, ident)], "_v")
+        means = best.groupBy(*names).agg(F.avg(target).alias("_v")).select(*[F.col(n).alias(c) for n,
+            c in zip(names, ident)], "_v")
         filled = means if filled is None else filled.union(means)
     return df.join(filled, ident, "left").withColumn(target, F.coalesce(target, "_v")).drop("_v")
 
 
-def mice_impute(df: DataFrame, columns: list[str], rounds: int = 10, tolerance: float = 1e-3, ridge: float = 1e-6) -> DataFrame:
+def mice_impute(df: DataFrame, columns: list[str], rounds: int = 10, tolerance: float = 1e-3,
+    ridge: float = 1e-6) -> DataFrame:
     """Chained equations: each column is regressed on the others, from one distributed Gram aggregate a column and round.
 
     The driver solves a system as wide as the column list and nothing else; known cells never change.
     Each round ends with a checkpoint, so the plan does not grow.
     """
     filled = {c: f"_f_{c}" for c in columns}
-    first = df.agg(*[F.avg(c).alias(c) for c in columns], *[F.count_if(F.col(c).isNull()).alias(f"_n_{c}") for c in columns]).first()
+    first = df.agg(*[F.avg(c).alias(c) for c in columns],
+        *[F.count_if(F.col(c).isNull()).alias(f"_n_{c}") for c in columns]).first()
     gappy = [c for c in columns if first[f"_n_{c}"]]
     d = df.select("*", *[F.coalesce(F.col(c), F.lit(first[c])).cast("double").alias(n) for c, n in filled.items()])
     for _ in range(rounds if gappy else 0):
@@ -117,7 +139,8 @@ def mice_impute(df: DataFrame, columns: list[str], rounds: int = 10, tolerance:
         for c in gappy:
             x = [F.lit(1.0), *[F.col(filled[o]) for o in columns if o != c]]
             pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
-            sums = d.filter(F.col(c).isNotNull()).agg(*[F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i, j in pairs], *[F.sum(x[i] * F.col(c)).alias(f"b{i}") for i in range(len(x))]).first()
+            sums = d.filter(F.col(c).isNotNull()).agg(*[F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i, j in pairs],
+                *[F.sum(x[i] * F.col(c)).alias(f"b{i}") for i in range(len(x))]).first()
             gram = np.zeros((len(x), len(x)))
             for i, j in pairs:
                 gram[i, j] = gram[j, i] = sums[f"g{i}_{j}"] or 0.0
@@ -126,10 +149,12 @@ def mice_impute(df: DataFrame, columns: list[str], rounds: int = 10, tolerance:
             guess = sum((F.lit(float(b)) * v for b, v in zip(beta, x)), F.lit(0.0))
             d = d.withColumn(filled[c], F.when(F.col(c).isNotNull(), F.col(c)).otherwise(guess))
         d = checkpointed(d)
-        change = d.agg(F.greatest(F.lit(0.0), *[F.max(F.abs(F.col(filled[c]) - F.col(f"_was_{c}"))) for c in gappy])).first()[0]
+        change = d.agg(F.greatest(F.lit(0.0), *[F.max(F.abs(F.col(filled[c]) - F.col(f"_was_{c}")))
+            for c in gappy])).first()[0]
         if change < tolerance:
             break
-    return d.select(*[(F.coalesce(F.col(c), F.col(filled[c])).alias(c) if c in columns else F.col(c)) for c in df.columns])
+    return d.select(*[(F.coalesce(F.col(c), F.col(filled[c])).alias(c) if c in columns else F.col(c))
+        for c in df.columns])
 
 
 def signal_quality(variants: DataFrame, reference: str, column: str, on: list[str]) -> DataFrame:
@@ -140,10 +165,13 @@ def signal_quality(variants: DataFrame, reference: str, column: str, on: list[st
     both = x.isNotNull() & r.isNotNull()
     d = F.when(both, x - r)
     s = j.groupBy("variant").agg(
-        F.corr(F.when(both, x), F.when(both, r)).alias("corr"), F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.count_if(x.isNull()).alias("n_missing"), F.count_if(both).alias("n_compared")
+        F.corr(F.when(both, x), F.when(both, r)).alias("corr"), F.avg(F.abs(d)).alias("mae"),
+            F.sqrt(F.avg(d * d)).alias("rmse"), F.count_if(x.isNull()).alias("n_missing"),
+            F.count_if(both).alias("n_compared")
     )
     enough = F.col("n_compared") >= 2
-    return s.select("variant", *[F.when(enough, F.col(c)).alias(c) for c in ("corr", "mae", "rmse")], "n_missing", "n_compared")
+    return s.select("variant", *[F.when(enough, F.col(c)).alias(c) for c in ("corr", "mae", "rmse")], "n_missing",
+        "n_compared")
 
 
 def healing_quality(clean: DataFrame, corrupted: DataFrame, healed: DataFrame, column: str, on: list[str]) -> DataFrame:
@@ -153,7 +181,8 @@ def healing_quality(clean: DataFrame, corrupted: DataFrame, healed: DataFrame, c
     hit = F.col("c").isNull() | (F.abs(F.col("c") - F.col("x")) > 1e-6)
     ok = hit & F.col("x").isNotNull() & F.col("h").isNotNull()
     x, e = F.when(ok, F.col("x")), F.when(ok, F.col("h") - F.col("x"))
-    s = j.agg(F.count_if(hit).alias("n_corrupted"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.sum(e * e).alias("_sse"), (F.var_pop(x) * F.count(x)).alias("_sst"))
+    s = j.agg(F.count_if(hit).alias("n_corrupted"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
+        F.sum(e * e).alias("_sse"), (F.var_pop(x) * F.count(x)).alias("_sst"))
     return s.withColumn("r2", F.when(F.col("_sst") > 0, 1 - F.col("_sse") / F.col("_sst"))).drop("_sse", "_sst")
 
 

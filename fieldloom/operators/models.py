@@ -33,7 +33,8 @@ def require_column(df: DataFrame, column: str, model: str) -> None:
 def majority(rows: DataFrame) -> DataFrame:
     """The training rate of each fold as score; its class where it is over a half."""
     prior = F.broadcast(rows.filter("role = 'train'").groupBy("fold").agg(F.avg("label").alias("_p")))  # one row a fold
-    return rows.filter("role = 'test'").join(prior, "fold").withColumn("score", _rate(F.col("_p"))).withColumn("predicted", (F.col("_p") > 0.5).cast("int")).select(*KEPT)
+    return rows.filter("role = 'test'").join(prior, "fold").withColumn("score",
+        _rate(F.col("_p"))).withColumn("predicted", (F.col("_p") > 0.5).cast("int")).select(*KEPT)
 
 
 def persistence(rows: DataFrame, lag_feature: str = "irrigation_event_lag1h") -> DataFrame:
@@ -44,8 +45,10 @@ def persistence(rows: DataFrame, lag_feature: str = "irrigation_event_lag1h") ->
     after = train.groupBy("fold", state).agg(F.avg("label").alias("_after"))
     prior = train.groupBy("fold").agg(F.avg("label").alias("_p"))
     test = rows.filter("role = 'test'").withColumn("_state", state)
-    j = test.join(F.broadcast(after), ["fold", "_state"], "left").join(F.broadcast(prior), "fold")  # two rows and one row a fold
-    return j.withColumn("score", _rate(F.coalesce("_after", "_p"))).withColumn("predicted", F.col("_state").cast("int")).select(*KEPT)
+    j = test.join(F.broadcast(after), ["fold", "_state"], "left").join(F.broadcast(prior),
+        "fold")  # two rows and one row a fold
+    return j.withColumn("score", _rate(F.coalesce("_after", "_p"))).withColumn("predicted",
+        F.col("_state").cast("int")).select(*KEPT)
 
 
 def best_threshold(rows: DataFrame, feature: str, candidates: int = 200) -> DataFrame:
@@ -54,18 +57,23 @@ def best_threshold(rows: DataFrame, feature: str, candidates: int = 200) -> Data
     Each row is counted once, by the first candidate above it; running sums over the candidates
     then give the confusion cells of all of them.
     """
-    train = rows.filter("role = 'train'").select("fold", F.col(feature).alias("x"), F.col("label").alias("y")).filter("x is not null")
+    train = rows.filter("role = 'train'").select("fold", F.col(feature).alias("x"),
+        F.col("label").alias("y")).filter("x is not null")
     share = F.array(*[F.lit(i / (candidates - 1)) for i in range(candidates)])
-    cuts = train.groupBy("fold").agg(F.array_sort(F.array_distinct(F.percentile("x", share))).alias("cuts"), F.sum("y").alias("_pos"))
+    cuts = train.groupBy("fold").agg(F.array_sort(F.array_distinct(F.percentile("x", share))).alias("cuts"),
+        F.sum("y").alias("_pos"))
     # A row belongs to the first candidate above it: as many candidates lie at or below it.
-    at = train.join(F.broadcast(cuts.select("fold", "cuts")), "fold").withColumn("k", F.size(F.filter("cuts", lambda c: c <= F.col("x"))))  # one row a fold
+    at = train.join(F.broadcast(cuts.select("fold", "cuts")), "fold").withColumn("k",
+        F.size(F.filter("cuts", lambda c: c <= F.col("x"))))  # one row a fold
     binned = at.groupBy("fold", "k").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
     grid = cuts.select("fold", "_pos", F.posexplode("cuts").alias("k", "threshold"))
     w = Window.partitionBy("fold").orderBy("k")
-    run = grid.join(binned, ["fold", "k"], "left").withColumn("tp", F.sum(F.coalesce("p", F.lit(0))).over(w)).withColumn("all", F.sum(F.coalesce("n", F.lit(0))).over(w))
+    run = grid.join(binned, ["fold", "k"], "left").withColumn("tp",
+        F.sum(F.coalesce("p", F.lit(0))).over(w)).withColumn("all", F.sum(F.coalesce("n", F.lit(0))).over(w))
     f1 = F.when(F.col("all") + F.col("_pos") > 0, 2 * F.col("tp") / (F.col("all") + F.col("_pos"))).otherwise(0.0)
     scored = run.withColumn("f1", f1)
-    return scored.groupBy("fold").agg(F.min_by("threshold", F.struct(-F.col("f1"), "k")).alias("threshold"), F.max("f1").alias("f1"))
+    return scored.groupBy("fold").agg(F.min_by("threshold", F.struct(-F.col("f1"), "k")).alias("threshold"),
+        F.max("f1").alias("f1"))
 
 
 def moisture_threshold(rows: DataFrame, feature: str = "soil_moisture_lag1h", candidates: int = 200) -> DataFrame:
@@ -73,15 +81,19 @@ def moisture_threshold(rows: DataFrame, feature: str = "soil_moisture_lag1h", ca
     require_column(rows, feature, "moisture_threshold")
     cut = best_threshold(rows, feature, candidates)
     fits = logistic_1d(rows.filter("role = 'train'"), "fold", feature)
-    j = rows.filter("role = 'test'").join(F.broadcast(cut), "fold").join(F.broadcast(fits), "fold")  # one row a fold each
+    j = rows.filter("role = 'test'").join(F.broadcast(cut), "fold").join(F.broadcast(fits),
+        "fold")  # one row a fold each
     p = F.lit(1.0) / (1.0 + F.exp(-(F.col("b0") + F.col("b1") * F.col(feature))))
-    return j.withColumn("predicted", (F.col(feature) < F.col("threshold")).cast("int")).withColumn("score", _rate(F.when(F.col("constant").isNotNull(), F.col("constant")).otherwise(p))).select(*KEPT)
+    return j.withColumn("predicted", (F.col(feature) < F.col("threshold")).cast("int")).withColumn("score",
+        _rate(F.when(F.col("constant").isNotNull(), F.col("constant")).otherwise(p))).select(*KEPT)
 
 
 def logistic_1d(train: DataFrame, key: str, feature: str, steps: int = 12) -> DataFrame:
     """(key, b0, b1, constant) of a logistic fit by Newton's method, one aggregate a step for all keys together; ``constant`` if a key has one class."""
-    x = train.select(key, F.col(feature).cast("double").alias("x"), F.col("label").cast("double").alias("y")).filter("x is not null")
-    stats = x.groupBy(key).agg(F.avg("y").alias("p"), F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.count(F.lit(1)).alias("n")).collect()
+    x = train.select(key, F.col(feature).cast("double").alias("x"),
+        F.col("label").cast("double").alias("y")).filter("x is not null")
+    stats = x.groupBy(key).agg(F.avg("y").alias("p"), F.avg("x").alias("m"), F.stddev_pop("x").alias("s"),
+        F.count(F.lit(1)).alias("n")).collect()
     state = {r[key]: [0.0, 0.0] for r in stats}
     info = {r[key]: r for r in stats}
     spark = train.sparkSession
@@ -93,11 +105,14 @@ def logistic_1d(train: DataFrame, key: str, feature: str, steps: int = 12) -> Da
         z = (F.col("x") - F.col("_m")) / F.col("_s")
         p = 1 / (1 + F.exp(-(F.col("_b0") + F.col("_b1") * z)))
         w = p * (1 - p)
-        g = x.join(at, key).groupBy(key).agg(*[F.sum(e).alias(n) for n, e in (("g0", p - F.col("y")), ("g1", (p - F.col("y")) * z), ("h00", w), ("h01", w * z), ("h11", w * z * z))]).collect()
+        g = x.join(at, key).groupBy(key).agg(*[F.sum(e).alias(n) for n,
+            e in (("g0", p - F.col("y")), ("g1", (p - F.col("y")) * z), ("h00", w), ("h01", w * z),
+            ("h11", w * z * z))]).collect()
         move = 0.0
         for r in g:
             b = state[r[key]]
-            g0, g1, h00, h01, h11 = r["g0"], r["g1"] + b[1], r["h00"] + 1e-9, r["h01"], r["h11"] + 1.0  # unit ridge on the slope
+            g0, g1, h00, h01, h11 = r["g0"], r["g1"] + b[1], r["h00"] + 1e-9, r["h01"], r[
+                "h11"] + 1.0  # unit ridge on the slope
             det = h00 * h11 - h01 * h01
             d0, d1 = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det
             b[0], b[1] = b[0] - d0, b[1] - d1
@@ -161,13 +176,15 @@ class ModelSpec:
     def estimator(self, n_train: int):
         """An unfitted estimator: L2 with C = 1 as 1/n, or boosted trees in one of two profiles."""
         if self.name == "logistic":
-            return LogisticRegression(maxIter=int(self.params.get("max_iter", 1000)), regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False)
+            return LogisticRegression(maxIter=int(self.params.get("max_iter", 1000)), regParam=1.0 / max(n_train, 1),
+                elasticNetParam=0.0, standardization=False)
         p = {**DEFAULTS, **PROFILES[self.name], **translated(self.name, self.params)}
         if lost := sorted(set(p) - {*DEFAULTS, *PROFILES[self.name]}):
             raise ValueError(f"{self.name} has no parameters {lost}")
         least = p["min_child_weight" if self.name == "gbt_a" else "min_child_samples"]
         return GBTClassifier(
-            maxIter=p["n_estimators"], maxDepth=min(p["max_depth"], 30), stepSize=p["learning_rate"], minInstancesPerNode=least,
+            maxIter=p["n_estimators"], maxDepth=min(p["max_depth"], 30), stepSize=p["learning_rate"],
+                minInstancesPerNode=least,
             subsamplingRate=p["subsample"], featureSubsetStrategy=p["features"], maxBins=p["bins"], seed=self.seed,
         )
 
@@ -188,18 +205,23 @@ class Fitted:
     def prepared(self, rows: DataFrame) -> DataFrame:
         if not self.scale:
             return rows
-        return rows.select(*[c for c in rows.columns if c not in self.scale], *[((F.coalesce(F.col(n).cast("double"), F.lit(med)) - mean) / std).alias(n) for n, (med, mean, std) in self.scale.items()])
+        return rows.select(*[c for c in rows.columns if c not in self.scale],
+            *[((F.coalesce(F.col(n).cast("double"), F.lit(med)) - mean) / std).alias(n) for n,
+            (med, mean, std) in self.scale.items()])
 
     def transform(self, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
         if self.model is None:
-            return rows.withColumn("score", F.lit(self.constant)).withColumn("predicted", F.lit(int(self.constant > 0.5)))
+            return rows.withColumn("score", F.lit(self.constant)).withColumn("predicted",
+                F.lit(int(self.constant > 0.5)))
         out = self.model.transform(self.prepared(rows))
-        return out.withColumn("score", vector_to_array("probability")[1]).withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("features", "rawPrediction", "probability", "prediction")
+        return out.withColumn("score", vector_to_array("probability")[1]).withColumn("predicted",
+            (F.col("score") >= threshold).cast("int")).drop("features", "rawPrediction", "probability", "prediction")
 
 
 def fit(spec: ModelSpec, train: DataFrame, names: list[str]) -> Fitted:
     """Fits on training rows only; the linear model gets medians for NULL and standardised features."""
-    stats = train.agg(F.count(F.lit(1)).alias("_n"), F.avg("label").alias("_p"), *[F.percentile(n, F.lit(0.5)).alias(f"med_{n}") for n in names]).first()
+    stats = train.agg(F.count(F.lit(1)).alias("_n"), F.avg("label").alias("_p"),
+        *[F.percentile(n, F.lit(0.5)).alias(f"med_{n}") for n in names]).first()
     if not stats["_n"]:
         raise ValueError("no training rows")
     if stats["_p"] in (0.0, 1.0):
@@ -207,7 +229,8 @@ def fit(spec: ModelSpec, train: DataFrame, names: list[str]) -> Fitted:
     scale = {}
     if spec.name == "logistic":
         filled = {n: F.coalesce(F.col(n).cast("double"), F.lit(stats[f"med_{n}"] or 0.0)) for n in names}
-        m = train.agg(*[F.avg(c).alias(f"m_{n}") for n, c in filled.items()], *[F.stddev_pop(c).alias(f"s_{n}") for n, c in filled.items()]).first()
+        m = train.agg(*[F.avg(c).alias(f"m_{n}") for n, c in filled.items()],
+            *[F.stddev_pop(c).alias(f"s_{n}") for n, c in filled.items()]).first()
         scale = {n: (float(stats[f"med_{n}"] or 0.0), m[f"m_{n}"], m[f"s_{n}"] or 1.0) for n in names}
     fitted = Fitted(names, scale, None, None)
     stages = [VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep"), spec.estimator(stats["_n"])]

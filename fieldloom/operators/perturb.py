@@ -23,13 +23,15 @@ def mask_at_random(df: DataFrame, column: str, rate: float, key: list[str], seed
     return df.withColumn(column, F.when(uniform(seed, *key) >= rate, F.col(column)))
 
 
-def mask_in_heat(df: DataFrame, column: str, rate: float, key: list[str], seed: int = 42, covariate: str = "air_temp", midpoint: float = 35.0, slope: float = 0.3) -> DataFrame:
+def mask_in_heat(df: DataFrame, column: str, rate: float, key: list[str], seed: int = 42, covariate: str = "air_temp",
+    midpoint: float = 35.0, slope: float = 0.3) -> DataFrame:
     """Sets a value to NULL with a probability that rises with a covariate and averages ``rate``; never where that is unknown."""
     _check(rate)
     raw = logistic(F.lit(slope) * (F.col(covariate) - midpoint))
     mean = F.broadcast(df.agg(F.avg(raw).alias("_mean")))  # one row
     p = clip(raw * F.lit(rate) / F.col("_mean"), 0.0, 1.0)
-    return df.join(mean).withColumn(column, F.when(F.coalesce(uniform(seed, *key) >= p, F.lit(True)), F.col(column))).drop("_mean")
+    return df.join(mean).withColumn(column, F.when(F.coalesce(uniform(seed, *key) >= p, F.lit(True)),
+        F.col(column))).drop("_mean")
 
 
 def reset_intervals(df: DataFrame, keys: list[str], shortest: int = 35, longest: int = 40, seed: int = 42) -> DataFrame:
@@ -38,10 +40,12 @@ def reset_intervals(df: DataFrame, keys: list[str], shortest: int = 35, longest:
     each = n.withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor(F.col("_n") / shortest).cast("int") + 1)))
     length = F.lit(shortest) + F.floor(uniform(seed, *keys, "_k") * (longest - shortest + 1))
     w = by_time(keys, "_k").rowsBetween(Window.unboundedPreceding, -1)
-    return each.withColumn("start", F.coalesce(F.sum(length).over(w), F.lit(0)).cast("long")).filter(F.col("start") < F.col("_n")).select(*keys, "start")
+    return each.withColumn("start", F.coalesce(F.sum(length).over(w),
+        F.lit(0)).cast("long")).filter(F.col("start") < F.col("_n")).select(*keys, "start")
 
 
-def add_ramp(df: DataFrame, column: str, keys: list[str], a: float = 5.545, b: float = 0.08, seed: int = 42, conductivity: float | None = None, factor: float = 0.0, scale: float = 1.0) -> DataFrame:
+def add_ramp(df: DataFrame, column: str, keys: list[str], a: float = 5.545, b: float = 0.08, seed: int = 42,
+    conductivity: float | None = None, factor: float = 0.0, scale: float = 1.0) -> DataFrame:
     """Adds ``a (1 - exp(-b t))``, t rows since the last restart; NULL stays NULL."""
     pos = df.withColumn("_pos", (F.row_number().over(by_time(keys)) - 1).cast("long"))
     marks = reset_intervals(df, keys, seed=seed).withColumn("_reset", F.col("start")).withColumnRenamed("start", "_pos")
@@ -58,7 +62,8 @@ def peak(a: float = 5.545, b: float = 0.08, rows: int = 39) -> float:
     return a * (1 - math.exp(-b * rows))
 
 
-def build_variants(clean: DataFrame, column: str, keys: list[str], impute: list[str], rate: float = 0.2, seed: int = 42, rounds: int = 10) -> DataFrame:
+def build_variants(clean: DataFrame, column: str, keys: list[str], impute: list[str], rate: float = 0.2, seed: int = 42,
+    rounds: int = 10) -> DataFrame:
     """clean, masked, corrupted (masked and ramped), healed (imputed) and compensated frames as one, by ``variant``.
 
     The target and the flow meter never take part in imputation.
@@ -72,7 +77,8 @@ def build_variants(clean: DataFrame, column: str, keys: list[str], impute: list[
     healed = mice_impute(corrupted, impute, rounds)
     compensated = compensate_drift(healed, column, keys)
     out = None
-    for name, d in (("clean", clean), ("masked", masked), ("corrupted", corrupted), ("healed", healed), ("compensated", compensated)):
+    for name, d in (("clean", clean), ("masked", masked), ("corrupted", corrupted), ("healed", healed),
+        ("compensated", compensated)):
         part = d.select(F.lit(name).alias("variant"), *clean.columns)
         out = part if out is None else out.unionByName(part)
     return out

@@ -53,24 +53,30 @@ def assign(rows: DataFrame, folds: DataFrame) -> DataFrame:
     train = (r >= F.col("train_lo")) & (r < F.col("train_hi"))
     test = (r >= F.col("test_lo")) & (r < F.col("test_hi"))
     joined = rows.join(F.broadcast(folds), train | test)
-    return joined.withColumn("role", F.when(train, "train").otherwise("test")).drop("train_lo", "train_hi", "test_lo", "test_hi")
+    return joined.withColumn("role", F.when(train, "train").otherwise("test")).drop("train_lo", "train_hi", "test_lo",
+        "test_hi")
 
 
-def describe(assigned: DataFrame, label: str = "label", episode: str | None = None, min_positives: int = 5, max_share: float = 0.5) -> DataFrame:
+def describe(assigned: DataFrame, label: str = "label", episode: str | None = None, min_positives: int = 5,
+    max_share: float = 0.5) -> DataFrame:
     """Sizes, positives, rates, periods and, if episodes are given, the dominance of each fold's test rows."""
     train, test, y = F.col("role") == "train", F.col("role") == "test", F.col(label) == 1
     by = assigned.groupBy("fold").agg(
-        F.count_if(train).alias("n_train"), F.count_if(test).alias("n_test"), F.count_if(train & y).alias("train_positive"), F.count_if(test & y).alias("test_positive"),
+        F.count_if(train).alias("n_train"), F.count_if(test).alias("n_test"),
+            F.count_if(train & y).alias("train_positive"), F.count_if(test & y).alias("test_positive"),
         F.min(F.when(train, F.col("ts"))).alias("train_start"), F.max(F.when(train, F.col("ts"))).alias("train_end"),
         F.min(F.when(test, F.col("ts"))).alias("test_start"), F.max(F.when(test, F.col("ts"))).alias("test_end"),
     )
-    out = by.withColumn("train_rate", F.col("train_positive") / F.col("n_train")).withColumn("test_rate", F.col("test_positive") / F.col("n_test"))
-    out = out.withColumn("sufficient_positives", (F.col("train_positive") >= min_positives) & (F.col("test_positive") >= min_positives))
+    out = by.withColumn("train_rate", F.col("train_positive") / F.col("n_train")).withColumn("test_rate",
+        F.col("test_positive") / F.col("n_test"))
+    out = out.withColumn("sufficient_positives", (F.col("train_positive") >= min_positives)
+        & (F.col("test_positive") >= min_positives))
     if episode:
         from .episodes import dominance
 
         d = dominance(assigned.filter(test).select("fold", episode), ["fold"], episode)
-        out = out.join(d, "fold", "left").withColumn("dominated", F.coalesce(F.col("dominance") > max_share, F.lit(False)))
+        out = out.join(d, "fold", "left").withColumn("dominated",
+            F.coalesce(F.col("dominance") > max_share, F.lit(False)))
     return out
 
 
@@ -80,4 +86,5 @@ def dominated_folds(table: DataFrame) -> DataFrame:
 
 def rate_spread(table: DataFrame, limit: float = 0.25) -> DataFrame:
     """Spread of the test rates, and whether it asks for a warning."""
-    return table.agg((F.max("test_rate") - F.min("test_rate")).alias("spread")).withColumn("warn", F.col("spread") > limit)
+    return table.agg((F.max("test_rate") - F.min("test_rate")).alias("spread")).withColumn("warn",
+        F.col("spread") > limit)

@@ -20,7 +20,8 @@ MAX_DF = 200
 
 def t_value(n: Column, confidence: float = 0.95) -> Column:
     """Critical value of Student's t for ``n`` replicates: a table built on the driver, and the expansion around the normal value."""
-    table = F.create_map(*[F.lit(x) for x in chain.from_iterable((df, student_t_critical(confidence, df)) for df in range(1, MAX_DF + 1))])
+    table = F.create_map(*[F.lit(x) for x in chain.from_iterable((df,
+        student_t_critical(confidence, df)) for df in range(1, MAX_DF + 1))])
     z, df = NormalDist().inv_cdf((1 + confidence) / 2), n - 1
     terms = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384]
     series = F.lit(z) + sum((F.lit(c) / F.pow(df, F.lit(float(k))) for k, c in enumerate(terms, 1)), F.lit(0.0))
@@ -29,7 +30,8 @@ def t_value(n: Column, confidence: float = 0.95) -> Column:
 
 def wide_summary(results: DataFrame, by: list[str], metrics: tuple[str, ...]) -> DataFrame:
     """One row a model: ``<metric>_mean`` and ``<metric>_std`` of each metric."""
-    return results.groupBy(*by).agg(*[f(m).alias(f"{m}_{n}") for m in metrics for n, f in (("mean", F.avg), ("std", F.stddev_samp))])
+    return results.groupBy(*by).agg(*[f(m).alias(f"{m}_{n}") for m in metrics for n,
+        f in (("mean", F.avg), ("std", F.stddev_samp))])
 
 
 def unpivot(df: DataFrame, keys: list[str], metrics: tuple[str, ...] = METRICS) -> DataFrame:
@@ -37,18 +39,22 @@ def unpivot(df: DataFrame, keys: list[str], metrics: tuple[str, ...] = METRICS)
     return df.unpivot(keys, list(metrics), "metric", "value")
 
 
-def summarise(long: DataFrame, by: list[str], confidence: float = 0.95, bounds: tuple[float, float] | None = (0.0, 1.0), value: str = "value") -> DataFrame:
+def summarise(long: DataFrame, by: list[str], confidence: float = 0.95, bounds: tuple[float, float] | None = (0.0, 1.0),
+    value: str = "value") -> DataFrame:
     """Mean, deviation, t interval (clipped), half-width (not clipped), n, and whether the replicates all agree."""
     x = F.col(value)
     finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     v = F.when(finite, x)
     s = long.groupBy(*by).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("_std"), F.count(v).alias("n"))
     std = F.when(F.col("n") < 2, None).when(F.col("_std") <= NO_SPREAD, 0.0).otherwise(F.col("_std"))
-    s = s.withColumn("std", std).withColumn("half_width", F.when(F.col("n") >= 2, t_value(F.col("n"), confidence) * F.col("std") / F.sqrt("n")))
+    s = s.withColumn("std", std).withColumn("half_width",
+        F.when(F.col("n") >= 2, t_value(F.col("n"), confidence) * F.col("std") / F.sqrt("n")))
     low, high = F.col("mean") - F.col("half_width"), F.col("mean") + F.col("half_width")
     if bounds:
-        low, high = F.when(low.isNotNull(), F.greatest(low, F.lit(bounds[0]))), F.when(high.isNotNull(), F.least(high, F.lit(bounds[1])))
-    return s.withColumn("ci_low", low).withColumn("ci_high", high).withColumn("degenerate", F.when(F.col("n") >= 2, F.col("std") == 0)).drop("_std")
+        low, high = F.when(low.isNotNull(), F.greatest(low, F.lit(bounds[0]))), F.when(high.isNotNull(),
+            F.least(high, F.lit(bounds[1])))
+    return s.withColumn("ci_low", low).withColumn("ci_high", high).withColumn("degenerate",
+        F.when(F.col("n") >= 2, F.col("std") == 0)).drop("_std")
 
 
 def aggregate_runs(results: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
@@ -56,7 +62,9 @@ def aggregate_runs(results: DataFrame, metrics: tuple[str, ...] = METRICS) -> Da
     long = unpivot(results, ["model", "seed", "fold"], metrics)
     mean = lambda level: long.groupBy("model", "metric", level).agg(F.avg("value").alias("value"))
     folds = summarise(mean("fold"), ["model", "metric"]).withColumnRenamed("n", "n_folds")
-    seeds = summarise(mean("seed"), ["model", "metric"]).select("model", "metric", F.col("mean").alias("seed_mean"), F.col("std").alias("seed_std"), F.col("n").alias("n_seeds"), F.col("degenerate").alias("deterministic_across_seeds"))
+    seeds = summarise(mean("seed"), ["model", "metric"]).select("model", "metric", F.col("mean").alias("seed_mean"),
+        F.col("std").alias("seed_std"), F.col("n").alias("n_seeds"),
+        F.col("degenerate").alias("deterministic_across_seeds"))
     return folds.join(seeds, ["model", "metric"])
 
 
@@ -81,32 +89,44 @@ def sensitivity(per_fold: DataFrame, excluded: DataFrame, metrics: tuple[str, ..
     """Each (protocol, model, metric) over all folds and without the excluded ones (``protocol, fold``), with the change."""
     long = unpivot(per_fold, ["protocol", "model", "fold"], metrics)
     marks = F.broadcast(excluded.select("protocol", "fold").distinct().withColumn("_out", F.lit(True)))  # a few folds
-    both = long.join(marks, ["protocol", "fold"], "left").withColumn("subset", F.explode(F.when(F.col("_out"), F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("reduced")))))
+    both = long.join(marks, ["protocol", "fold"], "left").withColumn("subset",
+        F.explode(F.when(F.col("_out"), F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("reduced")))))
     s = summarise(both, ["protocol", "model", "metric", "subset"])
-    names = excluded.groupBy("protocol").agg(F.array_join(F.transform(F.array_sort(F.collect_set("fold")), lambda x: x.cast("string")), ",").alias("_names"))
-    whole = F.max(F.when(F.col("subset") == "all", F.col("mean"))).over(Window.partitionBy("protocol", "model", "metric"))
-    out = s.withColumn("delta", F.when(F.col("subset") == "reduced", F.col("mean") - whole)).join(names, "protocol", "left")
-    return out.withColumn("excluded_folds", F.when(F.col("subset") == "reduced", F.coalesce("_names", F.lit(""))).otherwise("")).drop("_names")
+    names = excluded.groupBy("protocol").agg(F.array_join(F.transform(F.array_sort(F.collect_set("fold")),
+        lambda x: x.cast("string")), ",").alias("_names"))
+    whole = F.max(F.when(F.col("subset") == "all", F.col("mean"))).over(Window.partitionBy("protocol", "model",
+        "metric"))
+    out = s.withColumn("delta", F.when(F.col("subset") == "reduced", F.col("mean") - whole)).join(names, "protocol",
+        "left")
+    return out.withColumn("excluded_folds", F.when(F.col("subset") == "reduced",
+        F.coalesce("_names", F.lit(""))).otherwise("")).drop("_names")
 
 
 def ranking_preserved(summary: DataFrame, metric: str) -> DataFrame:
     """By protocol: is the order of models by mean the same in both subsets?"""
-    order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("mean")).alias("m"), "model"))), lambda x: x["model"]), ">")
+    order = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("mean")).alias("m"), "model"))),
+        lambda x: x["model"]), ">")
     by = summary.filter(F.col("metric") == metric).groupBy("protocol", "subset").agg(order.alias("o"))
-    return by.groupBy("protocol").agg(F.max(F.when(F.col("subset") == "all", F.col("o"))).alias("all_order"), F.max(F.when(F.col("subset") == "reduced", F.col("o"))).alias("reduced_order")).withColumn("preserved", F.col("all_order") == F.col("reduced_order"))
+    return by.groupBy("protocol").agg(F.max(F.when(F.col("subset") == "all", F.col("o"))).alias("all_order"),
+        F.max(F.when(F.col("subset") == "reduced", F.col("o"))).alias("reduced_order")).withColumn("preserved",
+        F.col("all_order") == F.col("reduced_order"))
 
 
 def against_baselines(summary: DataFrame, baselines: list[str]) -> DataFrame:
     """By (model, metric): the best main model's mean and the difference to it (smaller is better for Brier)."""
     sign = F.when(F.col("metric") == "brier", -1.0).otherwise(1.0)
     main = summary.filter(~F.col("model").isin(baselines))
-    best = main.groupBy("metric").agg(F.max_by("model", F.struct(sign * F.col("mean"), F.col("model"))).alias("best_model"), F.max_by("mean", F.struct(sign * F.col("mean"), F.col("model"))).alias("best_mean"))
-    return summary.join(F.broadcast(best), "metric").withColumn("delta", F.col("mean") - F.col("best_mean")).withColumn("is_baseline", F.col("model").isin(baselines))
+    best = main.groupBy("metric").agg(F.max_by("model",
+        F.struct(sign * F.col("mean"), F.col("model"))).alias("best_model"),
+        F.max_by("mean", F.struct(sign * F.col("mean"), F.col("model"))).alias("best_mean"))
+    return summary.join(F.broadcast(best), "metric").withColumn("delta",
+        F.col("mean") - F.col("best_mean")).withColumn("is_baseline", F.col("model").isin(baselines))
 
 
 def pivot_folds(results: DataFrame, metric: str, folds: list[int]) -> DataFrame:
     """Model by fold."""
-    return results.groupBy("model").pivot("fold", folds).agg(F.avg(metric)).select("model", *[F.col(str(f)).alias(f"fold_{f}") for f in folds])
+    return results.groupBy("model").pivot("fold", folds).agg(F.avg(metric)).select("model",
+        *[F.col(str(f)).alias(f"fold_{f}") for f in folds])
 
 
 def joined_delta(a: DataFrame, b: DataFrame, on: list[str], value: str, names: tuple[str, str]) -> DataFrame:
@@ -122,20 +142,25 @@ def intervals_overlap(summary: DataFrame, by: list[str]) -> DataFrame:
 
 def leakage_verdict(summary: DataFrame, limit: float = 0.9) -> DataFrame:
     """The worst score of the control set, and whether it says that something leaks."""
-    return summary.agg(F.max("mean").alias("worst"), F.max_by("model", F.struct("mean", "model")).alias("model")).withColumn("verdict", F.when(F.col("worst") > limit, "leak suspected").otherwise("no leak seen"))
+    return summary.agg(F.max("mean").alias("worst"), F.max_by("model",
+        F.struct("mean", "model")).alias("model")).withColumn("verdict",
+        F.when(F.col("worst") > limit, "leak suspected").otherwise("no leak seen"))
 
 
 def block_indices(spark, iterations: int, n: int, block: int, seed: int = 42) -> DataFrame:
     """(iteration, place, row_id): rows drawn by whole blocks until there are n, the same in any partitioning."""
     block = max(1, min(block, n))
     starts = -(-n // block)
-    drawn = spark.range(iterations * starts).select(F.expr(f"id div {starts}").alias("iteration"), (F.col("id") % starts).alias("_k"))
+    drawn = spark.range(iterations * starts).select(F.expr(f"id div {starts}").alias("iteration"),
+        (F.col("id") % starts).alias("_k"))
     start = F.floor(uniform(seed, "iteration", "_k") * (n - block + 1))
     rows = drawn.withColumn("_start", start).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
-    return rows.select("iteration", (F.col("_k") * block + F.col("_o")).alias("place"), (F.col("_start") + F.col("_o")).alias("row_id")).filter(F.col("place") < n)
+    return rows.select("iteration", (F.col("_k") * block + F.col("_o")).alias("place"),
+        (F.col("_start") + F.col("_o")).alias("row_id")).filter(F.col("place") < n)
 
 
-def bootstrap_difference(paired: DataFrame, iterations: int = 10_000, block: int = 24, confidence: float = 0.95, seed: int = 42, metric: str = "roc_auc") -> DataFrame:
+def bootstrap_difference(paired: DataFrame, iterations: int = 10_000, block: int = 24, confidence: float = 0.95,
+    seed: int = 42, metric: str = "roc_auc") -> DataFrame:
     """Paired moving-block bootstrap of ``metric`` between scores ``a`` and ``b`` (columns row_id, label, a, b).
 
     A draw is kept as a count for each of its distinct rows; an iteration with one class is left out.
@@ -147,14 +172,22 @@ def bootstrap_difference(paired: DataFrame, iterations: int = 10_000, block: int
     n = paired.count()
     if paired.select("label").distinct().count() < 2:
         raise ValueError("one class only")
-    counts = block_indices(spark, iterations, n, block, seed).groupBy("iteration", "row_id").agg(F.count(F.lit(1)).alias("w"))
-    rows = counts.join(paired, "row_id").withColumn("m", F.explode(F.array(F.struct(F.lit("a").alias("model"), F.col("a").alias("score")), F.struct(F.lit("b").alias("model"), F.col("b").alias("score")))))
+    counts = block_indices(spark, iterations, n, block, seed).groupBy("iteration",
+        "row_id").agg(F.count(F.lit(1)).alias("w"))
+    rows = counts.join(paired, "row_id").withColumn("m",
+        F.explode(F.array(F.struct(F.lit("a").alias("model"), F.col("a").alias("score")),
+        F.struct(F.lit("b").alias("model"), F.col("b").alias("score")))))
     scored = ranking(rows.select("iteration", "m.model", "m.score", "label", "w"), ["iteration", "model"], weight="w")
-    d = scored.groupBy("iteration").agg((F.max(F.when(F.col("model") == "a", F.col(metric))) - F.max(F.when(F.col("model") == "b", F.col(metric)))).alias("d")).filter("d is not null")
-    observed = ranking(paired.withColumn("m", F.explode(F.array(F.struct(F.lit("a").alias("model"), F.col("a").alias("score")), F.struct(F.lit("b").alias("model"), F.col("b").alias("score"))))).select("m.*", "label"), ["model"])
-    observed = observed.agg((F.max(F.when(F.col("model") == "a", F.col(metric))) - F.max(F.when(F.col("model") == "b", F.col(metric)))).alias("difference"))
+    d = scored.groupBy("iteration").agg((F.max(F.when(F.col("model") == "a",
+        F.col(metric))) - F.max(F.when(F.col("model") == "b", F.col(metric)))).alias("d")).filter("d is not null")
+    observed = ranking(paired.withColumn("m", F.explode(F.array(F.struct(F.lit("a").alias("model"),
+        F.col("a").alias("score")), F.struct(F.lit("b").alias("model"), F.col("b").alias("score"))))).select("m.*",
+        "label"), ["model"])
+    observed = observed.agg((F.max(F.when(F.col("model") == "a", F.col(metric))) - F.max(F.when(F.col("model") == "b",
+        F.col(metric)))).alias("difference"))
     tail = (1 - confidence) / 2
     q = F.percentile("d", F.array(F.lit(tail), F.lit(1 - tail)))
     below, above = F.avg((F.col("d") <= 0).cast("double")), F.avg((F.col("d") >= 0).cast("double"))
-    out = d.agg(q[0].alias("ci_low"), q[1].alias("ci_high"), F.least(F.lit(1.0), 2 * F.least(below, above)).alias("p_value"), F.count(F.lit(1)).alias("n_valid"))
+    out = d.agg(q[0].alias("ci_low"), q[1].alias("ci_high"),
+        F.least(F.lit(1.0), 2 * F.least(below, above)).alias("p_value"), F.count(F.lit(1)).alias("n_valid"))
     return observed.join(F.broadcast(out))  # one row each

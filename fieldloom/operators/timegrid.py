@@ -32,7 +32,8 @@ def to_utc(df: DataFrame, utc_offset_hours: float, column: str = "ts") -> DataFr
     return df.withColumn(column, F.col(column) - shift)
 
 
-def hourly(df: DataFrame, keys: list[str], value: str, how: str, ts: str = "ts", order: list[str] | None = None) -> DataFrame:
+def hourly(df: DataFrame, keys: list[str], value: str, how: str, ts: str = "ts",
+    order: list[str] | None = None) -> DataFrame:
     """One row an hour that has readings: mean, max or the last non-null value.
 
     Raw readings meet a partial aggregation only, never a window. ``order`` breaks ties of
@@ -75,7 +76,8 @@ def to_schema(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in MERGED])
 
 
-def merge_channels(moisture: DataFrame, weather: DataFrame, valve: DataFrame, flow: DataFrame, keys: list[str]) -> DataFrame:
+def merge_channels(moisture: DataFrame, weather: DataFrame, valve: DataFrame, flow: DataFrame,
+    keys: list[str]) -> DataFrame:
     """Hourly channels on the dense grid of moisture: weather inner, valve and flow left."""
     on = [*keys, "ts"]
     merged = on_grid(moisture, keys).join(weather, on).join(valve, on, "left").join(flow, on, "left")

@@ -23,13 +23,15 @@ def _between(rows: DataFrame, lo: int, hi: int) -> DataFrame:
     return rows.filter((F.col("row_id") >= lo) & (F.col("row_id") < hi))
 
 
-def out_of_fold(rows: DataFrame, folds: list[Fold], spec: models.ModelSpec, names: list[str], workers: int = 4) -> DataFrame:
+def out_of_fold(rows: DataFrame, folds: list[Fold], spec: models.ModelSpec, names: list[str],
+    workers: int = 4) -> DataFrame:
     """(model, seed, fold, row_id, label, score, predicted) of every test row; each fold's fit is distributed, folds overlap."""
 
     def one(f: Fold) -> DataFrame:
         fitted = models.fit(spec, _between(rows, f[1], f[2]), names)
         scored = fitted.transform(_between(rows, f[3], f[4]).select("row_id", "label", *names))
-        return scored.select(F.lit(spec.name).alias("model"), F.lit(spec.seed).alias("seed"), F.lit(f[0]).alias("fold"), "row_id", "label", "score", "predicted")
+        return scored.select(F.lit(spec.name).alias("model"), F.lit(spec.seed).alias("seed"), F.lit(f[0]).alias("fold"),
+            "row_id", "label", "score", "predicted")
 
     with ThreadPoolExecutor(workers) as pool:
         return union(list(pool.map(one, folds)))
@@ -38,10 +40,12 @@ def out_of_fold(rows: DataFrame, folds: list[Fold], spec: models.ModelSpec, name
 def rule_scores(rows: DataFrame, folds: list[Fold], rules: list[str]) -> DataFrame:
     """The same columns for rule models: all folds of a model in one query."""
     assigned = splits.assign(rows, splits.folds_frame(rows.sparkSession, folds))
-    return union([models.RULES[m][0](assigned).select(F.lit(m).alias("model"), F.lit(0).alias("seed"), *models.KEPT) for m in rules])
+    return union([models.RULES[m][0](assigned).select(F.lit(m).alias("model"), F.lit(0).alias("seed"),
+        *models.KEPT) for m in rules])
 
 
-def evaluate(rows: DataFrame, folds: list[Fold], names: list[str], specs: list[models.ModelSpec], rules: list[str] | None = None) -> DataFrame:
+def evaluate(rows: DataFrame, folds: list[Fold], names: list[str], specs: list[models.ModelSpec],
+    rules: list[str] | None = None) -> DataFrame:
     """Metrics by (model, seed, fold) for rule models whose columns exist and for the given specs."""
     usable = [r for r in models.available_rules(names) if rules is None or r in rules]
     parts = [rule_scores(rows, folds, usable)] if usable else []
@@ -49,18 +53,21 @@ def evaluate(rows: DataFrame, folds: list[Fold], names: list[str], specs: list[m
     return metrics.evaluate(checkpointed(union(parts)), ["model", "seed", "fold"])
 
 
-def across_seeds(rows: DataFrame, folds: list[Fold], names: list[str], specs: list[models.ModelSpec], seeds: list[int], rules: list[str] | None = None) -> DataFrame:
+def across_seeds(rows: DataFrame, folds: list[Fold], names: list[str], specs: list[models.ModelSpec], seeds: list[int],
+    rules: list[str] | None = None) -> DataFrame:
     """The whole evaluation under each seed. Rule models draw nothing: they run once and count for every seed."""
     usable = [r for r in models.available_rules(names) if rules is None or r in rules]
     parts = []
     if usable:
         every = F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed")
         parts.append(rule_scores(rows, folds, usable).select("model", every, *models.KEPT))
-    parts += [out_of_fold(rows, folds, models.ModelSpec(s.name, s.params, seed), names) for s in specs for seed in seeds]
+    parts += [out_of_fold(rows, folds, models.ModelSpec(s.name, s.params, seed),
+        names) for s in specs for seed in seeds]
     return metrics.evaluate(checkpointed(union(parts)), ["model", "seed", "fold"])
 
 
-def ablation(rows: DataFrame, folds: list[Fold], config: FeatureConfig, specs: list[models.ModelSpec], rules: list[str] = []) -> DataFrame:
+def ablation(rows: DataFrame, folds: list[Fold], config: FeatureConfig, specs: list[models.ModelSpec],
+    rules: list[str] = []) -> DataFrame:
     """Every set of features on the same rows: metrics by (feature_set, model, fold)."""
     out = []
     for name, columns in ablation_sets(config).items():
@@ -75,7 +82,8 @@ def ablation_summary(results: DataFrame, metric: str = "pr_auc") -> DataFrame:
     return stats.summarise(results, by, value=metric).join(rows, by)
 
 
-def onset_protocol(merged: DataFrame, keys: list[str], config: FeatureConfig, specs: list[models.ModelSpec], k: int = 5) -> DataFrame:
+def onset_protocol(merged: DataFrame, keys: list[str], config: FeatureConfig, specs: list[models.ModelSpec],
+    k: int = 5) -> DataFrame:
     """Models of the start of an episode: rows that were OFF an hour ago; persistence has nothing to say there."""
     features, named = build_features(merged, keys, config)
     rows, named = closed_before(features, named)
@@ -91,12 +99,15 @@ PRIMARY = ("pr_auc", "roc_auc", "f1", "brier")
 
 def onset_summary(results: DataFrame, primary: tuple[str, ...] = PRIMARY) -> DataFrame:
     """By (model, metric): the interval over folds where the metric is known, how many those are, and the size of the test."""
-    long = stats.summarise(stats.unpivot(results, ["model", "fold"], primary), ["model", "metric"]).withColumnRenamed("n", "n_folds_scored")
-    size = results.groupBy("model").agg(F.sum("n_test").alias("n_rows"), F.count_distinct("fold").alias("n_folds"), F.sum("n_positive").alias("n_onsets"))
+    long = stats.summarise(stats.unpivot(results, ["model", "fold"], primary),
+        ["model", "metric"]).withColumnRenamed("n", "n_folds_scored")
+    size = results.groupBy("model").agg(F.sum("n_test").alias("n_rows"), F.count_distinct("fold").alias("n_folds"),
+        F.sum("n_positive").alias("n_onsets"))
     return long.join(size, "model")
 
 
-def select_parameters(rows: DataFrame, folds: list[Fold], name: str, names: list[str], grid: list[dict], metric: str = "pr_auc", seed: int = 42) -> dict:
+def select_parameters(rows: DataFrame, folds: list[Fold], name: str, names: list[str], grid: list[dict],
+    metric: str = "pr_auc", seed: int = 42) -> dict:
     """The first grid point with the best mean over inner folds that can be scored; empty if none can."""
     best, most = {}, None
     for point in grid:
@@ -107,7 +118,8 @@ def select_parameters(rows: DataFrame, folds: list[Fold], name: str, names: list
     return best
 
 
-def nested_cv(rows: DataFrame, outer: list[Fold], name: str, names: list[str], grid: list[dict], inner_k: int = 3, metric: str = "pr_auc", seed: int = 42) -> DataFrame:
+def nested_cv(rows: DataFrame, outer: list[Fold], name: str, names: list[str], grid: list[dict], inner_k: int = 3,
+    metric: str = "pr_auc", seed: int = 42) -> DataFrame:
     """Per outer fold: parameters chosen inside its training rows, and the score on its test rows."""
     out = []
     for fold, lo, hi, test_lo, test_hi in outer:
@@ -121,7 +133,9 @@ def nested_cv(rows: DataFrame, outer: list[Fold], name: str, names: list[str], g
 
 def nested_summary(results: DataFrame, metric: str = "pr_auc") -> DataFrame:
     """Interval over outer folds, with the parameters chosen in each."""
-    chosen = results.groupBy("model").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fold", "selected_params"))), lambda x: F.concat(x["fold"].cast("string"), F.lit(": "), x["selected_params"])), " | ").alias("params_by_fold"))
+    chosen = results.groupBy("model").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fold",
+        "selected_params"))), lambda x: F.concat(x["fold"].cast("string"), F.lit(": "), x["selected_params"])),
+        " | ").alias("params_by_fold"))
     return stats.summarise(results, ["model"], value=metric).join(chosen, "model")
 
 
@@ -134,7 +148,8 @@ def paired(a: DataFrame, b: DataFrame) -> DataFrame:
     return joined
 
 
-def compare_best(rows: DataFrame, folds: list[Fold], names: list[str], main: list[models.ModelSpec], baseline: list[models.ModelSpec], metric: str = "roc_auc", iterations: int = 10_000, block: int = 24) -> DataFrame:
+def compare_best(rows: DataFrame, folds: list[Fold], names: list[str], main: list[models.ModelSpec],
+    baseline: list[models.ModelSpec], metric: str = "roc_auc", iterations: int = 10_000, block: int = 24) -> DataFrame:
     """The best main model against the best baseline on the same out-of-fold rows, with a block bootstrap."""
     best = {}
     for side, specs in (("a", main), ("b", baseline)):
@@ -150,11 +165,15 @@ def compare_best(rows: DataFrame, folds: list[Fold], names: list[str], main: lis
 
 def fold_to_explain(results: DataFrame, how: str = "best", metric: str = "pr_auc") -> DataFrame:
     """The fold whose model is explained, and whether its test rate is extreme."""
-    key = {"best": F.struct(F.col(metric), F.col("fold")), "last": F.struct(F.col("fold").alias("x"), F.col("fold"))}[how]
-    return results.groupBy("model").agg(F.max_by("fold", key).alias("fold"), F.max_by("positive_rate", key).alias("test_rate")).withColumn("extreme", (F.col("test_rate") > 0.6) | (F.col("test_rate") < 0.1))
+    key = {"best": F.struct(F.col(metric), F.col("fold")),
+        "last": F.struct(F.col("fold").alias("x"), F.col("fold"))}[how]
+    return results.groupBy("model").agg(F.max_by("fold", key).alias("fold"),
+        F.max_by("positive_rate", key).alias("test_rate")).withColumn("extreme",
+        (F.col("test_rate") > 0.6) | (F.col("test_rate") < 0.1))
 
 
-def evaluate_variants(variants: DataFrame, keys: list[str], config: FeatureConfig, specs: list[models.ModelSpec], k: int = 5, common: bool = False, rules: list[str] = []) -> DataFrame:
+def evaluate_variants(variants: DataFrame, keys: list[str], config: FeatureConfig, specs: list[models.ModelSpec],
+    k: int = 5, common: bool = False, rules: list[str] = []) -> DataFrame:
     """Metrics of each variant's own design matrix, on all its rows or on those that all variants share."""
     variants = checkpointed(variants)
     names_of = [r["variant"] for r in variants.select("variant").distinct().orderBy("variant").collect()]
@@ -174,7 +193,8 @@ def evaluate_variants(variants: DataFrame, keys: list[str], config: FeatureConfi
         if n < k + 1:
             continue
         r = evaluate(rows, splits.rolling_origin(n, k), names, specs, rules=rules)
-        out.append(r.withColumn("variant", F.lit(v)).withColumn("n_rows", F.lit(n)).withColumn("comparison", F.lit("common_rows" if common else "as_available")))
+        out.append(r.withColumn("variant", F.lit(v)).withColumn("n_rows", F.lit(n)).withColumn("comparison",
+            F.lit("common_rows" if common else "as_available")))
     return union(out)
 
 

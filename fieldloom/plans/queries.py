@@ -20,44 +20,70 @@ MERGED_SQL = """
 ev AS (SELECT date_trunc('hour', ts) AS h, ts AS t, event_id, event_type, value, user_id FROM events),
 m AS (SELECT CAST(h AS TIMESTAMP) AS ts, avg(value) AS soil_moisture FROM ev WHERE event_type = 'view' GROUP BY 1),
 grid AS (SELECT unnest(generate_series((SELECT min(ts) FROM m), (SELECT max(ts) FROM m), INTERVAL 1 HOUR)) AS ts),
-wgrid AS (SELECT unnest(generate_series((SELECT CAST(min(h) AS TIMESTAMP) FROM ev), (SELECT CAST(max(h) AS TIMESTAMP) FROM ev), INTERVAL 1 HOUR)) AS ts),
-wx AS (SELECT CAST(h AS TIMESTAMP) AS ts, avg(value) FILTER (WHERE event_type = 'signup') AS air_temp, avg(value) FILTER (WHERE event_type = 'purchase') AS humidity FROM ev GROUP BY 1),
-weather AS (SELECT ts, air_temp, humidity, air_temp / 2 AS wind_speed, humidity / 30 * 277.78 AS solar_radiation FROM wgrid LEFT JOIN wx USING (ts)),
-v AS (SELECT CAST(h AS TIMESTAMP) AS ts, CASE WHEN avg(value) > 55 THEN 1 ELSE 0 END AS irrigation_event FROM ev WHERE event_type = 'error' GROUP BY 1),
+wgrid AS (SELECT unnest(generate_series((SELECT CAST(min(h) AS TIMESTAMP) FROM ev), (SELECT CAST(max(h) AS TIMESTAMP)
+  FROM ev), INTERVAL 1 HOUR)) AS ts),
+wx AS (SELECT CAST(h AS TIMESTAMP) AS ts, avg(value) FILTER (WHERE event_type = 'signup') AS air_temp,
+  avg(value) FILTER (WHERE event_type = 'purchase') AS humidity FROM ev GROUP BY 1),
+weather AS (SELECT ts, air_temp, humidity, air_temp / 2 AS wind_speed, humidity / 30 * 277.78 AS solar_radiation
+  FROM wgrid LEFT JOIN wx USING (ts)),
+v AS (SELECT CAST(h AS TIMESTAMP) AS ts, CASE WHEN avg(value) > 55 THEN 1 ELSE 0 END AS irrigation_event FROM ev
+  WHERE event_type = 'error' GROUP BY 1),
 fh AS (SELECT CAST(h AS TIMESTAMP) AS ts, sum(value) AS s FROM ev WHERE event_type = 'click' GROUP BY 1),
 f AS (SELECT ts, sum(s) OVER (ORDER BY ts) AS flow_l_cumulative FROM fh),
-j AS (SELECT 0 AS site, grid.ts, soil_moisture, air_temp, humidity, wind_speed, solar_radiation, irrigation_event, flow_l_cumulative, lag(flow_l_cumulative) OVER (ORDER BY grid.ts) AS _l
+j AS (SELECT 0 AS site, grid.ts, soil_moisture, air_temp, humidity, wind_speed, solar_radiation, irrigation_event,
+  flow_l_cumulative, lag(flow_l_cumulative) OVER (ORDER BY grid.ts) AS _l
   FROM grid JOIN weather USING (ts) LEFT JOIN m USING (ts) LEFT JOIN v USING (ts) LEFT JOIN f USING (ts)),
-merged AS (SELECT * EXCLUDE (_l), CASE WHEN flow_l_cumulative IS NOT NULL AND _l IS NOT NULL THEN greatest(flow_l_cumulative - _l, 0) END AS flow_l FROM j)"""
+merged AS (SELECT * EXCLUDE (_l), CASE WHEN flow_l_cumulative IS NOT NULL AND _l IS NOT NULL THEN
+  greatest(flow_l_cumulative - _l, 0) END AS flow_l FROM j)"""
 
 EPISODE_SQL = MERGED_SQL + """,
-lab0 AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS pos, coalesce(irrigation_event = 1, false) AS on_ FROM merged),
+lab0 AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS pos, coalesce(irrigation_event = 1, false) AS on_
+  FROM merged),
 lab1 AS (SELECT *, on_ AND NOT coalesce(lag(on_) OVER (ORDER BY ts), false) AS st FROM lab0),
-lab AS (SELECT *, CASE WHEN on_ THEN CAST(sum(CAST(st AS INT)) OVER (ORDER BY ts) - 1 AS BIGINT) END AS episode FROM lab1),
-eps AS (SELECT site, episode, min(pos) AS start_index, max(pos) AS end_index, count(*) AS length_hours, min(ts) AS start_time, max(ts) AS end_time FROM lab WHERE episode IS NOT NULL GROUP BY 1, 2)"""
+lab AS (SELECT *, CASE WHEN on_ THEN CAST(sum(CAST(st AS INT)) OVER (ORDER BY ts) - 1 AS BIGINT) END AS episode
+  FROM lab1),
+eps AS (SELECT site, episode, min(pos) AS start_index, max(pos) AS end_index, count(*) AS length_hours,
+  min(ts) AS start_time, max(ts) AS end_time FROM lab WHERE episode IS NOT NULL GROUP BY 1, 2)"""
 
 SCORED_SQL = """
-sc0 AS (SELECT CAST(l_suppkey % 3 AS INT) AS seed, CAST(l_orderkey % 5 AS INT) AS fold, l_orderkey * 10 + l_linenumber AS row_id, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label,
-  CAST(l_discount AS DOUBLE) * 10 AS a, CAST(l_tax AS DOUBLE) * 12 AS b, CAST(l_quantity AS DOUBLE) / 50 AS c FROM lineitem),
-sc AS (SELECT model, seed, fold, row_id, label, round(score, 6) AS score, CASE WHEN round(score, 6) >= 0.5 THEN 1 ELSE 0 END AS predicted FROM (
-  SELECT 'discount' AS model, seed, fold, row_id, label, a AS score FROM sc0 UNION ALL SELECT 'tax', seed, fold, row_id, label, b FROM sc0 UNION ALL SELECT 'quantity', seed, fold, row_id, label, c FROM sc0)),
+sc0 AS (SELECT CAST(l_suppkey % 3 AS INT) AS seed, CAST(l_orderkey % 5 AS INT) AS fold,
+  l_orderkey * 10 + l_linenumber AS row_id, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label,
+  CAST(l_discount AS DOUBLE) * 10 AS a, CAST(l_tax AS DOUBLE) * 12 AS b, CAST(l_quantity AS DOUBLE) / 50 AS c
+  FROM lineitem),
+sc AS (SELECT model, seed, fold, row_id, label, round(score, 6) AS score, CASE WHEN round(score,
+  6) >= 0.5 THEN 1 ELSE 0 END AS predicted FROM (
+  SELECT 'discount' AS model, seed, fold, row_id, label, a AS score FROM sc0 UNION ALL SELECT 'tax', seed, fold,
+  row_id, label, b FROM sc0 UNION ALL SELECT 'quantity', seed, fold, row_id, label, c FROM sc0)),
 st AS (SELECT model, seed, fold, score, sum(label) AS p, sum(1 - label) AS n FROM sc GROUP BY ALL),
-cu AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM st WINDOW w AS (PARTITION BY model, seed, fold ORDER BY score DESC)),
-rk AS (SELECT model, seed, fold, CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN sum(n * (tp - p / 2.0)) / (sum(p) * sum(n)) END AS roc_auc, CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN sum(p * tp / (tp + fp)) / sum(p) END AS pr_auc FROM cu GROUP BY ALL),
-cf0 AS (SELECT model, seed, fold, count_if(label = 1 AND predicted = 1) AS tp, count_if(label = 0 AND predicted = 1) AS fp, count_if(label = 1 AND predicted = 0) AS fn, count_if(label = 0 AND predicted = 0) AS tn,
-  avg(pow(greatest(least(score, 1), 0) - label, 2)) AS brier, count(*) AS n_test, count_if(label = 1) AS n_positive FROM sc GROUP BY ALL),
-cf AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1, n_positive / n_test AS positive_rate FROM cf0),
+cu AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM st WINDOW w AS (PARTITION BY model, seed,
+  fold ORDER BY score DESC)),
+rk AS (SELECT model, seed, fold, CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN sum(n * (tp - p / 2.0)) / (sum(p) * sum(n))
+  END AS roc_auc, CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN sum(p * tp / (tp + fp)) / sum(p) END AS pr_auc FROM cu
+  GROUP BY ALL),
+cf0 AS (SELECT model, seed, fold, count_if(label = 1 AND predicted = 1) AS tp,
+  count_if(label = 0 AND predicted = 1) AS fp, count_if(label = 1 AND predicted = 0) AS fn,
+  count_if(label = 0 AND predicted = 0) AS tn,
+  avg(pow(greatest(least(score, 1), 0) - label, 2)) AS brier, count(*) AS n_test, count_if(label = 1) AS n_positive
+  FROM sc GROUP BY ALL),
+cf AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision,
+  CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall,
+  CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1, n_positive / n_test AS positive_rate
+  FROM cf0),
 res AS (SELECT cf.*, roc_auc, pr_auc FROM cf JOIN rk USING (model, seed, fold)),
-lng AS (UNPIVOT (SELECT model, seed, fold, roc_auc, pr_auc, f1, precision, recall, brier FROM res) ON roc_auc, pr_auc, f1, precision, recall, brier INTO NAME metric VALUE value)"""
+lng AS (UNPIVOT (SELECT model, seed, fold, roc_auc, pr_auc, f1, precision, recall, brier FROM res) ON roc_auc, pr_auc,
+  f1, precision, recall, brier INTO NAME metric VALUE value)"""
 
 _T = " ".join(f"WHEN {n} THEN {student_t_critical(0.95, n - 1)!r}" for n in range(2, 16))
 
 
 def _summary_sql(source: str, by: str) -> str:
     """SQL of one summary: mean, deviation, interval."""
-    return f"""SELECT {by}, mean, std, n, half_width, greatest(mean - half_width, 0) AS ci_low, least(mean + half_width, 1) AS ci_high, CASE WHEN n >= 2 THEN std = 0 END AS degenerate FROM (
+    return f"""SELECT {by}, mean, std, n, half_width, greatest(mean - half_width, 0) AS ci_low,
+  least(mean + half_width, 1) AS ci_high, CASE WHEN n >= 2 THEN std = 0 END AS degenerate FROM (
 SELECT *, CASE WHEN n >= 2 THEN (CASE n {_T} END) * std / sqrt(n) END AS half_width FROM (
-SELECT {by}, avg(value) AS mean, count(value) AS n, CASE WHEN count(value) < 2 THEN NULL WHEN stddev_samp(value) <= 1e-12 THEN 0 ELSE stddev_samp(value) END AS std FROM {source} GROUP BY {by}))"""
+SELECT {by}, avg(value) AS mean, count(value) AS n,
+  CASE WHEN count(value) < 2 THEN NULL WHEN stddev_samp(value) <= 1e-12 THEN 0 ELSE stddev_samp(value) END AS std
+  FROM {source} GROUP BY {by}))"""
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -84,17 +110,20 @@ def _r(columns: str) -> str:
 # ---- grid and validation ----------------------------------------------------------------
 
 
-@query("hourly_grid", f"WITH {MERGED_SQL} SELECT 0 AS site, ts, round(soil_moisture, 6) AS soil_moisture FROM grid LEFT JOIN m USING (ts)")
+@query("hourly_grid",
+    f"WITH {MERGED_SQL} SELECT 0 AS site, ts, round(soil_moisture, 6) AS soil_moisture FROM grid LEFT JOIN m USING (ts)")
 def _(spark, d):
     return timegrid.on_grid(moisture(spark, d), KEYS)
 
 
-@query("hourly_last", "SELECT date_trunc('hour', ts)::TIMESTAMP AS ts, 0 AS site, round(arg_max(value, (ts, event_id)), 6) AS value FROM events WHERE event_type = 'click' GROUP BY 1")
+@query("hourly_last",
+    "SELECT date_trunc('hour', ts)::TIMESTAMP AS ts, 0 AS site, round(arg_max(value, (ts, event_id)), 6) AS value FROM events WHERE event_type = 'click' GROUP BY 1")
 def _(spark, d):
     return timegrid.hourly(events(spark, d, "click"), KEYS, "value", "last", order=["event_id"])
 
 
-@query("hourly_max_by_site", "SELECT CAST(user_id % 10 AS INT) AS site, date_trunc('hour', ts)::TIMESTAMP AS ts, round(max(value), 6) AS value FROM events WHERE event_type = 'error' GROUP BY 1, 2")
+@query("hourly_max_by_site",
+    "SELECT CAST(user_id % 10 AS INT) AS site, date_trunc('hour', ts)::TIMESTAMP AS ts, round(max(value), 6) AS value FROM events WHERE event_type = 'error' GROUP BY 1, 2")
 def _(spark, d):
     return timegrid.hourly(events(spark, d, "error", True), KEYS, "value", "max")
 
@@ -102,12 +131,14 @@ def _(spark, d):
 _COLS = "soil_moisture, air_temp, humidity, wind_speed, solar_radiation, flow_l, flow_l_cumulative"
 
 
-@query("merged_hourly", f"WITH {MERGED_SQL} SELECT site, ts, {_r(_COLS)}, CAST(irrigation_event AS BIGINT) AS irrigation_event FROM merged")
+@query("merged_hourly",
+    f"WITH {MERGED_SQL} SELECT site, ts, {_r(_COLS)}, CAST(irrigation_event AS BIGINT) AS irrigation_event FROM merged")
 def _(spark, d):
     return merged_by_channel(spark, d)
 
 
-@query("merged_one_pass", f"WITH {MERGED_SQL} SELECT site, ts, {_r(_COLS)}, CAST(irrigation_event AS BIGINT) AS irrigation_event FROM merged")
+@query("merged_one_pass",
+    f"WITH {MERGED_SQL} SELECT site, ts, {_r(_COLS)}, CAST(irrigation_event AS BIGINT) AS irrigation_event FROM merged")
 def _(spark, d):
     return merged(spark, d)
 
@@ -121,10 +152,12 @@ def _violation_sql() -> str:
     parts = []
     for c, (low, high, nullable) in quality.RANGES.items():
         if not nullable:
-            parts.append(f"SELECT '{c}' AS col, 'null' AS rule, count_if({c} IS NULL) AS bad, CAST(NULL AS DOUBLE) AS x FROM merged")
+            parts.append(
+                f"SELECT '{c}' AS col, 'null' AS rule, count_if({c} IS NULL) AS bad, CAST(NULL AS DOUBLE) AS x FROM merged")
         parts.append(f"SELECT '{c}' AS col, 'below' AS rule, count_if({c} < {low}) AS bad, min({c}) AS x FROM merged")
         if high is not None:
-            parts.append(f"SELECT '{c}' AS col, 'above' AS rule, count_if({c} > {high}) AS bad, max({c}) AS x FROM merged")
+            parts.append(
+                f"SELECT '{c}' AS col, 'above' AS rule, count_if({c} > {high}) AS bad, max({c}) AS x FROM merged")
     parts.append("SELECT 'irrigation_event' AS col, 'not_binary' AS rule, count_if(irrigation_event NOT IN (0, 1)) AS bad, CAST(NULL AS DOUBLE) AS x FROM merged")
     return f"WITH {MERGED_SQL} SELECT col AS \"column\", rule, bad AS n, round(x, 6) AS extreme FROM ({' UNION ALL '.join(parts)}) WHERE bad > 0"
 
@@ -134,7 +167,8 @@ def _(spark, d):
     return quality.violations(merged(spark, d))
 
 
-@query("diurnal_profile", f"WITH {MERGED_SQL} SELECT CAST(hour(ts) AS BIGINT) AS hour, round(avg(solar_radiation), 6) AS mean FROM merged GROUP BY 1")
+@query("diurnal_profile",
+    f"WITH {MERGED_SQL} SELECT CAST(hour(ts) AS BIGINT) AS hour, round(avg(solar_radiation), 6) AS mean FROM merged GROUP BY 1")
 def _(spark, d):
     return quality.diurnal_profile(merged(spark, d))
 
@@ -143,7 +177,8 @@ def _(spark, d):
     "diurnal_alignment",
     f"""WITH {MERGED_SQL}, p AS (SELECT hour(ts) AS h, avg(solar_radiation) AS m FROM merged GROUP BY 1),
 t AS (SELECT list(h ORDER BY m DESC, h) AS l FROM p WHERE m IS NOT NULL)
-SELECT CAST(l[1] AS BIGINT) AS peak_hour, round(least((l[1] - 6.5 + 24) % 24, 24 - (l[1] - 6.5 + 24) % 24), 6) AS distance, array_to_string(l[1:3], ',') AS top_hours FROM t""",
+SELECT CAST(l[1] AS BIGINT) AS peak_hour, round(least((l[1] - 6.5 + 24) % 24, 24 - (l[1] - 6.5 + 24) % 24),
+  6) AS distance, array_to_string(l[1:3], ',') AS top_hours FROM t""",
 )
 def _(spark, d):
     return quality.diurnal_alignment(merged(spark, d), 5.5)
@@ -152,12 +187,14 @@ def _(spark, d):
 _MISSING = ("soil_moisture", "air_temp", "humidity", "irrigation_event", "flow_l")
 
 
-@query("missing_counts", f"WITH {MERGED_SQL} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count_if({c} IS NULL) AS n_missing, count(*) AS n FROM merged" for c in _MISSING))
+@query("missing_counts", f"WITH {MERGED_SQL} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count_if({c} IS NULL) AS n_missing, count(*) AS n FROM merged" for c in _MISSING))
 def _(spark, d):
     return quality.missing_counts(merged(spark, d), list(_MISSING))
 
 
-@query("request_window", "SELECT strftime(min(ts), '%Y%m%d') AS start, strftime(max(ts), '%Y%m%d') AS \"end\" FROM events WHERE event_type IN ('view', 'error', 'click')")
+@query("request_window",
+    "SELECT strftime(min(ts), '%Y%m%d') AS start, strftime(max(ts), '%Y%m%d') AS \"end\" FROM events WHERE event_type IN ('view', 'error', 'click')")
 def _(spark, d):
     return sources.request_window([events(spark, d, k) for k in ("view", "error", "click")])
 
@@ -168,9 +205,13 @@ def _(spark, d):
 )
 def _(spark, d):
     """Weather as landed JSON (fill value for unknown hours), parsed back to rows."""
-    w = table(spark, d, "events").groupBy(F.date_trunc("hour", "ts").alias("h")).agg(*[F.avg(F.when(F.col("event_type") == k, F.col("value"))).alias(n) for k, n in (("signup", "T2M"), ("purchase", "RH2M"))])
-    day = w.groupBy(F.to_date("h").alias("day")).agg(*[F.map_from_entries(F.collect_list(F.struct(F.date_format("h", "yyyyMMddHH"), F.coalesce(F.round(n, 6), F.lit(-999.0))))).alias(n) for n in ("T2M", "RH2M")])
-    text = day.select(F.to_json(F.struct(F.struct(F.create_map(F.lit("T2M"), F.col("T2M"), F.lit("RH2M"), F.col("RH2M")).alias("parameter")).alias("properties"))).alias("value"))
+    w = table(spark, d, "events").groupBy(F.date_trunc("hour",
+        "ts").alias("h")).agg(*[F.avg(F.when(F.col("event_type") == k, F.col("value"))).alias(n) for k,
+        n in (("signup", "T2M"), ("purchase", "RH2M"))])
+    day = w.groupBy(F.to_date("h").alias("day")).agg(*[F.map_from_entries(F.collect_list(F.struct(F.date_format("h",
+        "yyyyMMddHH"), F.coalesce(F.round(n, 6), F.lit(-999.0))))).alias(n) for n in ("T2M", "RH2M")])
+    text = day.select(F.to_json(F.struct(F.struct(F.create_map(F.lit("T2M"), F.col("T2M"), F.lit("RH2M"),
+        F.col("RH2M")).alias("parameter")).alias("properties"))).alias("value"))
     rows = sources.weather_rows(text)
     return rows.groupBy("ts").pivot("name", ["T2M", "RH2M"]).agg(F.max("v"))
 
@@ -188,9 +229,12 @@ def _(spark, d):
     return episodes.with_labels(merged(spark, d), KEYS).select("site", "ts", "pos", "episode")
 
 
-_SUMMARY_SQL = f"""SELECT CAST(0 AS BIGINT) AS site, count(*) AS n_episodes, min(length_hours) AS min_hours, round(quantile_cont(length_hours, 0.25), 6) AS q25_hours, round(quantile_cont(length_hours, 0.5), 6) AS median_hours,
-round(quantile_cont(length_hours, 0.75), 6) AS q75_hours, max(length_hours) AS max_hours, round(avg(length_hours), 6) AS mean_hours, round(coalesce(stddev_samp(length_hours), 0), 6) AS std_hours,
-(SELECT count(*) FROM lab) AS n_hours, (SELECT count_if(on_) FROM lab) AS on_hours, (SELECT count_if(irrigation_event IS NULL) FROM lab) AS unknown_hours FROM eps"""
+_SUMMARY_SQL = f"""SELECT CAST(0 AS BIGINT) AS site, count(*) AS n_episodes, min(length_hours) AS min_hours,
+  round(quantile_cont(length_hours, 0.25), 6) AS q25_hours, round(quantile_cont(length_hours, 0.5), 6) AS median_hours,
+round(quantile_cont(length_hours, 0.75), 6) AS q75_hours, max(length_hours) AS max_hours, round(avg(length_hours),
+  6) AS mean_hours, round(coalesce(stddev_samp(length_hours), 0), 6) AS std_hours,
+(SELECT count(*) FROM lab) AS n_hours, (SELECT count_if(on_) FROM lab) AS on_hours,
+  (SELECT count_if(irrigation_event IS NULL) FROM lab) AS unknown_hours FROM eps"""
 
 
 @query("episode_summary", f"WITH {EPISODE_SQL} {_SUMMARY_SQL}")
@@ -200,7 +244,10 @@ def _(spark, d):
 
 @query(
     "episode_histogram",
-    f"WITH {EPISODE_SQL} " + " UNION ALL ".join(f"SELECT 0 AS site, {i} AS bin, '{n}' AS label, count_if(length_hours >= {a} AND length_hours < {b}) AS n FROM eps" for i, (n, a, b) in enumerate(zip(episodes.bin_labels(), episodes.EDGES, [*episodes.EDGES[1:], 10**9]))),
+    f"WITH {EPISODE_SQL} "
+        + " UNION ALL ".join(
+        f"SELECT 0 AS site, {i} AS bin, '{n}' AS label, count_if(length_hours >= {a} AND length_hours < {b}) AS n FROM eps"
+        for i, (n, a, b) in enumerate(zip(episodes.bin_labels(), episodes.EDGES, [*episodes.EDGES[1:], 10**9]))),
 )
 def _(spark, d):
     return episodes.episode_histogram(merged(spark, d), KEYS)
@@ -208,12 +255,15 @@ def _(spark, d):
 
 @query(
     "episodes_by_site",
-    """WITH h AS (SELECT CAST(user_id % 10 AS INT) AS site, date_trunc('hour', ts)::TIMESTAMP AS ts, CASE WHEN avg(value) > 55 THEN 1 ELSE 0 END AS on1 FROM events WHERE event_type = 'error' GROUP BY 1, 2),
+    """WITH h AS (SELECT CAST(user_id % 10 AS INT) AS site, date_trunc('hour', ts)::TIMESTAMP AS ts,
+  CASE WHEN avg(value) > 55 THEN 1 ELSE 0 END AS on1 FROM events WHERE event_type = 'error' GROUP BY 1, 2),
 g AS (SELECT site, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM h GROUP BY site),
-x AS (SELECT site, ts, coalesce(on1 = 1, false) AS o, row_number() OVER (PARTITION BY site ORDER BY ts) - 1 AS pos FROM g LEFT JOIN h USING (site, ts)),
+x AS (SELECT site, ts, coalesce(on1 = 1, false) AS o, row_number() OVER (PARTITION BY site ORDER BY ts) - 1 AS pos
+  FROM g LEFT JOIN h USING (site, ts)),
 y AS (SELECT *, o AND NOT coalesce(lag(o) OVER (PARTITION BY site ORDER BY ts), false) AS s FROM x),
 z AS (SELECT *, sum(CAST(s AS INT)) OVER (PARTITION BY site ORDER BY ts) - 1 AS e FROM y)
-SELECT site, CAST(e AS BIGINT) AS episode, min(pos) AS start_index, max(pos) AS end_index, count(*) AS length_hours, min(ts) AS start_time, max(ts) AS end_time FROM z WHERE o GROUP BY site, e""",
+SELECT site, CAST(e AS BIGINT) AS episode, min(pos) AS start_index, max(pos) AS end_index, count(*) AS length_hours,
+  min(ts) AS start_time, max(ts) AS end_time FROM z WHERE o GROUP BY site, e""",
 )
 def _(spark, d):
     return episodes.episodes(timegrid.on_grid(valve(spark, d, True), KEYS), KEYS)
@@ -237,15 +287,19 @@ def _feature_sql(c: features.FeatureConfig = features.FeatureConfig(), keys: str
         f = {"mean": "avg", "min": "min", "max": "max", "std": "stddev_samp"}[s]
         return f"CASE WHEN count({x}) {over} >= {n if c.require_full_window else 1} THEN {f}({x}) {over} END"
 
-    for x, lags in ((features.MOISTURE, c.moisture_lags), *((x, c.weather_lags) for x in c.weather), (features.TARGET, c.target_lags)):
+    for x, lags in ((features.MOISTURE, c.moisture_lags), *((x, c.weather_lags) for x in c.weather),
+        (features.TARGET, c.target_lags)):
         out |= {f"{x}_lag{h}h": f"lag({x}, {h}) {w}" for h in lags}
     shift = c.causal_shift
-    out |= {f"soil_moisture_diff{h}h": f"lag(soil_moisture, {shift}) {w} - lag(soil_moisture, {shift + h}) {w}" for h in c.diff_hours}
-    out |= {f"soil_moisture_roll{n}h_{s}": roll("soil_moisture", n, s) for n in c.roll_hours for s in ("mean", "min", "max", "std")}
+    out |= {f"soil_moisture_diff{h}h": f"lag(soil_moisture, {shift}) {w} - lag(soil_moisture, {shift + h}) {w}"
+        for h in c.diff_hours}
+    out |= {f"soil_moisture_roll{n}h_{s}": roll("soil_moisture", n, s) for n in c.roll_hours for s in ("mean", "min",
+        "max", "std")}
     out |= {f"{x}_roll{n}h_mean": roll(x, n, "mean") for x in c.weather for n in c.weather_roll_hours}
     last = f"max(CASE WHEN irrigation_event = 1 THEN rn END) OVER ({part}ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND {shift} PRECEDING)"
     out |= {
-        "hour_sin": "sin(2 * pi() * hour(ts) / 24)", "hour_cos": "cos(2 * pi() * hour(ts) / 24)", "days_elapsed": f"date_diff('second', min(ts) OVER ({part}), ts) / 86400.0",
+        "hour_sin": "sin(2 * pi() * hour(ts) / 24)", "hour_cos": "cos(2 * pi() * hour(ts) / 24)",
+            "days_elapsed": f"date_diff('second', min(ts) OVER ({part}), ts) / 86400.0",
         "hours_since_last_irrigation": f"rn - {last}",
     }
     return out
@@ -277,13 +331,16 @@ _feature_query("design_matrix", _ALL)
 #: A narrow set of features for the queries on supervised rows: most hours have them all.
 NARROW = ["soil_moisture_lag1h", "air_temp_lag1h", "humidity_lag1h", "irrigation_event_lag1h", "hour_sin"]
 SUPERVISED_SQL = f"""{MERGED_SQL}, numbered AS (SELECT *, row_number() OVER (ORDER BY ts) AS rn FROM merged),
-fm AS (SELECT site, ts, irrigation_event AS label, {", ".join(f"CAST({_FSQL[n]} AS DOUBLE) AS {n}" for n in NARROW)} FROM numbered),
-sup AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS row_id FROM fm WHERE label IS NOT NULL AND {" AND ".join(f"{n} IS NOT NULL" for n in NARROW)})"""
+fm AS (SELECT site, ts, irrigation_event AS label, {", ".join(f"CAST({_FSQL[n]} AS DOUBLE) AS {n}" for n in NARROW)}
+  FROM numbered),
+sup AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS row_id FROM fm
+  WHERE label IS NOT NULL AND {" AND ".join(f"{n} IS NOT NULL" for n in NARROW)})"""
 
 
 def narrow_rows(spark, d) -> DataFrame:
     f, _named = features.build_features(merged(spark, d), KEYS)
-    return features.supervised(f.withColumn("irrigation_event_lag1h", F.col("irrigation_event_lag1h").cast("double")), NARROW, KEYS)
+    return features.supervised(f.withColumn("irrigation_event_lag1h", F.col("irrigation_event_lag1h").cast("double")),
+        NARROW, KEYS)
 
 
 @query("supervised", f"WITH {SUPERVISED_SQL} SELECT site, ts, CAST(label AS BIGINT) AS label, row_id, {_r(', '.join(NARROW))} FROM sup")
@@ -291,7 +348,8 @@ def _(spark, d):
     return narrow_rows(spark, d)
 
 
-@query("closed_before", f"WITH {SUPERVISED_SQL} SELECT ts, row_id, CAST(label AS BIGINT) AS label FROM sup WHERE irrigation_event_lag1h = 0")
+@query("closed_before",
+    f"WITH {SUPERVISED_SQL} SELECT ts, row_id, CAST(label AS BIGINT) AS label FROM sup WHERE irrigation_event_lag1h = 0")
 def _(spark, d):
     rows, _named = features.closed_before(narrow_rows(spark, d), {"x": NARROW})
     return rows.select("ts", "row_id", "label")
@@ -308,12 +366,14 @@ def _folds_sql(k: int, gap: int = 0, sliding: bool = False) -> str:
 ASSIGNED_SQL = f"{SUPERVISED_SQL}, {_folds_sql(5)}, ass AS (SELECT sup.*, fold, CASE WHEN row_id < train_hi THEN 'train' ELSE 'test' END AS role FROM sup JOIN fo ON (row_id >= train_lo AND row_id < train_hi) OR (row_id >= test_lo AND row_id < test_hi))"
 
 
-@query("folds_rolling", f"WITH {SUPERVISED_SQL}, {_folds_sql(5)} SELECT fold, CAST(train_lo AS BIGINT) AS train_lo, train_hi, test_lo, test_hi FROM fo")
+@query("folds_rolling",
+    f"WITH {SUPERVISED_SQL}, {_folds_sql(5)} SELECT fold, CAST(train_lo AS BIGINT) AS train_lo, train_hi, test_lo, test_hi FROM fo")
 def _(spark, d):
     return splits.folds_frame(spark, splits.rolling_origin(narrow_rows(spark, d).count(), 5))
 
 
-@query("folds_sliding_gap", f"WITH {SUPERVISED_SQL}, {_folds_sql(4, 6, True)} SELECT fold, train_lo, train_hi, test_lo, test_hi FROM fo")
+@query("folds_sliding_gap",
+    f"WITH {SUPERVISED_SQL}, {_folds_sql(4, 6, True)} SELECT fold, train_lo, train_hi, test_lo, test_hi FROM fo")
 def _(spark, d):
     return splits.folds_frame(spark, splits.rolling_origin(narrow_rows(spark, d).count(), 4, gap=6, sliding=True))
 
@@ -333,27 +393,37 @@ def _labelled_assigned(spark, d) -> DataFrame:
     return assigned_rows(spark, d).join(labels, ["site", "ts"], "left")
 
 
-_DOM_SQL = """el AS (SELECT ts, episode FROM lab), dm0 AS (SELECT fold, episode, count(episode) AS c FROM ass LEFT JOIN el USING (ts) WHERE role = 'test' GROUP BY ALL),
-dm AS (SELECT fold, CASE WHEN sum(c) > 0 THEN max(c) / sum(c) END AS dominance, max(c) AS largest_episode, count_if(episode IS NOT NULL) AS n_episodes FROM dm0 GROUP BY fold)"""
+_DOM_SQL = """el AS (SELECT ts, episode FROM lab), dm0 AS (SELECT fold, episode, count(episode) AS c FROM ass LEFT
+  JOIN el USING (ts) WHERE role = 'test' GROUP BY ALL),
+dm AS (SELECT fold, CASE WHEN sum(c) > 0 THEN max(c) / sum(c) END AS dominance, max(c) AS largest_episode,
+  count_if(episode IS NOT NULL) AS n_episodes FROM dm0 GROUP BY fold)"""
 _LAB_SQL = EPISODE_SQL[len(MERGED_SQL) + 1 :]
 
 
 @query(
     "fold_table",
-    f"""WITH {ASSIGNED_SQL}, {_LAB_SQL}, {_DOM_SQL}, t AS (SELECT fold, count_if(role = 'train') AS n_train, count_if(role = 'test') AS n_test, count_if(role = 'train' AND label = 1) AS train_positive, count_if(role = 'test' AND label = 1) AS test_positive,
-min(ts) FILTER (WHERE role = 'train') AS train_start, max(ts) FILTER (WHERE role = 'train') AS train_end, min(ts) FILTER (WHERE role = 'test') AS test_start, max(ts) FILTER (WHERE role = 'test') AS test_end FROM ass GROUP BY fold)
-SELECT t.*, round(train_positive / n_train, 6) AS train_rate, round(test_positive / n_test, 6) AS test_rate, train_positive >= 5 AND test_positive >= 5 AS sufficient_positives, round(dominance, 6) AS dominance, largest_episode, n_episodes, coalesce(dominance > 0.5, false) AS dominated FROM t LEFT JOIN dm USING (fold)""",
+    f"""WITH {ASSIGNED_SQL}, {_LAB_SQL}, {_DOM_SQL}, t AS (SELECT fold, count_if(role = 'train') AS n_train,
+  count_if(role = 'test') AS n_test, count_if(role = 'train' AND label = 1) AS train_positive,
+  count_if(role = 'test' AND label = 1) AS test_positive,
+min(ts) FILTER (WHERE role = 'train') AS train_start, max(ts) FILTER (WHERE role = 'train') AS train_end,
+  min(ts) FILTER (WHERE role = 'test') AS test_start, max(ts) FILTER (WHERE role = 'test') AS test_end FROM ass
+  GROUP BY fold)
+SELECT t.*, round(train_positive / n_train, 6) AS train_rate, round(test_positive / n_test, 6) AS test_rate,
+  train_positive >= 5 AND test_positive >= 5 AS sufficient_positives, round(dominance, 6) AS dominance, largest_episode,
+  n_episodes, coalesce(dominance > 0.5, false) AS dominated FROM t LEFT JOIN dm USING (fold)""",
 )
 def _(spark, d):
     return splits.describe(_labelled_assigned(spark, d), episode="episode")
 
 
-@query("fold_dominance", f"WITH {ASSIGNED_SQL}, {_LAB_SQL}, {_DOM_SQL} SELECT fold, round(dominance, 6) AS dominance, largest_episode, n_episodes FROM dm")
+@query("fold_dominance",
+    f"WITH {ASSIGNED_SQL}, {_LAB_SQL}, {_DOM_SQL} SELECT fold, round(dominance, 6) AS dominance, largest_episode, n_episodes FROM dm")
 def _(spark, d):
     return episodes.dominance(_labelled_assigned(spark, d).filter("role = 'test'"), ["fold"])
 
 
-@query("rate_spread", f"WITH {ASSIGNED_SQL}, t AS (SELECT fold, avg(label) AS r FROM ass WHERE role = 'test' GROUP BY fold) SELECT round(max(r) - min(r), 6) AS spread, max(r) - min(r) > 0.25 AS warn FROM t")
+@query("rate_spread",
+    f"WITH {ASSIGNED_SQL}, t AS (SELECT fold, avg(label) AS r FROM ass WHERE role = 'test' GROUP BY fold) SELECT round(max(r) - min(r), 6) AS spread, max(r) - min(r) > 0.25 AS warn FROM t")
 def _(spark, d):
     return splits.rate_spread(splits.describe(assigned_rows(spark, d)))
 
@@ -371,7 +441,8 @@ def _(spark, d):
     return metrics.ranking(scored(spark, d), ["model", "seed", "fold"])
 
 
-@query("reference_points", f"WITH {SCORED_SQL} SELECT fold, 0.5::DOUBLE AS roc_auc, round(avg(label), 6) AS pr_auc, round(avg(label) * (1 - avg(label)), 6) AS brier FROM sc GROUP BY fold")
+@query("reference_points",
+    f"WITH {SCORED_SQL} SELECT fold, 0.5::DOUBLE AS roc_auc, round(avg(label), 6) AS pr_auc, round(avg(label) * (1 - avg(label)), 6) AS brier FROM sc GROUP BY fold")
 def _(spark, d):
     return metrics.reference_points(scored(spark, d), ["fold"])
 
@@ -394,8 +465,12 @@ def _(spark, d):
 
 @query(
     "persistence",
-    f"""WITH {ASSIGNED_SQL}, tr AS (SELECT *, irrigation_event_lag1h > 0.5 AS s FROM ass), a AS (SELECT fold, s, avg(label) AS q FROM tr WHERE role = 'train' GROUP BY ALL), p AS (SELECT fold, avg(label) AS p FROM tr WHERE role = 'train' GROUP BY fold)
-SELECT fold, row_id, CAST(label AS BIGINT) AS label, round(greatest(least(coalesce(q, p), 1 - 1e-6), 1e-6), 6) AS score, CAST(s AS BIGINT) AS predicted FROM tr LEFT JOIN a USING (fold, s) JOIN p USING (fold) WHERE role = 'test'""",
+    f"""WITH {ASSIGNED_SQL}, tr AS (SELECT *, irrigation_event_lag1h > 0.5 AS s FROM ass), a AS (SELECT fold, s,
+  avg(label) AS q FROM tr WHERE role = 'train' GROUP BY ALL), p AS (SELECT fold, avg(label) AS p FROM tr
+  WHERE role = 'train' GROUP BY fold)
+SELECT fold, row_id, CAST(label AS BIGINT) AS label, round(greatest(least(coalesce(q, p), 1 - 1e-6), 1e-6),
+  6) AS score, CAST(s AS BIGINT) AS predicted FROM tr LEFT JOIN a USING (fold, s) JOIN p USING (fold)
+  WHERE role = 'test'""",
 )
 def _(spark, d):
     return models.persistence(assigned_rows(spark, d))
@@ -403,9 +478,14 @@ def _(spark, d):
 
 @query(
     "threshold_rule",
-    f"""WITH {ASSIGNED_SQL}, tr AS (SELECT fold, soil_moisture_lag1h AS x, label AS y FROM ass WHERE role = 'train'), q AS (SELECT DISTINCT fold, unnest(quantile_cont(x, [{", ".join(repr(i / 199) for i in range(200))}])) AS c FROM tr GROUP BY fold),
-g AS (SELECT fold, c, sum(CASE WHEN x < c THEN y ELSE 0 END) AS tp, count_if(x < c) AS pp, sum(y) AS pos FROM q JOIN tr USING (fold) GROUP BY ALL), s AS (SELECT *, CASE WHEN pp + pos > 0 THEN 2 * tp / (pp + pos) ELSE 0 END AS f1 FROM g)
-SELECT fold, round(c, 6) AS threshold, round(f1, 6) AS f1 FROM s QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(f1, 12) DESC, c) = 1""",
+    f"""WITH {ASSIGNED_SQL}, tr AS (SELECT fold, soil_moisture_lag1h AS x, label AS y FROM ass WHERE role = 'train'),
+  q AS (SELECT DISTINCT fold, unnest(quantile_cont(x, [{", ".join(repr(i / 199) for i in range(200))}])) AS c FROM tr
+  GROUP BY fold),
+g AS (SELECT fold, c, sum(CASE WHEN x < c THEN y ELSE 0 END) AS tp, count_if(x < c) AS pp, sum(y) AS pos FROM q
+  JOIN tr USING (fold) GROUP BY ALL), s AS (SELECT *, CASE WHEN pp + pos > 0 THEN 2 * tp / (pp + pos) ELSE 0 END AS f1
+  FROM g)
+SELECT fold, round(c, 6) AS threshold, round(f1, 6) AS f1
+  FROM s QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(f1, 12) DESC, c) = 1""",
 )
 def _(spark, d):
     return models.best_threshold(assigned_rows(spark, d), "soil_moisture_lag1h")
@@ -413,24 +493,33 @@ def _(spark, d):
 
 def _newton_sql(feature: str, source: str = "ass") -> str:
     """Ridge logistic fits of one feature, all folds together, by Newton steps in a recursive query."""
-    return f"""lx AS (SELECT fold, {feature} AS x, label AS y FROM {source} WHERE role = 'train'), ls AS (SELECT fold, avg(x) AS m, stddev_pop(x) AS s, avg(y) AS p FROM lx GROUP BY fold),
+    return f"""lx AS (SELECT fold, {feature} AS x, label AS y FROM {source} WHERE role = 'train'), ls AS (SELECT fold,
+  avg(x) AS m, stddev_pop(x) AS s, avg(y) AS p FROM lx GROUP BY fold),
 lz AS (SELECT fold, (x - m) / s AS z, y FROM lx JOIN ls USING (fold)),
 nw AS (SELECT fold, 0 AS i, CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1 FROM ls UNION ALL
-  SELECT fold, i + 1, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
-    SELECT fold, i, b0, b1, sum(q - y) AS g0, sum((q - y) * z) + b1 AS g1, sum(q * (1 - q)) + 1e-9 AS h00, sum(q * (1 - q) * z) AS h01, sum(q * (1 - q) * z * z) + 1.0 AS h11
-    FROM (SELECT nw.fold, i, b0, b1, z, y, 1 / (1 + exp(-(b0 + b1 * z))) AS q FROM nw JOIN lz USING (fold) WHERE i < 12) GROUP BY fold, i, b0, b1)),
+  SELECT fold, i + 1, b0 - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01),
+  b1 - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+    SELECT fold, i, b0, b1, sum(q - y) AS g0, sum((q - y) * z) + b1 AS g1, sum(q * (1 - q)) + 1e-9 AS h00,
+  sum(q * (1 - q) * z) AS h01, sum(q * (1 - q) * z * z) + 1.0 AS h11
+    FROM (SELECT nw.fold, i, b0, b1, z, y, 1 / (1 + exp(-(b0 + b1 * z))) AS q FROM nw JOIN lz USING (fold)
+  WHERE i < 12) GROUP BY fold, i, b0, b1)),
 fit AS (SELECT fold, b0 - b1 * m / s AS b0, b1 / s AS b1, p FROM nw JOIN ls USING (fold) WHERE i = 12)"""
 
 
 def _cut_sql(feature: str, source: str = "ass") -> str:
     """The best threshold of each fold."""
-    return f"""tr AS (SELECT fold, {feature} AS x, label AS y FROM {source} WHERE role = 'train'), tq AS (SELECT DISTINCT fold, unnest(quantile_cont(x, [{", ".join(repr(i / 199) for i in range(200))}])) AS c FROM tr GROUP BY fold),
-tg AS (SELECT fold, c, sum(CASE WHEN x < c THEN y ELSE 0 END) AS tp, count_if(x < c) AS pp, sum(y) AS pos FROM tq JOIN tr USING (fold) GROUP BY ALL),
-cut AS (SELECT fold, c FROM tg QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(CASE WHEN pp + pos > 0 THEN 2 * tp / (pp + pos) ELSE 0 END, 12) DESC, c) = 1)"""
+    return f"""tr AS (SELECT fold, {feature} AS x, label AS y FROM {source} WHERE role = 'train'),
+  tq AS (SELECT DISTINCT fold, unnest(quantile_cont(x, [{", ".join(repr(i / 199) for i in range(200))}])) AS c FROM tr
+  GROUP BY fold),
+tg AS (SELECT fold, c, sum(CASE WHEN x < c THEN y ELSE 0 END) AS tp, count_if(x < c) AS pp, sum(y) AS pos FROM tq
+  JOIN tr USING (fold) GROUP BY ALL),
+cut AS (SELECT fold, c FROM tg QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(CASE WHEN pp + pos > 0 THEN
+  2 * tp / (pp + pos) ELSE 0 END, 12) DESC, c) = 1)"""
 
 
 _EDGES = "greatest(least({}, 1 - 1e-6), 1e-6)"
-_MT_SQL = "SELECT fold, row_id, label, " + _EDGES.format("CASE WHEN p IN (0, 1) THEN p ELSE 1 / (1 + exp(-(b0 + b1 * {f}))) END") + " AS score, CAST({f} < c AS INT) AS predicted FROM {src} JOIN cut USING (fold) JOIN fit USING (fold) WHERE role = 'test'"
+_MT_SQL = "SELECT fold, row_id, label, " + _EDGES.format(
+    "CASE WHEN p IN (0, 1) THEN p ELSE 1 / (1 + exp(-(b0 + b1 * {f}))) END") + " AS score, CAST({f} < c AS INT) AS predicted FROM {src} JOIN cut USING (fold) JOIN fit USING (fold) WHERE role = 'test'"
 
 
 @query(
@@ -460,16 +549,22 @@ def _(spark, d):
 
 @query(
     "two_level_summary",
-    f"""WITH {SCORED_SQL}, bf AS (SELECT model, metric, fold, avg(value) AS value FROM lng GROUP BY ALL), bs AS (SELECT model, metric, seed, avg(value) AS value FROM lng GROUP BY ALL),
+    f"""WITH {SCORED_SQL}, bf AS (SELECT model, metric, fold, avg(value) AS value FROM lng GROUP BY ALL),
+  bs AS (SELECT model, metric, seed, avg(value) AS value FROM lng GROUP BY ALL),
 a AS ({_summary_sql('bf', 'model, metric')}), b AS ({_summary_sql('bs', 'model, metric')})
-SELECT a.model, a.metric, {", ".join(f"round(a.{c.strip()}, 6) AS {c.strip()}" for c in _S.split(","))}, a.n AS n_folds, a.degenerate, round(b.mean, 6) AS seed_mean, round(b.std, 6) AS seed_std, b.n AS n_seeds, b.degenerate AS deterministic_across_seeds FROM a JOIN b USING (model, metric)""",
+SELECT a.model, a.metric, {", ".join(f"round(a.{c.strip()}, 6) AS {c.strip()}" for c in _S.split(","))},
+  a.n AS n_folds, a.degenerate, round(b.mean, 6) AS seed_mean, round(b.std, 6) AS seed_std, b.n AS n_seeds,
+  b.degenerate AS deterministic_across_seeds FROM a JOIN b USING (model, metric)""",
 )
 def _(spark, d):
     return stats.aggregate_runs(results(spark, d))
 
 
-_SENS_SQL = f"""bf AS (SELECT 'main' AS protocol, model, metric, fold, avg(value) AS value FROM lng GROUP BY ALL UNION ALL SELECT 'first_seed', model, metric, fold, value FROM lng WHERE seed = 0),
-b2 AS (SELECT protocol, model, metric, 'all' AS subset, value FROM bf UNION ALL SELECT protocol, model, metric, 'reduced', value FROM bf WHERE NOT (protocol = 'main' AND fold IN (1, 3)) AND NOT (protocol = 'first_seed' AND fold = 2)),
+_SENS_SQL = f"""bf AS (SELECT 'main' AS protocol, model, metric, fold, avg(value) AS value FROM lng GROUP BY ALL
+  UNION ALL SELECT 'first_seed', model, metric, fold, value FROM lng WHERE seed = 0),
+b2 AS (SELECT protocol, model, metric, 'all' AS subset, value FROM bf UNION ALL SELECT protocol, model, metric,
+  'reduced', value FROM bf WHERE NOT (protocol = 'main' AND fold IN (1,
+  3)) AND NOT (protocol = 'first_seed' AND fold = 2)),
 s AS ({_summary_sql('b2', 'protocol, model, metric, subset')})"""
 
 
@@ -484,7 +579,9 @@ def _sensitivity(spark, d) -> DataFrame:
 
 @query(
     "sensitivity",
-    f"""WITH {SCORED_SQL}, {_SENS_SQL} SELECT protocol, model, metric, subset, n, degenerate, {_r(_S)}, CASE WHEN subset = 'reduced' THEN round(mean - max(mean) FILTER (WHERE subset = 'all') OVER (PARTITION BY protocol, model, metric), 6) END AS delta,
+    f"""WITH {SCORED_SQL}, {_SENS_SQL} SELECT protocol, model, metric, subset, n, degenerate, {_r(_S)},
+  CASE WHEN subset = 'reduced' THEN round(mean - max(mean) FILTER (WHERE subset = 'all') OVER (PARTITION BY protocol,
+  model, metric), 6) END AS delta,
 CASE WHEN subset = 'all' THEN '' WHEN protocol = 'main' THEN '1,3' ELSE '2' END AS excluded_folds FROM s""",
 )
 def _(spark, d):
@@ -493,8 +590,12 @@ def _(spark, d):
 
 @query(
     "ranking_preserved",
-    f"""WITH {SCORED_SQL}, {_SENS_SQL}, o AS (SELECT protocol, subset, string_agg(model, '>' ORDER BY mean DESC, model) AS o FROM s WHERE metric = 'pr_auc' GROUP BY ALL)
-SELECT protocol, max(o) FILTER (WHERE subset = 'all') AS all_order, max(o) FILTER (WHERE subset = 'reduced') AS reduced_order, max(o) FILTER (WHERE subset = 'all') = max(o) FILTER (WHERE subset = 'reduced') AS preserved FROM o GROUP BY protocol""",
+    f"""WITH {SCORED_SQL}, {_SENS_SQL}, o AS (SELECT protocol, subset, string_agg(model, '>' ORDER BY mean DESC,
+  model) AS o FROM s WHERE metric = 'pr_auc' GROUP BY ALL)
+SELECT protocol, max(o) FILTER (WHERE subset = 'all') AS all_order,
+  max(o) FILTER (WHERE subset = 'reduced') AS reduced_order,
+  max(o) FILTER (WHERE subset = 'all') = max(o) FILTER (WHERE subset = 'reduced') AS preserved FROM o
+  GROUP BY protocol""",
 )
 def _(spark, d):
     return stats.ranking_preserved(_sensitivity(spark, d), "pr_auc")
@@ -502,37 +603,48 @@ def _(spark, d):
 
 @query(
     "baselines_delta",
-    f"""WITH {SCORED_SQL}, s AS (SELECT model, metric, avg(value) AS mean FROM lng GROUP BY ALL), b AS (SELECT metric, arg_max(model, (CASE WHEN metric = 'brier' THEN -mean ELSE mean END, model)) AS best_model, arg_max(mean, (CASE WHEN metric = 'brier' THEN -mean ELSE mean END, model)) AS best_mean FROM s WHERE model <> 'tax' GROUP BY metric)
-SELECT model, metric, round(mean, 6) AS mean, best_model, round(best_mean, 6) AS best_mean, round(mean - best_mean, 6) AS delta, model = 'tax' AS is_baseline FROM s JOIN b USING (metric)""",
+    f"""WITH {SCORED_SQL}, s AS (SELECT model, metric, avg(value) AS mean FROM lng GROUP BY ALL), b AS (SELECT metric,
+  arg_max(model, (CASE WHEN metric = 'brier' THEN -mean ELSE mean END, model)) AS best_model, arg_max(mean,
+  (CASE WHEN metric = 'brier' THEN -mean ELSE mean END, model)) AS best_mean FROM s WHERE model <> 'tax'
+  GROUP BY metric)
+SELECT model, metric, round(mean, 6) AS mean, best_model, round(best_mean, 6) AS best_mean, round(mean - best_mean,
+  6) AS delta, model = 'tax' AS is_baseline FROM s JOIN b USING (metric)""",
 )
 def _(spark, d):
-    s = stats.summarise(stats.unpivot(results(spark, d), ["model", "seed", "fold"]), ["model", "metric"]).select("model", "metric", "mean")
+    s = stats.summarise(stats.unpivot(results(spark, d), ["model", "seed", "fold"]),
+        ["model", "metric"]).select("model", "metric", "mean")
     return stats.against_baselines(s, ["tax"])
 
 
-@query("pivot_folds", f"WITH {SCORED_SQL} SELECT model, {', '.join(f'round(avg(roc_auc) FILTER (WHERE fold = {f}), 6) AS fold_{f}' for f in range(5))} FROM res GROUP BY model")
+@query("pivot_folds",
+    f"WITH {SCORED_SQL} SELECT model, {', '.join(f'round(avg(roc_auc) FILTER (WHERE fold = {f}), 6) AS fold_{f}' for f in range(5))} FROM res GROUP BY model")
 def _(spark, d):
     return stats.pivot_folds(results(spark, d), "roc_auc", list(range(5)))
 
 
-@query("protocol_delta", f"WITH {SCORED_SQL} SELECT model, round(avg(pr_auc) FILTER (WHERE fold = 4), 6) AS holdout, round(avg(pr_auc), 6) AS rolling, round(avg(pr_auc) FILTER (WHERE fold = 4) - avg(pr_auc), 6) AS delta FROM res GROUP BY model")
+@query("protocol_delta",
+    f"WITH {SCORED_SQL} SELECT model, round(avg(pr_auc) FILTER (WHERE fold = 4), 6) AS holdout, round(avg(pr_auc), 6) AS rolling, round(avg(pr_auc) FILTER (WHERE fold = 4) - avg(pr_auc), 6) AS delta FROM res GROUP BY model")
 def _(spark, d):
     r = results(spark, d)
     mean = lambda x: x.groupBy("model").agg(F.avg("pr_auc").alias("mean"))
     return stats.joined_delta(mean(r.filter("fold = 4")), mean(r), ["model"], "mean", ("holdout", "rolling"))
 
 
-@query("intervals_overlap", f"WITH {SCORED_SQL}, s AS ({_summary_sql('lng', 'model, metric')}) SELECT metric, max(ci_low) <= min(ci_high) AS overlap FROM s GROUP BY metric")
+@query("intervals_overlap",
+    f"WITH {SCORED_SQL}, s AS ({_summary_sql('lng', 'model, metric')}) SELECT metric, max(ci_low) <= min(ci_high) AS overlap FROM s GROUP BY metric")
 def _(spark, d):
-    return stats.intervals_overlap(stats.summarise(stats.unpivot(results(spark, d), ["model", "seed", "fold"]), ["model", "metric"]), ["metric"])
+    return stats.intervals_overlap(stats.summarise(stats.unpivot(results(spark, d), ["model", "seed", "fold"]),
+        ["model", "metric"]), ["metric"])
 
 
-@query("leakage_verdict", f"WITH {SCORED_SQL}, s AS (SELECT model, avg(roc_auc) AS mean FROM res GROUP BY model) SELECT round(max(mean), 6) AS worst, arg_max(model, (mean, model)) AS model, CASE WHEN max(mean) > 0.9 THEN 'leak suspected' ELSE 'no leak seen' END AS verdict FROM s")
+@query("leakage_verdict",
+    f"WITH {SCORED_SQL}, s AS (SELECT model, avg(roc_auc) AS mean FROM res GROUP BY model) SELECT round(max(mean), 6) AS worst, arg_max(model, (mean, model)) AS model, CASE WHEN max(mean) > 0.9 THEN 'leak suspected' ELSE 'no leak seen' END AS verdict FROM s")
 def _(spark, d):
     return stats.leakage_verdict(results(spark, d).groupBy("model").agg(F.avg("roc_auc").alias("mean")))
 
 
-@query("fold_to_explain", f"WITH {SCORED_SQL} SELECT model, CAST(arg_max(fold, (pr_auc, fold)) AS BIGINT) AS fold, round(arg_max(positive_rate, (pr_auc, fold)), 6) AS test_rate, arg_max(positive_rate, (pr_auc, fold)) > 0.6 OR arg_max(positive_rate, (pr_auc, fold)) < 0.1 AS extreme FROM res WHERE seed = 1 GROUP BY model")
+@query("fold_to_explain",
+    f"WITH {SCORED_SQL} SELECT model, CAST(arg_max(fold, (pr_auc, fold)) AS BIGINT) AS fold, round(arg_max(positive_rate, (pr_auc, fold)), 6) AS test_rate, arg_max(positive_rate, (pr_auc, fold)) > 0.6 OR arg_max(positive_rate, (pr_auc, fold)) < 0.1 AS extreme FROM res WHERE seed = 1 GROUP BY model")
 def _(spark, d):
     return protocols.fold_to_explain(results(spark, d).filter("seed = 1"))
 
@@ -542,10 +654,16 @@ def _(spark, d):
 _U = "CAST(('0x' || substr(md5('42:' || {}), 1, 8)) AS BIGINT) / 4294967296.0"
 _U_TS = _U.format("'0:' || CAST(ts AS VARCHAR)")
 _INTERP_SQL = """ip0 AS (SELECT *, row_number() OVER (ORDER BY ts) AS p FROM merged),
-ip1 AS (SELECT *, max(CASE WHEN soil_moisture IS NOT NULL THEN p END) OVER (ORDER BY p) AS pa, min(CASE WHEN soil_moisture IS NOT NULL THEN p END) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS pb FROM ip0),
-ip AS (SELECT c.site, c.ts, c.p, coalesce(c.soil_moisture, a.soil_moisture + (b.soil_moisture - a.soil_moisture) * (c.p - c.pa) / (c.pb - c.pa), a.soil_moisture, b.soil_moisture) AS x FROM ip1 c LEFT JOIN ip0 a ON a.p = c.pa LEFT JOIN ip0 b ON b.p = c.pb)"""
-_EWM_SQL = """mn AS (SELECT site, ts, p, x, min(x) OVER (ORDER BY p ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING) AS mn FROM ip),
-ew AS (SELECT p, mn AS y FROM mn WHERE p = 1 UNION ALL SELECT mn.p, 0.92 * ew.y + 0.08 * mn.mn FROM ew JOIN mn ON mn.p = ew.p + 1)"""
+ip1 AS (SELECT *, max(CASE WHEN soil_moisture IS NOT NULL THEN p END) OVER (ORDER BY p) AS pa,
+  min(CASE WHEN soil_moisture IS NOT NULL THEN p END) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+  AS pb FROM ip0),
+ip AS (SELECT c.site, c.ts, c.p, coalesce(c.soil_moisture,
+  a.soil_moisture + (b.soil_moisture - a.soil_moisture) * (c.p - c.pa) / (c.pb - c.pa), a.soil_moisture,
+  b.soil_moisture) AS x FROM ip1 c LEFT JOIN ip0 a ON a.p = c.pa LEFT JOIN ip0 b ON b.p = c.pb)"""
+_EWM_SQL = """mn AS (SELECT site, ts, p, x, min(x) OVER (ORDER BY p ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING) AS mn
+  FROM ip),
+ew AS (SELECT p, mn AS y FROM mn WHERE p = 1 UNION ALL SELECT mn.p, 0.92 * ew.y + 0.08 * mn.mn FROM ew
+  JOIN mn ON mn.p = ew.p + 1)"""
 
 
 def _moisture_filled(spark, d) -> DataFrame:
@@ -557,7 +675,8 @@ def _(spark, d):
     return _moisture_filled(spark, d)
 
 
-@query("centred_min", f"WITH {MERGED_SQL} SELECT site, ts, round(min(soil_moisture) OVER (ORDER BY ts ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING), 6) AS low FROM merged")
+@query("centred_min",
+    f"WITH {MERGED_SQL} SELECT site, ts, round(min(soil_moisture) OVER (ORDER BY ts ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING), 6) AS low FROM merged")
 def _(spark, d):
     return merged(spark, d).select("site", "ts", healing.centred_min("soil_moisture", KEYS).alias("low"))
 
@@ -575,7 +694,8 @@ def _(spark, d):
 
 @query("mask_mcar", f"WITH {MERGED_SQL} SELECT site, ts, CASE WHEN {_U_TS} >= 0.2 THEN round(soil_moisture, 6) END AS soil_moisture FROM merged")
 def _(spark, d):
-    return perturb.mask_at_random(merged(spark, d).select("site", "ts", "soil_moisture"), "soil_moisture", 0.2, ["site", "ts"])
+    return perturb.mask_at_random(merged(spark, d).select("site", "ts", "soil_moisture"), "soil_moisture", 0.2,
+        ["site", "ts"])
 
 
 @query(
@@ -583,12 +703,17 @@ def _(spark, d):
     f"WITH {MERGED_SQL}, r AS (SELECT *, 1 / (1 + exp(-0.3 * (air_temp - 35))) AS q FROM merged), p AS (SELECT *, least(greatest(q * 0.2 / avg(q) OVER (), 0), 1) AS p FROM r) SELECT site, ts, CASE WHEN coalesce({_U_TS} >= p, true) THEN round(soil_moisture, 6) END AS soil_moisture FROM p",
 )
 def _(spark, d):
-    return perturb.mask_in_heat(merged(spark, d).select("site", "ts", "soil_moisture", "air_temp"), "soil_moisture", 0.2, ["site", "ts"]).drop("air_temp")
+    return perturb.mask_in_heat(merged(spark, d).select("site", "ts", "soil_moisture", "air_temp"), "soil_moisture",
+        0.2, ["site", "ts"]).drop("air_temp")
 
 
-_RAMP_SQL = f"""nn AS (SELECT count(*) AS n FROM merged), ks AS (SELECT k, 35 + floor({_U.format("'0:' || CAST(k AS VARCHAR)")} * 6) AS len FROM range(0, 100000) AS r(k), nn WHERE k <= n // 35 + 1),
-rs AS (SELECT coalesce(sum(len) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM ks), pp AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS pos FROM merged),
-ramp AS (SELECT pp.site, pp.ts, soil_moisture + 5.545 * (1 - exp(-0.08 * (pos - (SELECT max(start) FROM rs WHERE start <= pos)))) AS x FROM pp)"""
+_RAMP_SQL = f"""nn AS (SELECT count(*) AS n FROM merged), ks AS (SELECT k,
+  35 + floor({_U.format("'0:' || CAST(k AS VARCHAR)")} * 6) AS len FROM range(0, 100000) AS r(k), nn
+  WHERE k <= n // 35 + 1),
+rs AS (SELECT coalesce(sum(len) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM ks), pp AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS pos FROM merged),
+ramp AS (SELECT pp.site, pp.ts, soil_moisture + 5.545 * (1 - exp(-0.08 * (pos - (SELECT max(start) FROM rs
+  WHERE start <= pos)))) AS x FROM pp)"""
 
 
 @query("sawtooth", f"WITH {MERGED_SQL}, {_RAMP_SQL} SELECT site, ts, round(x, 6) AS soil_moisture FROM ramp")
@@ -600,7 +725,8 @@ def _variants(spark, d) -> DataFrame:
     clean = merged(spark, d).select("site", "ts", "soil_moisture")
     masked = perturb.mask_at_random(clean, "soil_moisture", 0.2, ["site", "ts"])
     filled = healing.interpolate(masked, "soil_moisture", KEYS)
-    return protocols.union([x.withColumn("variant", F.lit(n)) for n, x in (("clean", clean), ("masked", masked), ("filled", filled))])
+    return protocols.union([x.withColumn("variant", F.lit(n)) for n,
+        x in (("clean", clean), ("masked", masked), ("filled", filled))])
 
 
 _VAR_SQL = _INTERP_SQL.replace("merged", "mk").replace("ip0", "iq0").replace("ip1", "iq1").replace("ip AS", "iq AS")
@@ -609,8 +735,11 @@ _VARIANTS_SQL = f"mk AS (SELECT site, ts, CASE WHEN {_U_TS} >= 0.2 THEN soil_moi
 
 @query(
     "signal_quality",
-    f"""WITH {MERGED_SQL}, {_VARIANTS_SQL}, q AS (SELECT variant, vr.x AS x, r.soil_moisture AS r FROM vr LEFT JOIN merged r USING (ts))
-SELECT variant, round(corr(x, r), 6) AS corr, round(avg(abs(x - r)), 6) AS mae, round(sqrt(avg((x - r) * (x - r))), 6) AS rmse, count_if(x IS NULL) AS n_missing, count_if(x IS NOT NULL AND r IS NOT NULL) AS n_compared FROM q GROUP BY variant""",
+    f"""WITH {MERGED_SQL}, {_VARIANTS_SQL}, q AS (SELECT variant, vr.x AS x, r.soil_moisture AS r FROM vr LEFT
+  JOIN merged r USING (ts))
+SELECT variant, round(corr(x, r), 6) AS corr, round(avg(abs(x - r)), 6) AS mae, round(sqrt(avg((x - r) * (x - r))),
+  6) AS rmse, count_if(x IS NULL) AS n_missing, count_if(x IS NOT NULL AND r IS NOT NULL) AS n_compared FROM q
+  GROUP BY variant""",
 )
 def _(spark, d):
     return healing.signal_quality(_variants(spark, d), "clean", "soil_moisture", ["site", "ts"])
@@ -618,8 +747,12 @@ def _(spark, d):
 
 @query(
     "healing_quality",
-    f"""WITH {MERGED_SQL}, {_VARIANTS_SQL}, q AS (SELECT merged.soil_moisture AS x, mk.soil_moisture AS c, iq.x AS h FROM merged JOIN mk USING (ts) JOIN iq USING (ts)), k AS (SELECT *, c IS NULL OR abs(c - x) > 1e-6 AS hit FROM q), o AS (SELECT * FROM k WHERE hit AND x IS NOT NULL AND h IS NOT NULL)
-SELECT (SELECT count_if(hit) FROM k) AS n_corrupted, round(avg(abs(h - x)), 6) AS mae, round(sqrt(avg((h - x) * (h - x))), 6) AS rmse, round(1 - sum((h - x) * (h - x)) / (var_pop(x) * count(x)), 6) AS r2 FROM o""",
+    f"""WITH {MERGED_SQL}, {_VARIANTS_SQL}, q AS (SELECT merged.soil_moisture AS x, mk.soil_moisture AS c, iq.x AS h
+  FROM merged JOIN mk USING (ts) JOIN iq USING (ts)), k AS (SELECT *, c IS NULL OR abs(c - x) > 1e-6 AS hit FROM q),
+  o AS (SELECT * FROM k WHERE hit AND x IS NOT NULL AND h IS NOT NULL)
+SELECT (SELECT count_if(hit) FROM k) AS n_corrupted, round(avg(abs(h - x)), 6) AS mae,
+  round(sqrt(avg((h - x) * (h - x))), 6) AS rmse, round(1 - sum((h - x) * (h - x)) / (var_pop(x) * count(x)), 6) AS r2
+  FROM o""",
 )
 def _(spark, d):
     v = _variants(spark, d)
@@ -627,16 +760,21 @@ def _(spark, d):
     return healing.healing_quality(pick("clean"), pick("masked"), pick("filled"), "soil_moisture", ["site", "ts"])
 
 
-@query("common_rows", f"WITH {MERGED_SQL}, {_VARIANTS_SQL}, ok AS (SELECT * FROM vr WHERE x IS NOT NULL), s AS (SELECT ts FROM ok GROUP BY ts HAVING count(DISTINCT variant) = 3) SELECT variant, ts, round(x, 6) AS soil_moisture FROM ok SEMI JOIN s USING (ts)")
+@query("common_rows",
+    f"WITH {MERGED_SQL}, {_VARIANTS_SQL}, ok AS (SELECT * FROM vr WHERE x IS NOT NULL), s AS (SELECT ts FROM ok GROUP BY ts HAVING count(DISTINCT variant) = 3) SELECT variant, ts, round(x, 6) AS soil_moisture FROM ok SEMI JOIN s USING (ts)")
 def _(spark, d):
     return healing.common_rows(_variants(spark, d).filter("soil_moisture is not null"), ["ts"]).drop("site")
 
 
 @query(
     "knn_impute",
-    f"""WITH {MERGED_SQL}, q AS (SELECT ts, air_temp AS a, humidity AS h FROM merged WHERE soil_moisture IS NULL), dn AS (SELECT ts AS dts, soil_moisture AS y, air_temp AS da, humidity AS dh FROM merged WHERE soil_moisture IS NOT NULL),
-p AS (SELECT *, CAST(a IS NOT NULL AND da IS NOT NULL AS INT) + CAST(h IS NOT NULL AND dh IS NOT NULL AS INT) AS k, coalesce((a - da) * (a - da), 0) + coalesce((h - dh) * (h - dh), 0) AS sq FROM q, dn),
-b AS (SELECT ts, y FROM p WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY ts ORDER BY sqrt(sq * 2 / k), dts) <= 5), f5 AS (SELECT ts, avg(y) AS v FROM b GROUP BY ts)
+    f"""WITH {MERGED_SQL}, q AS (SELECT ts, air_temp AS a, humidity AS h FROM merged WHERE soil_moisture IS NULL),
+  dn AS (SELECT ts AS dts, soil_moisture AS y, air_temp AS da, humidity AS dh FROM merged
+  WHERE soil_moisture IS NOT NULL),
+p AS (SELECT *, CAST(a IS NOT NULL AND da IS NOT NULL AS INT) + CAST(h IS NOT NULL AND dh IS NOT NULL AS INT) AS k,
+  coalesce((a - da) * (a - da), 0) + coalesce((h - dh) * (h - dh), 0) AS sq FROM q, dn),
+b AS (SELECT ts, y FROM p WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY ts ORDER BY sqrt(sq * 2 / k),
+  dts) <= 5), f5 AS (SELECT ts, avg(y) AS v FROM b GROUP BY ts)
 SELECT ts, round(coalesce(soil_moisture, v), 6) AS soil_moisture FROM merged LEFT JOIN f5 USING (ts)""",
 )
 def _(spark, d):
@@ -661,30 +799,43 @@ def _(spark, d):
 
 @query(
     "block_indices",
-    f"""WITH {SUPERVISED_SQL}, n AS (SELECT count(*) AS n FROM sup), dr AS (SELECT i AS iteration, k, floor({_U.format("CAST(i AS VARCHAR) || ':' || CAST(k AS VARCHAR)")} * (n - 24 + 1)) AS s, n FROM range(0, 20) AS a(i), n, range(0, 100000) AS b(k) WHERE k < (n + 23) // 24)
-SELECT iteration, k * 24 + o AS place, CAST(s + o AS BIGINT) AS row_id FROM dr, range(0, 24) AS c(o) WHERE k * 24 + o < n""",
+    f"""WITH {SUPERVISED_SQL}, n AS (SELECT count(*) AS n FROM sup), dr AS (SELECT i AS iteration, k,
+  floor({_U.format("CAST(i AS VARCHAR) || ':' || CAST(k AS VARCHAR)")} * (n - 24 + 1)) AS s, n FROM range(0,
+  20) AS a(i), n, range(0, 100000) AS b(k) WHERE k < (n + 23) // 24)
+SELECT iteration, k * 24 + o AS place, CAST(s + o AS BIGINT) AS row_id FROM dr, range(0, 24) AS c(o)
+  WHERE k * 24 + o < n""",
 )
 def _(spark, d):
     return stats.block_indices(spark, 20, narrow_rows(spark, d).count(), 24)
 
 
-_BOOT_SQL = f"""{SUPERVISED_SQL}, n AS (SELECT count(*) AS n FROM sup), pr AS (SELECT row_id, label, -soil_moisture_lag1h AS a, irrigation_event_lag1h AS b FROM sup),
-bd AS (SELECT i AS iteration, k, CAST(floor({_U.format("CAST(i AS VARCHAR) || ':' || CAST(k AS VARCHAR)")} * (n - 24 + 1)) AS BIGINT) AS s, n FROM range(0, 10000) AS a(i), n, range(0, 100000) AS b(k) WHERE k < (n + 23) // 24),
-bw AS (SELECT iteration, s + o AS row_id, count(*) AS w FROM bd, range(0, 24) AS c(o) WHERE k * 24 + o < n GROUP BY ALL),
-bs AS (SELECT iteration, m, score, sum(CASE WHEN label = 1 THEN w ELSE 0 END) AS p, sum(CASE WHEN label = 1 THEN 0 ELSE w END) AS q FROM (
-  SELECT iteration, 'a' AS m, a AS score, label, w FROM bw JOIN pr USING (row_id) UNION ALL SELECT iteration, 'b', b, label, w FROM bw JOIN pr USING (row_id)) GROUP BY ALL),
+_BOOT_SQL = f"""{SUPERVISED_SQL}, n AS (SELECT count(*) AS n FROM sup), pr AS (SELECT row_id, label,
+  -soil_moisture_lag1h AS a, irrigation_event_lag1h AS b FROM sup),
+bd AS (SELECT i AS iteration, k, CAST(floor({_U.format("CAST(i AS VARCHAR) || ':' || CAST(k AS VARCHAR)")} * (n - 24 +
+  1)) AS BIGINT) AS s, n FROM range(0, 10000) AS a(i), n, range(0, 100000) AS b(k) WHERE k < (n + 23) // 24),
+bw AS (SELECT iteration, s + o AS row_id, count(*) AS w FROM bd, range(0, 24) AS c(o) WHERE k * 24 + o < n
+  GROUP BY ALL),
+bs AS (SELECT iteration, m, score, sum(CASE WHEN label = 1 THEN w ELSE 0 END) AS p,
+  sum(CASE WHEN label = 1 THEN 0 ELSE w END) AS q FROM (
+  SELECT iteration, 'a' AS m, a AS score, label, w FROM bw JOIN pr USING (row_id) UNION ALL SELECT iteration, 'b', b,
+  label, w FROM bw JOIN pr USING (row_id)) GROUP BY ALL),
 bc AS (SELECT *, sum(p) OVER (PARTITION BY iteration, m ORDER BY score DESC) AS tp FROM bs),
-ba AS (SELECT iteration, m, sum(q * (tp - p / 2.0)) / (sum(p) * sum(q)) AS auc FROM bc GROUP BY ALL HAVING sum(p) > 0 AND sum(q) > 0),
-bf AS (SELECT iteration, max(auc) FILTER (WHERE m = 'a') - max(auc) FILTER (WHERE m = 'b') AS d FROM ba GROUP BY iteration),
-os AS (SELECT m, score, sum(label) AS p, sum(1 - label) AS q FROM (SELECT 'a' AS m, a AS score, label FROM pr UNION ALL SELECT 'b', b, label FROM pr) GROUP BY ALL),
+ba AS (SELECT iteration, m, sum(q * (tp - p / 2.0)) / (sum(p) * sum(q)) AS auc FROM bc
+  GROUP BY ALL HAVING sum(p) > 0 AND sum(q) > 0),
+bf AS (SELECT iteration, max(auc) FILTER (WHERE m = 'a') - max(auc) FILTER (WHERE m = 'b') AS d FROM ba
+  GROUP BY iteration),
+os AS (SELECT m, score, sum(label) AS p, sum(1 - label) AS q FROM (SELECT 'a' AS m, a AS score, label FROM pr
+  UNION ALL SELECT 'b', b, label FROM pr) GROUP BY ALL),
 oc AS (SELECT *, sum(p) OVER (PARTITION BY m ORDER BY score DESC) AS tp FROM os),
 oa AS (SELECT m, sum(q * (tp - p / 2.0)) / (sum(p) * sum(q)) AS auc FROM oc GROUP BY m),
-boot AS (SELECT (SELECT max(auc) FILTER (WHERE m = 'a') - max(auc) FILTER (WHERE m = 'b') FROM oa) AS difference, quantile_cont(d, 0.025) AS ci_low, quantile_cont(d, 0.975) AS ci_high,
+boot AS (SELECT (SELECT max(auc) FILTER (WHERE m = 'a') - max(auc) FILTER (WHERE m = 'b') FROM oa) AS difference,
+  quantile_cont(d, 0.025) AS ci_low, quantile_cont(d, 0.975) AS ci_high,
   least(1.0, 2 * least(avg(CAST(d <= 0 AS INT)), avg(CAST(d >= 0 AS INT)))) AS p_value, count(*) AS n_valid FROM bf)"""
 
 
 def _bootstrap(spark, d) -> DataFrame:
-    rows = narrow_rows(spark, d).select("row_id", "label", (-F.col("soil_moisture_lag1h")).alias("a"), F.col("irrigation_event_lag1h").alias("b"))
+    rows = narrow_rows(spark, d).select("row_id", "label", (-F.col("soil_moisture_lag1h")).alias("a"),
+        F.col("irrigation_event_lag1h").alias("b"))
     return stats.bootstrap_difference(rows)
 
 
@@ -695,7 +846,9 @@ def _(spark, d):
 
 @query(
     "comparison_document",
-    f"""WITH {_BOOT_SQL} SELECT round(p_value, 6) AS p_value, CASE WHEN p_value < 0.05 THEN CASE WHEN difference > 0 THEN 'moisture' ELSE 'last state' END || ' is better (p ' || t || ')' ELSE 'no difference shown (p ' || t || ')' END AS interpretation
+    f"""WITH {_BOOT_SQL} SELECT round(p_value, 6) AS p_value, CASE WHEN p_value < 0.05 THEN
+  CASE WHEN difference > 0 THEN 'moisture' ELSE 'last state' END || ' is better (p ' || t || ')' ELSE
+  'no difference shown (p ' || t || ')' END AS interpretation
 FROM (SELECT *, CASE WHEN p_value < 0.0001 THEN '< 1e-04' ELSE printf('%.4f', p_value) END AS t FROM boot)""",
 )
 def _(spark, d):
@@ -708,7 +861,9 @@ def contributions(spark, d) -> DataFrame:
     return attribution.linear_contributions(narrow_rows(spark, d), NARROW, [0.5, -0.25, 0.1, 8.0, 3.0])
 
 
-_CONTRIB_SQL = f"{SUPERVISED_SQL}, ct AS (" + " UNION ALL ".join(f"SELECT row_id, '{n}' AS feature, CAST({n} AS DOUBLE) AS value, {c} * ({n} - (SELECT avg({n}) FROM sup)) AS contribution FROM sup" for n, c in zip(NARROW, (0.5, -0.25, 0.1, 8.0, 3.0))) + ")"
+_CONTRIB_SQL = f"{SUPERVISED_SQL}, ct AS (" + " UNION ALL ".join(
+    f"SELECT row_id, '{n}' AS feature, CAST({n} AS DOUBLE) AS value, {c} * ({n} - (SELECT avg({n}) FROM sup)) AS contribution FROM sup"
+    for n, c in zip(NARROW, (0.5, -0.25, 0.1, 8.0, 3.0))) + ")"
 
 
 @query("contributions", f"WITH {_CONTRIB_SQL} SELECT row_id, feature, {_r('value, contribution')} FROM ct")
@@ -724,29 +879,37 @@ def _(spark, d):
     return attribution.importance_table(contributions(spark, d), features.blocks(), "linear", 0)
 
 
-@query("top_features", f"WITH {_CONTRIB_SQL} SELECT feature, round(avg(abs(contribution)), 6) AS mean_abs FROM ct GROUP BY feature ORDER BY avg(abs(contribution)) DESC, feature LIMIT 3")
+@query("top_features",
+    f"WITH {_CONTRIB_SQL} SELECT feature, round(avg(abs(contribution)), 6) AS mean_abs FROM ct GROUP BY feature ORDER BY avg(abs(contribution)) DESC, feature LIMIT 3")
 def _(spark, d):
     return attribution.top_features(contributions(spark, d))
 
 
 @query(
     "topk_pooled",
-    f"""WITH {_CONTRIB_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(contribution) DESC, feature) AS k FROM ct)
-SELECT row_id, least(k, 3) AS place, CASE WHEN least(k, 3) <= 2 THEN min(feature) ELSE count(*) || ' other features' END AS feature, round(sum(contribution), 6) AS contribution FROM r GROUP BY row_id, least(k, 3)""",
+    f"""WITH {_CONTRIB_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(contribution) DESC,
+  feature) AS k FROM ct)
+SELECT row_id, least(k, 3) AS place, CASE WHEN least(k,
+  3) <= 2 THEN min(feature) ELSE count(*) || ' other features' END AS feature, round(sum(contribution),
+  6) AS contribution FROM r GROUP BY row_id, least(k, 3)""",
 )
 def _(spark, d):
     return attribution.waterfall(contributions(spark, d), 2)
 
 
-@query("column_medians", f"WITH {SUPERVISED_SQL} " + " UNION ALL ".join(f"SELECT '{n}' AS feature, round(quantile_cont({n}, 0.5), 6) AS median FROM sup" for n in NARROW))
+@query("column_medians", f"WITH {SUPERVISED_SQL} " + " UNION ALL ".join(
+    f"SELECT '{n}' AS feature, round(quantile_cont({n}, 0.5), 6) AS median FROM sup" for n in NARROW))
 def _(spark, d):
     return attribution.column_medians(narrow_rows(spark, d), NARROW)
 
 
 @query(
     "instances",
-    f"""WITH {SCORED_SQL}, c AS (SELECT model, fold, 'true_positive' AS "case", row_id, score, -score AS cost FROM sc WHERE label = 1 AND score >= 0.5 UNION ALL SELECT model, fold, 'false_positive', row_id, score, -score FROM sc WHERE label = 0 AND score >= 0.5 UNION ALL SELECT model, fold, 'borderline', row_id, score, abs(score - 0.5) FROM sc)
-SELECT model, fold, "case", row_id, round(score, 6) AS score FROM c QUALIFY row_number() OVER (PARTITION BY model, fold, "case" ORDER BY cost, row_id) = 1""",
+    f"""WITH {SCORED_SQL}, c AS (SELECT model, fold, 'true_positive' AS "case", row_id, score, -score AS cost FROM sc
+  WHERE label = 1 AND score >= 0.5 UNION ALL SELECT model, fold, 'false_positive', row_id, score, -score FROM sc
+  WHERE label = 0 AND score >= 0.5 UNION ALL SELECT model, fold, 'borderline', row_id, score, abs(score - 0.5) FROM sc)
+SELECT model, fold, "case", row_id, round(score, 6) AS score FROM c QUALIFY row_number() OVER (PARTITION BY model,
+  fold, "case" ORDER BY cost, row_id) = 1""",
 )
 def _(spark, d):
     return attribution.instances(scored(spark, d), ["model", "fold"])
@@ -771,7 +934,8 @@ def _(spark, d):
 @query("boosted_folds")
 def _(spark, d):
     rows, folds = _ml_rows(spark, d)
-    return protocols.evaluate(rows, folds, NARROW, [models.ModelSpec("gbt_a", SMALL_TREES), models.ModelSpec("gbt_b", SMALL_TREES)], rules=[])
+    return protocols.evaluate(rows, folds, NARROW, [models.ModelSpec("gbt_a", SMALL_TREES),
+        models.ModelSpec("gbt_b", SMALL_TREES)], rules=[])
 
 
 @query("nested_cv")
@@ -784,7 +948,8 @@ def _(spark, d):
 @query("best_against_baseline")
 def _(spark, d):
     rows, folds = _ml_rows(spark, d)
-    return protocols.compare_best(rows, folds, NARROW, [models.ModelSpec("gbt_a", SMALL_TREES)], [models.ModelSpec("logistic")])
+    return protocols.compare_best(rows, folds, NARROW, [models.ModelSpec("gbt_a", SMALL_TREES)],
+        [models.ModelSpec("logistic")])
 
 
 # ---- report documents -------------------------------------------------------------------
@@ -792,31 +957,42 @@ def _(spark, d):
 
 @query(
     "dominance_document",
-    f"""WITH {ASSIGNED_SQL}, {_LAB_SQL}, {_DOM_SQL} SELECT string_agg(fold || ':' || CAST(CAST(round(dominance * 10000) AS BIGINT) AS VARCHAR), ',' ORDER BY fold) AS by_fold, coalesce(string_agg(fold, ',' ORDER BY fold) FILTER (WHERE dominance > 0.5), '') AS flagged,
-max(largest_episode) AS largest_episode, round(max(largest_episode) / (SELECT count_if(label = 1) FROM sup), 4) AS share FROM dm""",
+    f"""WITH {ASSIGNED_SQL}, {_LAB_SQL}, {_DOM_SQL} SELECT string_agg(fold || ':' || CAST(CAST(round(dominance *
+  10000) AS BIGINT) AS VARCHAR), ',' ORDER BY fold) AS by_fold, coalesce(string_agg(fold,
+  ',' ORDER BY fold) FILTER (WHERE dominance > 0.5), '') AS flagged,
+max(largest_episode) AS largest_episode, round(max(largest_episode) / (SELECT count_if(label = 1) FROM sup),
+  4) AS share FROM dm""",
 )
 def _(spark, d):
     by_fold = episodes.dominance(_labelled_assigned(spark, d).filter("role = 'test'"), ["fold"])
     positives = narrow_rows(spark, d).filter("label = 1").count()
     doc = reports.dominance_document(by_fold, {"supervised": positives})
-    parts = F.transform(F.array_sort(F.map_entries("dominance_by_fold")), lambda e: F.concat(e["key"], F.lit(":"), F.round(e["value"] * 10000).cast("long").cast("string")))
-    return doc.select(F.array_join(parts, ",").alias("by_fold"), F.array_join(F.transform("flagged_folds", lambda x: x.cast("string")), ",").alias("flagged"), "largest_episode", F.col("largest_episode_share.supervised").alias("share"))
+    parts = F.transform(F.array_sort(F.map_entries("dominance_by_fold")),
+        lambda e: F.concat(e["key"], F.lit(":"), F.round(e["value"] * 10000).cast("long").cast("string")))
+    return doc.select(F.array_join(parts, ",").alias("by_fold"),
+        F.array_join(F.transform("flagged_folds", lambda x: x.cast("string")), ",").alias("flagged"), "largest_episode",
+        F.col("largest_episode_share.supervised").alias("share"))
 
 
 @query(
     "explanation_manifest",
-    f"""WITH {_CONTRIB_SQL}, imp AS (SELECT feature, avg(abs(contribution)) AS m FROM ct GROUP BY feature), sx AS (SELECT row_id, label, 1 - soil_moisture_lag1h / 100 AS score FROM sup),
-ins AS (SELECT 'true_positive' AS c, arg_min(row_id, (-score, row_id)) AS r FROM sx WHERE label = 1 AND score >= 0.5 UNION ALL SELECT 'false_positive', arg_min(row_id, (-score, row_id)) FROM sx WHERE label = 0 AND score >= 0.5
+    f"""WITH {_CONTRIB_SQL}, imp AS (SELECT feature, avg(abs(contribution)) AS m FROM ct GROUP BY feature),
+  sx AS (SELECT row_id, label, 1 - soil_moisture_lag1h / 100 AS score FROM sup),
+ins AS (SELECT 'true_positive' AS c, arg_min(row_id, (-score, row_id)) AS r FROM sx WHERE label = 1 AND score >= 0.5
+  UNION ALL SELECT 'false_positive', arg_min(row_id, (-score, row_id)) FROM sx WHERE label = 0 AND score >= 0.5
 UNION ALL SELECT 'borderline', arg_min(row_id, (abs(score - 0.5), row_id)) FROM sx)
-SELECT 'linear' AS model, CAST(0 AS BIGINT) AS fold, (SELECT string_agg(feature, ',' ORDER BY m DESC, feature) FROM (FROM imp ORDER BY m DESC, feature LIMIT 3)) AS top_features,
-(SELECT string_agg(feature, ',' ORDER BY m DESC, feature) FROM imp) AS importance, (SELECT string_agg(c || ':' || r, ',' ORDER BY c) FROM ins) AS instances""",
+SELECT 'linear' AS model, CAST(0 AS BIGINT) AS fold, (SELECT string_agg(feature, ',' ORDER BY m DESC, feature)
+  FROM (FROM imp ORDER BY m DESC, feature LIMIT 3)) AS top_features,
+(SELECT string_agg(feature, ',' ORDER BY m DESC, feature) FROM imp) AS importance, (SELECT string_agg(c || ':' || r,
+  ',' ORDER BY c) FROM ins) AS instances""",
 )
 def _(spark, d):
     rows = narrow_rows(spark, d).select("row_id", "label", (1 - F.col("soil_moisture_lag1h") / 100).alias("score"))
     doc = reports.explanation_manifest(contributions(spark, d), rows, features.blocks(), "linear", 0)
     text = lambda c, f: F.array_join(F.transform(c, f), ",")
     return doc.select(
-        "model", "fold", F.array_join("top_features", ",").alias("top_features"), text("importance", lambda x: x["feature"]).alias("importance"),
+        "model", "fold", F.array_join("top_features", ",").alias("top_features"),
+            text("importance", lambda x: x["feature"]).alias("importance"),
         text("instances", lambda x: F.concat(x["case"], F.lit(":"), x["row_id"].cast("string"))).alias("instances"),
     )
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..operators.timegrid import MERGED
 
 #: Timestamp formats tried in order; a log may mix them.
-FORMATS = ("dd-MMM-yyyy HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "dd/MM/yyyy HH:mm", "yyyy-MM-dd HH:mm")
+FORMATS = ("dd-MMM-yyyy HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "dd/MM/yyyy HH:mm",
+    "yyyy-MM-dd HH:mm")
 #: The first word found in a file's name gives its channel.
 CHANNELS = (("moisture", "soil_moisture"), ("valve", "irrigation_event"), ("flow", "flow_l_cumulative"))
 FILL = -999.0
@@ -29,8 +30,10 @@ def column_roles(df: DataFrame) -> tuple[str, str]:
     if len(df.columns) != 2:
         raise ValueError(f"two columns are expected, not {df.columns}")
     a, b = df.columns
-    numeric = lambda c: F.bool_and(F.col(c).isNull() | F.expr(f"try_cast(`{c}` as double)").isNotNull()) & (F.count(c) > 0)
-    year = lambda c: F.percentile(F.year(F.timestamp_seconds(F.expr(f"try_cast(`{c}` as double)"))), F.lit(0.5))
+    numeric = lambda c: F.bool_and(F.col(c).isNull() | F.expr(f"try_cast(`{c}` as double)").isNotNull()) & (
+        F.count(c) > 0)
+    year = lambda c: F.percentile(F.year(F.timestamp_seconds(F.expr(f"try_cast(`{c}` as double)"))),
+        F.lit(0.5))
     r = df.agg(numeric(a).alias("a"), numeric(b).alias("b"), year(a).alias("ya"), year(b).alias("yb")).first()
     if r["a"] and r["b"]:
         late_a, late_b = (r["ya"] or 0) > 2000, (r["yb"] or 0) > 2000
@@ -46,7 +49,8 @@ def read_log(spark: SparkSession, path: str | list[str], value: str = "value") -
     raw = raw.toDF(*[c.strip() for c in raw.columns])
     time, val = column_roles(raw)
     numeric_time = F.timestamp_seconds(F.expr(f"try_cast(`{time}` as double)")).cast("timestamp_ntz")
-    return raw.select(F.coalesce(parsed_time(F.col(time)), numeric_time).alias("ts"), F.expr(f"try_cast(`{val}` as double)").alias(value))
+    return raw.select(F.coalesce(parsed_time(F.col(time)), numeric_time).alias("ts"),
+        F.expr(f"try_cast(`{val}` as double)").alias(value))
 
 
 def channel_of(name: str) -> str | None:
@@ -79,7 +83,8 @@ def weather_rows(documents: DataFrame, column: str = "value", fill: float = FILL
     """A row an hour from JSON texts of parameter -> yyyyMMddHH -> value; the file's own fill value or the default is NULL."""
     schema = "struct<header:struct<fill_value:double>, properties:struct<parameter:map<string,map<string,double>>>>"
     d = documents.select(F.from_json(column, schema).alias("j"))
-    d = d.select(F.coalesce("j.header.fill_value", F.lit(fill)).alias("fill"), F.explode("j.properties.parameter").alias("name", "hours"))
+    d = d.select(F.coalesce("j.header.fill_value", F.lit(fill)).alias("fill"),
+        F.explode("j.properties.parameter").alias("name", "hours"))
     d = d.select("fill", "name", F.explode("hours").alias("hour", "v"))
     at = F.try_to_timestamp("hour", F.lit("yyyyMMddHH")).cast("timestamp_ntz")
     return d.select(at.alias("ts"), "name", F.nullif("v", F.col("fill")).alias("v"))
@@ -103,7 +108,8 @@ def request_window(channels: list[DataFrame]) -> DataFrame:
     for c in channels:
         part = c.select("ts")
         ts = part if ts is None else ts.union(part)
-    return ts.agg(F.date_format(F.min("ts"), "yyyyMMdd").alias("start"), F.date_format(F.max("ts"), "yyyyMMdd").alias("end"))
+    return ts.agg(F.date_format(F.min("ts"), "yyyyMMdd").alias("start"),
+        F.date_format(F.max("ts"), "yyyyMMdd").alias("end"))
 
 
 def read_merged(spark: SparkSession, path: str) -> DataFrame:
@@ -131,7 +137,8 @@ def write_document(df: DataFrame, path: str) -> str:
     return path
 
 
-def export_all(tables: dict[str, DataFrame], documents: dict[str, DataFrame], folder: str, kind: str = "parquet") -> dict[str, str]:
+def export_all(tables: dict[str, DataFrame], documents: dict[str, DataFrame], folder: str,
+    kind: str = "parquet") -> dict[str, str]:
     """Writes every table and document; returns name -> path."""
     out = {n: write_table(d, f"{folder}/{n}", kind) for n, d in tables.items()}
     return out | {n: write_document(d, f"{folder}/{n}") for n, d in documents.items()}

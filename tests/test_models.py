@@ -46,7 +46,8 @@ def test_summary_interval_by_hand(spark):
     d = spark.createDataFrame([("a", x) for x in v] + [("b", 0.5), ("a", float("nan"))], "model string, value double")
     r = {x["model"]: x for x in stats.summarise(d, ["model"]).collect()}
     half = 2.7764451 * np.std(v, ddof=1) / math.sqrt(5)
-    assert abs(r["a"]["half_width"] - half) < 1e-6 and r["a"]["ci_high"] == min(1.0, np.mean(v) + half) and r["a"]["n"] == 5
+    assert abs(r["a"]["half_width"] - half) < 1e-6 and r["a"]["ci_high"] == min(1.0,
+        np.mean(v) + half) and r["a"]["n"] == 5
     assert (r["b"]["std"], r["b"]["degenerate"]) == (None, None)
 
 
@@ -66,11 +67,13 @@ def test_interpolation_and_ewm_match_a_plain_loop(spark):
             y, w = (w * (1 - a) * y + a * v) / (w * (1 - a) + a), 1.0
         want.append(y)
     smooth = [r["s"] for r in healing.with_ewm(d, "x", K, 3, "s", chunk=4).orderBy("ts").collect()]
-    assert [s is None for s in smooth] == [w is None for w in want] and np.allclose([s for s in smooth if s is not None], [w for w in want if w is not None])
+    assert [s is None for s in smooth] == [w is None for w in want] and np.allclose([s for s in smooth
+        if s is not None], [w for w in want if w is not None])
 
 
 def test_masks_and_ramp(spark):
-    d = spark.createDataFrame([(0, hour(i), 50.0, 20.0 + i % 30) for i in range(800)], "site int, ts timestamp_ntz, soil_moisture double, air_temp double")
+    d = spark.createDataFrame([(0, hour(i), 50.0, 20.0 + i % 30) for i in range(800)],
+        "site int, ts timestamp_ntz, soil_moisture double, air_temp double")
     a = perturb.mask_at_random(d, "soil_moisture", 0.2, ["site", "ts"])
     b = perturb.mask_at_random(d.repartition(7), "soil_moisture", 0.2, ["site", "ts"])
     nulls = lambda x: {r["ts"] for r in x.filter("soil_moisture is null").collect()}
@@ -86,8 +89,10 @@ def test_masks_and_ramp(spark):
 def correlated(spark, n=300):
     rng = np.random.default_rng(1)
     z = rng.normal(size=n)
-    rows = [(0, hour(i), float(50 + 8 * z[i] + rng.normal() * 0.3), float(25 - 4 * z[i] + rng.normal() * 0.3), float(60 + 5 * z[i])) for i in range(n)]
-    return spark.createDataFrame(rows, "site int, ts timestamp_ntz, soil_moisture double, air_temp double, humidity double")
+    rows = [(0, hour(i), float(50 + 8 * z[i] + rng.normal() * 0.3), float(25 - 4 * z[i] + rng.normal() * 0.3),
+        float(60 + 5 * z[i])) for i in range(n)]
+    return spark.createDataFrame(rows,
+        "site int, ts timestamp_ntz, soil_moisture double, air_temp double, humidity double")
 
 
 def test_chained_equations_beat_interpolation_and_keep_known_cells(spark):
@@ -99,14 +104,17 @@ def test_chained_equations_beat_interpolation_and_keep_known_cells(spark):
     assert a["rmse"] < 0.2 * b["rmse"] and a["r2"] > 0.95 and healed.filter("soil_moisture is null").count() == 0
     knn = healing.knn_impute(damaged, "soil_moisture", ["air_temp", "humidity"], ["ts"])
     assert rmse(knn)["rmse"] < 0.3 * b["rmse"]
-    kept = damaged.filter("soil_moisture is not null").join(healed.select("ts", F.col("soil_moisture").alias("h")), "ts")
+    kept = damaged.filter("soil_moisture is not null").join(healed.select("ts", F.col("soil_moisture").alias("h")),
+        "ts")
     assert kept.filter("soil_moisture != h").count() == 0
 
 
 def test_nearest_donors_fill_any_number_of_rows(spark):
     rows = correlated(spark)
-    gaps = rows.withColumn("soil_moisture", F.when(F.pmod(F.xxhash64("ts"), F.lit(3)) > 0, F.col("soil_moisture"))).cache()
-    fill = lambda **limit: {r["ts"]: r["soil_moisture"] for r in healing.knn_impute(gaps, "soil_moisture", ["air_temp", "humidity"], ["ts"], **limit).collect()}
+    gaps = rows.withColumn("soil_moisture", F.when(F.pmod(F.xxhash64("ts"), F.lit(3)) > 0,
+        F.col("soil_moisture"))).cache()
+    fill = lambda **limit: {r["ts"]: r["soil_moisture"] for r in healing.knn_impute(gaps, "soil_moisture",
+        ["air_temp", "humidity"], ["ts"], **limit).collect()}
     whole, blocks = fill(), fill(max_queries=30)
     assert gaps.filter("soil_moisture is null").count() > 60 and None not in blocks.values()
     assert blocks.keys() == whole.keys() and all(abs(blocks[t] - v) < 1e-9 for t, v in whole.items())
@@ -118,7 +126,8 @@ def design(spark, n=300):
     for i in range(n):
         m = 50 + 15 * math.sin(i / 9) + float(rng.normal())
         rows.append((0, hour(i), i, int(m < 42), m + 0.5, float(i % 9 < 2), float(rng.normal())))
-    return spark.createDataFrame(rows, "site int, ts timestamp_ntz, row_id long, label int, soil_moisture_lag1h double, irrigation_event_lag1h double, air_temp_lag1h double")
+    return spark.createDataFrame(rows,
+        "site int, ts timestamp_ntz, row_id long, label int, soil_moisture_lag1h double, irrigation_event_lag1h double, air_temp_lag1h double")
 
 
 def test_rule_models_and_threshold(spark):
@@ -126,10 +135,13 @@ def test_rule_models_and_threshold(spark):
     assigned = splits.assign(rows, splits.folds_frame(spark, splits.rolling_origin(300, 3)))
     train = [(r["soil_moisture_lag1h"], r["label"]) for r in assigned.filter("fold = 1 and role = 'train'").collect()]
     x = np.array([t[0] for t in train])
-    best = max(((lambda c: 2 * sum(y for v, y in train if v < c) / max(1, sum(v < c for v, _ in train) + sum(y for _, y in train)))(c), -c) for c in np.unique(np.quantile(x, np.linspace(0, 1, 200))))
+    best = max(((lambda c: 2 * sum(y for v, y in train if v < c) / max(1,
+        sum(v < c for v, _ in train) + sum(y for _, y in train)))(c),
+        -c) for c in np.unique(np.quantile(x, np.linspace(0, 1, 200))))
     got = models.best_threshold(assigned, "soil_moisture_lag1h").filter("fold = 1").first()
     assert abs(got["f1"] - best[0]) < 1e-9 and abs(got["threshold"] + best[1]) < 1e-6
-    scores = {m: metrics.ranking(models.RULES[m][0](assigned).withColumn("m", F.lit(m)), ["m"]).first()["roc_auc"] for m in models.RULES}
+    scores = {m: metrics.ranking(models.RULES[m][0](assigned).withColumn("m", F.lit(m)),
+        ["m"]).first()["roc_auc"] for m in models.RULES}
     assert scores["moisture_threshold"] > 0.95 and models.available_rules(["air_temp_lag1h"]) == ["majority"]
     with pytest.raises(ValueError):
         models.persistence(assigned.drop("irrigation_event_lag1h"))
@@ -142,7 +154,8 @@ def test_trained_models_fit_on_training_rows_only(spark):
     wild = rows.withColumn("air_temp_lag1h", F.when(F.col("row_id") >= 200, 1e6).otherwise(F.col("air_temp_lag1h")))
     a, b = (models.fit(models.ModelSpec("logistic"), protocols._between(d, 0, 200), names) for d in (rows, wild))
     assert a.scale == b.scale
-    out = protocols.evaluate(rows, folds, names, [models.ModelSpec("logistic"), models.ModelSpec("gbt_a", {"n_estimators": 5, "max_depth": 3})], rules=["majority"])
+    out = protocols.evaluate(rows, folds, names, [models.ModelSpec("logistic"),
+        models.ModelSpec("gbt_a", {"n_estimators": 5, "max_depth": 3})], rules=["majority"])
     auc = {r["model"]: r["roc_auc"] for r in out.collect()}
     assert auc["logistic"] > 0.97 and auc["gbt_a"] > 0.9 and auc["majority"] == 0.5
     assert models.fit(models.ModelSpec("logistic"), rows.withColumn("label", F.lit(0)), names).degenerate
@@ -161,19 +174,23 @@ def test_bootstrap(spark):
     same = stats.bootstrap_difference(d.withColumn("b", F.col("a")), 20, 12).first()
     assert (same["difference"], same["p_value"]) == (0.0, 1.0)
     idx = stats.block_indices(spark, 3, 50, 24)
-    assert {r["n"] for r in idx.groupBy("iteration").agg(F.count("*").alias("n")).collect()} == {50} and idx.agg(F.max("row_id")).first()[0] < 50
+    assert {r["n"] for r in idx.groupBy("iteration").agg(F.count("*").alias("n")).collect()} == {50} and idx.agg(
+        F.max("row_id")).first()[0] < 50
     with pytest.raises(ValueError):
         stats.bootstrap_difference(d, metric="f1")
 
 
 def test_attribution_tables(spark):
     rows = design(spark, 40)
-    c = attribution.linear_contributions(rows, ["soil_moisture_lag1h", "air_temp_lag1h", "irrigation_event_lag1h"], [1.0, 2.0, 3.0]).cache()
+    c = attribution.linear_contributions(rows, ["soil_moisture_lag1h", "air_temp_lag1h", "irrigation_event_lag1h"],
+        [1.0, 2.0, 3.0]).cache()
     whole = {r["row_id"]: r["s"] for r in c.groupBy("row_id").agg(F.sum("contribution").alias("s")).collect()}
-    pooled = {r["row_id"]: r["s"] for r in attribution.waterfall(c, 1).groupBy("row_id").agg(F.sum("contribution").alias("s")).collect()}
+    pooled = {r["row_id"]: r["s"] for r in attribution.waterfall(c,
+        1).groupBy("row_id").agg(F.sum("contribution").alias("s")).collect()}
     assert all(abs(whole[k] - pooled[k]) < 1e-9 for k in whole)
     assert attribution.waterfall(c, 1).filter("feature = '2 other features'").count() == 40
-    s = spark.createDataFrame([(0, 1, 0.9), (1, 1, 0.9), (2, 0, 0.8), (3, 0, 0.45)], "row_id long, label int, score double").withColumn("m", F.lit("x"))
+    s = spark.createDataFrame([(0, 1, 0.9), (1, 1, 0.9), (2, 0, 0.8), (3, 0, 0.45)],
+        "row_id long, label int, score double").withColumn("m", F.lit("x"))
     got = {r["case"]: r["row_id"] for r in attribution.instances(s, ["m"]).collect()}
     assert got == {"true_positive": 0, "false_positive": 2, "borderline": 3}
     assert "false_positive" not in {r["case"] for r in attribution.instances(s.filter("label = 1"), ["m"]).collect()}
@@ -191,8 +208,12 @@ def test_library_does_not_need_the_llm_part():
 def test_report_documents(spark):
     from fieldloom.operators import reports
 
-    d = spark.createDataFrame([(1, 0.2857, 10), (2, None, None), (4, 0.6724, 117)], "fold int, dominance double, largest_episode long")
+    d = spark.createDataFrame([(1, 0.2857, 10), (2, None, None), (4, 0.6724, 117)],
+        "fold int, dominance double, largest_episode long")
     r = reports.dominance_document(d, {"a": 310, "b": 333}).first()
-    assert (r["flagged_folds"], r["largest_episode_share"]["a"], r["largest_episode_share"]["b"]) == ([4], 0.3774, 0.3514)
-    c = spark.createDataFrame([("x", "y", -0.1, 0.00001), ("x", "y", 0.1, 0.5)], "model_a string, model_b string, difference double, p_value double")
-    assert [r["interpretation"] for r in reports.comparison_document(c).collect()] == ["y is better (p < 1e-04)", "no difference shown (p 0.5000)"]
+    assert (r["flagged_folds"], r["largest_episode_share"]["a"], r["largest_episode_share"]["b"]) == ([4], 0.3774,
+        0.3514)
+    c = spark.createDataFrame([("x", "y", -0.1, 0.00001), ("x", "y", 0.1, 0.5)],
+        "model_a string, model_b string, difference double, p_value double")
+    assert [r["interpretation"] for r in reports.comparison_document(c).collect()] == ["y is better (p < 1e-04)",
+        "no difference shown (p 0.5000)"]

@@ -14,7 +14,8 @@ from fieldloom.plans import protocols
 
 def sites(spark, n_sites=10, hours=120):
     rng = np.random.default_rng(1)
-    rows = [(s, h, float(rng.uniform(20, 60)), int(rng.random() < 0.3)) for s in range(n_sites) for h in range(hours) if rng.random() < 0.9]
+    rows = [(s, h, float(rng.uniform(20, 60)), int(rng.random() < 0.3)) for s in range(n_sites) for h in range(hours)
+        if rng.random() < 0.9]
     df = spark.createDataFrame(rows, "site int, h int, soil_moisture double, irrigation_event int")
     return df.withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, h)")).drop("h")
 
@@ -24,25 +25,30 @@ def test_rows_of_many_sites_are_numbered_in_time_and_every_fold_has_both_sides(s
     got = [(r["ts"], r["site"], r["row_id"]) for r in rows.collect()]
     assert [r[2] for r in sorted(got)] == list(range(len(got)))
     folds = splits.rolling_origin(len(got), 5)
-    table = splits.describe(splits.assign(rows.withColumnRenamed("irrigation_event", "label"), splits.folds_frame(spark, folds))).collect()
+    table = splits.describe(splits.assign(rows.withColumnRenamed("irrigation_event", "label"),
+        splits.folds_frame(spark, folds))).collect()
     assert len(table) == 5 and all(r["n_train"] and r["n_test"] and r["train_end"] <= r["test_start"] for r in table)
 
 
 @pytest.mark.parametrize("shift", [1, 3])
 def test_no_feature_sees_less_than_the_shift(spark, shift):
     """Blanking the last ``shift`` - 1 hours before t changes no shifted feature of t."""
-    config = features.FeatureConfig(weather=(), weather_lags=(), weather_roll_hours=(), moisture_lags=(shift,), target_lags=(shift,), causal_shift=shift, require_full_window=False)
+    config = features.FeatureConfig(weather=(), weather_lags=(), weather_roll_hours=(), moisture_lags=(shift,),
+        target_lags=(shift,), causal_shift=shift, require_full_window=False)
     base = sites(spark, 1).withColumn("site", F.lit(0))
     last = base.agg(F.max("ts")).first()[0]
     recent = F.col("ts") > F.lit(last) - F.make_dt_interval(hours=F.lit(shift))
-    blank = base.withColumns({c: F.when(recent, None).otherwise(F.col(c)) for c in ("soil_moisture", "irrigation_event")})
-    row = [features.build_features(d, ["site"], config)[0].filter(F.col("ts") == F.lit(last)).drop("irrigation_event").first() for d in (base, blank)]
+    blank = base.withColumns({c: F.when(recent, None).otherwise(F.col(c)) for c in ("soil_moisture",
+        "irrigation_event")})
+    row = [features.build_features(d, ["site"], config)[0].filter(F.col("ts")
+        == F.lit(last)).drop("irrigation_event").first() for d in (base, blank)]
     assert row[0] == row[1]
 
 
 def test_t_values_beyond_the_table(spark):
     ns = [2, 5, 201, 202, 500, 100_000]
-    got = [r["t"] for r in spark.createDataFrame([(n,) for n in ns], "n long").select(stats.t_value(F.col("n")).alias("t")).collect()]
+    got = [r["t"] for r in spark.createDataFrame([(n,) for n in ns],
+        "n long").select(stats.t_value(F.col("n")).alias("t")).collect()]
     assert np.allclose(got, [student_t_critical(0.95, n - 1) for n in ns], rtol=0, atol=2e-8)
 
 
@@ -53,8 +59,10 @@ def test_p_values_have_the_resolution_of_the_draws(spark):
 
 
 def test_onset_summary_counts_only_scored_folds(spark):
-    rows = [("m", 1, 0.5, None, 0.1, 0.2, 10, 2), ("m", 2, None, None, 0.3, 0.2, 12, 0), ("m", 3, 0.7, None, 0.5, 0.2, 9, 1)]
-    r = spark.createDataFrame(rows, "model string, fold int, pr_auc double, roc_auc double, f1 double, brier double, n_test long, n_positive long")
+    rows = [("m", 1, 0.5, None, 0.1, 0.2, 10, 2), ("m", 2, None, None, 0.3, 0.2, 12, 0),
+        ("m", 3, 0.7, None, 0.5, 0.2, 9, 1)]
+    r = spark.createDataFrame(rows,
+        "model string, fold int, pr_auc double, roc_auc double, f1 double, brier double, n_test long, n_positive long")
     got = {x["metric"]: x for x in protocols.onset_summary(r).collect()}
     assert (got["pr_auc"]["n_folds_scored"], got["roc_auc"]["n_folds_scored"], got["f1"]["n_folds_scored"]) == (2, 0, 3)
     assert got["pr_auc"]["n_folds"] == 3 and got["pr_auc"]["n_rows"] == 31 and got["pr_auc"]["n_onsets"] == 3
@@ -62,9 +70,11 @@ def test_onset_summary_counts_only_scored_folds(spark):
 
 def test_parameters_have_the_names_of_the_profile():
     shared = {"max_depth": 2, "min_child_weight": 5}
-    assert models.translated("gbt_a", shared) == shared and models.translated("gbt_b", shared) == {"max_depth": 2, "min_child_samples": 5}
+    assert models.translated("gbt_a", shared) == shared and models.translated("gbt_b", shared) == {"max_depth": 2,
+        "min_child_samples": 5}
     a, b = (models.ModelSpec(n, shared).estimator(10) for n in ("gbt_a", "gbt_b"))
-    assert a.getMinInstancesPerNode() == b.getMinInstancesPerNode() == 5 and a.getMaxBins() != b.getMaxBins() and len(models.grid_points(models.GRID)) == 12
+    assert a.getMinInstancesPerNode() == b.getMinInstancesPerNode() == 5 and a.getMaxBins() != b.getMaxBins() and len(
+        models.grid_points(models.GRID)) == 12
     with pytest.raises(ValueError):
         models.ModelSpec("gbt_b", {"leaves": 3}).estimator(10)
     assert models.skipped_rules(["soil_moisture_lag1h"]) == {"persistence": ["irrigation_event_lag1h"]}
@@ -81,23 +91,27 @@ def test_tree_contributions_equal_all_subsets(spark, tmp_path):
     rng = np.random.default_rng(3)
     x = rng.integers(0, 6, (120, 3)).astype(float)
     y = ((x[:, 0] > 2) & (x[:, 1] < 4) | (x[:, 2] > 4)).astype(int)
-    rows = spark.createDataFrame([(i, int(t), *map(float, v)) for i, (t, v) in enumerate(zip(y, x))], "row_id long, label int, a double, b double, c double")
+    rows = spark.createDataFrame([(i, int(t), *map(float, v)) for i, (t, v) in enumerate(zip(y, x))],
+        "row_id long, label int, a double, b double, c double")
     fitted = models.fit(models.ModelSpec("gbt_a", {"n_estimators": 3, "max_depth": 3}), rows, ["a", "b", "c"])
     tree = fitted.model.stages[-1]
     leaves = attribution.tree_nodes(tree, str(tmp_path / "m"))
     got = attribution.shapley(leaves, x[:20])
 
     def value(row, known):
-        return sum(f["value"] * math.prod(float(lo < row[k] <= hi) if k in known else share for k, (lo, hi, share) in f["path"].items()) for f in leaves)
+        return sum(f["value"] * math.prod(float(lo < row[k] <= hi) if k in known else share for k,
+            (lo, hi, share) in f["path"].items()) for f in leaves)
 
     for r, g in zip(x[:20], got):
         for i in range(3):
             rest = [k for k in range(3) if k != i]
             want = sum(
-                math.factorial(n) * math.factorial(2 - n) / 6 * (value(r, {*s, i}) - value(r, set(s))) for n in range(3) for s in itertools.combinations(rest, n)
+                math.factorial(n) * math.factorial(2 - n) / 6 * (value(r, {*s, i}) - value(r,
+                    set(s))) for n in range(3) for s in itertools.combinations(rest, n)
             )
             assert abs(g[i] - want) < 1e-9
-    out = attribution.tree_contributions(tree, rows, ["a", "b", "c"], str(tmp_path / "n")).groupBy("row_id").agg((F.sum("contribution") + F.max("base")).alias("raw"))
+    out = attribution.tree_contributions(tree, rows, ["a", "b", "c"],
+        str(tmp_path / "n")).groupBy("row_id").agg((F.sum("contribution") + F.max("base")).alias("raw"))
     raw = fitted.model.transform(rows).select("row_id", F.expr("1").alias("_"), "probability").collect()
     raw = {r["row_id"]: math.log(r["probability"][1] / r["probability"][0]) / 2 for r in raw}
     assert all(abs(r["raw"] - raw[r["row_id"]]) < 1e-6 for r in out.collect())
@@ -108,7 +122,8 @@ def test_chained_equations_equal_a_plain_loop(spark):
     full = rng.normal(size=(60, 3)) @ np.array([[1, 0.8, 0.3], [0, 1, 0.5], [0, 0, 1]])
     x = np.where(rng.random(full.shape) < 0.15, np.nan, full)
     rows = [(i, *(None if math.isnan(v) else float(v) for v in r)) for i, r in enumerate(x)]
-    got = healing.mice_impute(spark.createDataFrame(rows, "i int, a double, b double, c double"), ["a", "b", "c"], rounds=4, tolerance=0.0).orderBy("i").collect()
+    got = healing.mice_impute(spark.createDataFrame(rows, "i int, a double, b double, c double"), ["a", "b", "c"],
+        rounds=4, tolerance=0.0).orderBy("i").collect()
     want, gap = np.where(np.isnan(x), np.nanmean(x, axis=0), x), np.isnan(x)
     for _ in range(4):
         for c in range(3):
@@ -123,13 +138,15 @@ def test_chained_equations_equal_a_plain_loop(spark):
 def test_a_folder_of_logs_is_scanned_and_routed(spark, tmp_path):
     from fieldloom import sources
 
-    (tmp_path / "Station MOISTURE a.csv").write_text("moisture,time_stamp\n74.29,12-Jul-2022 00:03:51\nbad,12-Jul-2022 00:23:51\n")
+    (tmp_path / "Station MOISTURE a.csv").write_text(
+        "moisture,time_stamp\n74.29,12-Jul-2022 00:03:51\nbad,12-Jul-2022 00:23:51\n")
     (tmp_path / "moisture_b.csv").write_text(" time_stamp , value \n2022-07-12 00:00:00,1.5\n")
     (tmp_path / "valve.txt").write_text("relay,time_stamp\n1,12-Jul-2022 00:03:51\n")
     (tmp_path / "flow.csv").write_text("1657584000,5\n".replace("1657584000,5", "t,litres\n1657584000,5"))
     (tmp_path / "notes.md").write_text("not a log")
     got = {c: [tuple(r) for r in f.collect()] for c, f in sources.read_folder(spark, str(tmp_path)).items()}
-    assert [v for _, v in got["soil_moisture"]] == [1.5] and [v for _, v in got["irrigation_event"]] == [1.0] and str(got["flow_l_cumulative"][0][0]) == "2022-07-12 00:00:00"
+    assert [v for _, v in got["soil_moisture"]] == [1.5] and [v for _,
+        v in got["irrigation_event"]] == [1.0] and str(got["flow_l_cumulative"][0][0]) == "2022-07-12 00:00:00"
     (tmp_path / "valve.txt").unlink()
     with pytest.raises(ValueError):
         sources.read_folder(spark, str(tmp_path))
@@ -141,7 +158,8 @@ def test_both_numeric_columns_need_one_that_reads_as_time(spark):
     from fieldloom import sources
 
     frame = lambda *rows: spark.createDataFrame(rows, "a string, b string")
-    assert sources.column_roles(frame(("5", "1657584000"))) == ("b", "a") and sources.column_roles(frame(("x", "y"))) == ("a", "b")
+    assert sources.column_roles(frame(("5", "1657584000"))) == ("b",
+        "a") and sources.column_roles(frame(("x", "y"))) == ("a", "b")
     with pytest.raises(ValueError):
         sources.column_roles(frame(("5", "6")))
     with pytest.raises(ValueError):
