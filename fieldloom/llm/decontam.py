@@ -70,11 +70,13 @@ def fingerprint(s: str) -> Column:
 
     def total(j: int) -> Column:
         """How many hashes have the bits j, j + LANE and so on, a lane each."""
-        return F.aggregate(F.col(s), F.lit(0).cast("long"), lambda a, x: a + F.shiftrightunsigned(x, j).bitwiseAND(F.lit(every)))
+        return F.aggregate(F.col(s), F.lit(0).cast("long"), lambda a,
+            x: a + F.shiftrightunsigned(x, j).bitwiseAND(F.lit(every)))
 
     totals = F.array(*[total(j) for j in range(LANE)])
     # The totals are worked out once: they are the argument of a lambda.
-    bits = F.element_at(F.transform(F.array(totals), lambda ts: F.concat(*[_majority(ts, LANE * i, one, F.size(s)) for i in range(LANES)])), 1)
+    bits = F.element_at(F.transform(F.array(totals), lambda ts: F.concat(*[_majority(ts, LANE * i, one,
+        F.size(s)) for i in range(LANES)])), 1)
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
 
 
@@ -86,17 +88,20 @@ def block_masks(radius: int = RADIUS, bits: int = LANES * LANE) -> list[int]:
 
 def _blocks(fp: str) -> Column:
     """(block, its bits) of a fingerprint column, one entry a block."""
-    return F.array(*[F.struct(F.lit(i).alias("block"), F.col(fp).bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(block_masks())])
+    return F.array(*[F.struct(F.lit(i).alias("block"), F.col(fp).bitwiseAND(F.lit(m)).alias("bits")) for i,
+        m in enumerate(block_masks())])
 
 
 def within_radius(windows: DataFrame, items: DataFrame) -> DataFrame:
     """The windows (item_id, fp) whose fingerprint is within ``RADIUS`` of the item's (item_id, fp), by the multi-index."""
-    index = items.select("item_id", F.col("fp").alias("_fp"), F.explode(_blocks("fp")).alias("_b")).select("item_id", "_fp", "_b.*")
+    index = items.select("item_id", F.col("fp").alias("_fp"), F.explode(_blocks("fp")).alias("_b")).select("item_id",
+        "_fp", "_b.*")
     probes = windows.select("*", F.explode(_blocks("fp")).alias("_b")).select(*windows.columns, "_b.*")
     differ = F.col("fp").bitwiseXOR(F.col("_fp"))
     # A pair meets in every block where it agrees; the first of them stands for all.
     first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m)) == 0, i) for i, m in enumerate(block_masks())])
-    met = probes.join(_small(index), ["item_id", "block", "bits"]).filter((F.col("block") == first) & (F.bit_count(differ) <= RADIUS))
+    met = probes.join(_small(index), ["item_id", "block",
+        "bits"]).filter((F.col("block") == first) & (F.bit_count(differ) <= RADIUS))
     return met.select(*windows.columns)
 
 
@@ -109,7 +114,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, start_word, n_words, similarity: the best window of each document for each item it holds."""
     items = items.select("item_id", _hashes(_words(F.col("text"))).alias("h")).filter("h is not null").distinct()
     items = items.withColumn("n", F.size("h")).withColumn("k", F.least("n", F.lit(SHINGLE)))
-    items = items.withColumn("s", F.coalesce(*[F.when(F.col("k") == k, _shingles("h", k)) for k in range(1, SHINGLE + 1)]))
+    items = items.withColumn("s", F.coalesce(*[F.when(F.col("k") == k, _shingles("h", k)) for k in range(1,
+        SHINGLE + 1)]))
     items = checkpointed(items.withColumn("weight", F.size("s")).withColumn("fp", fingerprint("s")).drop("h"))
     lengths = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most five
     parts = checkpointed(items.select("item_id", "n", "k", "weight", F.posexplode("s").alias("offset", "shingle")))
@@ -117,28 +123,38 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     names = [F.xxhash64(F.lit(i), "doc_id", "text").alias(c) for i, c in enumerate(ROW)]
     hashed = docs.select("doc_id", *names, _hashes(_words(F.col("text"))).alias("h")).filter("h is not null")
     for k in lengths:
-        places = hashed.select("doc_id", *ROW, F.size("h").alias("words"), F.posexplode(_shingles("h", k)).alias("at", "shingle"))
-        met = places.join(_small(parts.filter(F.col("k") == k).drop("k")), "shingle").select("doc_id", *ROW, "words", "item_id", "n", "weight", "at", "offset")
+        places = hashed.select("doc_id", *ROW, F.size("h").alias("words"),
+            F.posexplode(_shingles("h", k)).alias("at", "shingle"))
+        met = places.join(_small(parts.filter(F.col("k") == k).drop("k")), "shingle").select("doc_id", *ROW, "words",
+            "item_id", "n", "weight", "at", "offset")
         hits = met if hits is None else hits.union(met)
     if hits is None:
-        none = [F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("start_word"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity")]
+        none = [F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("start_word"), F.lit(0).alias("n_words"),
+            F.lit(0.0).alias("similarity")]
         return docs.limit(0).select("doc_id", *none)
     hits = checkpointed(hits)
     pair = ["doc_id", *ROW, "words", "item_id", "n", "weight"]
-    met = hits.groupBy(*pair).agg(F.array_sort(F.collect_set("at")).alias("met"), F.size(F.collect_set("offset")).alias("covered"))
-    met = met.filter(100 * F.col("covered") >= SIMILARITY * F.col("weight")).select("*", F.posexplode("met").alias("i", "start"))
+    met = hits.groupBy(*pair).agg(F.array_sort(F.collect_set("at")).alias("met"),
+        F.size(F.collect_set("offset")).alias("covered"))
+    met = met.filter(100 * F.col("covered") >= SIMILARITY * F.col("weight")).select("*",
+        F.posexplode("met").alias("i", "start"))
     # A window of v shingles and an item of weight w need 0.75 / 1.75 * (v + w) in common.
     v = F.least("weight", F.col("words") - (F.col("n") - F.col("weight")) - F.col("start"))
     last = F.get("met", F.col("i") + F.ceil((v + F.col("weight")) * SIMILARITY / (100 + SIMILARITY)).cast("int") - 1)
-    windows = checkpointed(met.filter(last < F.col("start") + F.col("weight")).select("doc_id", *ROW, "item_id", "n", "start"))
+    windows = checkpointed(met.filter(last < F.col("start") + F.col("weight")).select("doc_id", *ROW, "item_id", "n",
+        "start"))
     rows = _small(checkpointed(windows.select(*ROW).distinct()))
     texts = hashed.select(*ROW, "h").join(rows, ROW, "left_semi").dropDuplicates(ROW)
-    windows = windows.join(texts, ROW).select("doc_id", "item_id", "n", "start", F.slice("h", F.col("start") + 1, F.col("n")).alias("h"))
+    windows = windows.join(texts, ROW).select("doc_id", "item_id", "n", "start",
+        F.slice("h", F.col("start") + 1, F.col("n")).alias("h"))
     windows = windows.join(_small(items.select("item_id", "k")), "item_id")
-    windows = windows.withColumn("w", F.coalesce(*[F.when(F.col("k") == k, _shingles("h", k)) for k in lengths])).filter("w is not null").drop("h", "k")
+    windows = windows.withColumn("w", F.coalesce(*[F.when(F.col("k") == k,
+        _shingles("h", k)) for k in lengths])).filter("w is not null").drop("h", "k")
     huge = F.col("weight") >= (1 << (LANE - 1))
-    found = within_radius(windows.withColumn("fp", fingerprint("w")), items.filter(~huge).select("item_id", "fp")).drop("fp")
-    found = found.union(windows.join(_small(items.filter(huge).select("item_id")), "item_id", "left_semi").select(*found.columns))
+    found = within_radius(windows.withColumn("fp", fingerprint("w")),
+        items.filter(~huge).select("item_id", "fp")).drop("fp")
+    found = found.union(windows.join(_small(items.filter(huge).select("item_id")), "item_id",
+        "left_semi").select(*found.columns))
     pairs = found.join(_small(items.select("item_id", "s", "weight")), "item_id")
     times = lambda a, x: F.size(F.filter(F.col(a), lambda y: y == x))
     common = F.aggregate(F.array_distinct("w"), F.lit(0), lambda c, x: c + F.least(times("w", x), times("s", x)))
@@ -149,7 +165,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     pairs = pairs.filter(100 * F.col("common") >= SIMILARITY * F.col("all"))
     best = F.max(F.struct((F.col("common") / F.col("all")).alias("s"), "start", "n")).alias("best")
     return pairs.groupBy("doc_id", "item_id").agg(best).select(
-        "doc_id", "item_id", F.col("best.start").cast("int").alias("start_word"), F.col("best.n").alias("n_words"), F.round("best.s", 6).alias("similarity")
+        "doc_id", "item_id", F.col("best.start").cast("int").alias("start_word"), F.col("best.n").alias("n_words"),
+            F.round("best.s", 6).alias("similarity")
     )
 
 
@@ -162,16 +179,24 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
 #: The same result from all windows of every item's size, without fingerprints: documents that cover less than
 #: 0.75 of an item's shingles hold no such window, so their windows need not be listed.
 ORACLE_SQL = """
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
-i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
-ds AS (SELECT doc_id, len(w) AS m, p AS pos, array_to_string(w[p:p+4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM d)),
-its AS (SELECT item_id, n, p AS off, array_to_string(w[p:p+4], ' ') AS s FROM (SELECT item_id, w, len(w) AS n, unnest(range(1, len(w) - 3)) AS p FROM i)),
-cov AS (SELECT doc_id, item_id, n, any_value(m) AS m FROM ds JOIN its USING (s) GROUP BY doc_id, item_id, n HAVING 100 * count(DISTINCT off) >= 75 * (n - 4)),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'),
+  lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM benchmark WHERE text IS NOT NULL),
+ds AS (SELECT doc_id, len(w) AS m, p AS pos, array_to_string(w[p:p+4], ' ') AS s FROM (SELECT doc_id, w,
+  unnest(range(1, len(w) - 3)) AS p FROM d)),
+its AS (SELECT item_id, n, p AS off, array_to_string(w[p:p+4], ' ') AS s FROM (SELECT item_id, w, len(w) AS n,
+  unnest(range(1, len(w) - 3)) AS p FROM i)),
+cov AS (SELECT doc_id, item_id, n, any_value(m) AS m FROM ds JOIN its USING (s) GROUP BY doc_id, item_id,
+  n HAVING 100 * count(DISTINCT off) >= 75 * (n - 4)),
 win AS (SELECT doc_id, item_id, n, unnest(range(0, m - 4)) AS start FROM cov),
-ws AS (SELECT doc_id, item_id, win.n, start, s, count(*) AS c FROM win JOIN ds USING (doc_id) WHERE pos > start AND pos + 4 <= start + win.n GROUP BY ALL),
+ws AS (SELECT doc_id, item_id, win.n, start, s, count(*) AS c FROM win JOIN ds USING (doc_id)
+  WHERE pos > start AND pos + 4 <= start + win.n GROUP BY ALL),
 isc AS (SELECT item_id, s, count(*) AS c FROM its GROUP BY ALL),
-sim AS (SELECT doc_id, item_id, n, start, sum(least(ws.c, coalesce(isc.c, 0))) AS common, sum(ws.c) AS t FROM ws LEFT JOIN isc USING (item_id, s) GROUP BY ALL)
-SELECT doc_id, item_id, CAST(start AS INTEGER) AS start_word, CAST(n AS INTEGER) AS n_words, round(CAST(common / (t + n - 4 - common) AS DOUBLE), 6) AS similarity
+sim AS (SELECT doc_id, item_id, n, start, sum(least(ws.c, coalesce(isc.c, 0))) AS common, sum(ws.c) AS t FROM ws LEFT
+  JOIN isc USING (item_id, s) GROUP BY ALL)
+SELECT doc_id, item_id, CAST(start AS INTEGER) AS start_word, CAST(n AS INTEGER) AS n_words,
+  round(CAST(common / (t + n - 4 - common) AS DOUBLE), 6) AS similarity
 FROM sim WHERE 100 * common >= 75 * (t + n - 4 - common)
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY common / (t + n - 4 - common) DESC, start DESC) = 1
 """

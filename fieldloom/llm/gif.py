@@ -258,7 +258,8 @@ def histogram(pixels: np.ndarray) -> np.ndarray:
 
 
 FRAMES = "id long, frame int, delay_cs int, width int, height int, rgba binary, histogram array<int>, error string"
-_FRAMES = pa.schema([("id", pa.int64()), ("frame", pa.int32()), ("delay_cs", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("rgba", pa.binary()), ("histogram", pa.list_(pa.int32())), ("error", pa.string())])
+_FRAMES = pa.schema([("id", pa.int64()), ("frame", pa.int32()), ("delay_cs", pa.int32()), ("width", pa.int32()),
+    ("height", pa.int32()), ("rgba", pa.binary()), ("histogram", pa.list_(pa.int32())), ("error", pa.string())])
 
 
 def gif_frames(files: DataFrame, key: str = "id", content: str = "content", max_pixels: int = MAX_PIXELS) -> DataFrame:
@@ -271,10 +272,12 @@ def gif_frames(files: DataFrame, key: str = "id", content: str = "content", max_
                 try:
                     for k, f in enumerate(decode(data or b"", max_pixels)):
                         h, w = f.pixels.shape
-                        row = {"id": ident, "frame": k, "delay_cs": f.delay, "width": w, "height": h, "rgba": f.pixels.tobytes(), "histogram": histogram(f.pixels).tolist(), "error": None}
+                        row = {"id": ident, "frame": k, "delay_cs": f.delay, "width": w, "height": h,
+                            "rgba": f.pixels.tobytes(), "histogram": histogram(f.pixels).tolist(), "error": None}
                         yield pa.RecordBatch.from_pylist([row], schema=_FRAMES)
                 except (ValueError, IndexError, struct.error) as e:
-                    row = dict.fromkeys(_FRAMES.names) | {"id": ident, "frame": k + 1, "error": str(e) or type(e).__name__}
+                    row = dict.fromkeys(_FRAMES.names) | {"id": ident, "frame": k + 1,
+                        "error": str(e) or type(e).__name__}
                     yield pa.RecordBatch.from_pylist([row], schema=_FRAMES)
 
     return files.select(files[key].cast("long").alias("id"), files[content].alias("content")).mapInArrow(run, FRAMES)
@@ -301,7 +304,8 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in K.chunks(batches):
         raw, offs = K.text_bytes(batch.column(1))
         media = [store_text(raw[a:b].tobytes()) for a, b in zip(offs[:-1], offs[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offs)), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offs)), pa.array(media, pa.binary())],
+            names=["doc_id", "n_bytes", "media"])
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
@@ -318,14 +322,17 @@ DESCRIBED = (
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in DESCRIBED.split(", ")]
-    kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+    kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(),
+        pa.list_(pa.int64())]
     for batch in K.chunks(batches, "media"):
         rows = []
         for doc_id, n, media in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media"))):
             payload, delays, hist = read_back(media)
-            feature = f"frames={len(delays)};cs={sum(delays)};" + ",".join(f"{i}:{hist[i]}" for i in np.flatnonzero(hist))
+            feature = f"frames={len(delays)};cs={sum(delays)};" + ",".join(f"{i}:{hist[i]}"
+                for i in np.flatnonzero(hist))
             sums = [hashlib.sha256(x).hexdigest() for x in (payload, media)]
-            rows.append((doc_id, n, len(payload), sums[0], zlib.crc32(payload[-64:]), len(media), sums[1], feature, len(delays), sum(delays), hist))
+            rows.append((doc_id, n, len(payload), sums[0], zlib.crc32(payload[-64:]), len(media), sums[1], feature,
+                len(delays), sum(delays), hist))
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=names)
 
 

@@ -34,10 +34,15 @@ from . import kernels as K
 # Fixed values of HTML: element names by role.
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-FURNITURE = frozenset("nav header footer aside form script style noscript template iframe button select option textarea input label svg math canvas object embed audio video dialog menu head title noembed noframes fieldset datalist".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
+FURNITURE = frozenset(
+    "nav header footer aside form script style noscript template iframe button select option textarea input label svg math canvas object embed audio video dialog menu head title noembed noframes fieldset datalist".split(
+    ))
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split(
+    ))
 PROSE = frozenset("p pre blockquote td li dd dt h1 h2 h3 h4 h5 h6 figcaption".split())
-CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure details".split())
+CLOSES_P = frozenset(
+    "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure details".split(
+    ))
 # Words in class, id or role that name furniture, reader comments, furniture or an article, and content.
 STRONG = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs "
@@ -50,7 +55,8 @@ CONTENT = frozenset("article content main entry post story body text".split())
 MODIFIERS = frozenset("no has with without not is hide".split())
 LEVELS = 6
 TAG = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S
+    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
+        re.S
 )
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S)
@@ -72,7 +78,8 @@ def named(names: str) -> str:
         parts = [p for p in re.split(r"[-_:]+", word) if p]
         whole = [p for i, p in enumerate(parts) if i == 0 or parts[i - 1] not in MODIFIERS]
         for p in whole if len(whole) < len(parts) else [word, *whole]:
-            said |= {kind for kind, known in (("drop", STRONG), ("drop", COMMENTS), ("weak", WEAK), ("content", CONTENT)) if p in known}
+            said |= {kind for kind, known in (("drop", STRONG), ("drop", COMMENTS), ("weak", WEAK),
+                ("content", CONTENT)) if p in known}
     return next((kind for kind in ("drop", "content", "weak") if kind in said), "")
 
 
@@ -142,9 +149,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
         if tag in VOID:
             continue
         parent = stack[-1]
-        names = " ".join(v for a in ATTRIBUTE.finditer(attributes or "") if a.group(1).lower() in ("class", "id", "role") for v in a.groups()[1:] if v)
+        names = " ".join(v for a in ATTRIBUTE.finditer(attributes or "") if a.group(1).lower() in ("class", "id",
+            "role") for v in a.groups()[1:] if v)
         hidden = bool(attributes) and bool(HIDDEN.search(attributes))
-        node = Node(tag, parent, parent.skip or tag in FURNITURE or hidden, "content" if tag in ("article", "main") else named(names) if tag not in ("html", "body") else "")
+        node = Node(tag, parent, parent.skip or tag in FURNITURE or hidden,
+            "content" if tag in ("article", "main") else named(names) if tag not in ("html", "body") else "")
         nodes.append(node)
         if (attributes or "").rstrip().endswith("/") and tag in ("svg", "path"):
             continue
@@ -242,11 +251,13 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in K.chunks(batches, "html"):
         texts = [main_text(x) for x in K.strings(batch.column("html"))]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
+            [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
+                pa.array(map(len, texts), pa.int64())],
             names=["page_id", "url", "text", "n_chars"],
         )
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page; the whole page is read, nothing is cut."""
-    return pages.select("page_id", "url", "html").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(_extract,
+        "page_id long, url string, text string, n_chars long")

@@ -58,7 +58,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All UTF-8 bytes of a string column and the row offsets into them; a null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.binary() if pa.types.is_string(column.type) else column.type).cast(pa.large_binary()).fill_null(b"")
+    column = column.cast(pa.binary() if pa.types.is_string(column.type)
+        else column.type).cast(pa.large_binary()).fill_null(b"")
     n = len(column)
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
@@ -87,7 +88,8 @@ def fresh_names(taken: list[str], *wanted: str) -> list[str]:
     return out
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text",
+    limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches between rows so that no piece holds much more than ``limit`` bytes of text."""
     for batch in batches:
         if batch.num_rows == 0:

@@ -93,7 +93,8 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         counts += np.bincount(key & (DIM - 1), minlength=DIM)
         n += batch.num_rows
     used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1), pa.int32()), pa.array(np.append(counts[used], n), pa.int64())], names=["bucket", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1), pa.int32()),
+        pa.array(np.append(counts[used], n), pa.int64())], names=["bucket", "n"])
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +103,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, count = np.unique(rows.astype(np.int64) << BITS | grams, return_counts=True)
         rows = key >> BITS
         lists = [K.list_array(x.astype(np.int32), rows, batch.num_rows, pa.int32()) for x in (key & (DIM - 1), count)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["lang", "key", "bucket", "n"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists],
+            names=["lang", "key", "bucket", "n"])
 
 
 @dataclass
@@ -121,7 +123,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 class Ftrl:
     """Per-coordinate FTRL-proximal for a multinomial logit over sparse rows."""
 
-    def __init__(self, dim: int, classes: int, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2):
+    def __init__(self, dim: int, classes: int, alpha: float = ALPHA, beta: float = BETA, l1: float = L1,
+        l2: float = L2):
         self.z, self.n = np.zeros((dim, classes)), np.zeros((dim, classes))
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
@@ -133,10 +136,12 @@ class Ftrl:
     def step(self, index: np.ndarray, value: np.ndarray, row: np.ndarray, label: np.ndarray) -> None:
         used, inner = np.unique(index, return_inverse=True)
         w = self.weights(used)
-        logits = np.stack([np.bincount(row, value * w[inner, k], minlength=len(label)) for k in range(w.shape[1])], axis=1)
+        logits = np.stack([np.bincount(row, value * w[inner, k], minlength=len(label)) for k in range(w.shape[1])],
+            axis=1)
         error = _softmax(logits)
         error[np.arange(len(label)), label] -= 1
-        g = np.stack([np.bincount(inner, value * error[row, k], minlength=len(used)) for k in range(w.shape[1])], axis=1)
+        g = np.stack([np.bincount(inner, value * error[row, k], minlength=len(used)) for k in range(w.shape[1])],
+            axis=1)
         sigma = (np.sqrt(self.n[used] + g * g) - np.sqrt(self.n[used])) / self.alpha
         self.z[used] += g - sigma * w
         self.n[used] += g * g
@@ -166,7 +171,8 @@ def _sample(rows: DataFrame, sample: int) -> pa.Table:
     some = rows.join(F.broadcast(counts), "lang").filter(uniform * F.col("_count") < 2 * quota)  # one row a language
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")))
     chosen = some.withColumn("_rank", rank).filter(F.col("_rank") <= quota)
-    got = chosen.select("lang", F.xxhash64("text").alias("key"), "text").mapInArrow(_features, "lang string, key long, bucket array<int>, n array<int>").toArrow()
+    got = chosen.select("lang", F.xxhash64("text").alias("key"), "text").mapInArrow(_features,
+        "lang string, key long, bucket array<int>, n array<int>").toArrow()
     got = got.sort_by([("key", "ascending"), ("lang", "ascending")])
     return got.take(pa.array(np.random.default_rng(5).permutation(len(got))))
 
@@ -178,7 +184,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, folds: int = 5) -> LanguageMode
     langs = sorted(set(got["lang"].to_pylist()))
     if not langs:
         return None
-    partial = rows.select("text").mapInArrow(_document_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    partial = rows.select("text").mapInArrow(_document_frequencies,
+        "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     bucket, n = partial["bucket"].to_numpy(), partial["n"].to_numpy()
     df = np.zeros(DIM)
     df[bucket[bucket >= 0]] = n[bucket >= 0]
@@ -202,7 +209,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, folds: int = 5) -> LanguageMode
     logits = np.stack([np.bincount(row, value * w[index, k], minlength=len(label)) for k in range(len(langs))], axis=1)
     grid = np.exp(np.linspace(-3, 3, 121))
     loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(label)), label], 1e-12)).mean() for t in grid]
-    return LanguageModel(langs, (w[:DIM] * idf[:, None]).T.astype(np.float32).copy(), w[DIM], float(grid[int(np.argmin(loss))]))
+    return LanguageModel(langs, (w[:DIM] * idf[:, None]).T.astype(np.float32).copy(), w[DIM],
+        float(grid[int(np.argmin(loss))]))
 
 
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -220,7 +228,8 @@ def identify(docs: DataFrame, model: LanguageModel | None, folds: int = 5) -> Da
             n = batch.num_rows
             lang, score = np.full(n, "und", object), np.zeros(n)
             points, at = code_points(raw, offs)
-            letters = np.bincount(np.searchsorted(at, np.flatnonzero(_characters()[1][points]), side="right") - 1, minlength=n) > 0
+            letters = np.bincount(np.searchsorted(at, np.flatnonzero(_characters()[1][points]), side="right") - 1,
+                minlength=n) > 0
             if m is not None:
                 grams, rows = ngrams(raw, offs)
                 count = np.maximum(np.bincount(rows, minlength=n), 1)
@@ -229,9 +238,11 @@ def identify(docs: DataFrame, model: LanguageModel | None, folds: int = 5) -> Da
                 best = p.argmax(axis=1)
                 lang[letters] = np.array(m.langs, object)[best[letters]]
                 score[letters] = p[np.arange(n), best][letters]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()),
+                pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", F.coalesce(fold("doc_id", folds) == 0, F.lit(False)).alias("held_out"), "text").mapInArrow(run, PREDICTED)
+    return docs.select("doc_id", F.coalesce(fold("doc_id", folds) == 0, F.lit(False)).alias("held_out"),
+        "text").mapInArrow(run, PREDICTED)
 
 
 def op2_query(docs: DataFrame) -> DataFrame:

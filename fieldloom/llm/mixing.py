@@ -41,26 +41,31 @@ BLOCKS, MAX_BLOCK, SHARD_BLOCKS, LEAST, GROUP = 1 << 16, 4096, 256, 256, 1024
 def word_count(text: Column) -> Column:
     """Number of runs of anything but x20 and x09-x0D; a null text has none."""
     parts = F.split(text, "[\\x20\\x09-\\x0D]+")
-    edge = F.when(text.rlike("^[\\x20\\x09-\\x0D]"), 1).otherwise(0) + F.when(text.rlike("[\\x20\\x09-\\x0D]\\z"), 1).otherwise(0)
+    edge = F.when(text.rlike("^[\\x20\\x09-\\x0D]"), 1).otherwise(0) + F.when(text.rlike("[\\x20\\x09-\\x0D]\\z"),
+        1).otherwise(0)
     return F.when(text.isNull() | ~text.rlike("[^\\x20\\x09-\\x0D]"), 0).otherwise(F.size(parts) - edge).cast("long")
 
 
-def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE,
+    cap: float = CAP) -> DataFrame:
     """Adds ``_sid`` (place), ``weight`` and ``target`` to one row a source (``source``, ``source_size``)."""
     w = F.array(*[F.lit(float(x)) for x in weights])
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    ranked = sources.withColumn("_sid", place).withColumn("weight", F.element_at(w, F.pmod(F.col("_sid") - 1, F.lit(len(weights))).cast("int") + 1))
+    ranked = sources.withColumn("_sid", place).withColumn("weight",
+        F.element_at(w, F.pmod(F.col("_sid") - 1, F.lit(len(weights))).cast("int") + 1))
     by_level = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
     before = by_level.rowsBetween(Window.unboundedPreceding, -1)
     rest = by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     whole = F.sum("source_size").over(every) * F.lit(float(share))
-    level = (whole - F.lit(float(cap)) * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / F.sum("weight").over(rest)
+    level = (whole - F.lit(float(cap)) * F.coalesce(F.sum("source_size").over(before),
+        F.lit(0))) / F.sum("weight").over(rest)
     own = F.lit(float(cap)) * F.col("source_size")
     fits = F.when(level * F.col("weight") <= own, level)
     return (
         ranked.withColumn("_fits", fits)
-        .withColumn("_level", F.first("_fits", ignorenulls=True).over(by_level.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        .withColumn("_level", F.first("_fits", ignorenulls=True).over(by_level.rowsBetween(Window.unboundedPreceding,
+            Window.unboundedFollowing)))
         .withColumn("target", F.coalesce(F.least(own, F.col("_level") * F.col("weight")), own))
         .drop("_fits", "_level")
     )
@@ -75,14 +80,17 @@ def apportion(parties: DataFrame, keys: list[str], party: list[str], votes: str,
     """
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     share = F.when(F.sum(votes).over(group) > 0, F.col(votes) * F.col(seats) / F.sum(votes).over(group)).otherwise(0.0)
-    base = parties.withColumn("_base", F.round(share).cast("long")).withColumn("_lack", (F.col(seats) - F.sum("_base").over(group)).cast("long"))
+    base = parties.withColumn("_base", F.round(share).cast("long")).withColumn("_lack",
+        (F.col(seats) - F.sum("_base").over(group)).cast("long"))
     near = F.when(F.col("_lack") > 0, F.sequence(F.lit(1).cast("long"), F.col("_lack"))).when(
         F.col("_lack") < 0, F.sequence(F.lit(0).cast("long"), F.col("_lack") + 1)
     )
     # Seat number _base + k for k >= 1 may be won; seat _base + k for k <= 0 may be lost.
-    seat = base.filter(F.col("_lack") != 0).withColumn("_k", F.explode(near)).withColumn("_seat", F.col("_base") + F.col("_k")).filter("_seat >= 1")
+    seat = base.filter(F.col("_lack") != 0).withColumn("_k", F.explode(near)).withColumn("_seat",
+        F.col("_base") + F.col("_k")).filter("_seat >= 1")
     quotient = F.col(votes) / (2 * F.col("_seat") - 1)
-    rank = F.row_number().over(group.orderBy(F.when(F.col("_lack") > 0, -quotient).otherwise(quotient), *[F.col(p).asc_nulls_last() for p in party]))
+    rank = F.row_number().over(group.orderBy(F.when(F.col("_lack") > 0, -quotient).otherwise(quotient),
+        *[F.col(p).asc_nulls_last() for p in party]))
     moved = (
         seat.withColumn("_rank", rank)
         .filter(F.col("_rank") <= F.abs("_lack"))
@@ -90,30 +98,38 @@ def apportion(parties: DataFrame, keys: list[str], party: list[str], votes: str,
         .agg(F.sum(F.signum("_lack")).cast("long").alias("_moved"))
     )
     on = list(dict.fromkeys([*keys, *party]))
-    return base.join(moved, on, "left").select(*parties.columns, (F.col("_base") + F.coalesce("_moved", F.lit(0))).alias("quota"))
+    return base.join(moved, on, "left").select(*parties.columns,
+        (F.col("_base") + F.coalesce("_moved", F.lit(0))).alias("quota"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP,
+    seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, taken: one row a document."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h"))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
+        F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h"))
     sized = checkpointed(sized)
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     total = sized.agg(F.sum("size")).first()[0] or 0
     block = min(MAX_BLOCK, max(1, total // BLOCKS))
     sources = sources.withColumn("_seats", F.lit(round(total * share / block)))
     sources = apportion(sources, [], ["_sid"], "target", "_seats").drop("_seats").withColumnRenamed("quota", "_seats")
-    sources = sources.withColumn("_block", F.least(F.lit(block), F.greatest(F.lit(1), F.floor(F.col("target") / LEAST))).cast("long"))
-    sources = sources.withColumn("_seats", F.when(F.col("_block") < block, F.round(F.col("target") / F.col("_block")).cast("long")).otherwise(F.col("_seats")))
-    sources = checkpointed(sources.withColumn("_shards", F.ceil(F.greatest("source_size", F.lit(1)) / (block * SHARD_BLOCKS)).cast("int")))
+    sources = sources.withColumn("_block", F.least(F.lit(block),
+        F.greatest(F.lit(1), F.floor(F.col("target") / LEAST))).cast("long"))
+    sources = sources.withColumn("_seats", F.when(F.col("_block") < block,
+        F.round(F.col("target") / F.col("_block")).cast("long")).otherwise(F.col("_seats")))
+    sources = checkpointed(sources.withColumn("_shards",
+        F.ceil(F.greatest("source_size", F.lit(1)) / (block * SHARD_BLOCKS)).cast("int")))
     # One row a source: a few bytes for each of some dozens of sources; a corpus with very many is joined by shuffle.
     named = sources.withColumnRenamed("source", "_source")
     few = F.broadcast(named) if named.count() <= 10_000 else named
     dealt = sized.join(few, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_shard", F.pmod("_h", "_shards"))
     order = Window.partitionBy("_sid", "_shard").orderBy("_h", "doc_id")
-    placed = dealt.withColumn("_end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_start", F.col("_end") - F.col("size"))
+    placed = dealt.withColumn("_end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding,
+        0))).withColumn("_start", F.col("_end") - F.col("size"))
     placed = checkpointed(placed.withColumn("_row", F.monotonically_increasing_id()))
     shard = ["_sid", "_shard"]
-    shards = placed.groupBy(*shard).agg(F.sum("size").alias("_words"), F.first("_seats").alias("_seats"), F.first("_block").alias("_block"))
+    shards = placed.groupBy(*shard).agg(F.sum("size").alias("_words"), F.first("_seats").alias("_seats"),
+        F.first("_block").alias("_block"))
     group = ["_sid", "_group"]
     shards = shards.withColumn("_group", F.floor(F.col("_shard") / GROUP))
     groups = shards.groupBy(*group).agg(F.sum("_words").alias("_words"), F.first("_seats").alias("_seats"))
@@ -121,7 +137,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     shards = apportion(shards.drop("_seats").join(groups, group), group, [*group, "_shard"], "_words", "_seats")
     # A shard's b blocks share its words evenly: block k begins at floor(k * words / b).
     shards = checkpointed(
-        shards.withColumn("_b", F.greatest(F.lit(1), F.round(F.col("_words") / F.col("_block"))).cast("long")).withColumn("_q", F.least("quota", cap * F.col("_b")))
+        shards.withColumn("_b", F.greatest(F.lit(1), F.round(F.col("_words")
+            / F.col("_block"))).cast("long")).withColumn("_q", F.least("quota", cap * F.col("_b")))
     )
     blocks = shards.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b") - 1)))
     lot = F.xxhash64(F.lit(seed), *shard, "_k")

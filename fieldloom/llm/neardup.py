@@ -109,14 +109,16 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.bincount(row, minlength=n)
         keys = []
         for salt in (1, 2):  # sums of hashed elements: the same for equal sets, in any order
-            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(K.mix64(value + np.uint64(salt)), dtype=np.uint64)))
+            total = np.concatenate((np.zeros(1, np.uint64),
+                np.cumsum(K.mix64(value + np.uint64(salt)), dtype=np.uint64)))
             ends = np.searchsorted(row, np.arange(n + 1))
             keys.append((total[ends[1:]] - total[ends[:-1]]).view(np.int64))
         full = size > 0
         key = bands(superminhash(value, row, n)).view(np.int64)[full]
         offs = pa.array(np.concatenate(([0], np.cumsum(full * BANDS))).astype(np.int32))
         yield pa.RecordBatch.from_arrays(
-            [*map(batch.column, ("doc_id", *TEXT)), pa.array(size), pa.array(keys[0]), pa.array(keys[1]), pa.ListArray.from_arrays(offs, pa.array(key.ravel()))],
+            [*map(batch.column, ("doc_id", *TEXT)), pa.array(size), pa.array(keys[0]), pa.array(keys[1]),
+                pa.ListArray.from_arrays(offs, pa.array(key.ravel()))],
             names=["doc_id", *TEXT, "n_shingles", "k1", "k2", "bands"],
         )
 
@@ -124,7 +126,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in K.chunks(batches):
         value, row = _shingle_sets(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([batch.column("node"), K.list_array(value.view(np.int64), row, batch.num_rows, pa.int64())], names=["id", "items"])
+        yield pa.RecordBatch.from_arrays([batch.column("node"),
+            K.list_array(value.view(np.int64), row, batch.num_rows, pa.int64())], names=["id", "items"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -133,13 +136,18 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among neighbours and then the label's own label, so
     labels travel twice as far from round to round; a checkpoint ends each.
     """
-    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
+    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"),
+        F.col("a").alias("b"))).distinct())
+    labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"),
+        F.least("a", "m").alias("component")))
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("m")).withColumnRenamed("a", "id")
-        step = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("to"))
+        near = both.join(labels.withColumnRenamed("id", "b"),
+            "b").groupBy("a").agg(F.min("component").alias("m")).withColumnRenamed("a", "id")
+        step = labels.join(near, "id").select("id", F.col("component").alias("old"),
+            F.least("component", "m").alias("to"))
         further = labels.select(F.col("id").alias("to"), F.col("component").alias("jump"))
-        moved = checkpointed(step.join(further, "to", "left").select("id", "old", F.least("to", F.coalesce("jump", "to")).alias("component")))
+        moved = checkpointed(step.join(further, "to", "left").select("id", "old",
+            F.least("to", F.coalesce("jump", "to")).alias("component")))
         labels = moved.select("id", "component")
         if moved.filter("component < old").isEmpty():
             return labels
@@ -164,8 +172,10 @@ def _compare(key, rows):
     shared = np.intersect1d(vx, vy)
     common = np.zeros((len(x), len(y)), np.float32)
     ix, iy = np.searchsorted(shared, vx), np.searchsorted(shared, vy)
-    okx = (ix < len(shared)) & (shared[np.minimum(ix, len(shared) - 1)] == vx) if len(shared) else np.zeros(len(vx), bool)
-    oky = (iy < len(shared)) & (shared[np.minimum(iy, len(shared) - 1)] == vy) if len(shared) else np.zeros(len(vy), bool)
+    okx = (ix < len(shared)) & (shared[np.minimum(ix, len(shared) - 1)] == vx) if len(shared) else np.zeros(len(vx),
+        bool)
+    oky = (iy < len(shared)) & (shared[np.minimum(iy, len(shared) - 1)] == vy) if len(shared) else np.zeros(len(vy),
+        bool)
     for lo in range(0, len(shared), 2048):
         mx, my = np.zeros((len(x), 2048), np.float32), np.zeros((len(y), 2048), np.float32)
         for m, ok, i, r in ((mx, okx, ix, rx), (my, oky, iy, ry)):
@@ -196,32 +206,41 @@ def _star_links(crowded: DataFrame, sets: DataFrame) -> DataFrame:
     alike = (100 * F.col("n") >= SIMILARITY * F.col("n_first")) & (100 * F.col("n_first") >= SIMILARITY * F.col("n"))
     x, y = sets.withColumnRenamed("items", "x"), sets.select(F.col("id").alias("first"), F.col("items").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
-    return pairs.filter(alike).join(x, "id").join(y, "first").filter(_linked("n", "n_first", common)).select(F.col("first").alias("a"), F.col("id").alias("b"))
+    return pairs.filter(alike).join(x, "id").join(y, "first").filter(_linked("n", "n_first",
+        common)).select(F.col("first").alias("a"), F.col("id").alias("b"))
 
 
 def _block_links(crowded: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between the components that buckets still span. One of two members is settled, and
     buckets with the same members need one look."""
-    placed = checkpointed(crowded.join(found, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component")))
+    placed = checkpointed(crowded.join(found, "id", "left").select("bucket", "id", "n",
+        F.coalesce("component", "id").alias("component")))
     who = F.sum(F.xxhash64("id").cast("decimal(20,0)"))
     spread = (
         placed.groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"), who.alias("who"))
+        .agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"),
+            who.alias("who"))
         .filter((F.col("lo") < F.col("hi")) & (F.col("m") > 2))
         .groupBy("m", "who").agg(F.min("bucket").alias("bucket"))
     )
     inside = checkpointed(placed.join(checkpointed(spread.select("bucket")), "bucket"))
     parts = inside.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
     main = parts.groupBy("bucket").agg(
-        F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("_all"), F.max("c").alias("_most"), F.sum("w").alias("_work"), F.max_by("w", F.struct("c", "component")).alias("_main_work")
+        F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("_all"),
+            F.max("c").alias("_most"), F.sum("w").alias("_work"),
+            F.max_by("w", F.struct("c", "component")).alias("_main_work")
     )
     inside = inside.join(checkpointed(main), "bucket").join(sets, "id")
-    blocks = lambda count, work: F.greatest(F.lit(1), F.ceil(count / F.lit(float(BLOCK))), F.ceil(work / F.lit(float(BLOCK_SHINGLES)))).cast("int")
-    across, down = blocks(F.col("_all"), F.col("_work")), blocks(F.col("_all") - F.col("_most"), F.col("_work") - F.col("_main_work"))
+    blocks = lambda count, work: F.greatest(F.lit(1), F.ceil(count / F.lit(float(BLOCK))),
+        F.ceil(work / F.lit(float(BLOCK_SHINGLES)))).cast("int")
+    across, down = blocks(F.col("_all"), F.col("_work")), blocks(F.col("_all") - F.col("_most"),
+        F.col("_work") - F.col("_main_work"))
     one = lambda n: F.array(F.pmod(F.xxhash64("id"), n).cast("int"))
     every = lambda n: F.sequence(F.lit(0), n - 1)
-    asks = inside.filter("component != main").select("bucket", "id", "component", "items", F.lit(0).alias("role"), one(down).alias("r"), every(across).alias("c"))
-    answers = inside.select("bucket", "id", "component", "items", F.lit(1).alias("role"), every(down).alias("r"), one(across).alias("c"))
+    asks = inside.filter("component != main").select("bucket", "id", "component", "items", F.lit(0).alias("role"),
+        one(down).alias("r"), every(across).alias("c"))
+    answers = inside.select("bucket", "id", "component", "items", F.lit(1).alias("role"), every(down).alias("r"),
+        one(across).alias("c"))
     dealt = asks.union(answers).withColumn("r", F.explode("r")).withColumn("c", F.explode("c"))
     return dealt.groupBy("bucket", "r", "c").applyInPandas(_compare, "a long, b long").distinct()
 
@@ -229,23 +248,32 @@ def _block_links(crowded: DataFrame, found: DataFrame, sets: DataFrame) -> DataF
 def _placed(docs: DataFrame) -> DataFrame:
     """One row a row of ``docs``: doc_id, t1, t2, n_shingles, component_id and the key ``first`` of the row that stands for its component."""
     texts = docs.select("doc_id", *_text_hashes(), "text")
-    sig = checkpointed(texts.mapInArrow(_signatures, "doc_id long, t1 long, t2 long, n_shingles long, k1 long, k2 long, bands array<long>"))
+    sig = checkpointed(texts.mapInArrow(_signatures,
+        "doc_id long, t1 long, t2 long, n_shingles long, k1 long, k2 long, bands array<long>"))
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *TEXT)
-    classes = sig.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min(key).alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = sig.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min(key).alias("first"),
+        F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = checkpointed(classes.withColumn("id", F.monotonically_increasing_id()))
     buckets = classes.select("id", "n", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter(F.col("first") < F.col("last"))
+    shared = buckets.groupBy("bucket").agg(F.min("id").alias("first"),
+        F.max("id").alias("last")).filter(F.col("first") < F.col("last"))
     # Cut here, the join below meets two plain shuffles, and adaptive execution splits a crowded bucket.
-    crowded = checkpointed(buckets.join(checkpointed(shared.select("bucket", "first")), "bucket").select("bucket", "id", "n", "first"))
-    members = crowded.select("id").distinct().join(classes.select("id", "first.t1", "first.t2"), "id").select(F.col("id").alias("node"), *TEXT)
+    crowded = checkpointed(buckets.join(checkpointed(shared.select("bucket", "first")), "bucket").select("bucket", "id",
+        "n", "first"))
+    members = crowded.select("id").distinct().join(classes.select("id", "first.t1", "first.t2"),
+        "id").select(F.col("id").alias("node"), *TEXT)
     sets = texts.join(_small(members), TEXT).select("node", "text").mapInArrow(_sets, "id long, items array<long>")
     sets = checkpointed(sets.dropDuplicates(["id"]))
     found = components(checkpointed(_star_links(crowded, sets)))
-    joined = components(_block_links(crowded, found, sets)).select(F.col("id").alias("component"), F.col("component").alias("final"))
-    found = found.join(joined, "component", "left").select("id", F.coalesce("final", "component").alias("component")).union(
-        joined.join(found, joined["component"] == found["id"], "left_anti").select(F.col("component").alias("id"), F.col("final").alias("component"))
+    joined = components(_block_links(crowded, found, sets)).select(F.col("id").alias("component"),
+        F.col("component").alias("final"))
+    found = found.join(joined, "component", "left").select("id",
+        F.coalesce("final", "component").alias("component")).union(
+        joined.join(found, joined["component"] == found["id"], "left_anti").select(F.col("component").alias("id"),
+            F.col("final").alias("component"))
     )
-    named = checkpointed(classes.join(found, "id", "left").select("k1", "k2", "first", F.coalesce("component", "id").alias("component")))
+    named = checkpointed(classes.join(found, "id", "left").select("k1", "k2", "first",
+        F.coalesce("component", "id").alias("component")))
     names = named.groupBy("component").agg(F.min("first").alias("first"))
     by_class = named.select("k1", "k2", "component").join(names, "component").drop("component")
     out = sig.drop("bands").join(by_class, ["k1", "k2"], "left")
@@ -255,7 +283,8 @@ def _placed(docs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a row of ``docs``."""
-    return _placed(docs).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return _placed(docs).select("doc_id", "n_shingles", "component_id",
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -283,13 +312,18 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
 #: The same components from all shared shingles, without signatures.
 ORACLE_SQL = """
-WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
-sh AS (SELECT DISTINCT doc_id, array_to_string(w[p:p+4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[p:p+4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1,
+  greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
-pr AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+pr AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id
+  GROUP BY ALL),
 ln AS (SELECT x, y FROM pr JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
 bo AS (SELECT x, y FROM ln UNION ALL SELECT y, x FROM ln),
 re AS (SELECT doc_id AS id, doc_id AS r FROM d UNION SELECT re.id, bo.y FROM re JOIN bo ON re.r = bo.x),
 co AS (SELECT id, min(r) AS component_id FROM re GROUP BY id)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN co ON co.id = d.doc_id
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT
+  JOIN n USING (doc_id) JOIN co ON co.id = d.doc_id
 """

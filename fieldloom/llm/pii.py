@@ -166,10 +166,12 @@ def disclosed(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCL
 
         yield from _counted(batches, keys, ["entity", "term"])
 
-    counts = docs.select("text").mapInArrow(run, "entity string, term string, n long").groupBy("entity", "term").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(run, "entity string, term string, n long").groupBy("entity",
+        "term").agg(F.sum("n").alias("n"))
     counts = checkpointed(counts.filter(F.col("n") >= support))
     total = float(max(docs.count(), 1))
-    pairs = counts.filter("entity is not null").withColumnRenamed("n", "n_both").join(shared.withColumnRenamed("n", "n_entity"), "entity")
+    pairs = counts.filter("entity is not null").withColumnRenamed("n",
+        "n_both").join(shared.withColumnRenamed("n", "n_entity"), "entity")
     pairs = pairs.join(counts.filter("entity is null").select("term", F.col("n").alias("n_term")), "term")
     pmi = F.log2(F.col("n_both") * F.lit(total) / (F.col("n_term") * F.col("n_entity")))
     ic = F.log2(F.lit(total) / F.col("n_entity"))
@@ -193,11 +195,13 @@ def _with_terms(docs: DataFrame, support: int, disclosure: float, each, schema)
     A counted, small table of terms is broadcast. A larger one meets each row's distinct terms in a
     shuffle, and the rows get back their own under an id that a checkpoint fixes.
     """
-    kinds = disclosed(docs, support, disclosure).groupBy("term").agg(F.min(F.substring("entity", 1, 1).cast("int")).alias("kind"))
+    kinds = disclosed(docs, support, disclosure).groupBy("term").agg(F.min(F.substring("entity", 1,
+        1).cast("int")).alias("kind"))
     kinds = checkpointed(kinds)
     if kinds.count() <= BROADCAST_TERMS:
         got = kinds.toArrow()
-        shared = docs.sparkSession.sparkContext.broadcast(dict(zip(got.column("term").to_pylist(), got.column("kind").to_pylist())))
+        shared = docs.sparkSession.sparkContext.broadcast(dict(zip(got.column("term").to_pylist(),
+            got.column("kind").to_pylist())))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in K.chunks(batches):
@@ -211,10 +215,13 @@ def _with_terms(docs: DataFrame, support: int, disclosure: float, each, schema)
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.chunks(batches):
             terms = [sorted(terms_of(blanked(t or "", base_spans(t or "")))) for t in K.strings(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.string()))], names=["row", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.string()))],
+                names=["row", "terms"])
 
-    held = docs.select(F.col(row).alias("row"), "text").mapInArrow(explode, "row long, terms array<string>").select("row", F.explode("terms").alias("term"))
-    held = held.join(kinds, "term").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias(own)).withColumnRenamed("row", row)
+    held = docs.select(F.col(row).alias("row"), "text").mapInArrow(explode,
+        "row long, terms array<string>").select("row", F.explode("terms").alias("term"))
+    held = held.join(kinds, "term").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term",
+        "kind"))).alias(own)).withColumnRenamed("row", row)
 
     def run_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.chunks(batches):
@@ -236,15 +243,18 @@ def find_personal_data(docs: DataFrame, support: int = SUPPORT, disclosure: floa
         for i, text in enumerate(K.strings(batch.column("text"))):
             spans.append(base_spans(text or ""))
             terms.append(term_spans(text or "", spans[-1], known(i)))
-        columns = [pa.array([[dict(zip(("start", "kind", "end"), x)) for x in row] for row in c], _SPANS) for c in (spans, terms)]
+        columns = [pa.array([[dict(zip(("start", "kind", "end"), x)) for x in row] for row in c],
+            _SPANS) for c in (spans, terms)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "spans", "terms"])
 
     return _with_terms(docs.select("doc_id", "text"), support, disclosure, each, FOUND)
 
 
-def masked(text: str, spans: list[tuple[int, int, int]], terms: list[tuple[int, int, int]], remove: bool = False) -> str:
+def masked(text: str, spans: list[tuple[int, int, int]], terms: list[tuple[int, int, int]],
+    remove: bool = False) -> str:
     """The text with base spans and terms generalised; where spans overlap, the first one stands for all it touches."""
-    marks = [(s, e, MASKS[KINDS[k]]) for s, k, e in spans] + [(s, e, "" if remove else TERM_MASKS[k]) for s, k, e in terms]
+    marks = [(s, e, MASKS[KINDS[k]]) for s, k, e in spans] + [(s, e, "" if remove else TERM_MASKS[k]) for s, k,
+        e in terms]
     parts, at = [], 0
     for start, end, mark in sorted(marks):
         if start >= at:
@@ -253,7 +263,8 @@ def masked(text: str, spans: list[tuple[int, int, int]], terms: list[tuple[int,
     return "".join(parts) + text[at:]
 
 
-def sanitise(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE, remove_terms: bool = False) -> DataFrame:
+def sanitise(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE,
+    remove_terms: bool = False) -> DataFrame:
     """The documents with base spans and disclosed terms generalised; all columns and rows stay."""
 
     def each(batch: pa.RecordBatch, known) -> pa.RecordBatch:

@@ -181,7 +181,8 @@ def _levels(calls: DataFrame) -> DataFrame:
     # A task takes many small blocks at once, some BLOCK_CALLS calls; a block of more is dealt by id.
     groups = max(1, calls.count() // BLOCK_CALLS)
     salt = F.pmod(F.xxhash64("call_id"), F.col("s"))
-    pending = pending.join(sizes, ["conv_id", "b"]).select(*key, "needs", "level", F.pmod(F.xxhash64("conv_id", "b", salt), F.lit(groups)).alias("g"))
+    pending = pending.join(sizes, ["conv_id", "b"]).select(*key, "needs", "level",
+        F.pmod(F.xxhash64("conv_id", "b", salt), F.lit(groups)).alias("g"))
     kind = "conv_id long, call_id string, needs array<string>, level int, g long, done boolean"
     found = None
     while True:
@@ -192,20 +193,24 @@ def _levels(calls: DataFrame) -> DataFrame:
             return found
         asked = waiting.select(*key, F.explode("needs").alias("need"))
         known = fresh.select("conv_id", F.col("call_id").alias("need"), F.col("level").alias("at"))
-        met = asked.join(known, ["conv_id", "need"]).groupBy(*key).agg(F.collect_list("need").alias("met"), F.max("at").alias("at"))
+        met = asked.join(known, ["conv_id", "need"]).groupBy(*key).agg(F.collect_list("need").alias("met"),
+            F.max("at").alias("at"))
         left = F.when(F.col("met").isNull(), F.col("needs")).otherwise(F.array_except("needs", "met"))
-        pending = waiting.join(met, key, "left").select(*key, left.alias("needs"), F.greatest("level", F.coalesce(F.col("at") + 1, F.lit(0))).alias("level"), "g")
+        pending = waiting.join(met, key, "left").select(*key, left.alias("needs"),
+            F.greatest("level", F.coalesce(F.col("at") + 1, F.lit(0))).alias("level"), "g")
 
 
 def _positions(calls: DataFrame) -> DataFrame:
     """Adds ``position`` by (level, turn, call_id) in each conversation, ordering one block of turns at a time."""
     inner = Window.partitionBy("conv_id", "level", "_b").orderBy("turn", "call_id")
-    block = calls.withColumn("_b", F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-1))).withColumn("_in", F.row_number().over(inner))
+    block = calls.withColumn("_b", F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-1))).withColumn("_in",
+        F.row_number().over(inner))
     block = checkpointed(block)
     sizes = block.filter("level is not null").groupBy("conv_id", "level", "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("conv_id").orderBy("level", "_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    placed = block.join(starts, ["conv_id", "level", "_b"], "left").withColumn("position", (F.col("_start") + F.col("_in") - 1).cast("long"))
+    placed = block.join(starts, ["conv_id", "level", "_b"], "left").withColumn("position",
+        (F.col("_start") + F.col("_in") - 1).cast("long"))
     return placed.drop("_b", "_in", "_start")
 
 
@@ -219,12 +224,15 @@ def _serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in LINKED.split(", ")]
     for batch in K.chunks(K.chunks(batches, "arguments"), "content"):
         out = []
-        columns = [K.strings(batch.column(c)) if c in ("arguments", "content", "call_id", "name", "schema") else batch.column(c).to_pylist() for c in ("call_id", "name", "arguments", "schema", "result_turn", "content", "answered")]
+        columns = [K.strings(batch.column(c)) if c in ("arguments", "content", "call_id", "name",
+            "schema") else batch.column(c).to_pylist() for c in ("call_id", "name", "arguments", "schema",
+            "result_turn", "content", "answered")]
         for call_id, name, arguments, schema, turn, content, answered in zip(*columns):
             value, wrong = parse(arguments)
             wrong = wrong or check(value, _schema(schema))
             result = {"turn": turn, "content": content} if answered else None
-            out.append((not wrong, [w.encode("utf-8", "backslashreplace").decode() for w in wrong], canonical({"id": call_id, "name": name, "arguments": value, "result": result})))
+            out.append((not wrong, [w.encode("utf-8", "backslashreplace").decode() for w in wrong],
+                canonical({"id": call_id, "name": name, "arguments": value, "result": result})))
         valid, wrong, message = zip(*out)
         made = [pa.array(valid, pa.bool_()), pa.array(wrong, pa.list_(pa.string())), pa.array(message, pa.string())]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:7]), *made], names=names)
@@ -234,16 +242,20 @@ def link_tool_calls(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     key = ["conv_id", "call_id"]
     first = F.min_by(F.struct("turn", "name", "arguments", "depends_on"), F.struct("turn", "arguments", "name"))
     every = messages.filter("role = 'call'")
-    calls = every.filter("conv_id is not null and call_id is not null").groupBy(*key).agg(first.alias("c")).select(*key, "c.*")
+    calls = every.filter("conv_id is not null and call_id is not null").groupBy(*key).agg(first.alias("c")).select(*key,
+        "c.*")
     calls = checkpointed(calls)
-    results = messages.filter("role = 'result'").groupBy(*key).agg(F.min_by(F.struct("turn", "content"), F.struct("turn", "content")).alias("r"))
+    results = messages.filter("role = 'result'").groupBy(*key).agg(F.min_by(F.struct("turn", "content"),
+        F.struct("turn", "content")).alias("r"))
     placed = _positions(calls.join(_levels(calls), key, "left").drop("depends_on"))
     none = [F.lit(None).cast("int").alias("level"), F.lit(None).cast("long").alias("position")]
     loose = every.filter("conv_id is null or call_id is null").select(*key, "turn", "name", "arguments", *none)
     known = schemas.groupBy("name").agg(F.min("schema").alias("schema"))
     known = F.broadcast(known) if known.count() <= BROADCAST_SCHEMAS else known
     linked = placed.unionByName(loose).join(results, key, "left").join(known, "name", "left")
-    linked = linked.select("conv_id", "turn", "call_id", "name", "level", "position", F.col("r.turn").alias("result_turn"), F.col("r").isNotNull().alias("answered"), F.col("r.content").alias("content"), "arguments", "schema")
+    linked = linked.select("conv_id", "turn", "call_id", "name", "level", "position",
+        F.col("r.turn").alias("result_turn"), F.col("r").isNotNull().alias("answered"),
+        F.col("r.content").alias("content"), "arguments", "schema")
     return linked.mapInArrow(_serialise, LINKED)
 
 
@@ -252,10 +264,12 @@ SCHEMAS = [
         "search",
         {
             "type": "object", "required": ["query", "limit"], "additionalProperties": False,
-            "properties": {"query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 1, "maximum": 200}},
+            "properties": {"query": {"type": "string", "minLength": 1},
+                "limit": {"type": "integer", "minimum": 1, "maximum": 200}},
         },
     ),
-    ("summarise", {"type": "object", "required": ["text"], "properties": {"text": {"type": "string"}, "ratio": {"type": "number", "minimum": 0, "maximum": 1}}}),
+    ("summarise", {"type": "object", "required": ["text"],
+        "properties": {"text": {"type": "string"}, "ratio": {"type": "number", "minimum": 0, "maximum": 1}}}),
 ]
 #: A turn that is JSON with calls, or with the identifier of the call that it answers.
 ENVELOPE = "tool_calls array<struct<id:string, name:string, arguments:string, depends_on:array<string>>>, tool_call_id string, content string"
@@ -267,10 +281,15 @@ def read_messages(conversations: DataFrame) -> DataFrame:
     A turn whose text is ``{"tool_calls": [{"id", "name", "arguments", "depends_on"}]}`` makes calls (arguments
     are an object or a JSON string); one that is ``{"tool_call_id", "content"}`` answers the call of that id.
     """
-    turns = conversations.filter(F.col("text").rlike("^\\s*\\{")).select("conv_id", "turn", F.from_json("text", ENVELOPE).alias("m"))
-    calls = turns.select("conv_id", "turn", F.explode("m.tool_calls").alias("c")).select("conv_id", "turn", F.lit("call").alias("role"), F.col("c.id").alias("call_id"), "c.name", "c.arguments", "c.depends_on", F.lit(None).cast("string").alias("content"))
+    turns = conversations.filter(F.col("text").rlike("^\\s*\\{")).select("conv_id", "turn",
+        F.from_json("text", ENVELOPE).alias("m"))
+    calls = turns.select("conv_id", "turn", F.explode("m.tool_calls").alias("c")).select("conv_id", "turn",
+        F.lit("call").alias("role"), F.col("c.id").alias("call_id"), "c.name", "c.arguments", "c.depends_on",
+        F.lit(None).cast("string").alias("content"))
     none = F.lit(None).cast("string")
-    results = turns.filter("m.tool_call_id is not null").select("conv_id", "turn", F.lit("result").alias("role"), F.col("m.tool_call_id").alias("call_id"), none.alias("name"), none.alias("arguments"), F.lit(None).cast("array<string>").alias("depends_on"), "m.content")
+    results = turns.filter("m.tool_call_id is not null").select("conv_id", "turn", F.lit("result").alias("role"),
+        F.col("m.tool_call_id").alias("call_id"), none.alias("name"), none.alias("arguments"),
+        F.lit(None).cast("array<string>").alias("depends_on"), "m.content")
     return calls.union(results)
 
 
@@ -278,9 +297,11 @@ def messages_of(conversations: DataFrame) -> DataFrame:
     """Prose turns as tool traffic, for tables without any: an assistant's turn calls a tool with its whole
     text, the turn after it is the result, and the k-th call needs the call at half its place."""
     turn = F.col("turn")
-    name = F.when(F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(7)) == 0, "browse").when(F.pmod(turn, F.lit(4)) < 2, "search").otherwise("summarise")
+    name = F.when(F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(7)) == 0,
+        "browse").when(F.pmod(turn, F.lit(4)) < 2, "search").otherwise("summarise")
     size = F.size(F.split("text", " "))
-    arguments = F.when(F.col("text").isNull(), None).when(name == "search", F.to_json(F.struct(size.alias("limit"), F.col("text").alias("query")))).otherwise(
+    arguments = F.when(F.col("text").isNull(), None).when(name == "search",
+        F.to_json(F.struct(size.alias("limit"), F.col("text").alias("query")))).otherwise(
         F.to_json(F.struct((size / 400).alias("ratio"), F.col("text").alias("text")))
     )
     id_of = lambda t: F.concat(F.lit("call_"), t.cast("long").cast("string"))
@@ -288,10 +309,12 @@ def messages_of(conversations: DataFrame) -> DataFrame:
     needs = F.when((turn >= 2) & (half < turn), F.array(id_of(half))).otherwise(F.array().cast("array<string>"))
     none = F.lit(None).cast("string")
     calls = conversations.filter("role = 'assistant'").select(
-        "conv_id", "turn", F.lit("call").alias("role"), id_of(turn).alias("call_id"), name.alias("name"), arguments.alias("arguments"), needs.alias("depends_on"), none.alias("content")
+        "conv_id", "turn", F.lit("call").alias("role"), id_of(turn).alias("call_id"), name.alias("name"),
+            arguments.alias("arguments"), needs.alias("depends_on"), none.alias("content")
     )
     results = conversations.filter("role <> 'assistant' and turn > 0").select(
-        "conv_id", "turn", F.lit("result").alias("role"), id_of(turn - 1).alias("call_id"), none.alias("name"), none.alias("arguments"),
+        "conv_id", "turn", F.lit("result").alias("role"), id_of(turn - 1).alias("call_id"), none.alias("name"),
+            none.alias("arguments"),
         F.lit(None).cast("array<string>").alias("depends_on"), F.col("text").alias("content"),
     )
     return calls.union(results)
@@ -300,4 +323,5 @@ def messages_of(conversations: DataFrame) -> DataFrame:
 def op6_query(spark: SparkSession, conversations: DataFrame) -> DataFrame:
     schemas = spark.createDataFrame([(n, json.dumps(s)) for n, s in SCHEMAS], "name string, schema string")
     prose = conversations.filter(F.col("text").isNull() | ~F.col("text").rlike("^\\s*\\{"))
-    return link_tool_calls(read_messages(conversations).union(messages_of(prose)), schemas).withColumn("problems", F.array_join("problems", "; "))
+    return link_tool_calls(read_messages(conversations).union(messages_of(prose)), schemas).withColumn("problems",
+        F.array_join("problems", "; "))

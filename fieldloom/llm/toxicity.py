@@ -117,7 +117,8 @@ def _sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         words = pa.array(text, pa.binary()).take(pa.array(w.which))
         offs = pa.array(np.searchsorted(w.row, np.arange(batch.num_rows + 1)).astype(np.int32))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.ListArray.from_arrays(offs, words)], names=["doc_id", "toxic", "words"]
+            [batch.column(0), batch.column(1), pa.ListArray.from_arrays(offs, words)],
+                names=["doc_id", "toxic", "words"]
         )
 
 
@@ -140,7 +141,8 @@ def evidence(scores: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(row, np.logaddexp(0, scores), minlength=n)
 
 
-def _fit(bucket: np.ndarray, word: np.ndarray, n_words: int, doc_word: np.ndarray, doc_row: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float]:
+def _fit(bucket: np.ndarray, word: np.ndarray, n_words: int, doc_word: np.ndarray, doc_row: np.ndarray,
+    toxic: np.ndarray) -> tuple[np.ndarray, float]:
     """Embeddings and softmax by Adam on the documents' likelihood; returns the log-odds of each bucket and a shift."""
     rng = np.random.default_rng(1)
     used, inner = np.unique(bucket, return_inverse=True)
@@ -150,7 +152,8 @@ def _fit(bucket: np.ndarray, word: np.ndarray, n_words: int, doc_word: np.ndarra
     by_bucket = np.argsort(inner, kind="stable")
     starts, owner = np.searchsorted(inner[by_bucket], np.arange(len(used))), word[by_bucket]
     del bucket, word, by_bucket
-    params = [rng.normal(0, 0.3, (len(used), WIDTH)).astype(np.float32), rng.normal(0, 0.3, WIDTH).astype(np.float32), np.full(1, START, np.float32)]
+    params = [rng.normal(0, 0.3, (len(used), WIDTH)).astype(np.float32), rng.normal(0, 0.3, WIDTH).astype(np.float32),
+        np.full(1, START, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for t in range(1, EPOCHS + 1):
         e, v, shift = params
@@ -170,14 +173,17 @@ def _fit(bucket: np.ndarray, word: np.ndarray, n_words: int, doc_word: np.ndarra
     return table, float(params[2][0])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 3, held: int = 1) -> ToxicityModel | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 3,
+    held: int = 1) -> ToxicityModel | None:
     """Learns from labelled rows whose fold is not ``held``; None without both classes."""
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held))
     ids = usable.select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).cast("int").alias("_toxic"))
     n_labels, n_toxic = ids.agg(F.count(F.lit(1)), F.coalesce(F.sum("_toxic"), F.lit(0))).first()
     first = lambda x, n: x.orderBy(F.xxhash64("_id"), "_id", "_toxic").limit(n)
-    ids = first(ids, sample).union(first(ids.filter("_toxic = 1"), EACH)).union(first(ids.filter("_toxic = 0"), EACH)).distinct()  # at most sample + 2 * EACH rows
-    rows = docs.join(F.broadcast(ids), docs["doc_id"] == ids["_id"]).groupBy("_id", "_toxic").agg(F.min("text").alias("text"))
+    ids = first(ids, sample).union(first(ids.filter("_toxic = 1"), EACH)).union(first(ids.filter("_toxic = 0"),
+        EACH)).distinct()  # at most sample + 2 * EACH rows
+    rows = docs.join(F.broadcast(ids), docs["doc_id"] == ids["_id"]).groupBy("_id",
+        "_toxic").agg(F.min("text").alias("text"))
     rows = rows.select(F.col("_id").alias("doc_id"), F.col("_toxic").alias("toxic"), "text")
     # Arrow on the driver: a sampled word is a few bytes and a code, never a Python object.
     got = rows.mapInArrow(_sample_words, "doc_id long, toxic int, words array<binary>").toArrow()
@@ -202,7 +208,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     place[kept] = np.arange(len(kept))
     use = learning & (place[code] >= 0)
     doc = np.cumsum(~held) - 1
-    table, shift = _fit(*bags(*_flat(dictionary.take(pa.array(kept)))), len(kept), place[code[use]], doc[row[use]], toxic[~held])
+    table, shift = _fit(*bags(*_flat(dictionary.take(pa.array(kept)))), len(kept), place[code[use]], doc[row[use]],
+        toxic[~held])
     model = ToxicityModel(table, shift, 1.0, 0.0)
     seen, inner = np.unique(code[~learning], return_inverse=True)
     x = np.zeros(int(held.sum()))
@@ -257,7 +264,8 @@ def scores(docs: DataFrame, model: ToxicityModel | None, keep: bool = False) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.chunks(batches):
             score = of(batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score),
+                pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.chunks(batches):
@@ -265,7 +273,8 @@ def scores(docs: DataFrame, model: ToxicityModel | None, keep: bool = False) ->
 
     if keep:
         return docs.mapInArrow(clean, docs.schema)
-    return docs.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "text").mapInArrow(run, SCORED)
+    return docs.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"),
+        "text").mapInArrow(run, SCORED)
 
 
 def op4_query(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -26,7 +26,9 @@ def docs(spark):
 def odd(spark):
     """Nulls, blanks, ties, a repeated row, a very long text and columns with clashing names."""
     long = " ".join(f"w{i % 977}x{i % 13}" for i in range(60_000))
-    rows = [(1, None, None, None, 0), (2, "", "en", "b", 0), (3, " \t\n ", "en", None, 0), (4, "one two", "en", "a", 0), (4, "one two", "en", "a", 0), (5, long, "de", "a", 0), (None, "one two", None, "a", 0), (6, "É ß 中文 \U0001f600", "fr", "b", 0)]
+    rows = [(1, None, None, None, 0), (2, "", "en", "b", 0), (3, " \t\n ", "en", None, 0), (4, "one two", "en", "a", 0),
+        (4, "one two", "en", "a", 0), (5, long, "de", "a", 0), (None, "one two", None, "a", 0),
+        (6, "É ß 中文 \U0001f600", "fr", "b", 0)]
     return spark.createDataFrame(rows, DOC).selectExpr("*", "1 as score", "2 as size", "3 as spans", "4 as bands")
 
 
@@ -40,7 +42,8 @@ def empty(spark):
 BASE = [
     ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda s: True),
     ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda s: all(int(p) <= 255 for p in s.split("."))),
-    ("card", re.compile(r"[0-9]([\x20-]?[0-9])+"), lambda s: 14 <= len(re.sub(r"\D", "", s)) <= 19 and pii.luhn(re.sub(r"\D", "", s))),
+    ("card", re.compile(r"[0-9]([\x20-]?[0-9])+"), lambda s: 14 <= len(re.sub(r"\D", "",
+        s)) <= 19 and pii.luhn(re.sub(r"\D", "", s))),
     ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda s: 10 <= len(re.sub(r"\D", "", s)) <= 15),
 ]
 
@@ -53,16 +56,19 @@ def plain_spans(text):
 def test_base_spans_equal_plain_patterns(docs):
     rng = np.random.default_rng(0)
     texts = [r["text"] for r in docs.collect()] + ["".join(rng.choice(list("ab1295@.-+ ()"), 60)) for _ in range(3000)]
-    texts += ["a@b.c@d.e", "@a.b", "x@y", "1.2.3.4.5.6.7.8", "999.1.1.1", "4" * 30, "+1 (234) 555-0199", "a@b.co. z@q.r-"]
+    texts += ["a@b.c@d.e", "@a.b", "x@y", "1.2.3.4.5.6.7.8", "999.1.1.1", "4" * 30, "+1 (234) 555-0199",
+        "a@b.co. z@q.r-"]
     for t in texts:
         assert pii.base_spans(t) == plain_spans(t), t
 
 
 def test_personal_data_query_and_disclosure(spark, odd):
-    rows = [(i, f"call Zweibrunn now at bob@x.org and of the rest {i}", "en", "a", 0) for i in range(3)] + [(10 + i, "of the now and rest at call", "en", "a", 0) for i in range(60)]
+    rows = [(i, f"call Zweibrunn now at bob@x.org and of the rest {i}", "en", "a", 0) for i in range(3)] + [(10 + i,
+        "of the now and rest at call", "en", "a", 0) for i in range(60)]
     d = spark.createDataFrame(rows, DOC)
     got = {r["doc_id"]: r for r in pii.op1_query(d).collect()}
-    assert got[0]["n_email"] == 1 and "term:5:14" in got[0]["spans"] and got[0]["n_terms"] == 1 and got[10]["spans"] == ""
+    assert got[0]["n_email"] == 1 and "term:5:14" in got[0]["spans"] and got[0]["n_terms"] == 1 and got[10][
+        "spans"] == ""
     base = "email:22:31"
     assert got[0]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(d).collect()}
@@ -80,7 +86,8 @@ def test_language_held_out(docs, spark, odd):
     assert all(got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in docs.collect())
     assert np.mean([got[r["doc_id"]]["lang_pred"] == r["lang"] for r in held]) > 0.9
     out = [r for r in langid.op2_query(odd).collect()]
-    assert [r["lang_pred"] for r in out if r["doc_id"] in (1, 2, 3)] == ["und"] * 3 and all(0 <= r["score"] <= 1 for r in out)
+    assert [r["lang_pred"] for r in out if r["doc_id"] in (1, 2,
+        3)] == ["und"] * 3 and all(0 <= r["score"] <= 1 for r in out)
     assert langid.op2_query(empty(spark)).count() == 0
 
 
@@ -131,18 +138,21 @@ def picture(frames, w=4, h=2):
     palette = bytes([255, 0, 0, 0, 255, 0, 0, 0, 255, 9, 9, 9])
     out = b"GIF89a" + struct.pack("<HHBBB", w, h, 0x81, 0, 0) + palette
     for delay, disposal, through, box, samples in frames:
-        out += b"\x21\xf9\x04" + bytes([disposal << 2 | (through is not None)]) + struct.pack("<HBB", delay, through or 0, 0) + b"\x2c" + struct.pack("<HHHHB", *box, 0) + b"\x02" + block(small_lzw(samples, 2))
+        out += b"\x21\xf9\x04" + bytes([disposal << 2 | (through is not None)]) + struct.pack("<HBB", delay,
+            through or 0, 0) + b"\x2c" + struct.pack("<HHHHB", *box, 0) + b"\x02" + block(small_lzw(samples, 2))
     return out + b"\x3b"
 
 
 def test_gif_frames_disposal_and_transparency(spark):
     full, dot = (0, 0, 4, 2), (1, 0, 2, 1)
-    data = picture([(5, 0, None, full, [0] * 8), (7, 3, 3, dot, [1, 3]), (9, 2, None, dot, [2, 2]), (1, 0, 3, dot, [3, 3])])
+    data = picture([(5, 0, None, full, [0] * 8), (7, 3, 3, dot, [1, 3]), (9, 2, None, dot, [2, 2]),
+        (1, 0, 3, dot, [3, 3])])
     files = spark.createDataFrame([(1, bytearray(data)), (2, bytearray(b"no")), (3, None)], "id long, content binary")
     rows = gif.gif_frames(files).orderBy("id", "frame").collect()
     shown = [[struct.unpack("<8I", bytes(r["rgba"]))[i] for i in range(8)] for r in rows if r["id"] == 1]
     red, green, blue = 0xFF0000FF, 0xFF00FF00, 0xFFFF0000
-    assert shown[1][:4] == [red, green, red, red] and shown[2][:4] == [red, blue, blue, red] and shown[3][:4] == [red, 0, 0, red]
+    assert shown[1][:4] == [red, green, red, red] and shown[2][:4] == [red, blue, blue, red] and shown[3][:4] == [red,
+        0, 0, red]
     assert [r["delay_cs"] for r in rows if r["id"] == 1] == [5, 7, 9, 1] and sum(rows[0]["histogram"]) == 8
     assert [r["error"] is not None for r in rows if r["id"] != 1] == [True, True]
 
@@ -150,7 +160,9 @@ def test_gif_frames_disposal_and_transparency(spark):
 @pytest.mark.parametrize("n", [1, 2, 254, 255, 256, 300, 5000, 70_000])
 def test_lzw_round_trips(n):
     s = np.random.default_rng(n).integers(0, 256, n).astype(np.uint8)
-    assert gif.lzw_decode(gif.lzw_encode(s.tobytes()), 8, n).tobytes() == s.tobytes() and gif.lzw_encode(s.tobytes()).rstrip(b"\0") == small_lzw(s.tolist(), 8).rstrip(b"\0")
+    assert gif.lzw_decode(gif.lzw_encode(s.tobytes()), 8,
+        n).tobytes() == s.tobytes() and gif.lzw_encode(s.tobytes()).rstrip(b"\0") == small_lzw(s.tolist(),
+        8).rstrip(b"\0")
     rep = (s % 3).astype(np.uint8)
     assert gif.lzw_decode(gif.lzw_encode(rep.tobytes()), 8, n).tobytes() == rep.tobytes()
     assert gif.lzw_decode(small_lzw(rep.tolist(), 8), 8, n).tobytes() == rep.tobytes()
@@ -162,7 +174,8 @@ def test_stored_texts(odd, spark):
     for r, t in zip(rows, texts):
         raw = t.encode()
         p = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
-        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(p),
+            hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
         assert r["media_sha256"] == hashlib.sha256(gif.store_text(t.encode())).hexdigest()
     assert rows[5]["n_frames"] > 1 and gif.op3_query(empty(spark)).count() == 0
 
@@ -181,8 +194,10 @@ def test_toxicity_held_out_and_misspellings(spark, odd):
             w[3:5] = [f"grubble{rng.choice(words)}", f"grubble{rng.choice(words)}"]
         rows.append((i, " ".join(w), "en", "a", 0))
         labels.append((i, 1, int(toxic)))
-    rows += [(9000, " ".join(list(rng.choice(words, 40)) + ["grubbleononer", "Grubbletishre"]), "en", "a", 0), (9001, " ".join(rng.choice(words, 40)), "en", "a", 0)]
-    d, lab = spark.createDataFrame(rows, DOC), spark.createDataFrame(labels + [(77777, 1, 1), (None, 0, 1), (3, 0, None)], "doc_id long, quality int, toxic int")
+    rows += [(9000, " ".join(list(rng.choice(words, 40)) + ["grubbleononer", "Grubbletishre"]), "en", "a", 0),
+        (9001, " ".join(rng.choice(words, 40)), "en", "a", 0)]
+    d, lab = spark.createDataFrame(rows, DOC), spark.createDataFrame(labels + [(77777, 1, 1), (None, 0, 1),
+        (3, 0, None)], "doc_id long, quality int, toxic int")
     model = toxicity.train(d, lab)
     got = {r["doc_id"]: r for r in toxicity.scores(d, model).collect()}
     held = [i for i in range(600) if got[i]["held_out"]]
@@ -202,7 +217,8 @@ def plain_components(rows):
         w = (t or "").encode().lower().split()
         sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
     label = {i: i for i in sets}
-    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75
+        * len(sets[a] | sets[b])]
     for _ in sets:
         for a, b in links:
             label[a] = label[b] = min(label[a], label[b])
@@ -220,7 +236,8 @@ def test_near_duplicates_equal_brute_force(spark, odd):
         rows.append((i, " ".join(w)))
     passage = [f"p{j}" for j in range(40)]
     rows += [(100 + i, " ".join(passage + [f"q{rng.integers(0, 10**6)}" for _ in range(25)])) for i in range(60)]
-    rows += [(200, rows[5][1].upper()), (201, "a b"), (202, "A  b"), (203, ""), (204, None), (205, "a b c d e"), (206, "a b c d e")]
+    rows += [(200, rows[5][1].upper()), (201, "a b"), (202, "A  b"), (203, ""), (204, None), (205, "a b c d e"),
+        (206, "a b c d e")]
     d = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOC)
     old = neardup.BLOCK, neardup.BLOCK_SHINGLES
     neardup.BLOCK, neardup.BLOCK_SHINGLES = 20, 1200  # several blocks
@@ -230,7 +247,8 @@ def test_near_duplicates_equal_brute_force(spark, odd):
         neardup.BLOCK, neardup.BLOCK_SHINGLES = old
     assert got == plain_components(rows)
     kept = neardup.drop_near_duplicates(d)
-    assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {i for i, (_, c) in got.items() if i == c}
+    assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {i for i,
+        (_, c) in got.items() if i == c}
     assert neardup.near_duplicates(odd).count() == 8 and neardup.near_duplicates(empty(spark)).count() == 0
 
 
@@ -248,17 +266,24 @@ def test_superminhash_estimates_similarity():
 
 def test_tool_calls(spark):
     m = "conv_id long, turn long, role string, call_id string, name string, arguments string, depends_on array<string>, content string"
-    call = lambda c, t, i, dep=(), name="search", a='{"query": "x", "limit": 2.0}': (c, t, "call", i, name, a, list(dep), None)
+    call = lambda c, t, i, dep=(), name="search", a='{"query": "x", "limit": 2.0}': (c, t, "call", i, name, a,
+        list(dep), None)
     result = lambda c, t, i, x: (c, t, "result", i, None, None, None, x)
-    rows = [call(1, 5, "c", ["a", "b"]), call(1, 1, "a"), call(1, 3, "b", ["a"], a='{"limit": 500}'), result(1, 9, "a", "late"), result(1, 2, "a", "first"), result(1, 4, "zz", "orphan")]
-    rows += [call(2, 0, "x", ["y"]), call(2, 1, "y", ["x"]), call(2, 2, "z", ["gone"]), call(2, 3, "w", a="{not json"), call(2, 4, "w"), call(2, 6, "v", name="other"), call(None, 1, None), call(3, 1, "n", a=None)]
+    rows = [call(1, 5, "c", ["a", "b"]), call(1, 1, "a"), call(1, 3, "b", ["a"], a='{"limit": 500}'),
+        result(1, 9, "a", "late"), result(1, 2, "a", "first"), result(1, 4, "zz", "orphan")]
+    rows += [call(2, 0, "x", ["y"]), call(2, 1, "y", ["x"]), call(2, 2, "z", ["gone"]), call(2, 3, "w", a="{not json"),
+        call(2, 4, "w"), call(2, 6, "v", name="other"), call(None, 1, None), call(3, 1, "n", a=None)]
     schemas = spark.createDataFrame([(n, json.dumps(s)) for n, s in toolcalls.SCHEMAS], "name string, schema string")
-    got = {(r["conv_id"], r["call_id"]): r for r in toolcalls.link_tool_calls(spark.createDataFrame(rows, m), schemas).collect()}
+    got = {(r["conv_id"], r["call_id"]): r for r in toolcalls.link_tool_calls(spark.createDataFrame(rows, m),
+        schemas).collect()}
     assert len(got) == 10
     assert [(got[1, i]["level"], got[1, i]["position"]) for i in "abc"] == [(0, 0), (1, 1), (2, 2)]
-    assert got[1, "a"]["message"] == '{"arguments":{"limit":2,"query":"x"},"id":"a","name":"search","result":{"content":"first","turn":2}}'
-    assert got[1, "b"]["problems"] == ["$.query: missing", "$.limit: above maximum"] and got[1, "b"]["result_turn"] is None
-    assert [got[2, i]["level"] for i in "xyz"] == [None] * 3 and got[2, "w"]["problems"] == ["$: not JSON"] and got[2, "v"]["problems"] == ["$: unknown tool"]
+    assert got[1, "a"][
+        "message"] == '{"arguments":{"limit":2,"query":"x"},"id":"a","name":"search","result":{"content":"first","turn":2}}'
+    assert got[1, "b"]["problems"] == ["$.query: missing", "$.limit: above maximum"] and got[1,
+        "b"]["result_turn"] is None
+    assert [got[2, i]["level"] for i in "xyz"] == [None] * 3 and got[2, "w"]["problems"] == ["$: not JSON"] and got[2,
+        "v"]["problems"] == ["$: unknown tool"]
     assert not got[3, "n"]["valid"] and got[None, None]["level"] is None
     assert toolcalls.link_tool_calls(spark.createDataFrame([], m), schemas).count() == 0
 
@@ -290,11 +315,13 @@ def test_mixing(docs, spark, odd):
         target = plain_targets(want)
         taken = Counter()
         for r in got:
-            assert abs(r["target"] - target[r["source"]]) < 1e-6 * max(1, r["target"]) and r["source_size"] == want[r["source"]] and 0 <= r["taken"] <= 2 * r["size"]
+            assert abs(r["target"] - target[r["source"]]) < 1e-6 * max(1,
+                r["target"]) and r["source_size"] == want[r["source"]] and 0 <= r["taken"] <= 2 * r["size"]
             taken[r["source"]] += r["taken"]
         assert all(abs(taken[s] - target[s]) <= max(2, 0.01 * target[s]) for s in target), (taken, target)
         assert len(got) == d.count()
-    assert sorted(map(tuple, mixing.mix(docs).collect())) == sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()))
+    assert sorted(map(tuple, mixing.mix(docs).collect())) == sorted(map(tuple,
+        mixing.mix(docs.repartition(7)).collect()))
     assert mixing.mix(empty(spark)).count() == 0
 
 
@@ -349,11 +376,13 @@ def test_weighting_mixes_all_depths_by_kt():
     """One last byte, tiny counts: the tree's weights against the definition, by exact recursion."""
     import pandas as pd
 
-    paths = [([97, 98, 99, 100, 101], 97, 3), ([97, 98, 99, 100, 101], 98, 1), ([97, 98, ctw.OTHER, -1, -1], 97, 2), ([97, 99, ctw.OTHER, -1, -1], 98, 5)]
+    paths = [([97, 98, 99, 100, 101], 97, 3), ([97, 98, 99, 100, 101], 98, 1), ([97, 98, ctw.OTHER, -1, -1], 97, 2),
+        ([97, 99, ctw.OTHER, -1, -1], 98, 5)]
     rows = pd.DataFrame(paths, columns=["path", "byte", "n"])
     out = ctw._weigh((97,), rows)
     top = np.frombuffer(out[out.kind == "top"]["v"].iloc[0])
-    pe = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    pe = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b
+        + 1) - math.log(math.pi)
 
     def weigh(leaves, depth):  # leaves: (path, zeros, ones) at the root binary node
         a, b = sum(x[1] for x in leaves), sum(x[2] for x in leaves)
@@ -379,9 +408,12 @@ def test_base_scores_equal_plain_counts(docs, odd, spark):
             if r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2:
                 c.update((r["text"] or "").encode().lower().split() + [None])
         n, norm = sum(c.values()), math.log10(sum(c.values()) + len(c) + 1)
-        want = sorted((len(w), sum(c[x] > 0 for x in w), round(sum(math.log10(c[x] + 1) - norm for x in w), 6)) for w in ((r["text"] or "").encode().lower().split() + [None] for r in rows))
+        want = sorted((len(w), sum(c[x] > 0 for x in w),
+            round(sum(math.log10(c[x] + 1) - norm for x in w),
+            6)) for w in ((r["text"] or "").encode().lower().split() + [None] for r in rows))
         got = ctw.op8_query(d).collect()
-        assert sorted((r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want and {r["train_tokens"] for r in got} == {n}
+        assert sorted((r["n_tokens"], r["n_known"], round(r["base_score"],
+            6)) for r in got) == want and {r["train_tokens"] for r in got} == {n}
     assert ctw.op8_query(empty(spark)).count() == 0
 
 
@@ -396,7 +428,8 @@ def plain_tree_scores(train, texts, depth):
         for d in range(depth + 1):
             for j in range(8):
                 counts.setdefault((c[:d], j, b >> (8 - j)), [0, 0])[b >> (7 - j) & 1] += n
-    pe = {k: math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi) for k, (z, o) in counts.items()}
+    pe = {k: math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi) for k,
+        (z, o) in counts.items()}
     weight, below = {}, Counter()
     for k in sorted(counts, key=lambda k: -len(k[0])):
         weight[k] = pe[k] if len(k[0]) == depth else np.logaddexp(pe[k], below[k]) - math.log(2)
@@ -413,13 +446,15 @@ def plain_tree_scores(train, texts, depth):
         share = math.exp(pe[k] - math.log(2) - weight[k])
         return share * own + (1 - share) * bit(c, j, prefix, x, d + 1)
 
-    return [sum(math.log10(bit(c, j, b >> (8 - j), b >> (7 - j) & 1)) for c, b in grams(t) for j in range(8)) for t in texts]
+    return [sum(math.log10(bit(c, j, b >> (8 - j), b >> (7 - j) & 1)) for c,
+        b in grams(t) for j in range(8)) for t in texts]
 
 
 def test_rare_contexts_keep_their_nodes(spark):
     """A context below one in 2**16 of all bytes still predicts as its own node says."""
     rng = np.random.default_rng(4)
-    texts = ["the cat sat on the mat " * 400 for _ in range(10)] + ["xq zebra7 Quagga9 é"] + ["".join(rng.choice(list("abcd "), 60)) for _ in range(6)] + ["xq zebra7 new"]
+    texts = ["the cat sat on the mat " * 400 for _ in range(10)] + ["xq zebra7 Quagga9 é"] + [
+        "".join(rng.choice(list("abcd "), 60)) for _ in range(6)] + ["xq zebra7 new"]
     d = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], DOC)
     learned = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
     assert sum(map(len, learned)) > 1 << 16 and texts[10] in learned
@@ -445,7 +480,8 @@ def test_decontamination(spark, odd):
             w[20:20] = x
         rows.append((i, "  ".join(w).upper() if i % 3 else " \n".join(w), "en", "a", 0))
     d = spark.createDataFrame(rows, DOC)
-    it = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)] + [(99, None)], "item_id long, text string")
+    it = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)] + [(99, None)],
+        "item_id long, text string")
 
     def shingles(w, k):
         return Counter(tuple(w[j : j + k]) for j in range(len(w) - k + 1))
@@ -467,7 +503,8 @@ def test_decontamination(spark, odd):
     got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(d, it).collect()}
     assert got == want and len(want) > 20
     kept = decontam.decontaminate(d, it)
-    assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows} - {i for i, _ in want}
+    assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows} - {i for i,
+        _ in want}
     assert decontam.decontaminate(odd, it).count() == 8 and decontam.contaminated(empty(spark), it).count() == 0
     assert decontam.contaminated(d, it.limit(0)).count() == 0
 
@@ -487,7 +524,8 @@ def test_decontamination_at_the_threshold_equals_brute_force(spark):
         elif j % 4 == 1:
             t = lead + x[: n - w // 4 - (j % 5 == 4)]
         elif j % 4 == 2:
-            t = lead + x[:20] + [word() for _ in range(max(1, m - 4))] + x[20 + max(1, m - 4) :] + [word() for _ in range(30)]
+            t = lead + x[:20] + [word() for _ in range(max(1, m - 4))] + x[20 + max(1,
+                m - 4) :] + [word() for _ in range(30)]
         else:
             t = lead + x[n // 2 :] + x[: n // 2] + [word() for _ in range(30)]
         items.append(x)
@@ -516,7 +554,8 @@ def test_main_text():
     page = """<html><head><title>T</title><script>var a="</p>"</script></head><body><div class="cookie-notice">We use cookies</div><nav><a href=/>Home</a></nav>
     <div id=main><h1>Head &amp; line</h1><p>First  paragraph, with <b>bold</b> and <a href=x>a link</a>, and more text to count.<p>Second &lt;one&gt;, long enough, with commas, to score.<br>same block</p></div>
     <aside>Other stories</aside><div class="comments"><p>A reader, who says, things, at length, again, and, again.</p></div><form><p>Subscribe, please, now</p></form><footer>&copy; site</footer></body></html>"""
-    assert html.main_text(page) == "Head & line\nFirst paragraph, with bold and a link, and more text to count.\nSecond <one>, long enough, with commas, to score. same block"
+    assert html.main_text(
+        page) == "Head & line\nFirst paragraph, with bold and a link, and more text to count.\nSecond <one>, long enough, with commas, to score. same block"
     assert html.main_text(None) == "" == html.main_text("") and html.main_text("plain words") == "plain words"
     assert html.main_text("<div>" * 20000 + "deep") == "deep"
     assert html.main_text("<p>open <b>bold<p>next</b> one<!-- x") == "open bold\nnext one"
@@ -524,7 +563,8 @@ def test_main_text():
 
 def test_pages_query(spark):
     rows = [(1, "u", None), (2, None, "<p>x</p>"), (None, "v", ""), (2, None, "<p>x</p>")]
-    got = html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "5 as text")).collect()
+    got = html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*",
+        "5 as text")).collect()
     assert [(r["text"], r["n_chars"]) for r in got] == [("", 0), ("x", 1), ("", 0), ("x", 1)]
 
 
