@@ -83,7 +83,8 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(keys)
         keys, n = keys[order], n[order]
         new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        return pa.RecordBatch.from_arrays([pa.array(keys[new]), pa.array(np.add.reduceat(n, new, dtype=np.int64))], names=["gram", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(keys[new]), pa.array(np.add.reduceat(n, new, dtype=np.int64))],
+            names=["gram", "n"])
 
     for batch in K.chunks(batches, limit=PIECE):
         flat, at = _framed(*K.text_bytes(batch.column(0)))
@@ -198,11 +199,13 @@ def _weigh(key, rows):
         padded = np.full((len(parents), DEPTH), -1, np.int64)
         padded[:, :depth] = parents
         level = np.concatenate((level[~longer], padded))
-        counts, weight, one = (np.concatenate((x[~longer], y)) for x, y in ((counts, total), (weight, mixed), (one, own)))
+        counts, weight, one = (np.concatenate((x[~longer], y)) for x,
+            y in ((counts, total), (weight, mixed), (one, own)))
     c1 = int(key[0])
     rows_out = [([c1], "top", weight[0].tobytes()), ([c1], "counts", counts[0].tobytes())]
     # Log-odds keep a probability next to 1 apart from 1 in single precision.
-    rows_out += [([x for x in p if x >= 0], "row", (np.log(v) - np.log1p(-v)).astype(np.float32).tobytes()) for p, v in out]
+    rows_out += [([x for x in p if x >= 0], "row", (np.log(v) - np.log1p(-v)).astype(np.float32).tobytes()) for p,
+        v in out]
     return pd.DataFrame(rows_out, columns=["path", "kind", "v"])
 
 
@@ -268,12 +271,15 @@ def train(texts: DataFrame) -> ByteModel:
         mask = (1 << (8 * depth)) - 1
         if depth < DEPTH:
             contexts = contexts.groupBy(F.col("x").bitwiseAND(F.lit(mask)).alias("x")).agg(F.sum("m").alias("m"))
-        often = contexts.filter(F.col("m") * F.lit(1 << RARE_BITS) >= F.lit(total)).select(F.col("x").alias(f"x{depth}"), F.lit(True).alias(f"often{depth}"))
-        split = split.join(F.broadcast(often), F.shiftright("gram", 8).bitwiseAND(F.lit(mask)) == F.col(f"x{depth}"), "left")  # at most 2**RARE_BITS rows
+        often = contexts.filter(F.col("m") * F.lit(1 << RARE_BITS)
+            >= F.lit(total)).select(F.col("x").alias(f"x{depth}"), F.lit(True).alias(f"often{depth}"))
+        split = split.join(F.broadcast(often), F.shiftright("gram", 8).bitwiseAND(F.lit(mask)) == F.col(f"x{depth}"),
+            "left")  # at most 2**RARE_BITS rows
     for depth in range(3, DEPTH + 1):
         steps.append(F.when(~open_, F.lit(-1)).when(F.col(f"often{depth}"), byte(depth)).otherwise(OTHER))
         open_ = open_ & F.coalesce(F.col(f"often{depth}"), F.lit(False))
-    split = split.select(F.array(*steps).alias("path"), byte(0).alias("byte"), "n").groupBy("path", "byte").agg(F.sum("n").alias("n"))
+    split = split.select(F.array(*steps).alias("path"), byte(0).alias("byte"), "n").groupBy("path",
+        "byte").agg(F.sum("n").alias("n"))
     nodes = checkpointed(split.groupBy(F.col("path")[0].alias("c1")).applyInPandas(_weigh, NODES))
     tops, counts, paths, ones = np.zeros(255), np.zeros(256), [], []
     for r in nodes.toLocalIterator():
@@ -288,7 +294,8 @@ def train(texts: DataFrame) -> ByteModel:
     below = np.stack([np.zeros(255, np.float32), *ones])
     ones.clear()
     chance = lambda z: 1 / (1 + np.exp(-z.astype(float)))
-    table = [_bytes_of_bits(share * own + (1 - share) * chance(below[i : i + 1024])) for i in range(0, len(below), 1024)]
+    table = [_bytes_of_bits(share * own + (1 - share) * chance(below[i : i + 1024])) for i in range(0, len(below),
+        1024)]
     return ByteModel(paths, np.concatenate(table))
 
 
@@ -353,16 +360,20 @@ def _counted(shards: int):
         shard = _shard(keys, shards)
         order = np.argsort(shard, kind="stable")
         ids, begin = np.unique(shard[order], return_index=True)
-        out = [(int(s), part, len(x), _pack(np.diff(keys[x], prepend=0)), _pack(n[x].astype(np.int32))) for s, x in zip(ids, np.split(order, begin[1:]))]
-        return pa.Table.from_pylist([dict(zip(("shard", "part", "size", "grams", "n"), r)) for r in out], schema=_COUNTED)
+        out = [(int(s), part, len(x), _pack(np.diff(keys[x], prepend=0)), _pack(n[x].astype(np.int32))) for s,
+            x in zip(ids, np.split(order, begin[1:]))]
+        return pa.Table.from_pylist([dict(zip(("shard", "part", "size", "grams", "n"), r)) for r in out],
+            schema=_COUNTED)
 
     return run
 
 
-_COUNTED = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("size", pa.int64()), ("grams", pa.binary()), ("n", pa.binary())])
+_COUNTED = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("size", pa.int64()), ("grams", pa.binary()),
+    ("n", pa.binary())])
 _SHARDS = pa.schema(
     [("shard", pa.int64()), ("size", pa.int64()), ("grams", pa.binary()), ("n", pa.binary())]
-    + [("tops", pa.int64()), ("node", pa.binary()), ("below", pa.binary()), ("zeros", pa.binary()), ("ones", pa.binary())]
+    + [("tops", pa.int64()), ("node", pa.binary()), ("below", pa.binary()), ("zeros", pa.binary()),
+        ("ones", pa.binary())]
     + [("parts", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("places", pa.list_(pa.binary()))]
 )
 
@@ -433,7 +444,8 @@ def _sharded(table: pa.Table) -> pa.Table:
     keys, n = _unique(np.concatenate(grams), np.concatenate([_unpack(r["n"], r["size"], np.int32) for r in rows]))
     node, *sums = _Levels(keys, n).summary()
     places = [_pack(np.diff(np.searchsorted(keys, g), prepend=0).astype(np.int32)) for g in grams]
-    row = [rows[0]["shard"], len(keys), _pack(np.diff(keys, prepend=0)), _pack(n), len(node), _pack(node), *map(_pack, sums)]
+    row = [rows[0]["shard"], len(keys), _pack(np.diff(keys, prepend=0)), _pack(n), len(node), _pack(node),
+        *map(_pack, sums)]
     row += [[r["part"] for r in rows], [r["size"] for r in rows], places]
     return pa.Table.from_pylist([dict(zip(_SHARDS.names, row))], schema=_SHARDS)
 
@@ -441,7 +453,8 @@ def _sharded(table: pa.Table) -> pa.Table:
 def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
-            columns = [_unpack(r[c], r["tops"], np.int64 if c == "node" else float) for c in ("node", "below", "zeros", "ones")]
+            columns = [_unpack(r[c], r["tops"], np.int64 if c == "node" else float) for c in ("node", "below", "zeros",
+                "ones")]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["node", "below", "zeros", "ones"])
 
 
@@ -451,7 +464,8 @@ def _short_contexts(node: np.ndarray, below: np.ndarray, zeros: np.ndarray, ones
     for depth in range(TOP, -1, -1):
         seen, _ = _kt(zeros, ones)
         weight = np.logaddexp(seen, below) - math.log(2)
-        levels.append((place, np.exp(seen - math.log(2) - weight), (zeros + 0.5) / (zeros + ones + 1), (ones + 0.5) / (zeros + ones + 1)))
+        levels.append((place, np.exp(seen - math.log(2) - weight), (zeros + 0.5) / (zeros + ones + 1),
+            (ones + 0.5) / (zeros + ones + 1)))
         if depth:
             shorter, inverse = np.unique(node >> 16 << 8 | node & 255, return_inverse=True)
             place = inverse[place]
@@ -459,7 +473,8 @@ def _short_contexts(node: np.ndarray, below: np.ndarray, zeros: np.ndarray, ones
             node = shorter
     zero, one, left = 0.0, 0.0, 1.0
     for place, share, no, yes in reversed(levels):
-        zero, one, left = zero + left * share[place] * no[place], one + left * share[place] * yes[place], left * (1 - share[place])
+        zero, one, left = zero + left * share[place] * no[place], one + left * share[place] * yes[place], left * (1
+            - share[place])
     return zero, one, left
 
 
@@ -473,7 +488,8 @@ def _scored(top):
                 p = _Levels(keys, _unpack(r["n"], r["size"], np.int64)).log10(top.value).astype(np.float32)
                 for part, size, places in zip(r["parts"], r["sizes"], r["places"]):
                     at = np.cumsum(_unpack(places, size, np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([r["shard"]]), pa.array([p[at].tobytes()], pa.binary())], names=["part", "shard", "p"])
+                    yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([r["shard"]]),
+                        pa.array([p[at].tobytes()], pa.binary())], names=["part", "shard", "p"])
 
     return run
 
@@ -482,30 +498,36 @@ def _parted(docs: DataFrame, train) -> tuple[DataFrame, int]:
     """The texts dealt evenly into parts of about ``PART`` bytes, and the number of parts."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = size // PART + 1
-    return docs.select("doc_id", train.alias("train"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).alias("part")), parts
+    return docs.select("doc_id", train.alias("train"), "text",
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).alias("part")), parts
 
 
 def gram_scores(parted: DataFrame, parts: int) -> DataFrame:
     """part, shard, p: log10 probabilities of all grams of a part, under the tree of all training texts."""
-    counted = parted.select("part", "train", "text").groupBy("part").applyInArrow(_counted(parts), "shard long, part long, size long, grams binary, n binary")
+    counted = parted.select("part", "train", "text").groupBy("part").applyInArrow(_counted(parts),
+        "shard long, part long, size long, grams binary, n binary")
     shards = checkpointed(counted.groupBy("shard").applyInArrow(
         _sharded, "shard long, size long, grams binary, n binary, tops long, node binary, below binary, zeros binary, ones binary, parts array<long>, sizes array<long>, places array<binary>"
     ))
     # At most 2**16 contexts of two bytes with 255 binary nodes each; only those that occur.
-    tops = shards.select("tops", "node", "below", "zeros", "ones").mapInArrow(_tops, "node long, below double, zeros double, ones double")
+    tops = shards.select("tops", "node", "below", "zeros", "ones").mapInArrow(_tops,
+        "node long, below double, zeros double, ones double")
     tops = tops.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("below", "zeros", "ones")]).toArrow().sort_by("node")
     columns = [tops.column(c).to_numpy() for c in ("node", "below", "zeros", "ones")]
     top = parted.sparkSession.sparkContext.broadcast((columns[0], *_short_contexts(*columns)))
-    return shards.select("shard", "size", "grams", "n", "parts", "sizes", "places").mapInArrow(_scored(top), "part long, shard long, p binary")
+    return shards.select("shard", "size", "grams", "n", "parts", "sizes", "places").mapInArrow(_scored(top),
+        "part long, shard long, p binary")
 
 
 def _part_scorer(table: pa.Table, scores: pa.Table, shards: int):
     """A function from framed texts of the part to the log10 probability of each of its bytes."""
-    pieces = [_keys(*_framed(*K.text_bytes(b.column(b.schema.get_field_index("text"))), ORDER)) for b in K.chunks(table.to_batches(), limit=PIECE)]
+    pieces = [_keys(*_framed(*K.text_bytes(b.column(b.schema.get_field_index("text"))),
+        ORDER)) for b in K.chunks(table.to_batches(), limit=PIECE)]
     keys = np.unique(np.concatenate([np.unique(x) for x in pieces]))
     order = np.argsort(_shard(keys, shards), kind="stable")
     p = np.empty(len(keys))
-    p[order] = np.concatenate([np.frombuffer(r["p"], np.float32) for r in sorted(scores.to_pylist(), key=lambda r: r["shard"])])
+    p[order] = np.concatenate([np.frombuffer(r["p"], np.float32) for r in sorted(scores.to_pylist(),
+        key=lambda r: r["shard"])])
     done = iter(pieces)
     return lambda: p[np.searchsorted(keys, next(done))]
 
@@ -525,7 +547,8 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(held) > 500_000:
             yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), pa.array(counts)], names=["word", "c"])
             held, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(held.view(np.int64), END_HASH)), pa.array(np.append(counts, texts))], names=["word", "c"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(held.view(np.int64), END_HASH)),
+        pa.array(np.append(counts, texts))], names=["word", "c"])
 
 
 def op8_query(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
@@ -533,7 +556,8 @@ def op8_query(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     out = F.coalesce(fold("doc_id", folds) == held, F.lit(False))
     texts = docs.filter(fold("doc_id", folds) != held).select("text")
-    counts = checkpointed(texts.mapInArrow(_word_counts, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")).filter("c > 0"))
+    counts = checkpointed(texts.mapInArrow(_word_counts,
+        "word long, c long").groupBy("word").agg(F.sum("c").alias("c")).filter("c > 0"))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     norm = math.log10(n + 1 * (v + 1))
     frequent = counts.filter(F.col("c") * F.lit(FREQUENT) >= F.lit(n)).toArrow()  # at most FREQUENT rows
@@ -563,8 +587,10 @@ def op8_query(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
             score = np.add.reduceat(probabilities(), offs[:-1] + np.arange(rows))
             offsets = pa.array(np.searchsorted(where, np.arange(rows + 1)).astype(np.int32))
             done.append(pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score), pa.array(size),
-                 pa.ListArray.from_arrays(offsets, pa.array(value)), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))],
+                [batch.column(0), batch.column(1), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score),
+                    pa.array(size),
+                 pa.ListArray.from_arrays(offsets, pa.array(value)),
+                     pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))],
                 names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "n_bytes", "words", "times"],
             ))
         return pa.Table.from_batches(done)
@@ -574,11 +600,14 @@ def op8_query(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
         run, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, n_bytes long, words array<long>, times array<int>"
     )
     scored = checkpointed(scored.withColumn("_row", F.monotonically_increasing_id()))
-    rest = scored.select("_row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("_row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    rest = scored.select("_row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("_row",
+        F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     log = F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1) - F.lit(norm)
-    sums = rest.join(counts, "word", "left").groupBy("_row").agg(F.sum(F.col("times") * log).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("also"))
+    sums = rest.join(counts, "word", "left").groupBy("_row").agg(F.sum(F.col("times") * log).alias("more"),
+        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("also"))
     return scored.join(sums, "_row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"),
+            F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
         (-F.col("score") / F.lit(math.log10(2)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )
