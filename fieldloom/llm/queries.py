@@ -12,7 +12,11 @@ from .langid import op2_query
 from .mixing import mix
 from .neardup import ORACLE_SQL as NEAR_DUPLICATE_SQL
 from .neardup import near_duplicates
+from .packing import op11_query
 from .pii import op1_query
+from .runs import op13_query
+from .search import ORACLE_SQL as SEARCH_SQL
+from .search import search
 from .toolcalls import op6_query
 from .toxicity import op4_query
 
@@ -27,5 +31,9 @@ QUERIES = {
     "op8_ctw": lambda spark, d: op8_query(table(spark, d, "documents")),
     "op9_decontamination": lambda spark, d: contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op10_html": lambda spark, d: extract_main_text(table(spark, d, "pages")),
+    "op11_packing": lambda spark, d: op11_query(table(spark, d, "documents")),
+    "op12_search": lambda spark, d: search(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op13_runs": lambda spark, d: op13_query(table(spark, d, "documents")),
 }
-ORACLE: dict[str, str] = {"op5_superminhash": NEAR_DUPLICATE_SQL, "op9_decontamination": DECONTAMINATION_SQL}
+ORACLE: dict[str, str] = {"op5_superminhash": NEAR_DUPLICATE_SQL, "op9_decontamination": DECONTAMINATION_SQL,
+    "op12_search": SEARCH_SQL}
