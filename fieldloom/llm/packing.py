@@ -141,19 +141,22 @@ def bands(capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return out
 
 
-def numbered(df: DataFrame, *order) -> tuple[DataFrame, np.ndarray]:
-    """Range-sorts rows and adds ``_part`` and ``_place`` (in the part); also the rows of each part before it.
+def numbered(df: DataFrame, *order, size: str) -> tuple[DataFrame, np.ndarray, dict[int, int]]:
+    """Range-sorts rows and adds ``_part`` and ``_place`` (in the part).
 
-    The sort is written before it is counted, so a repeated task can't change it.
+    Also returns the rows before each part, and how many rows have each ``size``. The sort is
+    written before it is counted, so a repeated task can't change it.
     """
     placed = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order)
                           .withColumn("_id", F.monotonically_increasing_id()))
     placed = placed.withColumns({"_part": F.shiftright("_id", 33), "_place": F.col("_id").bitwiseAND((1 << 33) - 1)}).drop("_id")
-    rows = placed.groupBy("_part").count().collect()
+    rows = placed.groupBy("_part", size).count().collect()
     before = np.zeros(max([r["_part"] for r in rows], default=-1) + 2, np.int64)
+    sizes: dict[int, int] = {}
     for r in rows:
-        before[r["_part"] + 1] = r["count"]
-    return placed, np.cumsum(before)
+        before[r["_part"] + 1] += r["count"]
+        sizes[r[size]] = sizes.get(r[size], 0) + r["count"]
+    return placed, np.cumsum(before), sizes
 
 
 def _lookup(keys, values, key, otherwise: int = 0):
@@ -171,10 +174,10 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     cut = checkpointed(cut.withColumn("_u", F.monotonically_increasing_id()))
     full = cut.filter(F.col("length") == capacity).select(*[c for c in cut.columns if c != "_u"],
         (-1 - F.col("_u")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    docs, before = numbered(cut.filter(F.col("length") < capacity), F.desc("length"), F.asc("_u"))
+    docs, before, counts = numbered(cut.filter(F.col("length") < capacity), F.desc("length"), F.asc("_u"), size="length")
     columns = [c for c in cut.columns if c != "_u"]
     docs = docs.withColumn("_x", _lookup(range(len(before)), before, F.col("_part")) + F.col("_place")).drop("_part", "_place", "_u")
-    counts = {r["length"]: r["count"] for r in docs.groupBy("length").count().collect()}
+    shortest = min(counts, default=1)
     out, gaps, opened, placed_before = full, None, 0, 0
     for low, high in bands(capacity):
         lengths = np.array([x for x in range(low, high + 1) if x in counts], np.int64)
@@ -188,11 +191,10 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         first = np.cumsum(many) - many
         sizes, bins, offers, slots = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
         if gaps is not None:
-            sorted_gaps, ahead = numbered(gaps.filter(F.col("gap") >= low), F.asc("gap"), F.asc("sequence_id"))
-            held = sorted(sorted_gaps.groupBy("gap").count().collect(), key=lambda r: r["gap"])
-            sizes = np.array([r["gap"] for r in held], np.int64)
-            bins = np.array([r["count"] for r in held], np.int64)
-            offers = np.maximum(1, sizes // high)
+            sorted_gaps, ahead, held = numbered(gaps, F.asc("gap"), F.asc("sequence_id"), size="gap")
+            sizes = np.array(sorted(held), np.int64)
+            bins = np.array([held[x] for x in sizes.tolist()], np.int64)
+            offers = np.where(sizes < low, 0, np.maximum(1, sizes // high))
             slots = int((bins * offers).sum())
         slot_start, bin_start = np.cumsum(bins * offers) - bins * offers, np.cumsum(bins) - bins
         # succ: slots smaller than each length; shift: the running maximum of succ(i) - i.
@@ -208,7 +210,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             place = _lookup(range(len(ahead)), ahead, F.col("_part")) + F.col("_place")
             offer = F.greatest(F.lit(1), F.floor(F.col("gap") / high))
             start = _lookup(sizes, slot_start, F.col("gap")) + (place - _lookup(sizes, bin_start, F.col("gap"))) * offer
-            offered = sorted_gaps.withColumn("_start", start).filter(F.col("_start") <= min(last, slots - 1))
+            offered = sorted_gaps.filter(F.col("gap") >= low).withColumn("_start", start)
+            offered = offered.filter(F.col("_start") <= min(last, slots - 1))
             offered = offered.withColumn("_slot", F.explode(F.sequence(F.col("_start"),
                 F.least(F.col("_start") + offer - 1, F.lit(min(last, slots - 1))))))
             taken.append(band.filter(F.col("_slot") < slots).join(offered.select("_slot", "sequence_id", "gap"), "_slot"))
@@ -223,12 +226,10 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         out = out.unionByName(placed)
         used = placed.groupBy("sequence_id").agg(F.max(F.col("offset") + F.col("length")).alias("_end"))
         used = used.select("sequence_id", (F.lit(capacity) - F.col("_end")).alias("gap"))
-        if gaps is None:
-            gaps = used
-        else:
-            # A sequence only ever fills up: its smallest gap is its present one.
-            gaps = checkpointed(gaps.unionByName(used).groupBy("sequence_id").agg(F.min("gap").alias("gap"))
-                                .filter(F.col("gap") > 0))
+        # A sequence only ever fills up: its smallest gap is its present one.
+        gaps = used if gaps is None else sorted_gaps.select("sequence_id", "gap").unionByName(used).groupBy(
+            "sequence_id").agg(F.min("gap").alias("gap"))
+        gaps = gaps.filter(F.col("gap") >= shortest)
         opened += added
         placed_before += n
     return out
