@@ -109,3 +109,34 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """A frame that is worked out once: written to the shared folder, without its lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def range_sorted(df: DataFrame, *order: Column) -> DataFrame:
+    """Rows sorted over all partitions, with ``_part`` (the range) and ``_place`` (inside it, from 0), written once.
+
+    A key with most of the rows is as many ranges as it fills, if ``order`` tells its rows apart.
+    """
+    placed = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                          .withColumn("_id", F.monotonically_increasing_id()))
+    inside = (1 << 33) - 1
+    return placed.withColumns({"_part": F.shiftright("_id", 33), "_place": F.col("_id").bitwiseAND(inside)}).drop("_id")
+
+
+def running_totals(df: DataFrame, by: list[str], order: Column, totals: dict[str, str]) -> DataFrame:
+    """Running sums (``out: column``) of each group in ``order``, in two levels; rows of a group need distinct places.
+
+    The rows are range-sorted by group and place, each range sums its own rows, and what the
+    ranges before it hold is added: one row a range and group. So no window holds a whole group.
+    """
+    placed = range_sorted(df, *[F.col(c).asc() for c in by], order)
+    own = Window.partitionBy("_part", *by)
+    inside = own.orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    parts = placed.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_all_{out}") for out, c in totals.items()])
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("_part").alias("_before_part"),
+        *[F.coalesce(F.sum(f"_all_{out}").over(earlier), F.lit(0)).alias(f"_before_{out}") for out in totals])
+    same = F.col("_part") == F.col("_before_part")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    summed = placed.withColumns({f"_in_{out}": F.sum(c).over(inside) for out, c in totals.items()}).join(parts, same)
+    return summed.select(*df.columns, *[(F.col(f"_in_{out}") + F.col(f"_before_{out}")).alias(out) for out in totals])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import running_totals
+
 
 def confusion(scored: DataFrame, by: list[str], label: str = "label", predicted: str = "predicted",
     score: str = "score") -> DataFrame:
@@ -29,13 +31,13 @@ def confusion(scored: DataFrame, by: list[str], label: str = "label", predicted:
 def _by_score(scored: DataFrame, by: list[str], label: str, score: str, weight: str | None) -> DataFrame:
     """Positives and negatives at each distinct score, then running totals from the highest score down.
 
-    The shuffle carries one row a distinct score and group, not one a scored row.
+    The shuffle carries one row a distinct score and group, not one a scored row, and the running
+    totals are two-level: a group with very many distinct scores is many tasks.
     """
     w = F.col(weight) if weight else F.lit(1)
     at = scored.groupBy(*by, F.col(score).alias("_s")).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0)).alias("_p"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(w)).alias("_n"))
-    down = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(F.desc("_s"))
-    return at.withColumn("_tp", F.sum("_p").over(down)).withColumn("_fp", F.sum("_n").over(down))
+    return running_totals(at, by, F.desc("_s"), {"_tp": "_p", "_fp": "_n"})
 
 
 def ranking(scored: DataFrame, by: list[str], label: str = "label", score: str = "score",

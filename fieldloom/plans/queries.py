@@ -441,6 +441,21 @@ def _(spark, d):
     return metrics.ranking(scored(spark, d), ["model", "seed", "fold"])
 
 
+@query(
+    "ranking_one_group",
+    """WITH st AS (SELECT CAST(l_extendedprice AS DOUBLE) AS score, count_if(l_returnflag = 'R') AS p,
+  count_if(l_returnflag <> 'R') AS n FROM lineitem GROUP BY 1),
+cu AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM st WINDOW w AS (ORDER BY score DESC))
+SELECT round(sum(n * (tp - p / 2.0)) / (sum(p) * sum(n)), 6) AS roc_auc,
+  round(sum(p * tp / (tp + fp)) / sum(p), 6) AS pr_auc FROM cu""",
+)
+def _(spark, d):
+    """Nearly every row has a score of its own, and all rows are one group."""
+    rows = table(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("label"),
+        F.col("l_extendedprice").cast("double").alias("score"))
+    return metrics.ranking(rows, [])
+
+
 @query("reference_points",
     f"WITH {SCORED_SQL} SELECT fold, 0.5::DOUBLE AS roc_auc, round(avg(label), 6) AS pr_auc, round(avg(label) * (1 - avg(label)), 6) AS brier FROM sc GROUP BY fold")
 def _(spark, d):
