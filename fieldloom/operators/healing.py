@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,33 +95,99 @@ def compensate_drift(df: DataFrame, column: str, keys: list[str], window_hours:
     return d.withColumn(out or column, clip(F.col(column) - (F.col("_base") - floor), 0.0, 100.0)).drop("_min", "_base")
 
 
-def knn_impute(df: DataFrame, target: str, features: list[str], ident: list[str], k: int = 5,
-    max_queries: int = 20_000) -> DataFrame:
-    """Mean of the k nearest donors on the co-present features (distance rescaled by their share).
+#: The cell index has this many of the features as axes, and about this many donors in a cell at the finest level.
+AXES, PER_CELL = 3, 32
+
+
+def _mask(features: list[str]) -> Column:
+    """Which features a row has, as the bits of a number."""
+    bits = [F.when(F.col(f).isNotNull(), F.lit(1 << i)).otherwise(0) for i, f in enumerate(features)]
+    return sum(bits[1:], bits[0])
+
+
+def _cell(at: Column, low: float, width: float) -> Column:
+    return F.floor((at - F.lit(low)) / F.lit(width)).cast("long")
+
 
-    Rows to fill are broadcast to the donors in blocks of about ``max_queries``, so any number is
-    filled; each donor partition keeps the k best a query (partial top-k), and only those are shuffled.
+def _nearest(queries: DataFrame, donors: DataFrame, both: int, shared: list[str], scale: float, names: list[str],
+    order: list[str], k: int) -> DataFrame:
+    """The k nearest donors of each query that share the features ``both`` with it: a grid that gets coarser for who is not done.
+
+    A query looks at its own cell and the cells around it. Its k-th distance is final if it is no
+    more than one cell's width, because anything outside lies further off than that; else the query
+    meets cells of twice the width. A query is done at the latest where its block covers all donors.
     """
-    queries = df.filter(F.col(target).isNull())
-    blocks = max(1, -(-queries.count() // max_queries))
-    q = queries.select(*[F.col(c).alias(f"q_{c}") for c in ident], *[F.col(f).alias(f"q_{f}") for f in features])
-    donors = df.filter(F.col(target).isNotNull()).select(*[F.col(c).alias(f"d_{c}") for c in ident], target, *features)
-    both = [F.col(f"q_{f}").isNotNull() & F.col(f).isNotNull() for f in features]
-    square = sum((F.when(b, F.pow(F.col(f"q_{f}") - F.col(f), F.lit(2.0))).otherwise(0.0) for b,
-        f in zip(both, features)), F.lit(0.0))
-    present = sum((b.cast("int") for b in both), F.lit(0))
-    names = [f"q_{c}" for c in ident]
-    own = Window.partitionBy(*names).orderBy("_d", *[f"d_{c}" for c in ident])
-    filled = None
-    for i in range(blocks):
-        block = q.filter(F.pmod(F.xxhash64(*names), F.lit(blocks)) == i)
-        near = donors.join(F.broadcast(block), F.lit(True)).withColumn("_d",
-            F.when(present > 0, F.sqrt(square * len(features) / present))).filter("_d is not null")
+    axes = shared[:AXES]
+    box = donors.agg(F.count(F.lit(1)).alias("n"), *[f(f"d_{c}").alias(f"{n}_{c}") for c in axes
+        for n, f in (("lo", F.min), ("hi", F.max), ("sd", F.stddev_pop))]).first()
+    # All donors within one block: of the widths that double, the one at which nobody can be left over.
+    reach = [max(box[f"hi_{c}"] - box[f"lo_{c}"], 0.0) for c in axes]
+    fine = (PER_CELL / max(box["n"], 1)) ** (1 / len(axes))
+    width = [max(2 * box[f"sd_{c}"] * fine, r / 2**20) or 1.0 for c, r in zip(axes, reach)]
+    square = sum((F.pow(F.col(f"q_{f}") - F.col(f"d_{f}"), F.lit(2.0)) for f in shared), F.lit(0.0))
+    own = Window.partitionBy(*names).orderBy("_d", *order)
+    left, found = queries, None
+    while True:
+        keys = [f"_c{i}" for i in range(len(axes))]
+        homes = left.withColumns({f"_h{i}": _cell(F.col(f"q_{c}"), box[f"lo_{c}"], w)
+            for i, (c, w) in enumerate(zip(axes, width))})
+        # Cells without donors are never asked for: donors lie between 0 and the last cell of each axis.
+        last = [math.floor(r / w) for r, w in zip(reach, width)]
+        around = homes
+        for i, end in enumerate(last):
+            lo, hi = F.greatest(F.col(f"_h{i}") - 1, F.lit(0)), F.least(F.col(f"_h{i}") + 1, F.lit(end))
+            around = around.withColumn(keys[i], F.explode(F.when(lo <= hi, F.sequence(lo, hi))))
+        cells = donors.withColumns({key: _cell(F.col(f"d_{c}"), box[f"lo_{c}"], w)
+            for key, c, w in zip(keys, axes, width)})
+        near = around.join(cells, keys).filter(F.col("_q_has").bitwiseAND(F.col("_d_has")) == both)
+        near = near.withColumn("_d", F.sqrt(square * F.lit(scale)))
         best = near.withColumn("_r", F.row_number().over(own)).filter(F.col("_r") <= k)
-        means = best.groupBy(*names).agg(F.avg(target).alias("_v")).select(*[F.col(n).alias(c) for n,
-            c in zip(names, ident)], "_v")
-        filled = means if filled is None else filled.union(means)
-    return df.join(filled, ident, "left").withColumn(target, F.coalesce(target, "_v")).drop("_v")
+        whole = F.lit(True)
+        for i, end in enumerate(last):
+            whole = whole & (F.col(f"_h{i}") - 1 <= 0) & (F.col(f"_h{i}") + 1 >= end)
+        best = checkpointed(best.select(*names, "_d", "_v", *order, whole.alias("_whole")))
+        # A little less than the width, for what rounding does to cells and distances.
+        sure = (F.count("_d") >= k) & (F.max("_d") <= min(width) * scale**0.5 * (1 - 1e-9)) | F.bool_or("_whole")
+        done = best.groupBy(*names).agg(sure.alias("_sure")).filter("_sure").select(*names)
+        part = best.join(done, names, "left_semi").drop("_whole")
+        found = part if found is None else found.unionByName(part)
+        left = checkpointed(left.join(done, names, "left_anti"))
+        # Who stands apart from all donors has met none of them: the next block is twice as wide.
+        if not left.limit(1).count():
+            return found
+        width = [2 * w for w in width]
+
+
+def knn_impute(df: DataFrame, target: str, features: list[str], ident: list[str], k: int = 5) -> DataFrame:
+    """Mean of the k nearest donors on the co-present features (distance rescaled by their share; ties by ``ident``).
+
+    Rows are compared through a cell index, one for each set of features that some query and donor
+    share, so a missing feature costs no full comparison and the result stays exact. Of donors
+    with equal features only the first k can ever be among the nearest: the others go first.
+    """
+    names, order = [f"q_{c}" for c in ident], [f"d_{c}" for c in ident]
+    q = df.filter(F.col(target).isNull()).select(_mask(features).alias("_q_has"),
+        *[F.col(c).alias(f"q_{c}") for c in ident], *[F.col(f).cast("double").alias(f"q_{f}") for f in features])
+    d = df.filter(F.col(target).isNotNull()).select(_mask(features).alias("_d_has"), F.col(target).alias("_v"),
+        *[F.col(c).alias(f"d_{c}") for c in ident], *[F.col(f).cast("double").alias(f"d_{f}") for f in features])
+    alike = Window.partitionBy(*[f"d_{f}" for f in features]).orderBy(*order)
+    d = checkpointed(d.withColumn("_r", F.row_number().over(alike)).filter(F.col("_r") <= k).drop("_r"))
+    q = checkpointed(q)
+    have = lambda x, c: [r[c] for r in x.select(c).distinct().collect()]
+    pairs = [(mine, other) for mine in have(q, "_q_has") for other in have(d, "_d_has")]
+    near = None
+    for both in sorted({a & b for a, b in pairs} - {0}):
+        ours, theirs = ({p[side] for p in pairs if p[0] & p[1] == both} for side in (0, 1))
+        shared = [f for i, f in enumerate(features) if both & 1 << i]
+        part = _nearest(q.filter(F.col("_q_has").isin(*ours)), d.filter(F.col("_d_has").isin(*theirs)), both, shared,
+            len(features) / len(shared), names, order, k)
+        near = part if near is None else near.unionByName(part)
+    if near is None:
+        return df
+    best = near.withColumn("_r", F.row_number().over(Window.partitionBy(*names).orderBy("_d", *order)))
+    means = best.filter(F.col("_r") <= k).groupBy(*names).agg(F.avg("_v").alias("_v")).select(
+        *[F.col(n).alias(c) for n, c in zip(names, ident)], "_v")
+    return df.join(means, ident, "left").withColumn(target, F.coalesce(target, "_v")).drop("_v")
 
 
 def mice_impute(df: DataFrame, columns: list[str], rounds: int = 10, tolerance: float = 1e-3,

@@ -109,15 +109,71 @@ def test_chained_equations_beat_interpolation_and_keep_known_cells(spark):
     assert kept.filter("soil_moisture != h").count() == 0
 
 
-def test_nearest_donors_fill_any_number_of_rows(spark):
-    rows = correlated(spark)
-    gaps = rows.withColumn("soil_moisture", F.when(F.pmod(F.xxhash64("ts"), F.lit(3)) > 0,
-        F.col("soil_moisture"))).cache()
-    fill = lambda **limit: {r["ts"]: r["soil_moisture"] for r in healing.knn_impute(gaps, "soil_moisture",
-        ["air_temp", "humidity"], ["ts"], **limit).collect()}
-    whole, blocks = fill(), fill(max_queries=30)
-    assert gaps.filter("soil_moisture is null").count() > 60 and None not in blocks.values()
-    assert blocks.keys() == whole.keys() and all(abs(blocks[t] - v) < 1e-9 for t, v in whole.items())
+def nearest_by_hand(rows, k):
+    """rows: (ident, target, features). The mean of the k nearest donors by comparing all."""
+    out = {}
+    for i, t, x in rows:
+        if t is not None:
+            continue
+        near = []
+        for j, y, z in rows:
+            both = [(a, b) for a, b in zip(x, z) if a is not None and b is not None]
+            if y is not None and both:
+                near.append((math.sqrt(sum((a - b) ** 2 for a, b in both) * (len(x) / len(both))), j, y))
+        near = sorted(near)[:k]
+        out[i] = sum(y for _, _, y in near) / len(near) if near else None
+    return out
+
+
+def test_nearest_donors_equal_comparing_all(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(400):
+        # Values on a coarse lattice (many ties and equal donors), an outlier now and then, missing features.
+        x = [float(v) for v in rng.integers(0, 7, 3)] if i % 3 else [float(v) for v in rng.normal(3, 2, 3)]
+        if i % 50 == 0:
+            x[0] += 1000.0
+        x = [None if rng.random() < 0.12 else v for v in x]
+        rows.append((i, None if rng.random() < 0.4 else float(rng.normal()), x))
+    rows.append((900, None, [None] * 3))
+    rows += [(1000 + i, float(i), [3.0, 3.0, 3.0]) for i in range(60)]
+    d = spark.createDataFrame([(i, t, *x) for i, t, x in rows], "i int, t double, a double, b double, c double")
+    got = {r["i"]: r["t"] for r in healing.knn_impute(d, "t", ["a", "b", "c"], ["i"], 5).collect()}
+    want = nearest_by_hand(rows, 5)
+    assert got[900] is None and want[900] is None
+    assert all(abs(got[i] - v) < 1e-9 for i, v in want.items() if v is not None)
+    assert all(got[i] == t for i, t, _ in rows if t is not None)
+
+
+def test_nearest_donors_with_too_few_or_no_donors(spark):
+    kind = "i int, t double, a double"
+    fill = lambda rows: {r["i"]: r["t"] for r in healing.knn_impute(
+        spark.createDataFrame(rows, kind), "t", ["a"], ["i"], 5).collect()}
+    assert fill([(1, None, 1.0), (2, None, 2.0)]) == {1: None, 2: None}
+    assert fill([(1, None, 1.0), (2, 4.0, 2.0), (3, 6.0, 9.0)]) == {1: 5.0, 2: 4.0, 3: 6.0}
+    assert fill([]) == {}
+
+
+def test_nearest_donors_meet_only_near_cells(spark):
+    """No join compares all rows, and nearly every row is done at the first widths."""
+    rng = np.random.default_rng(6)
+    rows = [(i, None if i % 5 == 0 else float(i), float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 1, (1500, 2)))]
+    d = spark.createDataFrame(rows, "i int, t double, a double, b double")
+    seen = []
+    real = healing.checkpointed
+
+    def watched(df):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    healing.checkpointed = watched
+    try:
+        filled = healing.knn_impute(d, "t", ["a", "b"], ["i"], 3)
+        assert filled.filter("t is null").count() == 0
+    finally:
+        healing.checkpointed = real
+    assert not any("NestedLoop" in p or "Cartesian" in p for p in seen)
+    assert len(seen) < 12  # a few widths
 
 
 def design(spark, n=300):
