@@ -33,10 +33,13 @@ whatever their names.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +51,9 @@ from .common import checkpointed
 from .kernels import chunks, strings
 
 CAPACITY, END = 4096, 1
-CHUNK, KNOWN = 8 << 20, 200_000
+CHUNK, KNOWN = 8 << 20, 400_000
+#: Rows of a partition in the tables of a round.
+ROWS = 100_000
 #: Band widths (low over high) by the band's upper end, as a share of the capacity.
 WIDE, NARROW, LAST = (1 / 3, 0.5), (1 / 20, 0.9), 0.6
 PIECES = "doc_id {0}, piece int, start long, length long, ids_crc32 long"
@@ -56,19 +61,38 @@ PIECES = "doc_id {0}, piece int, start long, length long, ids_crc32 long"
 #: the bar belong to patterns of their own).
 BORDER = "([a-zA-ZÀ-ÖØ-öø-ÿ])([!-&(-/:-@\\[-`{}~])"
 MARK = "\x01"
+#: Words of lower-case Latin letters in composed form: normalising changes nothing and no pattern splits them.
+SIMPLE = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    """The tokenizer, one for words that its normaliser and patterns leave alone, and the words met so far."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    told["normalizer"], told["pre_tokenizer"]["pretokenizers"][0] = None, {"type": "WhitespaceSplit"}
+    return Tokenizer.from_file(path), Tokenizer.from_str(json.dumps(told)), {}
+
+
+def _encode_words(tokenizer, words: list[str], known: dict[str, bytes]) -> None:
+    """Adds the ids of ``words``, many at once: a mark ends each of them, and its id stands nowhere else."""
+    mark = tokenizer.encode(MARK, add_special_tokens=False).ids[-1]
+    texts = [f" {MARK} ".join([*words[at : at + 64], ""]) for at in range(0, len(words), 64)]
+    for at in range(0, len(texts), 1024):
+        coded = tokenizer.encode_batch_fast(texts[at : at + 1024], add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in coded), np.uint32)
+        ends = 4 * np.flatnonzero(ids == mark)
+        raw, starts = ids.tobytes(), [0, *(ends + 4).tolist()]
+        for word, a, b in zip(words[64 * at : 64 * (at + 1024)], starts, ends.tolist(), strict=False):
+            known[word] = raw[a:b]
 
 
 def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """All token ids of a chunk and each row's place among them; equal to encoding every text as a whole."""
-    tokenizer, known = _tokenizer(path)
+    tokenizer, plain, known = _tokenizer(path)
     if not pc.any(pc.match_substring(texts, "<|")).as_py():
         texts = pc.ascii_lower(texts)
     parts = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, BORDER, "\\1 \\2"))
@@ -77,19 +101,12 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     if len(known) + len(listed) > KNOWN:
         known.clear()
     new = [w for w in listed if w not in known]
-    alone = [w for w in new if MARK in w]
-    for word in alone:
-        known[word] = np.array(tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
-    new = [w for w in new if MARK not in w]
-    mark = tokenizer.encode(MARK, add_special_tokens=False).ids[-1]
-    for at in range(0, len(new), 4096):
-        some = new[at : at + 4096]
-        # Many words at once, a marked word between them: the mark's id stands nowhere else.
-        ids = np.array(tokenizer.encode(f" {MARK} ".join(some), add_special_tokens=False).ids, np.uint32)
-        cuts = np.flatnonzero(ids == mark)
-        raw = ids.tobytes()
-        for word, a, b in zip(some, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True):
-            known[word] = raw[a:b]
+    simple = {w for w in new if SIMPLE(w)}
+    _encode_words(plain, list(simple), known)
+    _encode_words(tokenizer, [w for w in new if w not in simple and MARK not in w], known)
+    for word in new:
+        if MARK in word:
+            known[word] = np.array(tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
     coded = [known[w] for w in listed]
     size = np.fromiter((len(c) >> 2 for c in coded), np.int64, len(coded))
     flat = np.frombuffer(b"".join(coded), np.uint32)
@@ -141,19 +158,23 @@ def bands(capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return out
 
 
-def numbered(df: DataFrame, *order, size: str) -> tuple[DataFrame, np.ndarray, dict[int, int]]:
+def _parts(rows: int) -> int:
+    return 1 + rows // ROWS
+
+
+def numbered(df: DataFrame, *order, size: str, rows: int) -> tuple[DataFrame, np.ndarray, dict[int, int]]:
     """Range-sorts rows and adds ``_part`` and ``_place`` (in the part).
 
     Also returns the rows before each part, and how many rows have each ``size``. The sort is
-    written before it is counted, so a repeated task can't change it.
+    written before it is counted, so a repeated task can't change it; about ``rows`` rows are few files.
     """
-    placed = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order)
-                          .withColumn("_id", F.monotonically_increasing_id()))
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    placed = checkpointed(placed.coalesce(_parts(rows)))
     placed = placed.withColumns({"_part": F.shiftright("_id", 33), "_place": F.col("_id").bitwiseAND((1 << 33) - 1)}).drop("_id")
-    rows = placed.groupBy("_part", size).count().collect()
-    before = np.zeros(max([r["_part"] for r in rows], default=-1) + 2, np.int64)
+    held = placed.groupBy("_part", size).count().collect()
+    before = np.zeros(max([r["_part"] for r in held], default=-1) + 2, np.int64)
     sizes: dict[int, int] = {}
-    for r in rows:
+    for r in held:
         before[r["_part"] + 1] += r["count"]
         sizes[r[size]] = sizes.get(r[size], 0) + r["count"]
     return placed, np.cumsum(before), sizes
@@ -174,7 +195,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     cut = checkpointed(cut.withColumn("_u", F.monotonically_increasing_id()))
     full = cut.filter(F.col("length") == capacity).select(*[c for c in cut.columns if c != "_u"],
         (-1 - F.col("_u")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    docs, before, counts = numbered(cut.filter(F.col("length") < capacity), F.desc("length"), F.asc("_u"), size="length")
+    docs, before, counts = numbered(cut.filter(F.col("length") < capacity), F.desc("length"), F.asc("_u"), size="length",
+                                    rows=cut.count())
     columns = [c for c in cut.columns if c != "_u"]
     docs = docs.withColumn("_x", _lookup(range(len(before)), before, F.col("_part")) + F.col("_place")).drop("_part", "_place", "_u")
     shortest = min(counts, default=1)
@@ -191,7 +213,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         first = np.cumsum(many) - many
         sizes, bins, offers, slots = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
         if gaps is not None:
-            sorted_gaps, ahead, held = numbered(gaps, F.asc("gap"), F.asc("sequence_id"), size="gap")
+            sorted_gaps, ahead, held = numbered(gaps, F.asc("gap"), F.asc("sequence_id"), size="gap", rows=opened)
             sizes = np.array(sorted(held), np.int64)
             bins = np.array([held[x] for x in sizes.tolist()], np.int64)
             offers = np.where(sizes < low, 0, np.maximum(1, sizes // high))
@@ -221,8 +243,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 "sequence_id": F.floor(beyond / fresh) + F.lit(opened), "gap": F.lit(capacity).cast("long")}))
         joined = taken[0] if len(taken) == 1 else taken[0].unionByName(taken[1])
         earlier = Window.partitionBy("sequence_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-        placed = checkpointed(joined.select(*columns, F.col("sequence_id").cast("long").alias("sequence_id"),
-            (F.lit(capacity) - F.col("gap") + F.coalesce(F.sum("length").over(earlier), F.lit(0))).cast("long").alias("offset")))
+        placed = joined.select(*columns, F.col("sequence_id").cast("long").alias("sequence_id"),
+            (F.lit(capacity) - F.col("gap") + F.coalesce(F.sum("length").over(earlier), F.lit(0))).cast("long").alias("offset"))
+        placed = checkpointed(placed.coalesce(_parts(n)))
         out = out.unionByName(placed)
         used = placed.groupBy("sequence_id").agg(F.max(F.col("offset") + F.col("length")).alias("_end"))
         used = used.select("sequence_id", (F.lit(capacity) - F.col("_end")).alias("gap"))
