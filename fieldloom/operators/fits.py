@@ -117,7 +117,7 @@ def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
 
 def draw(seed: int, tree: int, rows: np.ndarray) -> np.ndarray:
     """A number in [0, 1) for each row."""
-    z = rows.astype(np.uint64) + np.uint64((seed * 1_000_003 + tree + 1) % (1 << 40)) * np.uint64(0x9E3779B97F4A7C15)
+    z = rows.astype(np.uint64) + np.uint64((seed * 1_000_003 + tree + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / float(1 << 53)

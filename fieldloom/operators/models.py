@@ -155,6 +155,13 @@ PROFILES = {
 }
 
 
+#: What the two profiles set besides, when trees are grown by second-order gains.
+SECOND_ORDER = {
+    "gbt_a": {"min_child_weight": 1.0, "l2": 1.0, "leaves": 0, "subsample": 1.0, "columns": 1.0, "bins": 64},
+    "gbt_b": {"min_child_samples": 20, "l2": 0.0, "leaves": 31, "subsample": 1.0, "columns": 1.0, "bins": 255},
+}
+
+
 def translated(name: str, params: dict) -> dict:
     """Shared parameter names as the model's own: the least weight of a child has another name in the second profile."""
     own = {"min_child_weight": "min_child_samples"} if name == "gbt_b" else {}
@@ -189,6 +196,27 @@ class ModelSpec:
         )
 
 
+    def fit_parameters(self) -> tuple[str, tuple, int | None, bool]:
+        """For ``fits``: the kind, its parameters, the number of trees, and whether anything is drawn.
+
+        The first profile bounds a child's hessian sum and has an L2 of 1; the second bounds a child's rows,
+        has no L2 and splits the best leaf first, up to 31 leaves.
+        """
+        if self.name == "logistic":
+            if lost := sorted(set(self.params) - {"c", "max_iter"}):
+                raise ValueError(f"logistic has no parameters {lost}")
+            return "logistic", (("c", float(self.params.get("c", 1.0))),), None, False
+        p = {**DEFAULTS, **SECOND_ORDER[self.name], **translated(self.name, self.params)}
+        if lost := sorted(set(p) - {*DEFAULTS, *SECOND_ORDER[self.name]}):
+            raise ValueError(f"{self.name} has no parameters {lost}")
+        trees = int(p.pop("n_estimators"))
+        if self.name == "gbt_a":
+            p["min_hessian"] = p.pop("min_child_weight")
+        else:
+            p["min_rows"], p["min_hessian"] = p.pop("min_child_samples"), 1e-3
+        return "boosted", tuple(sorted(p.items())), trees, p["subsample"] < 1 or p["columns"] < 1
+
+
 @dataclass
 class Fitted:
     """A fitted model, or the training rate where only one class was seen (``degenerate``)."""

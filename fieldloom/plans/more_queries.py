@@ -13,7 +13,8 @@ from ..operators import attribution, features, models, reports, splits, stats
 from . import protocols
 from .adapter import KEYS, events, merged
 from .queries import (
-    _COLS, _CONTRIB_SQL, _EDGES, _MT_SQL, ASSIGNED_SQL, MERGED_SQL, NARROW, SCORED_SQL, SUPERVISED_SQL, _cut_sql,
+    _COLS, _CONTRIB_SQL, _EDGES, _MT_SQL, ASSIGNED_SQL, MERGED_SQL, NARROW, SCORED_SQL, SMALL_TREES, SUPERVISED_SQL, TRAINED,
+        _cut_sql,
         _feature_sql, _folds_sql, _ml_rows, _newton_sql, _r, _summary_sql, _variants, _VARIANTS_SQL,
     assigned_rows, contributions, narrow_rows, query, results,
 )
@@ -209,6 +210,15 @@ def _(spark, d):
     return _seeded(spark, d).select("model", "seed", "fold", *_M.split(", "), "n_test", "n_positive")
 
 
+@query("seeds_trained")
+def _(spark, d):
+    """Trees that draw rows and columns, under ten seeds: fifty fits in the passes of one."""
+    rows = narrow_rows(spark, d)
+    drawn = models.ModelSpec("gbt_a", {**SMALL_TREES, "subsample": 0.8, "columns": 0.6})
+    return stats.aggregate_runs(protocols.across_seeds(rows, splits.rolling_origin(rows.count(), 5), NARROW, [drawn],
+        list(range(10)), rules=["majority"]))
+
+
 @query("wide_summary",
     f"WITH {_SEEDS_SQL} SELECT model, {', '.join(f'round(avg({m}), 6) AS {m}_mean, round(stddev_samp({m}), 6) AS {m}_std' for m in _M.split(', '))} FROM seeded GROUP BY model")
 def _(spark, d):
@@ -261,6 +271,15 @@ def _(spark, d):
     return _ablation(spark, d).select("feature_set", "n_features", "model", "fold", *_M.split(", "), "n_test")
 
 
+@query("ablation_trained")
+def _(spark, d):
+    """Logistic and boosted models on every set of features: all sets, models and folds in the passes of one."""
+    f, _named = features.build_features(merged(spark, d), KEYS, _ABLATION)
+    rows = checkpointed(features.supervised(f, _SETS["D"], KEYS))
+    return protocols.ablation_summary(protocols.ablation(rows, splits.rolling_origin(rows.count(), 5), _ABLATION, TRAINED,
+        rules=["majority", "persistence"]))
+
+
 _S = "mean, std, half_width, ci_low, ci_high"
 
 
@@ -293,6 +312,11 @@ def _(spark, d):
     return protocols.onset_protocol(merged(spark, d), KEYS, _ABLATION, [])
 
 
+@query("onset_trained")
+def _(spark, d):
+    return protocols.onset_protocol(merged(spark, d), KEYS, _ABLATION, TRAINED)
+
+
 _VARIANT = features.FeatureConfig(moisture_lags=(1,), diff_hours=(), roll_hours=(), weather_lags=(),
     weather_roll_hours=(), target_lags=(1,), weather=())
 _VARIANT_NAMES = [n for part in features.blocks(_VARIANT).values() for n in part]
@@ -323,10 +347,16 @@ UNION ALL SELECT 'persistence', variant, n, fold, label, {_EDGES.format('coalesc
   {_metrics_sql('pred', 'model, variant, n_rows, fold')}"""
 
 
-def _evaluated(spark, d, common: bool) -> DataFrame:
+def _evaluated(spark, d, common: bool, specs: list = []) -> DataFrame:
     state = merged(spark, d).select("site", "ts", "irrigation_event")
     every = _variants(spark, d).join(state, ["site", "ts"])
-    return protocols.evaluate_variants(every, KEYS, _VARIANT, [], common=common, rules=["majority", "persistence"])
+    return protocols.evaluate_variants(every, KEYS, _VARIANT, specs, common=common, rules=["majority", "persistence"])
+
+
+@query("variants_trained")
+def _(spark, d):
+    specs = [models.ModelSpec("logistic"), models.ModelSpec("gbt_a", {"n_estimators": 5, "max_depth": 3})]
+    return stats.summarise(_evaluated(spark, d, True, specs), ["variant", "model"], value="pr_auc")
 
 
 for _name, _common in (("variants_as_available", False), ("variants_on_common_rows", True)):

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checkpointed
-from ..operators import metrics, models, splits, stats
+from ..operators import fits, metrics, models, splits, stats
 from ..operators.features import FeatureConfig, ablation_sets, build_features, closed_before, numbered, supervised
 
 Fold = tuple[int, int, int, int, int]
@@ -19,22 +19,57 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _between(rows: DataFrame, lo: int, hi: int) -> DataFrame:
-    return rows.filter((F.col("row_id") >= lo) & (F.col("row_id") < hi))
-
-
-def out_of_fold(rows: DataFrame, folds: list[Fold], spec: models.ModelSpec, names: list[str],
-    workers: int = 4) -> DataFrame:
-    """(model, seed, fold, row_id, label, score, predicted) of every test row; each fold's fit is distributed, folds overlap."""
-
-    def one(f: Fold) -> DataFrame:
-        fitted = models.fit(spec, _between(rows, f[1], f[2]), names)
-        scored = fitted.transform(_between(rows, f[3], f[4]).select("row_id", "label", *names))
-        return scored.select(F.lit(spec.name).alias("model"), F.lit(spec.seed).alias("seed"), F.lit(f[0]).alias("fold"),
-            "row_id", "label", "score", "predicted")
-
-    with ThreadPoolExecutor(workers) as pool:
-        return union(list(pool.map(one, folds)))
+@dataclass(frozen=True)
+class Task:
+    """One model to train on rows ``train`` and to score on rows ``test`` (both ``lo <= row_id < hi``)."""
+
+    spec: models.ModelSpec
+    columns: tuple[str, ...]
+    fold: int
+    train: tuple[int, int]
+    test: tuple[int, int]
+    tags: tuple = ()
+
+
+def tasks_of(folds: list[Fold], specs: list[models.ModelSpec], columns: list[str], *tags) -> list[Task]:
+    return [Task(s, tuple(columns), f, (a, b), (c, d), tags) for s in specs for f, a, b, c, d in folds]
+
+
+def scored_tasks(rows: DataFrame, tasks: list[Task], tags: dict[str, str] | None = None) -> DataFrame:
+    """(tags, model, seed, fold, row_id, label, score, predicted) of every task's test rows.
+
+    All logistic fits are trained together and so are all boosted ones. Fits that agree in rows,
+    columns and parameters are one fit: fewer trees are the first ones of more trees, and a seed
+    counts only where something is drawn.
+    """
+    tags = tags or {}
+    asked: dict[str, dict[fits.Fit, int]] = {"logistic": {}, "boosted": {}}
+    of: list[tuple[str, fits.Fit, int | None]] = []
+    for t in tasks:
+        kind, params, trees, draws = t.spec.fit_parameters()
+        fit = fits.Fit(*t.train, t.columns, params, t.spec.seed if draws else 0)
+        asked[kind][fit] = max(asked[kind].get(fit, 0), trees or 0)
+        of.append((kind, fit, trees))
+    trained: dict[str, dict[fits.Fit, object]] = {"logistic": {}, "boosted": {}}
+    if asked["logistic"]:
+        for c in sorted({dict(f.params)["c"] for f in asked["logistic"]}):
+            some = [f for f in asked["logistic"] if dict(f.params)["c"] == c]
+            trained["logistic"] |= dict(zip(some, fits.logistic(rows, some, c)))
+    if asked["boosted"]:
+        full = [replace(f, params=(*f.params, ("n_estimators", n))) for f, n in asked["boosted"].items()]
+        trained["boosted"] = dict(zip(asked["boosted"], fits.boosted(rows, full)))
+    scored = fits.scores(rows, [(trained[kind][fit], *t.test, n) for t, (kind, fit, n) in zip(tasks, of)])
+    table = rows.sparkSession.createDataFrame(
+        [(i, *t.tags, t.spec.name, t.spec.seed, t.fold) for i, t in enumerate(tasks)],
+        ", ".join(["task int", *[f"{n} {k}" for n, k in tags.items()], "model string, seed int, fold int"]))
+    # One row a task, all of which the driver made.
+    return scored.join(F.broadcast(table), "task").select(*tags, "model", "seed", "fold", "row_id", "label", "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def out_of_fold(rows: DataFrame, folds: list[Fold], spec: models.ModelSpec, names: list[str]) -> DataFrame:
+    """(model, seed, fold, row_id, label, score, predicted) of every test row."""
+    return scored_tasks(rows, tasks_of(folds, [spec], names))
 
 
 def rule_scores(rows: DataFrame, folds: list[Fold], rules: list[str]) -> DataFrame:
@@ -49,7 +84,8 @@ def evaluate(rows: DataFrame, folds: list[Fold], names: list[str], specs: list[m
     """Metrics by (model, seed, fold) for rule models whose columns exist and for the given specs."""
     usable = [r for r in models.available_rules(names) if rules is None or r in rules]
     parts = [rule_scores(rows, folds, usable)] if usable else []
-    parts += [out_of_fold(rows, folds, s, names) for s in specs]
+    if specs:
+        parts.append(scored_tasks(rows, tasks_of(folds, specs, names)))
     return metrics.evaluate(checkpointed(union(parts)), ["model", "seed", "fold"])
 
 
@@ -61,19 +97,32 @@ def across_seeds(rows: DataFrame, folds: list[Fold], names: list[str], specs: li
     if usable:
         every = F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed")
         parts.append(rule_scores(rows, folds, usable).select("model", every, *models.KEPT))
-    parts += [out_of_fold(rows, folds, models.ModelSpec(s.name, s.params, seed),
-        names) for s in specs for seed in seeds]
+    if specs:
+        seeded = [models.ModelSpec(s.name, s.params, seed) for s in specs for seed in seeds]
+        parts.append(scored_tasks(rows, tasks_of(folds, seeded, names)))
     return metrics.evaluate(checkpointed(union(parts)), ["model", "seed", "fold"])
 
 
 def ablation(rows: DataFrame, folds: list[Fold], config: FeatureConfig, specs: list[models.ModelSpec],
     rules: list[str] = []) -> DataFrame:
-    """Every set of features on the same rows: metrics by (feature_set, model, fold)."""
-    out = []
-    for name, columns in ablation_sets(config).items():
-        r = evaluate(rows, folds, columns, specs, rules)
-        out.append(r.withColumn("feature_set", F.lit(name)).withColumn("n_features", F.lit(len(columns))))
-    return union(out)
+    """Every set of features on the same rows: metrics by (feature_set, model, fold).
+
+    A rule model is scored once and counts for every set that holds its columns; all trained models of all sets are
+    fitted together.
+    """
+    sets = ablation_sets(config)
+    tags = {"feature_set": "string", "n_features": "int"}
+    usable = {name: [r for r in models.available_rules(columns) if r in rules] for name, columns in sets.items()}
+    parts = []
+    if any(usable.values()):
+        listed = [(name, len(sets[name]), r) for name, rs in usable.items() for r in rs]
+        table = rows.sparkSession.createDataFrame(listed, "feature_set string, n_features int, model string")
+        once = rule_scores(rows, folds, sorted({r for rs in usable.values() for r in rs}))
+        parts.append(once.join(F.broadcast(table), "model").select(*tags, "model", "seed", *models.KEPT))
+    if specs:
+        tasks = [t for name, columns in sets.items() for t in tasks_of(folds, specs, columns, name, len(columns))]
+        parts.append(scored_tasks(rows, tasks, tags))
+    return metrics.evaluate(checkpointed(union(parts)), [*tags, "model", "seed", "fold"])
 
 
 def ablation_summary(results: DataFrame, metric: str = "pr_auc") -> DataFrame:
@@ -106,29 +155,35 @@ def onset_summary(results: DataFrame, primary: tuple[str, ...] = PRIMARY) -> Dat
     return long.join(size, "model")
 
 
-def select_parameters(rows: DataFrame, folds: list[Fold], name: str, names: list[str], grid: list[dict],
-    metric: str = "pr_auc", seed: int = 42) -> dict:
-    """The first grid point with the best mean over inner folds that can be scored; empty if none can."""
-    best, most = {}, None
-    for point in grid:
-        scored = out_of_fold(rows, folds, models.ModelSpec(name, point, seed), names)
-        value = metrics.ranking(scored, ["fold"]).agg(F.avg(metric)).first()[0]
-        if value is not None and (most is None or value > most):
-            best, most = point, value
+def select_parameters(rows: DataFrame, inner: dict[int, list[Fold]], name: str, names: list[str], grid: list[dict],
+    metric: str = "pr_auc", seed: int = 42) -> dict[int, dict]:
+    """By outer fold: the first grid point with the best mean over inner folds that can be scored; empty if none can.
+
+    The fits of all outer folds, grid points and inner folds are trained together.
+    """
+    tasks = [t for outer, folds in inner.items() for i, point in enumerate(grid)
+        for t in tasks_of(folds, [models.ModelSpec(name, point, seed)], names, outer, i)]
+    scored = checkpointed(scored_tasks(rows, tasks, {"outer_fold": "int", "point": "int"}))
+    by_fold = metrics.ranking(scored, ["outer_fold", "point", "fold"])
+    means = by_fold.groupBy("outer_fold", "point").agg(F.avg(metric).alias("value")).filter("value is not null").collect()
+    best: dict[int, dict] = {outer: {} for outer in inner}
+    most: dict[int, float] = {}
+    for r in sorted(means, key=lambda r: r["point"]):
+        if r["outer_fold"] not in most or r["value"] > most[r["outer_fold"]]:
+            best[r["outer_fold"]], most[r["outer_fold"]] = grid[r["point"]], r["value"]
     return best
 
 
 def nested_cv(rows: DataFrame, outer: list[Fold], name: str, names: list[str], grid: list[dict], inner_k: int = 3,
     metric: str = "pr_auc", seed: int = 42) -> DataFrame:
     """Per outer fold: parameters chosen inside its training rows, and the score on its test rows."""
-    out = []
-    for fold, lo, hi, test_lo, test_hi in outer:
-        inner = [(f, a + lo, b + lo, c + lo, d + lo) for f, a, b, c, d in splits.rolling_origin(hi - lo, inner_k)]
-        point = select_parameters(rows, inner, name, names, grid, metric, seed)
-        scored = out_of_fold(rows, [(fold, lo, hi, test_lo, test_hi)], models.ModelSpec(name, point, seed), names)
-        text = ", ".join(f"{k}={v}" for k, v in sorted(point.items()))
-        out.append(metrics.evaluate(scored, ["model", "seed", "fold"]).withColumn("selected_params", F.lit(text)))
-    return union(out)
+    inner = {fold: [(f, a + lo, b + lo, c + lo, d + lo) for f, a, b, c, d in splits.rolling_origin(hi - lo, inner_k)]
+        for fold, lo, hi, _, _ in outer}
+    chosen = select_parameters(rows, inner, name, names, grid, metric, seed)
+    text = lambda point: ", ".join(f"{k}={v}" for k, v in sorted(point.items()))
+    tasks = [t for f in outer for t in tasks_of([f], [models.ModelSpec(name, chosen[f[0]], seed)], names, text(chosen[f[0]]))]
+    scored = checkpointed(scored_tasks(rows, tasks, {"selected_params": "string"}))
+    return metrics.evaluate(scored, ["model", "seed", "fold", "selected_params"])
 
 
 def nested_summary(results: DataFrame, metric: str = "pr_auc") -> DataFrame:

@@ -932,7 +932,8 @@ def _(spark, d):
 
 # ---- trained models: rows only ----------------------------------------------------------
 
-SMALL_TREES = {"n_estimators": 5, "max_depth": 3}
+SMALL_TREES = {"n_estimators": 20, "max_depth": 4}
+TRAINED = [models.ModelSpec("logistic"), models.ModelSpec("gbt_a", SMALL_TREES), models.ModelSpec("gbt_b", SMALL_TREES)]
 
 
 def _ml_rows(spark, d, k: int = 5) -> tuple[DataFrame, list]:
@@ -956,8 +957,18 @@ def _(spark, d):
 @query("nested_cv")
 def _(spark, d):
     rows, folds = _ml_rows(spark, d)
-    grid = models.grid_points({"n_estimators": [3], "max_depth": [2, 3]})
-    return protocols.nested_summary(protocols.nested_cv(rows, folds, "gbt_a", NARROW, grid, inner_k=2))
+    grid = models.grid_points({**models.GRID, "n_estimators": [5, 10]})
+    return protocols.nested_summary(protocols.nested_cv(rows, folds, "gbt_a", NARROW, grid))
+
+
+@query("trained_on_design_matrix")
+def _(spark, d):
+    """Every column of the design matrix, five folds, three models: each step trains all fifteen fits."""
+    config = features.FeatureConfig()
+    f, named = features.build_features(merged(spark, d), KEYS, config)
+    names = [n for part in named.values() for n in part]
+    rows = checkpointed(features.supervised(f, names, KEYS))
+    return protocols.evaluate(rows, splits.rolling_origin(rows.count(), 5), names, TRAINED)
 
 
 @query("best_against_baseline")

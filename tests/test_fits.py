@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from fieldloom.operators import fits
+from fieldloom.operators import features, fits, models, splits
+from fieldloom.plans import protocols
 
 
 def data(n=300, seed=0):
@@ -159,3 +160,80 @@ def test_draws_and_staged_scores(spark):
     got = {(r["task"], r["row_id"]): r["score"] for r in fits.scores(rows, [(a, 150, 200, None), (a, 190, 200, 5)]).collect()}
     assert len(got) == 60 and abs(got[0, 160] - a.score(x[160:161])[0]) < 1e-12
     assert abs(got[1, 195] - fewer.score(x[195:196])[0]) < 1e-9
+
+
+def test_tasks_are_scored_like_single_runs(spark):
+    x, y = data(240)
+    rows = frame(spark, x, y)
+    folds = splits.rolling_origin(240, 3)
+    small = {"n_estimators": 4, "max_depth": 2}
+    specs = [models.ModelSpec("logistic"), models.ModelSpec("gbt_a", small), models.ModelSpec("gbt_b", {**small, "min_child_weight": 5})]
+    got = {(r["model"], r["fold"], r["row_id"]): r["score"] for r in protocols.scored_tasks(
+        rows, protocols.tasks_of(folds, specs, ["a", "b", "c"])).collect()}
+    assert len(got) == 3 * sum(d - c for *_, c, d in folds)
+    for fold, lo, hi, test_lo, test_hi in folds:
+        _, w = plain_logistic(x[lo:hi], y[lo:hi])
+        z = (x[test_lo:test_hi] - x[lo:hi].mean(0)) / x[lo:hi].std(0)
+        want = 1 / (1 + np.exp(-(w[0] + z @ w[1:])))
+        assert np.allclose([got["logistic", fold, r] for r in range(test_lo, test_hi)], want, atol=1e-6)
+
+
+def test_seeds_that_draw_nothing_are_one_fit(spark):
+    x, y = data(120)
+    rows = frame(spark, x, y)
+    folds = splits.rolling_origin(120, 2)
+    seen = []
+    real = fits.boosted
+
+    def watched(rows, asked):
+        seen.append(len(asked))
+        return real(rows, asked)
+
+    fits.boosted = watched
+    try:
+        fixed = models.ModelSpec("gbt_a", {"n_estimators": 2, "max_depth": 1})
+        drawn = models.ModelSpec("gbt_a", {"n_estimators": 2, "max_depth": 1, "subsample": 0.5})
+        a = protocols.across_seeds(rows, folds, ["a", "b"], [fixed], [1, 2, 3], rules=[])
+        b = protocols.across_seeds(rows, folds, ["a", "b"], [drawn], [1, 2, 3], rules=[])
+    finally:
+        fits.boosted = real
+    assert seen == [2, 6]
+    spread = lambda r: len({round(x["roc_auc"], 9) for x in r.filter("fold = 2").collect()})
+    assert a.count() == b.count() == 6 and spread(a) == 1 and spread(b) > 1
+
+
+def test_selection_never_sees_the_outer_test_rows(spark):
+    """Other labels and features in every outer test row change neither the chosen points nor how they were chosen."""
+    x, y = data(240)
+    outer = splits.rolling_origin(240, 2)
+    grid = models.grid_points({"max_depth": [1, 2], "n_estimators": [2, 4], "min_child_weight": [1, 5]})
+    last = outer[-1][3]
+    other_x, other_y = x.copy(), y.copy()
+    other_x[last:], other_y[last:] = -other_x[last:], 1 - other_y[last:]
+
+    def run(x, y):
+        return {r["fold"]: (r["selected_params"], r["pr_auc"]) for r in protocols.nested_cv(
+            frame(spark, x, y), outer, "gbt_a", ["a", "b", "c"], grid, inner_k=2).collect()}
+
+    one, two = run(x, y), run(other_x, other_y)
+    assert {f: v[0] for f, v in one.items()} == {f: v[0] for f, v in two.items()} and set(one) == {1, 2}
+    assert one[2][1] != two[2][1]
+
+
+def test_ablation_scores_rules_once_and_trains_sets_together(spark):
+    x, y = data(150)
+    config = features.FeatureConfig(moisture_lags=(1,), diff_hours=(), roll_hours=(), weather_lags=(1,), weather_roll_hours=(),
+        target_lags=(1,), weather=("air_temp",), require_full_window=False)
+    names = sorted({c for s in features.ablation_sets(config).values() for c in s})
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, int(t), *map(float, rng.normal(size=len(names)))) for i, t in enumerate(y)],
+        ", ".join(["row_id long, label int", *[f"{n} double" for n in names]]))
+    folds = splits.rolling_origin(150, 2)
+    got = protocols.ablation(rows, folds, config, [models.ModelSpec("logistic")], rules=["majority", "persistence"]).collect()
+    sets = features.ablation_sets(config)
+    for name, columns in sets.items():
+        mine = {(r["model"], r["fold"]): r for r in got if r["feature_set"] == name}
+        assert {m for m, _ in mine} == {"logistic", "majority"} | ({"persistence"} if "irrigation_event_lag1h" in columns else set())
+        alone = protocols.evaluate(rows, folds, columns, [models.ModelSpec("logistic")], rules=["majority"]).collect()
+        for r in alone:
+            assert abs(mine[r["model"], r["fold"]]["brier"] - r["brier"]) < 1e-9
