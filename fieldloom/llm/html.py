@@ -6,11 +6,15 @@ container of the article collects those of all its paragraphs; they are discount
 (the share of text inside links). The best container is kept together with siblings that score well
 or read like prose, and with prose of any length between or next to them.
 
-Furniture never takes part: navigation, headers and footers of the page, asides, forms, scripts,
-styles, hidden elements, and elements that a word of their class, id or role names a menu, advert,
-comment list and so on. A word counts as a whole or as a part of a compound (``site-footer``), but not
-after a modifier (``no-sidebar``). Names that articles bear too (``legal``, ``related``) only count where
-no other word names content and the element holds at most half of the page's text.
+What takes no part: elements that can hold no article (navigation, page headers and footers, asides,
+scripts, controls and so on), hidden elements, and reader comments by a word of their class, id or role.
+Other names and the elements ``form``, ``fieldset`` and ``dialog`` are only evidence, weighed against the page:
+
+* A name that is a furniture word, or a compound whose last word is one (``site-footer``), drops its element,
+  unless another word names content or nothing readable would be left of the page.
+* A compound that only begins with such a word (``menu-page``, ``ad-free-content``), a name beside
+  content words (``post sponsored``), words that articles bear too (``legal``), forms, field sets and
+  dialogs drop their element only where it holds at most half of what is left of the page, or mostly links.
 
 Edge cases: a null or empty page gives an empty text; a page without paragraphs falls back to
 its body's blocks; unclosed and stray tags are tolerated; repeated pages are rows of their own;
@@ -35,8 +39,10 @@ from . import kernels as K
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset(
-    "nav header footer aside form script style noscript template iframe button select option textarea input label svg math canvas object embed audio video dialog menu head title noembed noframes fieldset datalist".split(
+    "nav header footer aside script style noscript template iframe button select option textarea input label svg math canvas object embed audio video menu head title noembed noframes datalist".split(
     ))
+#: Furniture or a wrapper of the whole page.
+EITHER = frozenset("form fieldset dialog".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split(
     ))
 PROSE = frozenset("p pre blockquote td li dd dt h1 h2 h3 h4 h5 h6 figcaption".split())
@@ -54,12 +60,27 @@ WEAK = frozenset("notice alert share sharing social related recommended widget s
 CONTENT = frozenset("article content main entry post story body text".split())
 MODIFIERS = frozenset("no has with without not is hide".split())
 LEVELS = 6
-TAG = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
-        re.S
-)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none")
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S)
+TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+#: One attribute with its value (quoted or not), or the end of the tag.
+ATTRIBUTE = re.compile(r"[\s/]*+(?:(>|\Z)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>]*+)))?)", re.S)
+NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
+
+def attributes(page: str, at: int) -> tuple[dict[str, str], int, bool]:
+    """The attributes of a tag (the first of a name counts), where the tag ends, and whether it ends itself."""
+    found: dict[str, str] = {}
+    while m := ATTRIBUTE.match(page, at):
+        if m.group(1) is not None:
+            return found, m.end(), page[m.start() : m.end()].rstrip("> \t\n\f\r").endswith("/")
+        value = next((v for v in m.groups()[2:] if v is not None), "")
+        found.setdefault(m.group(2).lower(), value)
+        at = m.end()
+    return found, len(page), False
+
+
+def is_hidden(said: dict[str, str]) -> bool:
+    return "hidden" in said or said.get("aria-hidden", "").strip().lower() == "true" or bool(
+        NO_DISPLAY.search(said.get("style", "")))
 
 
 class Node:
@@ -72,15 +93,28 @@ class Node:
 
 @lru_cache(maxsize=4096)
 def named(names: str) -> str:
-    """What an element's class, id and role say: ``drop``, ``weak`` (furniture or an article), ``content`` or nothing."""
+    """What an element's class, id and role say: ``comment``, ``drop``, ``weak``, ``content`` or nothing."""
     said = set()
     for word in names.lower().split():
         parts = [p for p in re.split(r"[-_:]+", word) if p]
-        whole = [p for i, p in enumerate(parts) if i == 0 or parts[i - 1] not in MODIFIERS]
-        for p in whole if len(whole) < len(parts) else [word, *whole]:
-            said |= {kind for kind, known in (("drop", STRONG), ("drop", COMMENTS), ("weak", WEAK),
-                ("content", CONTENT)) if p in known}
-    return next((kind for kind in ("drop", "content", "weak") if kind in said), "")
+        # A word after a modifier (``no-sidebar``) names nothing.
+        own = [p for i, p in enumerate(parts) if i == 0 or parts[i - 1] not in MODIFIERS]
+        if not own or own[0] in MODIFIERS and len(own) == 1:
+            continue
+        head = own[-1] if len(own) == len(parts) or own[-1] == parts[-1] else ""
+        if any(p in COMMENTS for p in own):
+            said.add("comment")
+        elif word in STRONG or head in STRONG:
+            said.add("drop")
+        elif head in CONTENT:
+            said.add("content")
+        elif any(p in STRONG or p in WEAK for p in own):
+            said.add("weak")
+        elif any(p in CONTENT for p in own):
+            said.add("content")
+    if "content" in said:
+        return "weak" if len(said) > 1 else "content"
+    return next((kind for kind in ("comment", "drop", "weak") if kind in said), "")
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
@@ -122,9 +156,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
         if not m:
             break
         at = m.end()
-        closing, tag, attributes = m.group(1), (m.group(2) or "").lower(), m.group(3)
+        closing, tag = m.group(1), (m.group(2) or "").lower()
         if not tag:
             continue
+        said, at, ends = attributes(page, at)
         if closing:
             for i in range(len(stack) - 1, 0, -1) if open_tags[tag] > 0 else ():
                 if stack[i].tag == tag:
@@ -149,13 +184,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
         if tag in VOID:
             continue
         parent = stack[-1]
-        names = " ".join(v for a in ATTRIBUTE.finditer(attributes or "") if a.group(1).lower() in ("class", "id",
-            "role") for v in a.groups()[1:] if v)
-        hidden = bool(attributes) and bool(HIDDEN.search(attributes))
-        node = Node(tag, parent, parent.skip or tag in FURNITURE or hidden,
-            "content" if tag in ("article", "main") else named(names) if tag not in ("html", "body") else "")
+        names = " ".join(said[k] for k in ("class", "id", "role") if k in said)
+        kind = named(names) if tag not in ("html", "body") else ""
+        if tag in ("article", "main"):
+            kind = "content"
+        elif tag in EITHER and kind in ("", "content"):
+            kind = "weak"
+        node = Node(tag, parent, parent.skip or tag in FURNITURE or is_hidden(said), kind)
         nodes.append(node)
-        if (attributes or "").rstrip().endswith("/") and tag in ("svg", "path"):
+        if ends and tag in ("svg", "path"):
             continue
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -182,6 +219,29 @@ def _totals(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> None:
         node.parent.links += node.links
 
 
+def _wanted(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    """The blocks outside of furniture and comments; sets ``off`` where an element takes no part."""
+
+    def off(drop: frozenset[str]) -> list[tuple[Node, str, int]]:
+        for node in nodes[1:]:
+            node.off = node.skip or node.parent.off or node.name in drop
+        return [b for b in blocks if not b[0].off]
+
+    for drop in (frozenset(("comment", "drop")), frozenset(("comment",))):
+        left = off(drop)
+        _totals(nodes, left)
+        half = nodes[0].text / 2
+        for node in nodes[1:]:
+            # Where names leave nothing to read, the furniture words are weighed like the weaker ones.
+            unsure = node.name == "weak" or node.name == "drop" and "drop" not in drop
+            most = node.text > half and node.links < 0.33 * node.text
+            node.off = node.off or node.parent.off or unsure and not most
+        left = [b for b in left if not b[0].off]
+        if any(links < 0.5 * len(text) for _, text, links in left):
+            return left
+    return left
+
+
 def _neighbours(siblings: list[Node], kept: set[int]) -> None:
     """Adds prose of any length that stands between kept siblings, or next to them in one run."""
     prose = [n.tag in PROSE or n.tag in ("ul", "ol", "dl", "table", "figure", "hr") for n in siblings]
@@ -201,11 +261,7 @@ def main_text(page: str | None) -> str:
         return ""
     nodes, blocks = parse(page)
     _totals(nodes, blocks)
-    half = nodes[0].text / 2
-    for node in nodes[1:]:
-        most = node.text > half and node.links < 0.33 * node.text
-        node.off = node.skip or node.parent.off or node.name == "drop" or node.name == "weak" and not most
-    blocks = [b for b in blocks if not b[0].off]
+    blocks = _wanted(nodes, blocks)
     _totals(nodes, blocks)
     for node, text, links in blocks:
         if node.tag in PROSE or node.tag == "div":
