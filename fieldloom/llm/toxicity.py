@@ -7,7 +7,8 @@ documents, so a document is toxic if any of its words is: its probability is one
 product of its words' clean probabilities. Embeddings and softmax are trained together through
 that product, which blames the telling words of a toxic document and leaves the others alone.
 Evidence adds up over the distinct words and is never diluted, so a long document with a few
-toxic words still stands out. A logistic calibration is fitted on a fifth of the sample.
+toxic words still stands out. A logistic calibration is fitted on a fifth of the sample; it takes part of
+the labels for wrong (a share that is fitted along), so a few mislabelled documents don't flatten it.
 
 Learning uses a bounded sample: the ``SAMPLE`` labelled rows with the smallest hash of the id, and the
 first ``EACH`` of either class in that order, so a rare class is never absent; the calibration is
@@ -40,6 +41,8 @@ DIM, WIDTH = 1 << BITS, 4
 SAMPLE, EACH, LEAST, THRESHOLD = 6000, 500, 2, 0.7
 EPOCHS, RATE, DECAY, START = 40, 0.05, 1e-4, -6.0
 
+#: At most this share of a class's labels is taken for wrong.
+MISLABELLED = 0.1
 #: Keeps the logarithm of no evidence finite.
 FAINT = 1e-3
 #: A word is a run of letters and digits: ASCII ones, and all bytes of longer characters.
@@ -216,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     if len(seen):
         score = word_scores(model, *_flat(dictionary.take(pa.array(seen))))
         x = evidence(score[inner], (np.cumsum(held) - 1)[row[~learning]], len(x))
-    model.a, model.b = _logistic(np.log(x + FAINT), toxic[held].astype(float))
+    model.a, model.b = _calibrated(np.log(x + FAINT), toxic[held].astype(float))
     odds = lambda k, m: math.log((k + 0.5) / (m - k + 0.5))
     model.b += odds(n_toxic, n_labels) - odds(int(toxic.sum()), n)
     return model
@@ -246,6 +249,20 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(a), 0.0), float(b)
 
 
+def _calibrated(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> tuple[float, float]:
+    """Slope and intercept of the true class where a share of the labels of either class is wrong (EM)."""
+    wrong = np.array([0.02, 0.02])  # of labels whose true class is 0 and 1
+    a, b = _logistic(x, y)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        one = p * np.where(y > 0, 1 - wrong[1], wrong[1])
+        true = one / (one + (1 - p) * np.where(y > 0, wrong[0], 1 - wrong[0]))
+        flips = np.array([((1 - true) * y).sum(), (true * (1 - y)).sum()])
+        wrong = np.minimum((flips + 0.02) / (np.array([(1 - true).sum(), true.sum()]) + 1), MISLABELLED)
+        a, b = _logistic(x, true)
+    return a, b
+
+
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
 
