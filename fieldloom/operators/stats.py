@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from itertools import chain
 from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,27 +162,91 @@ def block_indices(spark, iterations: int, n: int, block: int, seed: int = 42) ->
         (F.col("_start") + F.col("_o")).alias("row_id")).filter(F.col("place") < n)
 
 
+#: Up to so many rows (some 20 bytes each) a draw is scored in one piece by the task that makes it.
+HELD_ROWS = 1_000_000
+DRAWN = "iteration long, d double"
+
+
+def _score_steps(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows from the highest score down, and where each run of equal scores ends."""
+    order = np.argsort(-scores, kind="stable")
+    down = scores[order]
+    return order, np.append(np.flatnonzero(down[1:] != down[:-1]), len(down) - 1)
+
+
+def _ranked(metric: str, order: np.ndarray, ends: np.ndarray, label: np.ndarray, w: np.ndarray) -> float:
+    """ROC-AUC or average precision of rows that count ``w`` times."""
+    p, n = w * label, w * (1 - label)
+    tp, fp = np.cumsum(p[order])[ends], np.cumsum(n[order])[ends]
+    here_p, here_n = np.diff(tp, prepend=0), np.diff(fp, prepend=0)
+    if metric == "roc_auc":
+        return float((here_n * (tp - here_p / 2)).sum() / (tp[-1] * fp[-1]))
+    met = tp + fp > 0
+    return float((here_p[met] * tp[met] / (tp + fp)[met]).sum() / tp[-1])
+
+
+def _drawn_differences(paired: DataFrame, n: int, iterations: int, block: int, seed: int, metric: str) -> DataFrame:
+    """(iteration, d) of every draw with both classes. The rows travel once; a draw costs its block starts and running sums."""
+    spark = paired.sparkSession
+    rows = paired.select("row_id", "label", "a", "b").orderBy("row_id").toPandas()
+    label = rows["label"].to_numpy(float)
+    sent = spark.sparkContext.broadcast((label, *[_score_steps(rows[m].to_numpy(float)) for m in ("a", "b")]))
+    block = max(1, min(block, n))
+    starts = -(-n // block)
+
+    def draw(batches):
+        label, of_a, of_b = sent.value
+        for batch in batches:
+            kept, values = [], []
+            for i in batch.column(0).to_pylist():
+                lot = [int(hashlib.md5(f"{seed}:{i}:{k}".encode()).hexdigest()[:8], 16) for k in range(starts)]
+                first = np.floor(np.array(lot) / 4294967296.0 * (n - block + 1)).astype(np.int64)
+                end = first + block
+                end[-1] = first[-1] + n - (starts - 1) * block  # the last block is cut to n rows in all
+                w = np.cumsum(np.bincount(first, minlength=n + 1) - np.bincount(end, minlength=n + 1))[:n].astype(float)
+                positive = w @ label
+                if 0 < positive < n:
+                    kept.append(i)
+                    values.append(_ranked(metric, *of_a, label, w) - _ranked(metric, *of_b, label, w))
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(values, pa.float64())], ["iteration", "d"])
+
+    return spark.range(iterations).mapInArrow(draw, DRAWN)
+
+
+def _joined_differences(paired: DataFrame, n: int, iterations: int, block: int, seed: int, metric: str) -> DataFrame:
+    """The same draws for any number of rows."""
+    counts = block_indices(paired.sparkSession, iterations, n, block, seed).groupBy("iteration",
+        "row_id").agg(F.count(F.lit(1)).alias("w"))
+    rows = counts.join(paired, "row_id").withColumn("m",
+        F.explode(F.array(F.struct(F.lit("a").alias("model"), F.col("a").alias("score")),
+        F.struct(F.lit("b").alias("model"), F.col("b").alias("score")))))
+    scored = ranking(rows.select("iteration", "m.model", "m.score", "label", "w"), ["iteration", "model"], weight="w")
+    side = lambda m: F.max(F.when(F.col("model") == m, F.col(metric)))
+    return scored.groupBy("iteration").agg((side("a") - side("b")).alias("d")).filter("d is not null")
+
+
 def bootstrap_difference(paired: DataFrame, iterations: int = 10_000, block: int = 24, confidence: float = 0.95,
     seed: int = 42, metric: str = "roc_auc") -> DataFrame:
     """Paired moving-block bootstrap of ``metric`` between scores ``a`` and ``b`` (columns row_id, label, a, b).
 
-    A draw is kept as a count for each of its distinct rows; an iteration with one class is left out.
+    Up to ``HELD_ROWS`` rows a draw is a few block starts and running sums in one task, so draws cost no shuffle of
+    rows; beyond, a draw is a count for each of its distinct rows, joined and ranked by shuffle. Both give the same draws.
+    An iteration with one class is left out, and fewer than two others are an error.
     """
     if metric not in ("roc_auc", "pr_auc"):
         raise ValueError(f"no metric {metric!r}")
-    spark = paired.sparkSession
     paired = checkpointed(paired)
-    n = paired.count()
+    n, places = paired.agg(F.count(F.lit(1)), F.count_distinct("row_id")).first()
     if paired.select("label").distinct().count() < 2:
         raise ValueError("one class only")
-    counts = block_indices(spark, iterations, n, block, seed).groupBy("iteration",
-        "row_id").agg(F.count(F.lit(1)).alias("w"))
-    rows = counts.join(paired, "row_id").withColumn("m",
-        F.explode(F.array(F.struct(F.lit("a").alias("model"), F.col("a").alias("score")),
-        F.struct(F.lit("b").alias("model"), F.col("b").alias("score")))))
-    scored = ranking(rows.select("iteration", "m.model", "m.score", "label", "w"), ["iteration", "model"], weight="w")
-    d = scored.groupBy("iteration").agg((F.max(F.when(F.col("model") == "a",
-        F.col(metric))) - F.max(F.when(F.col("model") == "b", F.col(metric)))).alias("d")).filter("d is not null")
+    low, high = paired.agg(F.min("row_id"), F.max("row_id")).first()
+    if n <= HELD_ROWS and (low, high, places) == (0, n - 1, n):
+        d = checkpointed(_drawn_differences(paired, n, iterations, block, seed, metric))
+    else:
+        d = checkpointed(_joined_differences(paired, n, iterations, block, seed, metric))
+    valid = d.count()
+    if valid < 2:
+        raise ValueError(f"only {valid} of {iterations} draws hold both classes")
     observed = ranking(paired.withColumn("m", F.explode(F.array(F.struct(F.lit("a").alias("model"),
         F.col("a").alias("score")), F.struct(F.lit("b").alias("model"), F.col("b").alias("score"))))).select("m.*",
         "label"), ["model"])

@@ -220,6 +220,34 @@ def test_trained_models_fit_on_training_rows_only(spark):
         models.ModelSpec("other")
 
 
+@pytest.mark.parametrize("metric", ["roc_auc", "pr_auc"])
+def test_draws_in_one_piece_equal_joined_draws(spark, metric, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, int(rng.random() < 0.2), float(rng.integers(0, 6) / 5), float(rng.random())) for i in range(150)]
+    d = spark.createDataFrame(rows, "row_id long, label int, a double, b double")
+    by = lambda f: {r["iteration"]: r["d"] for r in f(d, 150, 40, 17, 3, metric).collect()}
+    one, joined = by(stats._drawn_differences), by(stats._joined_differences)
+    assert len(one) == 40 and one.keys() == joined.keys() and all(abs(one[i] - joined[i]) < 1e-12 for i in one)
+    # What each draw scores is what its rows score one by one.
+    places = stats.block_indices(spark, 2, 150, 17, 3).filter("iteration = 1").select("row_id").collect()
+    drawn = [rows[r["row_id"]] for r in places]
+    assert len(drawn) == 150
+    if metric == "roc_auc":
+        auc = lambda k: np.mean([(p[k] > n[k]) + 0.5 * (p[k] == n[k]) for p in drawn if p[1] for n in drawn if not n[1]])
+        assert abs(one[1] - (auc(2) - auc(3))) < 1e-12
+    whole = stats.bootstrap_difference(d, 40, 17, seed=3, metric=metric).first()
+    monkeypatch.setattr(stats, "HELD_ROWS", 10)
+    beyond = stats.bootstrap_difference(d, 40, 17, seed=3, metric=metric).first()
+    assert all(abs(whole[c] - beyond[c]) < 1e-12 for c in ("difference", "ci_low", "ci_high", "p_value", "n_valid"))
+
+
+def test_too_few_draws_with_both_classes_are_an_error(spark):
+    rows = [(i, int(i == 0), float(i), float(-i)) for i in range(200)]
+    d = spark.createDataFrame(rows, "row_id long, label int, a double, b double")
+    with pytest.raises(ValueError, match="draws hold both classes"):
+        stats.bootstrap_difference(d, 2, 190)
+
+
 def test_bootstrap(spark):
     rng = np.random.default_rng(3)
     y = (np.sin(np.arange(240) / 10) > 0.3).astype(int)
