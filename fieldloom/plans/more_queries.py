@@ -148,6 +148,27 @@ def _(spark, d):
     return protocols.union([f.select(F.lit(c).alias("channel"), "ts", F.col(c).alias("value")) for c, f in got.items()])
 
 
+@query(
+    "bulk_log_scan",
+    "SELECT channel, CAST(count(DISTINCT site) AS BIGINT) AS n_logs, count(*) AS n_rows, "
+    "min(date_trunc('second', ts)) AS first_ts, max(date_trunc('second', ts)) AS last_ts, round(sum(value), 3) AS total FROM ("
+        + " UNION ALL ".join(f"SELECT '{c}' AS channel, user_id % 10 AS site, ts, value FROM events WHERE event_type = '{k}'"
+            for _, k, c in _LOGS) + ") GROUP BY channel",
+)
+def _(spark, d):
+    """The logs of ten sites, a folder each, in one read."""
+    root = scratch(spark)
+    for i, (word, kind, _) in enumerate(_LOGS):
+        time, value = F.date_format("ts", "dd-MMM-yyyy HH:mm:ss").alias("time_stamp"), F.col("value").cast("string")
+        logs = events(spark, d, kind, by_user=True)
+        for site in range(10):
+            logs.filter(F.col("site") == site).select(*((value, time) if i == 0 else (time, value))).write.csv(
+                f"{root}/site {site} {word}.csv", header=True)
+    got = sources.scan_logs(spark, f"{root}/*.csv")
+    return got.groupBy("channel").agg(F.count_distinct("log").alias("n_logs"), F.count(F.lit(1)).alias("n_rows"),
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.round(F.sum("value"), 3).alias("total"))
+
+
 @query("table_round_trip",
     f"WITH {MERGED_SQL} SELECT kind, ts, {_r(_COLS)}, CAST(irrigation_event AS BIGINT) AS irrigation_event FROM merged, (SELECT unnest(['csv', 'parquet']) AS kind)")
 def _(spark, d):

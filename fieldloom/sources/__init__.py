@@ -59,6 +59,43 @@ def channel_of(name: str) -> str | None:
     return next((c for word, c in CHANNELS if word in stem), None)
 
 
+def scan_logs(spark: SparkSession, paths: str | list[str], doubtful: str = "raise") -> DataFrame:
+    """(log, channel, ts, value) of any number of two-column logs in one read; ``channel`` is NULL where the name has no word.
+
+    A log is a file, or a folder ``*.txt`` or ``*.csv`` of parts. The roles of its columns come from one aggregate by
+    log (as ``column_roles`` has them), so the number of jobs does not depend on the number of logs. Logs of another
+    width, or with two numeric columns of which no single one reads as time, are an error, or left out with
+    ``doubtful="drop"``. A log without rows has none here either.
+    """
+    # Three columns are asked for, so that a row of three shows; headers are skipped in every file.
+    raw = spark.read.schema("a string, b string, c string").csv(paths, header=True, ignoreLeadingWhiteSpace=True,
+        ignoreTrailingWhiteSpace=True)
+    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    folder = F.regexp_extract(file, r"^(.*\.(?:txt|csv))/part-[^/]*$", 1)
+    raw = raw.select("a", "b", "c", F.when(folder != "", folder).otherwise(file).alias("log"))
+    number = {c: F.expr(f"try_cast({c} as double)") for c in "ab"}
+    numeric = lambda c: F.bool_and(F.col(c).isNull() | number[c].isNotNull()) & (F.count(c) > 0)
+    late = lambda c: F.coalesce(F.percentile(F.year(F.timestamp_seconds(number[c])), F.lit(0.5)) > 2000, F.lit(False))
+    said = raw.groupBy("log").agg(numeric("a").alias("_a"), numeric("b").alias("_b"), late("a").alias("_ya"),
+        late("b").alias("_yb"), F.count("c").alias("_c"), F.count("b").alias("_n"))
+    both = F.col("_a") & F.col("_b")
+    bad = (F.col("_c") > 0) | (F.col("_n") == 0) | both & (F.col("_ya") == F.col("_yb"))
+    roles = said.select(F.col("log").alias("_log"), bad.alias("_bad"), F.when(both, F.col("_ya")).otherwise(
+        ~(F.col("_a") & ~F.col("_b"))).alias("_time_first"))
+    if doubtful == "raise":
+        lost = [r["_log"] for r in roles.filter("_bad").limit(10).collect()]
+        if lost:
+            raise ValueError(f"no single column reads as time in {lost}")
+    # One row a log; Spark broadcasts them while they are few and joins by shuffle beyond.
+    rows = raw.join(roles.filter("not _bad"), F.col("log") == F.col("_log"))
+    time, value = (F.when(F.col("_time_first") == first, F.col("a")).otherwise(F.col("b")) for first in (True, False))
+    stem = F.lower(F.regexp_replace(F.regexp_extract("log", r"([^/]*)$", 1), r"\.[^.]*$", ""))
+    channel = F.coalesce(*[F.when(F.contains(stem, F.lit(word)), F.lit(c)) for word, c in CHANNELS])
+    number_of_time = F.timestamp_seconds(time.try_cast("double")).cast("timestamp_ntz")
+    return rows.select("log", channel.alias("channel"), F.coalesce(parsed_time(time), number_of_time).alias("ts"),
+        value.try_cast("double").alias("value"))
+
+
 def read_channels(spark: SparkSession, files: list[str]) -> dict[str, DataFrame]:
     """One frame a channel; *.txt before *.csv, each sorted, a later file of a channel replaces an earlier one."""
     order = sorted((f for f in files if f.endswith(".txt"))) + sorted(f for f in files if f.endswith(".csv"))

@@ -191,6 +191,38 @@ def test_a_folder_of_logs_is_scanned_and_routed(spark, tmp_path):
         sources.read_weather(spark, str(tmp_path / "none.json"), ["T2M"])
 
 
+def test_many_logs_are_one_scan(spark, tmp_path):
+    from fieldloom import sources
+
+    want = {}
+    for i in range(150):
+        name, rows = f"a {i} {('moisture', 'valve', 'flow', 'x+y')[i % 4]}.{'txt' if i % 2 else 'csv'}", []
+        for h in range(i % 5 + 1):
+            time, value = (f"0{h + 1}-Jul-2022 00:03:51", str(h + i)) if i % 3 else (str(1657584000 + 60 * h), str(h + 5))
+            rows.append(f"{value} , {time}" if i % 7 else f"{time},{value}")
+        (tmp_path / name).write_text("p,q\n" + "\n".join(rows) + "\n")
+        want[name] = sum(float(v) for v in ([h + i for h in range(i % 5 + 1)] if i % 3 else [h + 5 for h in range(i % 5 + 1)]))
+    (tmp_path / "empty flow.csv").write_text("p,q\n")
+    spark.sparkContext.setJobGroup("scan", "")
+    got = sources.scan_logs(spark, str(tmp_path)).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("scan"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 6
+    sums, channels = {}, {}
+    for r in got:
+        name = r["log"].rsplit("/", 1)[-1]
+        sums[name] = sums.get(name, 0.0) + r["value"]
+        channels[name] = r["channel"]
+        assert r["ts"].year == 2022
+    assert sums == want
+    assert all(channels[n] == sources.channel_of(n) for n in want) and None in channels.values()
+    (tmp_path / "wide flow.csv").write_text("p,q,r\n1,2022-07-12 00:00:00,4\n")
+    (tmp_path / "both flow.csv").write_text("p,q\n1,2\n")
+    with pytest.raises(ValueError):
+        sources.scan_logs(spark, str(tmp_path))
+    assert len(sources.scan_logs(spark, str(tmp_path), doubtful="drop").collect()) == len(got)
+
+
 def test_both_numeric_columns_need_one_that_reads_as_time(spark):
     from fieldloom import sources
 
