@@ -22,7 +22,7 @@ double and values nested deeper than ``MAX_DEPTH`` are invalid and serialised as
 surrogate is serialised as its escape; a repeated (conv_id, call_id) keeps its first row by turn;
 a result without a call and a call without a conv_id or call_id give no link (the former no row,
 the latter a row with a null level); an unknown name, or one whose schema is not a JSON object,
-is invalid; of several schemas for one name the smallest text counts; a null turn sorts first;
+is invalid; a turn of JSON that names no call and answers none is prose like any other; of several schemas for one name the smallest text counts; a null turn sorts first;
 empty tables give an empty result; other columns are ignored.
 """
 
@@ -275,14 +275,24 @@ SCHEMAS = [
 ENVELOPE = "tool_calls array<struct<id:string, name:string, arguments:string, depends_on:array<string>>>, tool_call_id string, content string"
 
 
+def with_envelope(conversations: DataFrame) -> DataFrame:
+    """Adds ``_m``, what a turn's JSON says of calls or of a call that it answers; NULL where the turn is no envelope.
+
+    A turn that begins with a brace but holds neither calls nor an identifier (other JSON, or none at all) is prose.
+    """
+    said = F.when(F.col("text").rlike("^\\s*\\{"), F.from_json("text", ENVELOPE))
+    calls = F.size(F.filter(F.coalesce("_m.tool_calls", F.array()), lambda c: c.isNotNull()))
+    rows = conversations.select("conv_id", "turn", "role", "text", said.alias("_m"))
+    return rows.withColumn("_m", F.when(F.col("_m.tool_call_id").isNotNull() | (calls > 0), F.col("_m")))
+
+
 def read_messages(conversations: DataFrame) -> DataFrame:
-    """Calls and results by the identifiers that turns hold (``conv_id, turn, text``).
+    """Calls and results by the identifiers that turns hold (``conv_id, turn, role, text``).
 
     A turn whose text is ``{"tool_calls": [{"id", "name", "arguments", "depends_on"}]}`` makes calls (arguments
     are an object or a JSON string); one that is ``{"tool_call_id", "content"}`` answers the call of that id.
     """
-    turns = conversations.filter(F.col("text").rlike("^\\s*\\{")).select("conv_id", "turn",
-        F.from_json("text", ENVELOPE).alias("m"))
+    turns = with_envelope(conversations).select("conv_id", "turn", F.col("_m").alias("m"))
     calls = turns.select("conv_id", "turn", F.explode("m.tool_calls").alias("c")).select("conv_id", "turn",
         F.lit("call").alias("role"), F.col("c.id").alias("call_id"), "c.name", "c.arguments", "c.depends_on",
         F.lit(None).cast("string").alias("content"))
@@ -322,6 +332,6 @@ def messages_of(conversations: DataFrame) -> DataFrame:
 
 def op6_query(spark: SparkSession, conversations: DataFrame) -> DataFrame:
     schemas = spark.createDataFrame([(n, json.dumps(s)) for n, s in SCHEMAS], "name string, schema string")
-    prose = conversations.filter(F.col("text").isNull() | ~F.col("text").rlike("^\\s*\\{"))
+    prose = with_envelope(conversations).filter("_m is null").drop("_m")
     return link_tool_calls(read_messages(conversations).union(messages_of(prose)), schemas).withColumn("problems",
         F.array_join("problems", "; "))
