@@ -6,7 +6,7 @@ import pytest
 
 from fieldloom.llm import toolcalls
 
-TURN = "conv_id long, turn int, role string, text string"
+TURN = "conv_id long, turn long, role string, text string"
 
 
 @pytest.mark.parametrize("text", ['{"hello": 1}', "{broken", '{"k": 2}', '{"tool_calls": {"id": "x"}}', '{"tool_calls": []}',
