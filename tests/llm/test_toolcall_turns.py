@@ -16,7 +16,7 @@ def test_other_json_is_prose(spark, text):
     d = spark.createDataFrame(rows, TURN)
     assert toolcalls.read_messages(d).count() == 0
     got = {r["call_id"]: r for r in toolcalls.op6_query(spark, d).collect()}
-    assert set(got) == {"call_1", "call_3"} and got["call_1"]["answered"] and got["call_1"]["level"] == 0
+    assert set(got) == {"call_1", "call_3"} and got["call_1"]["result_turn"] == 2 and got["call_1"]["level"] == 0
     # The call that depends on it has a level too.
     plain = spark.createDataFrame([(c, t, r, "words" if t == 1 else x) for c, t, r, x in rows], TURN)
     levels = lambda q: {r["call_id"]: r["level"] for r in toolcalls.op6_query(spark, q).collect()}
@@ -28,4 +28,4 @@ def test_envelopes_are_not_prose(spark):
     answer = json.dumps({"tool_call_id": "a", "content": "found"})
     d = spark.createDataFrame([(1, 0, "assistant", call), (1, 1, "user", answer), (1, 2, "user", "{x}")], TURN)
     got = toolcalls.op6_query(spark, d).collect()
-    assert [(r["call_id"], r["answered"], r["result_turn"]) for r in got] == [("a", True, 1)]
+    assert [(r["call_id"], r["result_turn"]) for r in got] == [("a", 1)]
