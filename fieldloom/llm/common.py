@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checkpointed, shared_folder
 
-__all__ = ["checkpointed", "fold", "shared_folder", "table"]
+__all__ = ["checkpointed", "fold", "give_back", "shared_folder", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,3 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold(doc_id: str, parts: int):
     """crc32 of the id as text, modulo ``parts``: the split into learning and held-out rows."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(parts))
+
+
+def give_back() -> None:
+    """Returns this process's freed memory to the system; allocators keep the holes that large arrays leave."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

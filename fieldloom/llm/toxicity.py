@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import fold
+from .common import fold, give_back
 
 BITS, NGRAMS = 18, (4, 6)
 DIM, WIDTH = 1 << BITS, 4
@@ -179,6 +179,12 @@ def _fit(bucket: np.ndarray, word: np.ndarray, n_words: int, doc_word: np.ndarra
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 3,
     held: int = 1) -> ToxicityModel | None:
     """Learns from labelled rows whose fold is not ``held``; None without both classes."""
+    model = _learn(docs, labels, sample, folds, held)
+    give_back()
+    return model
+
+
+def _learn(docs: DataFrame, labels: DataFrame, sample: int, folds: int, held: int) -> ToxicityModel | None:
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held))
     ids = usable.select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).cast("int").alias("_toxic"))
     n_labels, n_toxic = ids.agg(F.count(F.lit(1)), F.coalesce(F.sum("_toxic"), F.lit(0))).first()
