@@ -231,6 +231,33 @@ def _(spark, d):
     return _seeded(spark, d).select("model", "seed", "fold", *_M.split(", "), "n_test", "n_positive")
 
 
+@query(
+    "logistic_one_feature",
+    f"""WITH RECURSIVE {ASSIGNED_SQL}, {_newton_sql('soil_moisture_lag1h')} SELECT 'logistic' AS model, fold, row_id,
+  CAST(label AS BIGINT) AS label, round(1 / (1 + exp(-(b0 + b1 * soil_moisture_lag1h))), 6) AS score
+  FROM ass JOIN fit USING (fold) WHERE role = 'test'""",
+)
+def _(spark, d):
+    """Out-of-fold scores of the logistic model on one column, all folds fitted together, against a recursive query."""
+    rows = narrow_rows(spark, d)
+    folds = splits.rolling_origin(rows.count(), 5)
+    tasks = protocols.tasks_of(folds, [models.ModelSpec("logistic")], ["soil_moisture_lag1h"])
+    return protocols.scored_tasks(rows, tasks).select("model", "fold", "row_id", "label", "score")
+
+
+@query(
+    "nested_parameters",
+    f"""WITH {SCORED_SQL}, n0 AS (SELECT model, fold, pr_auc AS value, 'depth=' || (fold % 3) AS sp FROM res
+  WHERE seed = 1), s AS ({_summary_sql('n0', 'model')}), c AS (SELECT model,
+  string_agg(fold || ': ' || sp, ' | ' ORDER BY fold) AS params_by_fold FROM n0 GROUP BY model)
+SELECT model, n, degenerate, {_r("mean, std, half_width, ci_low, ci_high")}, params_by_fold FROM s JOIN c USING (model)""",
+)
+def _(spark, d):
+    """The summary of a nested selection, with the parameters chosen in each fold."""
+    chosen = F.concat(F.lit("depth="), (F.col("fold") % 3).cast("string"))
+    return protocols.nested_summary(results(spark, d).filter("seed = 1").withColumn("selected_params", chosen))
+
+
 @query("seeds_trained")
 def _(spark, d):
     """Trees that draw rows and columns, under ten seeds: fifty fits in the passes of one."""
