@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fitted rates are kept off 0 and 1 by this much.
+#: Fixed value: fitted rates are kept off 0 and 1 by this much.
 EDGE = 1e-6
 KEPT = ("fold", "row_id", "label", "score", "predicted")
 
@@ -147,7 +147,7 @@ def skipped_rules(names: list[str]) -> dict[str, list[str]]:
 # ---- pyspark.ml models ------------------------------------------------------------------
 
 
-#: Two profiles of boosted trees: greedy and exact, or binned finely with larger leaves and a draw of rows and features.
+#: Parameters of two profiles of boosted trees, greedy and exact, or binned finely with larger leaves and a draw of rows and features.
 DEFAULTS = {"n_estimators": 200, "max_depth": 6, "learning_rate": 0.1}
 PROFILES = {
     "gbt_a": {"min_child_weight": 1, "subsample": 1.0, "features": "all", "bins": 32},
