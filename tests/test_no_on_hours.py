@@ -31,3 +31,8 @@ def test_ablation_trained_has_no_rows(quiet, spark):
     """No hour knows its last ON hour, so no row of the design matrix is complete."""
     got = QUERIES["ablation_trained"](spark, quiet)
     assert got.count() == 0 and {"feature_set", "model", "mean", "n_rows"} <= set(got.columns)
+
+
+def test_trained_on_design_matrix_has_no_rows(quiet, spark):
+    got = QUERIES["trained_on_design_matrix"](spark, quiet)
+    assert got.count() == 0 and {"model", "seed", "fold", "pr_auc"} <= set(got.columns)
