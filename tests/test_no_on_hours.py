@@ -36,3 +36,8 @@ def test_ablation_trained_has_no_rows(quiet, spark):
 def test_trained_on_design_matrix_has_no_rows(quiet, spark):
     got = QUERIES["trained_on_design_matrix"](spark, quiet)
     assert got.count() == 0 and {"model", "seed", "fold", "pr_auc"} <= set(got.columns)
+
+
+def test_ablation_has_no_rows(quiet, spark):
+    got = QUERIES["ablation"](spark, quiet)
+    assert got.count() == 0 and {"feature_set", "n_features", "model", "fold", "n_test"} <= set(got.columns)
