@@ -41,3 +41,8 @@ def test_trained_on_design_matrix_has_no_rows(quiet, spark):
 def test_ablation_has_no_rows(quiet, spark):
     got = QUERIES["ablation"](spark, quiet)
     assert got.count() == 0 and {"feature_set", "n_features", "model", "fold", "n_test"} <= set(got.columns)
+
+
+def test_ablation_summary_has_no_rows(quiet, spark):
+    got = QUERIES["ablation_summary"](spark, quiet)
+    assert got.count() == 0 and {"feature_set", "model", "n_features", "n", "mean", "n_rows"} <= set(got.columns)
