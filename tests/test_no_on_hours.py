@@ -46,3 +46,21 @@ def test_ablation_has_no_rows(quiet, spark):
 def test_ablation_summary_has_no_rows(quiet, spark):
     got = QUERIES["ablation_summary"](spark, quiet)
     assert got.count() == 0 and {"feature_set", "model", "n_features", "n", "mean", "n_rows"} <= set(got.columns)
+
+
+def test_best_against_baseline_tells_that_no_draw_holds_both_classes(quiet, spark):
+    r = QUERIES["best_against_baseline"](spark, quiet).collect()
+    assert [(x["model_a"], x["model_b"], x["difference"], x["ci_low"], x["ci_high"], x["p_value"], x["n_valid"])
+        for x in r] == [("gbt_a", "logistic", None, None, None, 1.0, 0)]
+
+
+def test_no_draws_are_an_error_only_if_strict(spark):
+    one = spark.createDataFrame([(i, 0, float(i), float(-i)) for i in range(30)], "row_id long, label int, a double, b double")
+    with pytest.raises(ValueError, match="one class"):
+        stats.bootstrap_difference(one, 5, 4)
+    for rows in (one, one.filter("row_id < 0")):
+        assert stats.bootstrap_difference(rows, 5, 4, strict=False).collect() == [(None, None, None, 1.0, 0)]
+    two = spark.createDataFrame([(i, int(i == 0), float(i), float(-i)) for i in range(200)],
+        "row_id long, label int, a double, b double")
+    r = stats.bootstrap_difference(two, 2, 190, strict=False).first()
+    assert r["difference"] == -1.0 and r["n_valid"] < 2
