@@ -64,3 +64,8 @@ def test_no_draws_are_an_error_only_if_strict(spark):
         "row_id long, label int, a double, b double")
     r = stats.bootstrap_difference(two, 2, 190, strict=False).first()
     assert r["difference"] == -1.0 and r["n_valid"] < 2
+
+
+def test_comparison_document_shows_no_difference_of_one_class(quiet, spark):
+    got = QUERIES["comparison_document"](spark, quiet).collect()
+    assert got == [(1.0, "no difference shown (p 1.0000)")]
