@@ -69,3 +69,9 @@ def test_no_draws_are_an_error_only_if_strict(spark):
 def test_comparison_document_shows_no_difference_of_one_class(quiet, spark):
     got = QUERIES["comparison_document"](spark, quiet).collect()
     assert got == [(1.0, "no difference shown (p 1.0000)")]
+
+
+def test_bootstrap_ci_of_one_class_is_undefined(quiet, spark):
+    """As its SQL has it: NaN pairs, no bounds, no draw."""
+    r = QUERIES["bootstrap_ci"](spark, quiet).first()
+    assert math.isnan(r["difference"]) and (r["ci_low"], r["ci_high"], r["p_value"], r["n_valid"]) == (None, None, 1.0, 0)
