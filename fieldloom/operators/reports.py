@@ -19,14 +19,15 @@ def parameter_text(params: dict) -> str:
 
 
 def dominance_document(by_fold: DataFrame, totals: dict[str, int], rule: float = 0.5) -> DataFrame:
-    """One row: dominance by fold, flagged folds, the largest episode and its share of each total."""
+    """One row: dominance by fold, flagged folds, the largest episode and its share of each total (NULL of a total of 0)."""
     rounded = F.round("dominance", 4)
     entries = F.array_sort(F.collect_list(F.struct(F.col("fold").cast("string").alias("fold"),
         rounded.alias("dominance"))))
     flagged = F.array_sort(F.collect_list(F.when(F.col("dominance") > rule, F.col("fold"))))
     out = by_fold.agg(F.map_from_entries(entries).alias("dominance_by_fold"), flagged.alias("flagged_folds"),
         F.max("largest_episode").alias("largest_episode"))
-    shares = [F.round(F.col("largest_episode") / F.lit(float(n)), 4).alias(name) for name, n in totals.items() if n]
+    shares = [(F.round(F.col("largest_episode") / F.lit(float(n)), 4) if n else F.lit(None).cast("double")).alias(name)
+        for name, n in totals.items()]
     return out.withColumn("largest_episode_share", F.struct(*shares)).withColumn("rule",
         F.lit(rule)) if shares else out.withColumn("rule", F.lit(rule))
 

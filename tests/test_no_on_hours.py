@@ -75,3 +75,10 @@ def test_bootstrap_ci_of_one_class_is_undefined(quiet, spark):
     """As its SQL has it: NaN pairs, no bounds, no draw."""
     r = QUERIES["bootstrap_ci"](spark, quiet).first()
     assert math.isnan(r["difference"]) and (r["ci_low"], r["ci_high"], r["p_value"], r["n_valid"]) == (None, None, 1.0, 0)
+
+
+def test_dominance_document_without_positives(quiet, spark):
+    r = QUERIES["dominance_document"](spark, quiet).first()
+    assert (r["by_fold"], r["flagged"], r["largest_episode"]) == (None, "", 0) and math.isnan(r["share"])
+    d = spark.createDataFrame([(1, 0.5, 3)], "fold int, dominance double, largest_episode long")
+    assert reports.dominance_document(d, {"a": 0, "b": 6}).first()["largest_episode_share"].asDict() == {"a": None, "b": 0.5}
