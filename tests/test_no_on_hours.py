@@ -82,3 +82,8 @@ def test_dominance_document_without_positives(quiet, spark):
     assert (r["by_fold"], r["flagged"], r["largest_episode"]) == (None, "", 0) and math.isnan(r["share"])
     d = spark.createDataFrame([(1, 0.5, 3)], "fold int, dominance double, largest_episode long")
     assert reports.dominance_document(d, {"a": 0, "b": 6}).first()["largest_episode_share"].asDict() == {"a": None, "b": 0.5}
+
+
+def test_onset_trained_has_no_rows(quiet, spark):
+    got = QUERIES["onset_trained"](spark, quiet)
+    assert got.count() == 0 and {"model", "metric", "mean", "n_onsets"} <= set(got.columns)
