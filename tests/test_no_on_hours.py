@@ -87,3 +87,8 @@ def test_dominance_document_without_positives(quiet, spark):
 def test_onset_trained_has_no_rows(quiet, spark):
     got = QUERIES["onset_trained"](spark, quiet)
     assert got.count() == 0 and {"model", "metric", "mean", "n_onsets"} <= set(got.columns)
+
+
+def test_onset_protocol_has_no_rows(quiet, spark):
+    got = QUERIES["onset_protocol"](spark, quiet)
+    assert got.count() == 0 and {"model", "metric", "n_folds_scored", "n_rows", "n_onsets"} <= set(got.columns)
