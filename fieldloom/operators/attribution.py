@@ -141,6 +141,17 @@ def tree_contributions(model, rows: DataFrame, names: list[str], folder: str) ->
         "row_id long, feature string, value double, contribution double, base double")
 
 
+def fitted_contributions(fitted, rows: DataFrame, names: list[str], folder: str) -> DataFrame:
+    """The same of what ``models.fit`` returns: a fit of one class moves with no feature, so the base is its raw score."""
+    if not fitted.degenerate:
+        return tree_contributions(fitted.model.stages[-1], rows, names, folder)
+    # Boosted trees give the probability 1 / (1 + exp(-2 * raw)).
+    raw = math.log(fitted.constant / (1 - fitted.constant)) / 2
+    parts = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names])
+    return rows.select("row_id", F.explode(parts).alias("c")).select("row_id", "c.*", F.lit(0.0).alias("contribution"),
+        F.lit(raw).alias("base"))
+
+
 def column_medians(rows: DataFrame, names: list[str]) -> DataFrame:
     """(feature, median), exact, in one pass."""
     parts = F.array(*[F.struct(F.lit(n).alias("feature"), F.percentile(n, F.lit(0.5)).alias("median")) for n in names])

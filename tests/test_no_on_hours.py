@@ -92,3 +92,20 @@ def test_onset_trained_has_no_rows(quiet, spark):
 def test_onset_protocol_has_no_rows(quiet, spark):
     got = QUERIES["onset_protocol"](spark, quiet)
     assert got.count() == 0 and {"model", "metric", "n_folds_scored", "n_rows", "n_onsets"} <= set(got.columns)
+
+
+def test_tree_attribution_of_one_class_is_its_base(quiet, spark):
+    got = QUERIES["tree_attribution"](spark, quiet).collect()
+    # 71 complete hours: the last of five folds tests eleven.
+    assert len(got) == 11 * len(NARROW) and {r["feature"] for r in got} == set(NARROW)
+    assert {r["contribution"] for r in got} == {0.0} and all(r["value"] is not None for r in got)
+    assert all(abs(1 / (1 + math.exp(-2 * r["base"])) - models.EDGE) < 1e-7 for r in got)
+
+
+def test_contributions_of_a_fit_of_both_classes_are_those_of_its_trees(spark, tmp_path):
+    rows = checkpointed(spark.range(60).select(F.col("id").alias("row_id"), (F.col("id") % 3 == 0).cast("int").alias("label"),
+        (F.col("id") % 3).cast("double").alias("x")))
+    fitted = models.fit(models.ModelSpec("gbt_a", {"n_estimators": 2, "max_depth": 2}), rows, ["x"])
+    a = attribution.fitted_contributions(fitted, rows, ["x"], str(tmp_path / "a"))
+    b = attribution.tree_contributions(fitted.model.stages[-1], rows, ["x"], str(tmp_path / "b"))
+    assert a.schema.names == b.schema.names and sorted(a.collect()) == sorted(b.collect())
