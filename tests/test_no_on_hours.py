@@ -109,3 +109,8 @@ def test_contributions_of_a_fit_of_both_classes_are_those_of_its_trees(spark, tm
     a = attribution.fitted_contributions(fitted, rows, ["x"], str(tmp_path / "a"))
     b = attribution.tree_contributions(fitted.model.stages[-1], rows, ["x"], str(tmp_path / "b"))
     assert a.schema.names == b.schema.names and sorted(a.collect()) == sorted(b.collect())
+
+
+def test_variant_summary_has_no_rows(quiet, spark):
+    got = QUERIES["variant_summary"](spark, quiet)
+    assert got.count() == 0 and {"comparison", "variant", "n_rows", "mean"} <= set(got.columns)
