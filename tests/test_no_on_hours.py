@@ -114,3 +114,8 @@ def test_contributions_of_a_fit_of_both_classes_are_those_of_its_trees(spark, tm
 def test_variant_summary_has_no_rows(quiet, spark):
     got = QUERIES["variant_summary"](spark, quiet)
     assert got.count() == 0 and {"comparison", "variant", "n_rows", "mean"} <= set(got.columns)
+
+
+def test_variants_as_available_has_no_rows(quiet, spark):
+    got = QUERIES["variants_as_available"](spark, quiet)
+    assert got.count() == 0 and {"variant", "n_rows", "model", "fold", "comparison"} <= set(got.columns)
