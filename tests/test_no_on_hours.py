@@ -119,3 +119,8 @@ def test_variant_summary_has_no_rows(quiet, spark):
 def test_variants_as_available_has_no_rows(quiet, spark):
     got = QUERIES["variants_as_available"](spark, quiet)
     assert got.count() == 0 and {"variant", "n_rows", "model", "fold", "comparison"} <= set(got.columns)
+
+
+def test_variants_on_common_rows_has_no_rows(quiet, spark):
+    got = QUERIES["variants_on_common_rows"](spark, quiet)
+    assert got.count() == 0 and {"variant", "n_rows", "model", "fold", "comparison"} <= set(got.columns)
