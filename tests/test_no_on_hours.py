@@ -124,3 +124,8 @@ def test_variants_as_available_has_no_rows(quiet, spark):
 def test_variants_on_common_rows_has_no_rows(quiet, spark):
     got = QUERIES["variants_on_common_rows"](spark, quiet)
     assert got.count() == 0 and {"variant", "n_rows", "model", "fold", "comparison"} <= set(got.columns)
+
+
+def test_variants_trained_has_no_rows(quiet, spark):
+    got = QUERIES["variants_trained"](spark, quiet)
+    assert got.count() == 0 and {"variant", "model", "mean", "n"} <= set(got.columns)
