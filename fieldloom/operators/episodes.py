@@ -58,12 +58,14 @@ def bin_labels(edges: tuple[int, ...] = EDGES) -> list[str]:
 
 def episode_histogram(df: DataFrame, keys: list[str], target: str = "irrigation_event",
     edges: tuple[int, ...] = EDGES) -> DataFrame:
-    """Episodes by duration bin, empty bins included: one pass of conditional counts, then unpivoted."""
+    """Each key's episodes by duration bin, empty bins and keys without episodes included: conditional counts, then unpivoted."""
+    # The hours that are not ON are a group as well: it keeps the key and falls in no bin.
+    runs = with_labels(df, keys, target).groupBy(*keys, "episode").agg(F.count("episode").alias("length_hours"))
     n = F.col("length_hours")
     bins = [F.struct(F.lit(i).alias("bin"), F.lit(label).alias("label"),
         F.count_if((n >= a) & ((n < edges[i + 1]) if i + 1 < len(edges) else F.lit(True))).alias("n")) for i,
         (a, label) in enumerate(zip(edges, bin_labels(edges)))]
-    counted = episodes(df, keys, target).groupBy(*keys).agg(F.array(*bins).alias("b"))
+    counted = runs.groupBy(*keys).agg(F.array(*bins).alias("b"))
     return counted.select(*keys, F.explode("b").alias("b")).select(*keys, "b.*")
 
 

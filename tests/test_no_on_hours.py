@@ -129,3 +129,14 @@ def test_variants_on_common_rows_has_no_rows(quiet, spark):
 def test_variants_trained_has_no_rows(quiet, spark):
     got = QUERIES["variants_trained"](spark, quiet)
     assert got.count() == 0 and {"variant", "model", "mean", "n"} <= set(got.columns)
+
+
+def test_episode_histogram_keeps_all_bins_without_episodes(quiet, spark):
+    """The operator counts 0; the query has the NULL of its SQL's count_if over no rows."""
+    got = QUERIES["episode_histogram"](spark, quiet).orderBy("bin").collect()
+    assert [(r["site"], r["bin"], r["label"], r["n"]) for r in got] == [(0, i, n, None) for i, n in enumerate(episodes.bin_labels())]
+    hours = [(s, h, s * (h % 4 != 0)) for s in (0, 1) for h in range(8)]
+    two = spark.createDataFrame(hours, "site int, h int, irrigation_event int").withColumn("ts",
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, h)"))
+    rows = episodes.episode_histogram(two, ["site"]).filter("n > 0 or bin = 0").orderBy("site", "bin").collect()
+    assert [(r["site"], r["label"], r["n"]) for r in rows] == [(0, "1", 0), (1, "1", 0), (1, "3-5", 2)]
