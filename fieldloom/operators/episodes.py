@@ -37,7 +37,7 @@ def episodes(df: DataFrame, keys: list[str], target: str = "irrigation_event") -
 
 
 def episode_summary(df: DataFrame, keys: list[str], target: str = "irrigation_event") -> DataFrame:
-    """Counts and length statistics of each key's episodes; the deviation of one episode is 0."""
+    """Counts and length statistics of each key's episodes; the deviation of one episode or none is 0."""
     found = episodes(df, keys, target)
     n = F.col("length_hours")
     q = F.percentile(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
@@ -48,7 +48,8 @@ def episode_summary(df: DataFrame, keys: list[str], target: str = "irrigation_ev
     )
     total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_hours"), F.count_if(_on(target)).alias("on_hours"),
         F.count_if(F.col(target).isNull()).alias("unknown_hours"))
-    return total.join(lengths, keys, "left").withColumn("n_episodes", F.coalesce("n_episodes", F.lit(0)))
+    return total.join(lengths, keys, "left").withColumns({"n_episodes": F.coalesce("n_episodes", F.lit(0)),
+        "std_hours": F.coalesce("std_hours", F.lit(0.0))})
 
 
 def bin_labels(edges: tuple[int, ...] = EDGES) -> list[str]:

@@ -140,3 +140,8 @@ def test_episode_histogram_keeps_all_bins_without_episodes(quiet, spark):
         F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, h)"))
     rows = episodes.episode_histogram(two, ["site"]).filter("n > 0 or bin = 0").orderBy("site", "bin").collect()
     assert [(r["site"], r["label"], r["n"]) for r in rows] == [(0, "1", 0), (1, "1", 0), (1, "3-5", 2)]
+
+
+def test_episode_summary_without_episodes(quiet, spark):
+    r = QUERIES["episode_summary"](spark, quiet).first()
+    assert (r["n_episodes"], r["on_hours"], r["n_hours"], r["std_hours"], r["mean_hours"]) == (0, 0, 72, 0.0, None)
