@@ -47,35 +47,36 @@ def _widths(first: int, last: int, min_size: int) -> np.ndarray:
     return np.clip(bits, min_size + 1, LONGEST).astype(np.int64)
 
 
-def lzw_codes(samples: bytes) -> list[int]:
+def lzw_codes(samples: bytes) -> np.ndarray:
     """Codes of eight-bit samples; a clear code follows once the table is full."""
+    # Codes are held eight bits up, so that a sample joins one by a single operation.
     table: dict[int, int] = {}
-    find, free, prefix = table.get, 258, samples[0]
-    codes = [256]
+    first, full = 258 << 8, 1 << LONGEST + 8
+    free, prefix = first, samples[0] << 8
+    codes = [256 << 8]
     put = codes.append
     for sample in samples[1:]:
-        key = prefix << 8 | sample
-        code = find(key)
-        if code is not None:
-            prefix = code
+        key = prefix | sample
+        if key in table:
+            prefix = table[key]
             continue
         put(prefix)
-        if free < 1 << LONGEST:
+        if free < full:
             table[key] = free
-            free += 1
+            free += 256
         else:
-            put(256)
+            put(256 << 8)
             table.clear()
-            free = 258
-        prefix = sample
+            free = first
+        prefix = sample << 8
     put(prefix)
-    put(257)
-    return codes
+    put(257 << 8)
+    return np.array(codes, np.int64) >> 8
 
 
 def lzw_encode(samples: bytes) -> bytes:
     """A code stream that any decoder reads: growing codes, lowest bit first."""
-    codes = np.array(lzw_codes(samples), np.int64)
+    codes = lzw_codes(samples)
     clears = np.flatnonzero(codes == 256)
     width = np.full(len(codes), 9)
     for start, stop in zip(clears + 1, np.append(clears[1:] + 1, len(codes))):
@@ -90,6 +91,57 @@ def lzw_encode(samples: bytes) -> bytes:
     return out[:-2].astype(np.uint8).tobytes()
 
 
+class _Section:
+    """What the codes since a clear code stand for. Entry ``j`` of the table is the string of code number ``j`` and the sample after it."""
+
+    def __init__(self, clear: int):
+        self.clear = clear
+        self.seen = self.size = 0
+        self.parts: list[np.ndarray] = []
+        self.starts = self.lengths = np.zeros(0, np.int64)  # of the strings that can be entries
+        self.samples = np.zeros(0, np.uint8)  # those that entries are copied from
+
+    def add(self, codes: np.ndarray, room: int) -> None:
+        """Appends the samples of further codes, up to the first that fills ``room``."""
+        if (codes > self.clear + 1 + self.seen + np.arange(len(codes))).any():
+            raise ValueError("a code before its string")
+        entry = codes - (self.clear + 2)
+        known = len(self.lengths)
+        # A string is a sample longer than the one that its entry began with: lengths add up along the chain of entries.
+        length = np.ones(len(codes), np.int64)
+        old = (entry >= 0) & (entry < known)
+        length[old] += self.lengths[entry[old]]
+        above = np.where(entry >= known, entry - known, -1)
+        while (inner := np.flatnonzero(above >= 0)).size:
+            length[inner], above[inner] = length[inner] + length[above[inner]], above[above[inner]]
+        ends = np.cumsum(length)
+        kept = int(np.searchsorted(ends, room)) + 1
+        entry, length, ends = entry[:kept], length[:kept], ends[:kept]
+        before, n = self.size, int(ends[-1])
+        starts = before + ends - length
+        self.starts = np.append(self.starts, starts)[: 1 << LONGEST]
+        self.lengths = np.append(self.lengths, length)[: 1 << LONGEST]
+        # Every sample of a string is copied from an earlier one; the copies are followed to where they begin.
+        root = entry < 0
+        shift = np.where(root, 0, starts - self.starts[np.maximum(entry, 0)])
+        source = np.arange(n) - np.repeat(shift, length)
+        out = np.zeros(n, np.uint8)
+        out[starts[root] - before] = codes[:kept][root]
+        past = np.flatnonzero(source < 0)
+        out[past] = self.samples[source[past] + before]
+        source[past] = past
+        while True:
+            further = source[source]
+            if np.array_equal(further, source):
+                break
+            source = further
+        self.parts.append(out[source])
+        if known < 1 << LONGEST:
+            self.samples = np.append(self.samples, self.parts[-1])
+        self.seen += len(codes)
+        self.size += n
+
+
 def lzw_decode(data: bytes, min_size: int, limit: int) -> np.ndarray:
     """The samples of an LZW code stream, at most ``limit``; a stream that just ends gives what it has."""
     if not 1 <= min_size <= 8:
@@ -97,12 +149,12 @@ def lzw_decode(data: bytes, min_size: int, limit: int) -> np.ndarray:
     clear, stop = 1 << min_size, (1 << min_size) + 1
     padded = np.zeros(len(data) + 4, np.int64)
     padded[: len(data)] = np.frombuffer(data, np.uint8)
-    roots = [bytes([i]) for i in range(clear)] + [b"", b""]
-    strings, last, seen = list(roots), None, 0
-    out, size, bit = [], 0, 0
-    while size < limit:
+    section, done, size, bit = _Section(clear), [], 0, 0
+    if len(data) > 1 and (padded[0] | padded[1] << 8) & (1 << min_size + 1) - 1 == clear:
+        bit = min_size + 1  # a stream begins with a clear code as a rule
+    while size + section.size < limit:
         # The places of codes are known up to the next clear code.
-        width = _widths(seen, seen + 1024, min_size)
+        width = _widths(section.seen, section.seen + min(4096, (8 * len(data) - bit) // (min_size + 1)), min_size)
         ends = bit + np.cumsum(width)
         width, ends = width[ends <= 8 * len(data)], ends[ends <= 8 * len(data)]
         if not len(ends):
@@ -113,30 +165,16 @@ def lzw_decode(data: bytes, min_size: int, limit: int) -> np.ndarray:
         codes = word >> (start & 7) & (1 << width) - 1
         marks = np.flatnonzero((codes == clear) | (codes == stop))
         n = int(marks[0]) if len(marks) else len(codes)
-        for code in codes[:n].tolist():
-            if last is None:
-                if code >= clear:
-                    raise ValueError("a code before its string")
-                s = strings[code]
-            else:
-                if code < len(strings):
-                    s = strings[code]
-                elif code == len(strings):
-                    s = last + last[:1]
-                else:
-                    raise ValueError("a code before its string")
-                if len(strings) < 1 << LONGEST:
-                    strings.append(last + s[:1])
-            out.append(s)
-            size += len(s)
-            last = s
+        if n:
+            section.add(codes[:n], limit - size - section.size)
+        bit = int(ends[min(n, len(codes) - 1)])
         if n < len(codes):
             if codes[n] == stop:
                 break
-            strings, last, seen, bit = list(roots), None, 0, int(ends[n])
-        else:
-            seen, bit = seen + n, int(ends[-1])
-    return np.frombuffer(b"".join(out)[:limit], np.uint8)
+            done += section.parts
+            size += section.size
+            section = _Section(clear)
+    return np.concatenate([*done, *section.parts, np.zeros(0, np.uint8)])[:limit]
 
 
 def encode(payload: bytes) -> bytes:
