@@ -9,7 +9,7 @@ weighted probability is ``P_w = (P_e + product of P_w over longer contexts) / 2`
 gives one table: the log-probability of each byte after each context. A text's score is the
 sum over its bytes and an end mark; the code length per byte follows from it.
 
-Texts are dealt by hash into parts of about ``PART`` bytes. Each part counts its distinct
+Texts are packed where they are read into parts of about ``PART`` bytes, written once. Each part counts its distinct
 (context, byte) grams of ``ORDER`` bytes once, and packs them by the last ``TOP + 1`` bytes of
 the context into shards. A shard merges the parts' counts and weights the contexts longer than
 ``TOP``; every observed context has a node, however rare, so the model grows with the corpus.
@@ -22,9 +22,9 @@ no task holds the whole model.
 for callers who need one in memory: there, contexts longer than two bytes with less than one in
 ``2**RARE_BITS`` of all training bytes share a branch. The query does not use it.
 
-``base``: the unigram model of the contract. Word counts are exact over the training text.
-Words with at least one in ``FREQUENT`` of all tokens (so at most that many) are looked up from
-a broadcast; all others meet their counts in a shuffle join on a 64-bit hash.
+``base``: the unigram model of the contract. Word counts are exact over the training text. They
+go the way of the grams: a part has each of its words once, as a 64-bit hash, shards by ranges
+of the hash add the parts' counts up, and each part gets back the counts of its own words.
 
 Edge cases: a null text is empty (only the end token); repeated rows count each; a null doc_id
 is in no fold, trains nothing and is scored; with nothing to learn from, every byte has
@@ -45,7 +45,7 @@ from . import kernels as K
 from .common import checkpointed, fold
 
 #: Depth and pooling of the table of fixed size.
-DEPTH, RARE_BITS, FREQUENT = 5, 16, 1 << 17
+DEPTH, RARE_BITS = 5, 16
 #: Bytes of context of the query's tree; contexts of up to ``TOP`` are weighted on the driver.
 ORDER, TOP = 6, 2
 #: Bytes of text that are counted and scored together.
@@ -341,13 +341,35 @@ def _unpack(raw: bytes, n: int, kind) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
 
 
+def _pack_planes(x: np.ndarray) -> bytes:
+    """For values whose high bytes say little: all first bytes, then all second ones, and so on."""
+    return _pack(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T)
+
+
+def _unpack_planes(raw: bytes, n: int, kind) -> np.ndarray:
+    planes = _unpack(raw, n * np.dtype(kind).itemsize, np.uint8)
+    return np.ascontiguousarray(planes.reshape(-1, n).T).view(kind).ravel() if n else np.zeros(0, kind)
+
+
+def _words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every token: the words, then an end a row."""
+    rows = len(offs) - 1
+    hashes, row, _ = K.words(raw, offs)
+    return (np.concatenate((hashes.view(np.int64), np.full(rows, END_HASH))),
+        np.concatenate((row, np.arange(rows))))
+
+
+def _word_shard(words: np.ndarray, shards: int) -> np.ndarray:
+    """Shards of words are ranges of their hashes; they are numbered after those of the grams."""
+    return shards + (((words >> 32) + (1 << 31)) * shards >> 32)
+
+
 def _counted(shards: int):
-    """Distinct grams of a part of the texts, with their counts in training texts, packed by shard."""
+    """Distinct grams and words of a part of the texts, with their counts in training texts, packed by shard."""
 
-    def run(table: pa.Table) -> pa.Table:
-        part = table.column("part")[0].as_py()
-        parts = []
-        for batch in K.chunks(table.combine_chunks().to_batches(), limit=PIECE):
+    def counted(part: int, texts: bytes) -> pa.RecordBatch:
+        parts, tokens = [], []
+        for batch in _pieces(texts):
             raw, offs = K.text_bytes(batch.column(batch.schema.get_field_index("text")))
             flat, at = _framed(raw, offs, ORDER)
             learns = batch.column(batch.schema.get_field_index("train")).to_numpy(zero_copy_only=False)
@@ -355,6 +377,8 @@ def _counted(shards: int):
             gram.sort()
             new = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
             parts.append((gram[new], np.diff(np.append(new, len(gram)))))
+            words, row = _words(raw, offs)
+            tokens.append(_unique(words, learns[row]))
         keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
         keys, n = _unique(keys >> 1, n * (keys & 1))
         shard = _shard(keys, shards)
@@ -362,8 +386,16 @@ def _counted(shards: int):
         ids, begin = np.unique(shard[order], return_index=True)
         out = [(int(s), part, len(x), _pack(np.diff(keys[x], prepend=0)), _pack(n[x].astype(np.int32))) for s,
             x in zip(ids, np.split(order, begin[1:]))]
-        return pa.Table.from_pylist([dict(zip(("shard", "part", "size", "grams", "n"), r)) for r in out],
-            schema=_COUNTED)
+        words, n = _unique(*(np.concatenate(x) for x in zip(*tokens)))
+        ids, begin = np.unique(_word_shard(words, shards), return_index=True)
+        out += [(int(s), part, len(w), _pack_planes(np.diff(w, prepend=0)), _pack(c.astype(np.int32))) for s, w,
+            c in zip(ids, np.split(words, begin[1:]), np.split(n, begin[1:]))]
+        return pa.RecordBatch.from_pylist([dict(zip(_COUNTED.names, r)) for r in out], schema=_COUNTED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield counted(batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
 
     return run
 
@@ -371,7 +403,8 @@ def _counted(shards: int):
 _COUNTED = pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("size", pa.int64()), ("grams", pa.binary()),
     ("n", pa.binary())])
 _SHARDS = pa.schema(
-    [("shard", pa.int64()), ("size", pa.int64()), ("grams", pa.binary()), ("n", pa.binary())]
+    [("shard", pa.int64()), ("size", pa.int64()), ("tokens", pa.int64()), ("known", pa.int64()), ("grams", pa.binary()),
+        ("n", pa.binary())]
     + [("tops", pa.int64()), ("node", pa.binary()), ("below", pa.binary()), ("zeros", pa.binary()),
         ("ones", pa.binary())]
     + [("parts", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("places", pa.list_(pa.binary()))]
@@ -437,17 +470,27 @@ def _node(context: np.ndarray, byte: np.ndarray, j: int) -> np.ndarray:
     return context << 8 | ((1 << j) - 1 + (byte >> (8 - j)))
 
 
-def _sharded(table: pa.Table) -> pa.Table:
-    """All of a shard in one row: its grams and counts, what its trees weigh, and which grams each part has."""
-    rows = table.to_pylist()
-    grams = [np.cumsum(_unpack(r["grams"], r["size"], np.int64)) for r in rows]
-    keys, n = _unique(np.concatenate(grams), np.concatenate([_unpack(r["n"], r["size"], np.int32) for r in rows]))
-    node, *sums = _Levels(keys, n).summary()
-    places = [_pack(np.diff(np.searchsorted(keys, g), prepend=0).astype(np.int32)) for g in grams]
-    row = [rows[0]["shard"], len(keys), _pack(np.diff(keys, prepend=0)), _pack(n), len(node), _pack(node),
-        *map(_pack, sums)]
-    row += [[r["part"] for r in rows], [r["size"] for r in rows], places]
-    return pa.Table.from_pylist([dict(zip(_SHARDS.names, row))], schema=_SHARDS)
+def _sharded(shards: int):
+    """All of a shard in one row: its grams or words with their counts, what its trees weigh, and which of them each part has."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        shard, nothing = rows[0]["shard"], np.zeros(0)
+        unpack = _unpack if shard < shards else _unpack_planes
+        found = [np.cumsum(unpack(r["grams"], r["size"], np.int64)) for r in rows]
+        keys, n = _unique(np.concatenate(found), np.concatenate([_unpack(r["n"], r["size"], np.int32) for r in rows]))
+        places = [_pack(np.diff(np.searchsorted(keys, x), prepend=0).astype(np.int32)) for x in found]
+        if shard < shards:
+            node, *sums = _Levels(keys, n).summary()
+            row = [shard, len(keys), 0, 0, _pack(np.diff(keys, prepend=0)), _pack(n)]
+        else:
+            node, *sums = [nothing] * 4
+            row = [shard, len(keys), int(n.sum()), int(np.count_nonzero(n)), b"", _pack(n)]
+        row += [len(node), _pack(node), *map(_pack, sums)]
+        row += [[r["part"] for r in rows], [r["size"] for r in rows], places]
+        return pa.Table.from_pylist([dict(zip(_SHARDS.names, row))], schema=_SHARDS)
+
+    return run
 
 
 def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -478,136 +521,137 @@ def _short_contexts(node: np.ndarray, below: np.ndarray, zeros: np.ndarray, ones
     return zero, one, left
 
 
-def _scored(top):
-    """log10 probabilities of the grams that each part has in a shard, in the order of the grams."""
+def _scored(top, shards: int):
+    """What each part gets from a shard, in the order of its keys: log10 probabilities of grams, or counts of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                keys = np.cumsum(_unpack(r["grams"], r["size"], np.int64))
-                p = _Levels(keys, _unpack(r["n"], r["size"], np.int64)).log10(top.value).astype(np.float32)
+                values = _unpack(r["n"], r["size"], np.int64)
+                if r["shard"] < shards:
+                    keys = np.cumsum(_unpack(r["grams"], r["size"], np.int64))
+                    values = _Levels(keys, values).log10(top.value).astype(np.float32)
                 for part, size, places in zip(r["parts"], r["sizes"], r["places"]):
                     at = np.cumsum(_unpack(places, size, np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([r["shard"]]),
-                        pa.array([p[at].tobytes()], pa.binary())], names=["part", "shard", "p"])
+                    yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([r["shard"]]), pa.array([size]),
+                        pa.array([_pack_planes(values[at])], pa.binary())], names=["part", "shard", "size", "v"])
 
     return run
 
 
-def _parted(docs: DataFrame, train) -> tuple[DataFrame, int]:
-    """The texts dealt evenly into parts of about ``PART`` bytes, and the number of parts."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = size // PART + 1
-    return docs.select("doc_id", train.alias("train"), "text",
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).alias("part")), parts
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of about ``PART`` bytes of text together, compressed: a part holds its rows as one value."""
 
+    def pack(held: list[pa.RecordBatch], size: int) -> pa.RecordBatch:
+        sink, options = pa.BufferOutputStream(), pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+        with pa.ipc.new_stream(sink, held[0].schema, options=options) as out:
+            out.write_table(pa.Table.from_batches(held).combine_chunks())
+        return pa.RecordBatch.from_arrays([pa.array([size]), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+            names=["bytes", "texts"])
 
-def gram_scores(parted: DataFrame, parts: int) -> DataFrame:
-    """part, shard, p: log10 probabilities of all grams of a part, under the tree of all training texts."""
-    counted = parted.select("part", "train", "text").groupBy("part").applyInArrow(_counted(parts),
+    held, size = [], 0
+    for batch in K.chunks(batches, limit=PIECE):
+        held.append(batch)
+        size += int(K.text_bytes(batch.column(batch.schema.get_field_index("text")))[1][-1])
+        if size >= PART:
+            yield pack(held, size)
+            held, size = [], 0
+    if held:
+        yield pack(held, size)
+
+
+def _parted(docs: DataFrame, held_out, train) -> tuple[DataFrame, int]:
+    """part, bytes, texts: the rows in parts of about ``PART`` bytes of text, and the number of shards for them."""
+    rows = docs.select("doc_id", held_out.alias("held_out"), train.alias("train"), "text")
+    parted = checkpointed(rows.mapInArrow(_packed, "bytes long, texts binary").select(
+        F.monotonically_increasing_id().alias("part"), "bytes", "texts"))
+    return parted, (parted.agg(F.sum("bytes")).first()[0] or 0) // PART + 1
+
+
+def _pieces(texts: bytes) -> Iterator[pa.RecordBatch]:
+    yield from K.chunks(pa.ipc.open_stream(texts), limit=PIECE)
+
+
+def sharded(parted: DataFrame, parts: int) -> DataFrame:
+    """A row a shard, written once: grams and words of all texts with their counts in training texts."""
+    counted = parted.select("part", "texts").mapInArrow(_counted(parts),
         "shard long, part long, size long, grams binary, n binary")
-    shards = checkpointed(counted.groupBy("shard").applyInArrow(
-        _sharded, "shard long, size long, grams binary, n binary, tops long, node binary, below binary, zeros binary, ones binary, parts array<long>, sizes array<long>, places array<binary>"
+    return checkpointed(counted.groupBy("shard").applyInArrow(_sharded(parts),
+        "shard long, size long, tokens long, known long, grams binary, n binary, tops long, node binary, below binary, zeros binary, ones binary, parts array<long>, sizes array<long>, places array<binary>"
     ))
+
+
+def part_values(shards: DataFrame, parts: int) -> DataFrame:
+    """part, shard, size, v: log10 probabilities of a part's grams under the tree of all training texts, and counts of its words."""
     # At most 2**16 contexts of two bytes with 255 binary nodes each; only those that occur.
-    tops = shards.select("tops", "node", "below", "zeros", "ones").mapInArrow(_tops,
+    tops = shards.filter(F.col("shard") < parts).select("tops", "node", "below", "zeros", "ones").mapInArrow(_tops,
         "node long, below double, zeros double, ones double")
     tops = tops.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("below", "zeros", "ones")]).toArrow().sort_by("node")
     columns = [tops.column(c).to_numpy() for c in ("node", "below", "zeros", "ones")]
-    top = parted.sparkSession.sparkContext.broadcast((columns[0], *_short_contexts(*columns)))
-    return shards.select("shard", "size", "grams", "n", "parts", "sizes", "places").mapInArrow(_scored(top),
-        "part long, shard long, p binary")
-
-
-def _part_scorer(table: pa.Table, scores: pa.Table, shards: int):
-    """A function from framed texts of the part to the log10 probability of each of its bytes."""
-    pieces = [_keys(*_framed(*K.text_bytes(b.column(b.schema.get_field_index("text"))),
-        ORDER)) for b in K.chunks(table.to_batches(), limit=PIECE)]
-    keys = np.unique(np.concatenate([np.unique(x) for x in pieces]))
-    order = np.argsort(_shard(keys, shards), kind="stable")
-    p = np.empty(len(keys))
-    p[order] = np.concatenate([np.frombuffer(r["p"], np.float32) for r in sorted(scores.to_pylist(),
-        key=lambda r: r["shard"])])
-    done = iter(pieces)
-    return lambda: p[np.searchsorted(keys, next(done))]
-
-
-# ---- the unigram base -------------------------------------------------------------------
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, counts, texts = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-    for batch in K.chunks(batches):
-        hashes, _, _ = K.words(*K.text_bytes(batch.column(0)))
-        texts += batch.num_rows
-        values, n = np.unique(hashes, return_counts=True)
-        both, inner = np.unique(np.concatenate((held, values)), return_inverse=True)
-        counts = np.bincount(inner, np.concatenate((counts, n)), minlength=len(both)).astype(np.int64)
-        held = both
-        if len(held) > 500_000:
-            yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), pa.array(counts)], names=["word", "c"])
-            held, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(held.view(np.int64), END_HASH)),
-        pa.array(np.append(counts, texts))], names=["word", "c"])
+    top = shards.sparkSession.sparkContext.broadcast((columns[0], *_short_contexts(*columns)))
+    return shards.select("shard", "size", "grams", "n", "parts", "sizes", "places").mapInArrow(_scored(top, parts),
+        "part long, shard long, size long, v binary")
+
+
+def _indexed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and the place of each value among them."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.ones(len(values), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    place = np.empty(len(values), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[new], place
+
+
+def _distinct(sorted_pieces: list[np.ndarray]) -> np.ndarray:
+    every = np.sort(np.concatenate(sorted_pieces))
+    return every[np.concatenate(([True], every[1:] != every[:-1]))]
+
+
+def _looked_up(texts: bytes, values: pa.Table, shards: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces of a part with the log10 probability of each framed byte, and row and count of each token.
+
+    A piece asks for each of its keys once and in their order: lookups in the order of the text would miss the cache.
+    """
+    pieces = []
+    for batch in _pieces(texts):
+        raw, offs = K.text_bytes(batch.column(batch.schema.get_field_index("text")))
+        words, row = _words(raw, offs)
+        pieces.append((batch, _indexed(_keys(*_framed(raw, offs, ORDER))), _indexed(words), row))
+    got = sorted(values.select(["shard", "size", "v"]).to_pylist(), key=lambda r: r["shard"])
+    grams, words = _distinct([p[1][0] for p in pieces]), _distinct([p[2][0] for p in pieces])
+    p = np.empty(len(grams), np.float32)
+    p[np.argsort(_shard(grams, shards), kind="stable")] = np.concatenate([_unpack_planes(r["v"], r["size"], np.float32) for r in got
+        if r["shard"] < shards])
+    c = np.concatenate([_unpack_planes(r["v"], r["size"], np.int64) for r in got if r["shard"] >= shards])
+    for batch, (own, place), (own_words, token), row in pieces:
+        yield (batch, p[np.searchsorted(grams, own)].astype(float)[place], row,
+            c[np.searchsorted(words, own_words)][token])
 
 
 def op8_query(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), bits_per_byte."""
-    sc = docs.sparkSession.sparkContext
-    out = F.coalesce(fold("doc_id", folds) == held, F.lit(False))
-    texts = docs.filter(fold("doc_id", folds) != held).select("text")
-    counts = checkpointed(texts.mapInArrow(_word_counts,
-        "word long, c long").groupBy("word").agg(F.sum("c").alias("c")).filter("c > 0"))
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    parted, parts = _parted(docs, F.coalesce(fold("doc_id", folds) == held, F.lit(False)),
+        F.coalesce(fold("doc_id", folds) != held, F.lit(False)))
+    shards = sharded(parted, parts)
+    n, v = shards.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
     norm = math.log10(n + 1 * (v + 1))
-    frequent = counts.filter(F.col("c") * F.lit(FREQUENT) >= F.lit(n)).toArrow()  # at most FREQUENT rows
-    order = np.argsort(frequent["word"].to_numpy())
-    shared = sc.broadcast((frequent["word"].to_numpy()[order], frequent["c"].to_numpy()[order]))
-    parted, parts = _parted(docs, F.coalesce(fold("doc_id", folds) != held, F.lit(False)))
-
-    def run(table: pa.Table, scores: pa.Table) -> pa.Table:
-        """A row a document, with its sum over frequent words, and its other words with their counts."""
-        word, c = shared.value
-        logs = np.log10(c + 1) - norm
-        table, done = table.combine_chunks(), []
-        probabilities = _part_scorer(table, scores, parts)
-        for batch in K.chunks(table.to_batches(), limit=PIECE):
-            raw, offs = K.text_bytes(batch.column(2))
+
+    def run(part: pa.Table, values: pa.Table) -> pa.Table:
+        done = []
+        for batch, p, row, c in _looked_up(part["texts"][0].as_py(), values, parts):
+            _, offs = K.text_bytes(batch.column(3))
             rows = batch.num_rows
-            hashes, row, _ = K.words(raw, offs)
-            row = np.concatenate((row, np.arange(rows)))
-            hashes = np.concatenate((hashes.view(np.int64), np.full(rows, END_HASH)))
-            tokens = np.bincount(row, minlength=rows)
-            at = np.minimum(np.searchsorted(word, hashes), max(len(word) - 1, 0))
-            hit = word[at] == hashes if len(word) else np.zeros(len(hashes), bool)
-            base = np.bincount(row[hit], logs[at[hit]], minlength=rows)
-            known = np.bincount(row[hit], minlength=rows)
-            value, where, times = K.distinct_by_row(hashes[~hit], row[~hit])
-            size = np.diff(offs)
-            score = np.add.reduceat(probabilities(), offs[:-1] + np.arange(rows))
-            offsets = pa.array(np.searchsorted(where, np.arange(rows + 1)).astype(np.int32))
-            done.append(pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score),
-                    pa.array(size),
-                 pa.ListArray.from_arrays(offsets, pa.array(value)),
-                     pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))],
-                names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "n_bytes", "words", "times"],
-            ))
+            tokens, known = np.bincount(row, minlength=rows), np.bincount(row[c > 0], minlength=rows)
+            base = np.bincount(row, np.log10(c + 1) - norm, minlength=rows)
+            score = np.add.reduceat(p, offs[:-1] + np.arange(rows))
+            done.append(pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens), pa.array(known),
+                pa.array(base), pa.array(score), pa.array(np.diff(offs))],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"]))
         return pa.Table.from_batches(done)
 
-    texts_of = parted.select("doc_id", out.alias("held_out"), "text", "part").groupBy("part")
-    scored = texts_of.cogroup(gram_scores(parted, parts).groupBy("part")).applyInArrow(
-        run, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, n_bytes long, words array<long>, times array<int>"
-    )
-    scored = checkpointed(scored.withColumn("_row", F.monotonically_increasing_id()))
-    rest = scored.select("_row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("_row",
-        F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    log = F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1) - F.lit(norm)
-    sums = rest.join(counts, "word", "left").groupBy("_row").agg(F.sum(F.col("times") * log).alias("more"),
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("also"))
-    return scored.join(sums, "_row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"),
-            F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
-        (-F.col("score") / F.lit(math.log10(2)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
-    )
+    scored = parted.select("part", "texts").groupBy("part").cogroup(part_values(shards, parts).groupBy("part")).applyInArrow(run,
+        "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score",
+        "score", (-F.col("score") / F.lit(math.log10(2)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"))
